@@ -19,7 +19,7 @@ own. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -282,8 +282,8 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
             own = _owned(bucket, t.column(3).to_numpy(), bi, bj, n, _arrays(t.column(6)), threshold)
             if own.any():
                 sets = [np.frombuffer(x, np.uint64) for x in t.column(8).to_pylist()]
-                same = _common(sets)
-                linked = own & (same / np.maximum(n[:, None] + n[None] - same, 1) >= threshold)
+                same, exact = _common(sets), np.array([len(x) for x in sets])
+                linked = own & (same / np.maximum(exact[:, None] + exact[None] - same, 1) >= threshold)
                 found.add(t.column(4).to_numpy(), t.column(7).to_numpy(), linked)
             if found.full():
                 yield found.rows()
@@ -306,38 +306,52 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "sig").mapInArrow(run, "sig long, members binary").dropDuplicates(["sig"])
 
 
+def compare(found: DataFrame, known: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(sig, links, other) of all pairs that share a bucket: sums of links where ``other`` is null, else edges.
+
+    ``found``: (bucket, sig, size). ``known``: (sig, n, mult, lists), the sizes of the sets (or 1 where they are not
+    known yet), their weights and their buckets in order. ``fetch`` gives (sig, members) for a table of ``sig``."""
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+
+    known = known.select("sig", "n", "mult", "lists")
+    near = stored(_candidates(dealt(_in_blocks(found).join(known, "sig")), threshold), "candidates")
+    members = fetch(stored(near.select("sig").distinct(), "wanted"))
+    full = near.join(stored(members, "members"), "sig").join(known, "sig")
+    large = found.where(F.col("size") > BLOCK).select("bucket", "size").distinct()
+    n = F.ceil(F.coalesce(F.col("size"), F.lit(1)) / BLOCK).cast("int")
+    full = full.join(small(stored(large, "large")), "bucket", "left").withColumn("blk", F.pmod(F.xxhash64("sig"), n).cast("int"))
+    return stored(_verified(dealt(full), threshold), "verified")
+
+
+def rooted(out: DataFrame) -> DataFrame:
+    """(sig, root) of the classes with a link."""
+    return components(out.where("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "sig"})
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """(sig, lists): the buckets of each class."""
+    return found.groupBy("sig").agg(F.sort_array(F.collect_set("bucket")).alias("lists"))
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, n_links, class_id, kept) of each document.
 
     ``n_links``: other documents at least ``threshold`` similar. ``class_id``: the least id reachable by links, the own
     one included. ``kept``: whether it is that document."""
-    spark = docs.sparkSession
     rows = stored(prepare(docs, threshold, runs_needed(recall)), "paths")
     classes = stored(rows.where("sig is not null").groupBy("sig").agg(F.count("*").alias("mult"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
     found = stored(buckets(rows), "buckets")
-    lists = found.groupBy("sig").agg(F.sort_array(F.collect_set("bucket")).alias("lists"))
-    known = stored(lists.join(classes, "sig").select("sig", "n", "mult", "doc_id", "lists"), "known")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-
-    blocks = _in_blocks(found)
-    near = stored(_candidates(dealt(blocks.join(known, "sig")), threshold), "candidates")
-    wanted = stored(near.select("sig").distinct().join(known, "sig").select("doc_id", "sig"), "wanted")
-    members = stored(_members(docs, small(wanted)), "members")
-    full = near.join(members, "sig").join(known.select("sig", "n", "mult", "lists"), "sig").withColumn("blk", F.lit(0))
-    size = found.groupBy("bucket").agg(F.max("size").alias("size")).where(F.col("size") > BLOCK)
-    n = F.ceil(F.coalesce(F.col("size"), F.lit(1)) / BLOCK).cast("int")
-    full = full.join(small(stored(size, "large")), "bucket", "left").withColumn("blk", F.pmod(F.xxhash64("sig"), n).cast("int"))
-    out = stored(_verified(dealt(full), threshold), "verified")
+    known = stored(listed(found).join(classes, "sig"), "known")
+    out = compare(found, known, lambda wanted: _members(docs, small(stored(wanted.join(classes, "sig").select("doc_id", "sig"), "sources"))), threshold)
     links = out.where("other is null").groupBy("sig").agg(F.sum("links").alias("links"))
-    roots = components(out.where("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "sig"})
-    least = stored(classes.join(roots, "sig").select("sig", "root", "doc_id").alias("x"), "rooted")
+    least = stored(classes.join(rooted(out), "sig").select("sig", "root", "doc_id"), "rooted")
     named = least.join(least.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("sig", "class_id")
     per_class = classes.join(links, "sig", "left").join(named, "sig", "left").select("sig", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
     per_class = stored(per_class.where("n_links > 0"), "linked")
-    joined = rows.select("doc_id", "sig").join(per_class, "sig", "left")
+    joined = rows.select("doc_id", "sig").join(small(per_class), "sig", "left")
     own = F.coalesce("class_id", "doc_id")
     return joined.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("class_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
