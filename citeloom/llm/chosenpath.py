@@ -82,19 +82,25 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def prepare(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """(doc_id, sig, n, p1, q2, p2, q3, p3): the class, the set's size and its paths, ``qk`` being the parents of ``pk``."""
+    """(doc_id, sig, n, p1, q2, p2, q3, p3): the class, the set's size and its paths, ``qk`` being the parents of ``pk``.
+
+    Paths are of the class, so of equal texts in a task only the first one carries them."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sig long, n long, p1 array<long>, " + ", ".join(f"q{k} array<long>, p{k} array<long>" for k in range(2, DEPTH + 1))
     names = ["doc_id", "sig", "n", "p1", *(f"{c}{k}" for k in range(2, DEPTH + 1) for c in "qp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             w, at = textvec.words(b.column(1).to_pylist())
             sets = textvec.shingle_sets(w, at, SHINGLE)
             known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             linkable = [bool(k) and len(s) > 0 for k, s in zip(known, sets, strict=True)]
-            found = [paths(s if k else s[:0], threshold, runs) for k, s in zip(linkable, sets, strict=True)]
-            sig = pa.array([signature(s) if k else None for k, s in zip(linkable, sets, strict=True)], pa.int64())
-            cols = [b.column(0), sig, pa.array([len(s) for s in sets], pa.int64()), _lists([f[0] for f in found])]
+            sigs = [signature(s) if k else None for k, s in zip(linkable, sets, strict=True)]
+            found = []
+            for x, s in zip(sigs, sets, strict=True):
+                found.append(paths(s[:0] if x is None or x in seen else s, threshold, runs))
+                seen.add(x)
+            cols = [b.column(0), pa.array(sigs, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([f[0] for f in found])]
             for k in range(DEPTH - 1):
                 cols += [_lists([np.ascontiguousarray(f[1][k][:, c]) for f in found]) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
