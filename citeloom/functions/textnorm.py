@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache
 
@@ -46,17 +47,21 @@ def _tables(strokes: bool) -> tuple[str, str, dict[str, str]]:
             one[c] = f
         elif not f:
             gone.append(c)
-        elif len(f) > 1:
+        elif len(f) > 1 and not (strokes and c in STROKES):
             many[c] = f
     return "".join(one) + "".join(gone), "".join(one.values()), many
 
 
 def _fold(text: Column, strokes: bool) -> Column:
     find, put, many = _tables(strokes)
-    index = F.create_map(*(F.lit(x) for pair in many.items() for x in pair))
-    some = F.lit("[" + "".join(many) + "]")
+    if strokes:  # the frequent ones; the rest of what becomes several letters is rare and looked up letter by letter
+        for c, f in STROKES.items():
+            if len(f) > 1:
+                text = F.replace(text, F.lit(c), F.lit(f))
+    index = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # folds into one constant
+    some = F.length(F.translate(text, "".join(many), "")) != F.length(text)  # a class of so many letters is a slow pattern
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(index, c), c)), "")
-    return F.lower(F.translate(F.when(text.rlike("[^\\x00-\\x7F]") & F.rlike(text, some), spelled).otherwise(text), find, put))
+    return F.lower(F.translate(F.when(text.rlike("[^\\x00-\\x7F]") & some, spelled).otherwise(text), find, put))
 
 
 def fold(text: Column) -> Column:

@@ -1,11 +1,502 @@
-"""All registered queries that derive from the bibliographic operators, with the SQL they must equal."""
+"""All registered queries that derive from the bibliographic operators, with the SQL that each must equal."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names, textnorm as N
+from ..functions.parse import parse_reference
+from ..operators import measure, mirror, rollup, segment, titles, triage, verify
+from . import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "paper_status_rollup"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _with(ctes: str, select: str) -> str:
+    return f"WITH {ctes.strip()}\n{select}"
+
+
+# -- text normalization (N1-N23) ---------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({D.FOLD.format('text')}) AS folded, md5({D.LETTERS.format('text')}) AS letters FROM documents")
+def fold_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(N.fold(F.col("text")).cast("binary")).alias("folded"), F.md5(N.letters(F.col("text")).cast("binary")).alias("letters"))
+
+
+@query("SELECT doc_id, md5(lower(strip_accents(text))) AS index_folded FROM documents")
+def index_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "documents").select("doc_id", F.md5(N.index_fold(F.col("text")).cast("binary")).alias("index_folded"))
+
+
+_WORDS = "trim(regexp_replace(regexp_replace(regexp_replace(replace({0}, '-', ''), '\\s', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+
+
+@query(
+    "SELECT doc_id, md5("
+    + _WORDS.format(D.FOLD.format("text"))
+    + ") AS normalized, md5("
+    + _WORDS.format("lower(text)")
+    + ") AS plain, CAST(len(regexp_extract_all("
+    + D.FOLD.format("replace(text, '-', '')")
+    + ", '[a-z0-9]+')) AS INTEGER) AS n_words FROM documents"
+)
+def normalized_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return D.table(spark, sf_dir, "documents").select("doc_id", F.md5(N.normalized_title(t).cast("binary")).alias("normalized"), F.md5(N.plain_title(t).cast("binary")).alias("plain"), F.size(N.title_words(t)).alias("n_words"))
+
+
+@query(
+    "WITH c AS (SELECT c_custkey, c_name || ' and their business: a study of ' || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' (2. ed.)' WHEN c_custkey % 3 = 1 THEN ', 3rd Edition' ELSE ' (Reprint)' END AS t FROM customer) "
+    "SELECT c_custkey, regexp_replace(lower(split_part(t, ':', 1)), '[^a-z0-9]', '', 'g') AS head, regexp_replace(t, '( \\([^)]*\\)|, 3rd Edition)$', '') AS bare FROM c"
+)
+def subtitle_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edition = F.when(F.col("c_custkey") % 3 == 0, " (2. ed.)").when(F.col("c_custkey") % 3 == 1, ", 3rd Edition").otherwise(" (Reprint)")
+    t = F.concat("c_name", F.lit(" and their business: a study of "), "c_mktsegment", edition)
+    return D.table(spark, sf_dir, "customer").select("c_custkey", N.subtitle_head(t).alias("head"), N.without_edition(t).alias("bare"))
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]{1,40}>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS plain FROM pages")
+def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").select("page_id", N.plain(F.col("html")).alias("plain"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)https?://[^\\s<>\"]+')) AS INTEGER) AS n_urls FROM pages")
+def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").select("page_id", F.size(N.urls(F.col("html"))).alias("n_urls"))
+
+
+_RAW = "'Order ' || o_orderkey || ', vol. ' || (o_custkey % 40) || '(' || (o_orderkey % 12) || '), pp. ' || (o_orderkey % 300) || '–' || (o_orderkey % 300 + 9) || ', ' || year(o_orderdate) || '. doi:10.1000/' || o_orderkey || '.' || o_custkey || ', arXiv:2' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') || 'v2.'"
+
+
+def _order_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda c: c.cast("string")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    raw = F.concat(F.lit("Order "), s(k), F.lit(", vol. "), s(c % 40), F.lit("("), s(k % 12), F.lit("), pp. "), s(k % 300), F.lit("–"), s(k % 300 + 9), F.lit(", "), s(F.year("o_orderdate")), F.lit(". doi:10.1000/"), s(k), F.lit("."), s(c), F.lit(", arXiv:2"), F.lpad(s(c % 1000), 3, "0"), F.lit("."), F.lpad(s(k % 100000), 5, "0"), F.lit("v2."))
+    return D.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", raw.alias("raw"))
+
+
+@query(
+    f"SELECT o_orderkey, array_to_string(list_sort(list_distinct(regexp_extract_all({_RAW}, '(?:^|[^0-9/.])((?:19|20)[0-9]{{2}})(?:$|[^0-9.]|\\.(?:$|[^0-9]))', 1))), ',') AS years, '10.1000/' || o_orderkey || '.' || o_custkey AS doi, '2' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') AS arxiv, left(sha1({_RAW}), 12) AS fingerprint FROM orders"
+)
+def cited_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.col("raw")
+    return _order_citations(spark, sf_dir).select("o_orderkey", F.array_join(F.array_sort(N.cited_years(raw)), ",").alias("years"), F.array_join(N.cited_dois(raw), ",").alias("doi"), N.arxiv_id(raw).alias("arxiv"), N.fingerprint(raw).alias("fingerprint"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 300 = o_custkey % 300 AS pages, true AS volume, true AS doi FROM orders")
+def locator_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _order_citations(spark, sf_dir)
+    s, raw, k, c = (lambda x: x.cast("string")), F.col("raw"), F.col("o_orderkey"), F.col("o_custkey")
+    pages = F.concat(s(c % 300), F.lit("-"), s(c % 300 + 9))
+    ee = F.concat(F.lit("https://doi.org/10.1000/"), s(k), F.lit("."), s(c))
+    return o.select("o_orderkey", N.pages_match(pages, raw).alias("pages"), N.volume_match(s(c % 40), s(k % 12), pages, raw).alias("volume"), N.doi_match(ee, N.cited_dois(raw)).alias("doi"))
+
+
+@query("SELECT p_partkey, 'paper' || lpad(CAST(p_size AS VARCHAR), 20, '0') || '-' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') AS natural_key FROM part")
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("Paper"), F.col("p_size").cast("string"), F.lit("-"), F.col("p_partkey").cast("string"))
+    return D.table(spark, sf_dir, "part").select("p_partkey", N.natural_key(name).alias("natural_key"))
+
+
+@query("SELECT s_suppkey, s_name LIKE '%@%' AS contact, CASE WHEN s_suppkey % 2 = 0 THEN 'de Vries' ELSE s_name END AS surname FROM supplier")
+def surnames_and_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.when(F.col("s_suppkey") % 2 == 0, F.when(F.col("s_suppkey") % 4 == 0, "de Vries, A.").otherwise("de Vries AB")).otherwise(F.col("s_name"))
+    return D.table(spark, sf_dir, "supplier").select("s_suppkey", N.is_contact(F.col("s_name")).alias("contact"), N.surname(n).alias("surname"))
+
+
+# -- mirror (S3-S9, K1-K6, A10-A12, J16) -------------------------------------------------------
+
+
+@query("SELECT c_nationkey AS key, min(c_custkey) AS ordinal, arg_min(c_name, c_custkey) AS title FROM customer GROUP BY c_nationkey")
+def first_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = D.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("title"))
+    return mirror.first_by_key(c)
+
+
+@query(_with(D.PUB, "SELECT name, count(*) AS n_publications, min(id) AS first_publication FROM (SELECT DISTINCT id, unnest(authors) AS name FROM pub) GROUP BY name"))
+def author_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    links = mirror.bridge(pub).join(mirror.author_dim(pub), "author_id")
+    return links.groupBy("name").agg(F.count("*").alias("n_publications"), F.min("pub_id").alias("first_publication"))
+
+
+@query(_with(D.PUB, "SELECT id AS pub_id, array_to_string(list_filter(authors, lambda a, i: list_position(authors, a) = i), '|') AS authors FROM pub"))
+def bylines_from_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    return mirror.authors_of(mirror.bridge(pub), mirror.author_dim(pub)).select("pub_id", F.array_join("authors", "|").alias("authors"))
+
+
+@query(_with(D.PUB, "SELECT (SELECT count(*) FROM pub) AS publication_count, count(*) AS author_count, count(*) FILTER (regexp_matches(name, '[^\\x00-\\x7F]')) AS accented, count(*) FILTER (regexp_matches(name, '[^\\x00-\\x7F]')) > 0 OR count(*) < 1000 AS complete FROM (SELECT DISTINCT unnest(authors) AS name FROM pub)"))
+def mirror_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirror.facts(D.publications(spark, sf_dir))
+
+
+@query("SELECT n_nationkey, n_nationkey % 4 <> 1 AND n_nationkey % 4 <> 2 AS complete, n_nationkey % 4 <> 1 AS people FROM nation")
+def record_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.initcap("n_name")
+    who = F.when(F.col("n_nationkey") % 4 == 1, F.array(F.concat(name, F.lit(" Team")))).when(F.col("n_nationkey") % 4 == 2, F.array(F.concat(F.lit("Ann "), name), F.lit("et al."))).when(F.col("n_nationkey") % 4 == 3, F.array(F.lit("Anna"), F.lit("Berta"))).otherwise(F.array(F.concat(F.lit("Ann "), F.lit("Zeta"))))
+    return D.table(spark, sf_dir, "nation").select("n_nationkey", N.record_authors_complete(who).alias("complete"), N.lists_people(who).alias("people"))
+
+
+@query(_with(D.PUB, "SELECT token, count(*) AS n, count(DISTINCT id) AS n_titles FROM (SELECT id, unnest(regexp_extract_all(lower(strip_accents(title)), '[\\p{L}\\p{N}]+')) AS token FROM pub) GROUP BY token"))
+def posting_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirror.postings(mirror.with_keys(D.publications(spark, sf_dir))).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("pub_id").alias("n_titles"))
+
+
+# -- retrieval and record choice (J1-J16) ------------------------------------------------------
+
+_SAME = f"{D.LETTERS.format('c.title')} = {D.LETTERS.format('p.title')}"
+
+
+@query(_with(D.CITE, f"SELECT c.ref_id, p.id AS pub_id FROM cite c JOIN pub p ON {_SAME} WHERE c.variant IN ('clean', 'respaced')"))
+def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    refs = D.citations(pub).where(F.col("variant").isin("clean", "respaced", "word_changed"))
+    return titles.candidates(refs, mirror.with_keys(pub)).select("ref_id", F.col("rec.id").alias("pub_id"))
+
+
+@query(
+    _with(
+        D.CITE,
+        f"SELECT ref_id, pub_id FROM (SELECT c.ref_id, p.id AS pub_id, row_number() OVER (PARTITION BY c.ref_id ORDER BY p.venue = 'CoRR', p.pages <> c.pages, p.volume <> c.volume, p.year <> c.year, p.id) AS rank FROM cite c JOIN pub p ON {_SAME} WHERE c.variant = 'clean') WHERE rank = 1",
+    )
+)
+def record_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    refs = D.citations(pub).where("variant = 'clean'")
+    return titles.ranked(titles.candidates(refs, mirror.with_keys(pub))).where("rank = 1").select("ref_id", F.col("rec.id").alias("pub_id"))
+
+
+@query(_with(D.CITE, f"SELECT c.ref_id, min(p.key) AS key, min(p.year) AS year, min(p.venue) AS venue FROM cite c JOIN pub p ON {_SAME} WHERE c.variant = 'clean' GROUP BY c.ref_id HAVING count(*) = 1"))
+def record_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    return titles.record_context(D.citations(pub).where("variant = 'clean'"), mirror.with_meta(pub)).select("ref_id", "key", "year", "venue")
+
+
+@query()
+def and_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = mirror.with_keys(D.publications(spark, sf_dir))
+    refs = D.citations(pub).where("variant = 'clean'")
+    return titles.and_retrieval(refs, pub).select(F.col("item").alias("ref_id"), "pub_id")
+
+
+@query(_with(D.CITE, "SELECT c.ref_id, p.id AS pub_id FROM cite c JOIN pub p ON contains(' ' || array_to_string(regexp_extract_all(lower(strip_accents(p.title)), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' ' || array_to_string(regexp_extract_all(" + D.FOLD.format("replace(c.title, '-', '')") + ", '[a-z0-9]+'), ' ') || ' ') WHERE c.variant = 'clean' AND " + _SAME))
+def phrase_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = mirror.with_keys(D.publications(spark, sf_dir))
+    met = titles.candidates(D.citations(pub).where("variant = 'clean'"), pub)
+    return met.where(F.exists(titles.phrases(F.col("title")), lambda p: titles.holds_phrase(F.col("rec.tokens"), p))).select("ref_id", F.col("rec.id").alias("pub_id"))
+
+
+@query()
+def nearest_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = mirror.with_keys(D.publications(spark, sf_dir))
+    return titles.nearest(D.citations(pub).where("variant = 'word_changed'"), pub)
+
+
+@query("SELECT p_partkey, CAST(levenshtein(p_brand, p_type) AS INTEGER) AS edits FROM part WHERE levenshtein(p_brand, p_type) <= 12")
+def bounded_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    p = D.table(spark, sf_dir, "part").select("p_partkey", titles.word_edits(letters("p_brand"), letters("p_type"), 12).alias("edits"))
+    return p.where("edits >= 0")
+
+
+# -- verdicts (A1-A14, V1-V12) -----------------------------------------------------------------
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    return verify.verify(D.citations(pub), [verify.mirror_backend(mirror.with_keys(pub))])
+
+
+@query(_with(D.CITE, "SELECT ref_id, status FROM cite"))
+def verify_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).select("ref_id", "status")
+
+
+@query(_with(D.CITE, "SELECT paper_id, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'not_found') AS not_found, count(*) FILTER (status = 'mismatch') AS mismatch, CAST(0 AS BIGINT) AS unparsed, CAST(0 AS BIGINT) AS pending, CAST(0 AS BIGINT) AS retracted, count(*) FILTER (status <> 'verified') AS unverified, CAST(0 AS BIGINT) AS degraded, count(*) AS n_references FROM cite GROUP BY ROLLUP (paper_id)"))
+def paper_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.status_rollup(_checked(spark, sf_dir))
+
+
+@query(_with(D.CITE, "SELECT 'mirror' AS set, variant, count(*) AS n, count(*) FILTER (status = 'verified') AS hits, count(*) FILTER (status = 'mismatch') AS refused FROM cite GROUP BY variant"))
+def corruption_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = _checked(spark, sf_dir).select(F.lit("mirror").alias("set"), "variant", "key", "status", F.regexp_extract("paper_url", "rec/(.*)$", 1).alias("found_key"))
+    return rollup.scores(checked).drop("other_record")
+
+
+_ANSWERS = "r AS (SELECT CAST(doc_id AS VARCHAR) AS ref_id, CASE WHEN doc_id % 5 = 0 THEN 'match' WHEN doc_id % 7 = 0 THEN 'timeout' WHEN doc_id % 3 = 0 THEN 'author_mismatch' ELSE 'no_match' END AS a, CASE WHEN doc_id % 2 = 0 THEN 'match' WHEN doc_id % 11 = 0 THEN 'rate_limited' ELSE 'no_match' END AS b FROM documents)"
+
+
+def _stub(name: str, status: F.Column) -> verify.Backend:
+    return verify.Backend(name, lambda refs: refs.select("ref_id", F.lit(name).alias("db"), status.alias("status"), F.expr(verify.NO_NAMES).alias("found_authors"), F.lit(None).cast("string").alias("paper_url"), F.lit(False).alias("retracted")))
+
+
+def _stubbed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[verify.Backend]]:
+    i = F.col("doc_id")
+    a = F.when(i % 5 == 0, "match").when(i % 7 == 0, "timeout").when(i % 3 == 0, "author_mismatch").otherwise("no_match")
+    b = F.when(i % 2 == 0, "match").when(i % 11 == 0, "rate_limited").otherwise("no_match")
+    refs = D.table(spark, sf_dir, "documents").select(i.cast("string").alias("ref_id"), i, F.concat(F.lit("paper"), (i % 10).cast("string")).alias("paper_id"))
+    return refs, [_stub("CrossRef", a), _stub("OpenAlex", b)]
+
+
+@query(f"WITH {_ANSWERS} SELECT ref_id, 'CrossRef' AS db, a AS status FROM r UNION ALL SELECT ref_id, 'OpenAlex', CASE WHEN a = 'match' THEN 'skipped' ELSE b END FROM r")
+def cascade_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, backends = _stubbed(spark, sf_dir)
+    return verify.cascade(refs, backends).select("ref_id", "db", "status")
+
+
+_STATUS = "s AS (SELECT ref_id, CASE WHEN a = 'match' OR b = 'match' THEN 'verified' WHEN a = 'author_mismatch' THEN 'mismatch' ELSE 'not_found' END AS status, CASE WHEN a = 'match' THEN 'CrossRef' WHEN b = 'match' THEN 'OpenAlex' WHEN a = 'author_mismatch' THEN 'CrossRef' END AS source, list_filter([CASE WHEN a = 'timeout' THEN 'CrossRef' END, CASE WHEN a <> 'match' AND b = 'rate_limited' THEN 'OpenAlex' END], lambda x: x IS NOT NULL) AS failed FROM r)"
+
+
+@query(f"WITH {_ANSWERS}, {_STATUS} SELECT ref_id, status, source, array_to_string(failed, ',') AS failed_dbs, len(failed) > 0 AND status <> 'verified' AS degraded FROM s")
+def cascade_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, backends = _stubbed(spark, sf_dir)
+    return verify.verify(refs, backends).select("ref_id", "status", "source", F.array_join("failed_dbs", ",").alias("failed_dbs"), "degraded")
+
+
+@query(f"WITH {_ANSWERS}, {_STATUS} SELECT db, count(*) AS n FROM (SELECT unnest(failed) AS db FROM s) GROUP BY db")
+def backend_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, backends = _stubbed(spark, sf_dir)
+    return rollup.backend_failures(verify.verify(refs, backends))
+
+
+@query(f"WITH {_ANSWERS}, {_STATUS} SELECT source, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM s WHERE status = 'verified' GROUP BY source")
+def source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, backends = _stubbed(spark, sf_dir)
+    return rollup.source_share(verify.verify(refs, backends))
+
+
+@query(f"WITH {_ANSWERS}, {_STATUS} SELECT ref_id, CASE WHEN len(failed) > 0 AND status <> 'verified' AND CAST(ref_id AS BIGINT) % 13 = 0 THEN 'verified' ELSE status END AS status, CASE WHEN len(failed) > 0 AND status <> 'verified' THEN false ELSE false END AS degraded FROM s")
+def retried_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, backends = _stubbed(spark, sf_dir)
+    again = _stub("CrossRef", F.when(F.col("doc_id") % 13 == 0, "match").when(F.col("doc_id") % 3 == 0, F.when((F.col("doc_id") % 7 != 0) & (F.col("doc_id") % 5 != 0), "author_mismatch").otherwise("no_match")).otherwise("no_match"))
+    first = verify.verify(refs, backends)
+    return verify.retry_degraded(first, refs, lambda r: verify.verify(r, [again])).select("ref_id", "status", "degraded")
+
+
+# -- roll-ups (G1-G14) -------------------------------------------------------------------------
+
+@query(
+    "WITH k AS (SELECT conv_id, turn, "
+    + _WORDS.format("lower(text)")
+    + " AS t, "
+    + _WORDS.format("lower(role || ' ' || text)")
+    + " AS f FROM conversations), s AS (SELECT t, f, list_sort(list(conv_id * 1000 + turn)) AS ns FROM k WHERE length(t) >= 20 GROUP BY t, f) "
+    "SELECT 'duplicate' AS kind, array_to_string(ns, ',') AS numbers FROM s WHERE len(ns) > 1 UNION ALL SELECT 'conflict', array_to_string(list_sort(list(ns[1])), ',') FROM s GROUP BY t HAVING count(*) > 1"
+)
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = D.table(spark, sf_dir, "conversations").select(F.lit("all").alias("paper_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("number"), F.col("text").alias("title"), F.concat("role", F.lit(" "), "text").alias("raw"))
+    return rollup.duplicate_groups(c).select("kind", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+@query(f"WITH {_ANSWERS}, {_STATUS}, o AS (SELECT ref_id, CASE WHEN a = 'match' THEN 'verified' WHEN a = 'author_mismatch' THEN 'mismatch' ELSE 'not_found' END AS old_status FROM r) SELECT old_status, status AS new_status, count(*) AS n FROM o JOIN s USING (ref_id) GROUP BY old_status, status")
+def transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, backends = _stubbed(spark, sf_dir)
+    return rollup.transitions(verify.verify(refs, backends[:1]), verify.verify(refs, backends))
+
+
+@query(f"WITH {_ANSWERS}, {_STATUS} SELECT ref_id, 'CrossRef' AS old_source, source AS new_source FROM s JOIN r USING (ref_id) WHERE status = 'verified' AND a = 'author_mismatch' UNION ALL SELECT ref_id, NULL, source FROM s JOIN r USING (ref_id) WHERE status = 'verified' AND a NOT IN ('match', 'author_mismatch')")
+def moved_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, backends = _stubbed(spark, sf_dir)
+    return rollup.moved(verify.verify(refs, backends[:1]), verify.verify(refs, backends)).select("ref_id", "old_source", "new_source")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS ref_id, 'doi' AS field, CAST(c_nationkey AS VARCHAR) AS old_value, NULL AS new_value FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'title', c_name, c_name || '!' FROM customer WHERE c_custkey % 5 = 0")
+def parse_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = D.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    old = c.select(k.cast("string").alias("ref_id"), F.col("c_name").alias("title"), F.array("c_mktsegment").alias("authors"), F.col("c_nationkey").cast("string").alias("doi"), F.lit(None).cast("string").alias("arxiv_id"))
+    new = c.select(k.cast("string").alias("ref_id"), F.when(k % 5 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")).alias("title"), F.array("c_mktsegment").alias("authors"), F.when(k % 3 != 0, F.col("c_nationkey").cast("string")).alias("doi"), F.lit(None).cast("string").alias("arxiv_id"))
+    return rollup.field_diffs(old, new)
+
+
+@query("SELECT * FROM (VALUES ('DOI', 'never ran'), ('arXiv', 'never ran'), ('Semantic Scholar', 'never ran')) AS x(db, kind) WHERE (SELECT count(*) FROM documents) > 0")
+def backend_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, backends = _stubbed(spark, sf_dir)
+    return rollup.drift(verify.cascade(refs, backends).select("db"), [b for b in verify.BACKENDS if b not in verify.LOCAL], verify.LOCAL, False)
+
+
+# -- segmentation (E1-E20) ---------------------------------------------------------------------
+
+
+@query("SELECT conv_id, number FROM (SELECT conv_id, unnest(range(1, max(turn) + 1)) AS number FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id) EXCEPT SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 1")
+def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = D.table(spark, sf_dir, "conversations").where("turn % 3 <> 1").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("number"))
+    return segment.missing(c).select(F.col("paper_id").alias("conv_id"), F.col("number").cast("long").alias("number"))
+
+
+@query("WITH n AS (SELECT DISTINCT l_orderkey // 40 AS paper_id, l_orderkey % 40 AS number FROM lineitem WHERE l_orderkey % 40 > 3), r AS (SELECT *, lead(number, 1) OVER w AS a, lead(number, 2) OVER w AS b FROM n WINDOW w AS (PARTITION BY paper_id ORDER BY number)) SELECT paper_id, coalesce(min(number) FILTER (a = number + 1 AND b = number + 2), min(number)) AS anchor FROM r GROUP BY paper_id")
+def number_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = D.table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 40).alias("paper_id"), (F.col("l_orderkey") % 40).alias("number")).where("number > 3")
+    return segment.number_anchor(n)
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1")
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = D.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min_by("role", "text").alias("role"))
+    who = c.withColumn("who", F.when(F.col("turn") % 3 == 0, F.array("role")).otherwise(F.expr(verify.NO_NAMES)))
+    return segment.carried(who, "who", "turn", "conv_id").select("conv_id", "turn", F.get("before", F.lit(0)).alias("before"))
+
+
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, min(page_no) AS page_no, min(line_no) AS line_no FROM lines WHERE text = 'References' GROUP BY paper"))
+def section_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.section_starts(D.layout(D.publications(spark, sf_dir))).select("paper_id", "heading.page_no", "heading.line_no")
+
+
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(length(text) - length(ltrim(text)) AS INTEGER) AS indent, count(*) AS n FROM lines WHERE trim(text) <> '' GROUP BY ALL"))
+def indent_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.indent_histogram(D.layout(D.publications(spark, sf_dir))).select("paper_id", "indent", "n")
+
+
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, 'A running title of some length about things' AS norm, count(*) AS n FROM lines WHERE line_no = 0 AND text LIKE 'A running%' GROUP BY paper HAVING count(*) > 1"))
+def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.page_furniture(D.layout(D.publications(spark, sf_dir))).where("norm like 'A running%'")
+
+
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, count(*) FILTER (regexp_matches(trim(text), '^\\[[0-9]{1,3}\\]')) AS labels, count(*) FILTER (regexp_matches(trim(text), '^[0-9]{1,3}\\.? +[^ ]')) AS numeric FROM lines WHERE trim(text) <> '' GROUP BY paper"))
+def style_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.style_votes(D.layout(D.publications(spark, sf_dir))).select("paper_id", "labels", "numeric")
+
+
+@query("WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(line, '[0-9]+', '', 'g'), '\\s+', ' ', 'g')) AS norm FROM l WHERE trim(line) <> '') SELECT doc_id, norm, count(*) AS n FROM n WHERE norm <> '' GROUP BY ALL HAVING count(*) > 1")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = D.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    return lines.select("doc_id", N.head_norm(F.col("line")).alias("norm")).where("norm <> ''").groupBy("doc_id", "norm").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(n AS INTEGER) AS number, array_to_string(authors, '|') AS authors FROM ranked WHERE style < 2"))
+def segment_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segment.segment(D.layout(D.publications(spark, sf_dir)))
+    style = F.substring("paper_id", 6, 20).cast("long") % 3
+    return found.where(style < 2).select("paper_id", "number", F.array_join("authors", "|").alias("authors"))
+
+
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(count(*) AS INTEGER) AS num_references, CASE min(style) WHEN 0 THEN 'bracket-numeric' ELSE 'numeric' END AS style, true AS section_found FROM ranked WHERE style < 2 GROUP BY paper HAVING count(*) > 2"))
+def extraction_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segment.extraction(D.layout(D.publications(spark, sf_dir)))
+    style = F.substring("paper_id", 6, 20).cast("long") % 3
+    return found.where((style < 2) & (F.col("num_references") > 2)).select("paper_id", "num_references", "extraction.style", "extraction.section_found")
+
+
+@query(_with(D.PUB, "SELECT id, array_to_string(authors, '|') AS authors FROM pub"))
+def parse_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    raw = F.concat(F.array_join("authors", ", "), F.lit(', "'), "title", F.lit('," in Proceedings of Things, '), F.col("year").cast("string"), F.lit("."))
+    return pub.select("id", parse_reference(raw).alias("e")).select("id", F.array_join("e.authors", "|").alias("authors"))
+
+
+# -- triage (W1-W14, K9-K11) -------------------------------------------------------------------
+
+_T = "t AS (SELECT doc_id, 'paper' || (doc_id // 25) AS paper_id, CAST(doc_id % 25 AS INTEGER) AS number, text AS raw, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'not_found' WHEN doc_id % 4 = 1 THEN 'mismatch' WHEN doc_id % 4 = 2 THEN 'odd' ELSE 'verified' END AS status, CASE WHEN doc_id % 6 = 0 THEN 'likely-hallucinated' WHEN doc_id % 6 = 1 THEN 'partial-match' WHEN doc_id % 6 = 2 THEN 'unclear' WHEN doc_id % 6 = 3 THEN 'real-published' END AS category, CASE WHEN doc_id % 12 = 0 THEN 'no' WHEN doc_id % 12 = 6 THEN 'yes' WHEN doc_id % 5 = 0 THEN 'unsure' ELSE 'yes' END AS title_match, CASE WHEN doc_id % 10 = 0 THEN 'stale' ELSE left(sha1(text), 12) END AS ref_hash FROM documents)"
+
+
+def _refs_verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    i = F.col("doc_id")
+    d = D.table(spark, sf_dir, "documents").select(i, F.concat(F.lit("paper"), F.floor(i / 25).cast("string")).alias("paper_id"), (i % 25).cast("int").alias("number"), F.col("text").alias("raw"))
+    refs = d.withColumn("status", F.when(i % 9 == 0, F.lit(None)).when(i % 4 == 0, "not_found").when(i % 4 == 1, "mismatch").when(i % 4 == 2, "odd").otherwise("verified"))
+    category = F.when(i % 6 == 0, "likely-hallucinated").when(i % 6 == 1, "partial-match").when(i % 6 == 2, "unclear").when(i % 6 == 3, "real-published")
+    tm = F.when(i % 12 == 0, "no").when(i % 12 == 6, "yes").when(i % 5 == 0, "unsure").otherwise("yes")
+    none = F.lit(None).cast("string")
+    signals = F.struct(tm.alias("title_match"), F.lit("no").alias("authors_match"), none.alias("venue_match"), F.lit("404").alias("doi_status"), F.lit("A title").alias("matched_title"))
+    v = d.select("paper_id", "number", category.alias("category"), F.lit("seen").alias("finding"), signals.alias("signals"), F.when(i % 10 == 0, "stale").otherwise(N.fingerprint(F.col("raw"))).alias("ref_hash"), i.alias("seq")).where("category is not null")
+    return refs, v
+
+
+@query(f"WITH {_T} SELECT paper_id, number, status FROM t WHERE status IS NOT NULL AND status <> 'verified' AND (category IS NULL OR ref_hash = 'stale')")
+def worklist_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, verdicts = _refs_verdicts(spark, sf_dir)
+    return triage.worklist(refs, verdicts).select("paper_id", "number", "status")
+
+
+@query(f"WITH {_T} SELECT paper_id, count(*) AS refs, count(*) FILTER (status <> 'verified') AS needs, count(*) FILTER (status <> 'verified' AND category IS NOT NULL AND ref_hash <> 'stale') AS done, count(*) FILTER (status <> 'verified') - count(*) FILTER (status <> 'verified' AND category IS NOT NULL AND ref_hash <> 'stale') AS pending FROM t GROUP BY paper_id")
+def triage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, verdicts = _refs_verdicts(spark, sf_dir)
+    return rollup.progress(refs, verdicts)
+
+
+@query(f"WITH {_T}, n AS (SELECT paper_id, count(*) FILTER (category = 'likely-hallucinated') AS high, count(*) FILTER (category = 'partial-match') AS medium, count(*) FILTER (category = 'unclear') AS other FROM t WHERE category IN ('likely-hallucinated', 'partial-match', 'unclear') GROUP BY paper_id) SELECT *, CAST(row_number() OVER (ORDER BY high DESC, high + medium + other DESC, paper_id) AS INTEGER) AS place FROM n")
+def severity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.severity_table(_refs_verdicts(spark, sf_dir)[1])
+
+
+@query(f"WITH {_T} SELECT paper_id, number, category = 'likely-hallucinated' AND title_match = 'no' AS fabrication, CASE category WHEN 'likely-hallucinated' THEN 'high' WHEN 'partial-match' THEN 'medium' WHEN 'real-published' THEN 'low' ELSE '-' END AS severity, 'title=' || title_match || ' · authors=no · doi=404' AS line FROM t WHERE category IS NOT NULL")
+def fabrication_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _refs_verdicts(spark, sf_dir)[1]
+    return v.select("paper_id", "number", triage.is_fabrication(F.col("category"), F.col("signals")).alias("fabrication"), triage.severity(F.col("category")).alias("severity"), triage.signals_line(F.col("signals")).alias("line"))
+
+
+@query(f"WITH {_T} SELECT paper_id, number, CASE WHEN category = 'partial-match' AND title_match NOT IN ('yes', 'na') THEN 'partial-match needs title_match yes or na' WHEN category = 'likely-hallucinated' AND title_match <> 'no' THEN 'likely-hallucinated needs title_match no' WHEN category = 'unclear' AND title_match = 'no' THEN 'unclear contradicts title_match no' END AS reason FROM t WHERE category IS NOT NULL AND reason IS NOT NULL")
+def rejected_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, v = _refs_verdicts(spark, sf_dir)
+    return triage.record(v.limit(0), v.drop("ref_hash"), refs)[1].select("paper_id", "number", "reason")
+
+
+@query("SELECT l_orderkey AS paper_id, l_partkey AS number, max(l_linenumber) AS seq FROM lineitem GROUP BY ALL")
+def verdicts_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("number"), F.col("l_linenumber").alias("seq"))
+    return triage.current(log)
+
+
+@query(_with(D.PUB, "SELECT id, CASE id % 3 WHEN 0 THEN '[' || id || ']' WHEN 1 THEN CASE WHEN len(authors) = 2 THEN authors[1] || ' and ' || authors[2] ELSE authors[1] || ' et al.' END || ' (' || year || ')' ELSE '#' || id END AS label, CASE id % 3 WHEN 0 THEN 'printed' WHEN 1 THEN 'citation' ELSE 'internal' END AS label_kind FROM pub"))
+def reference_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    style = F.when(F.col("id") % 3 == 0, "numeric").otherwise("author-year")
+    raw = F.when(F.col("id") % 3 == 1, F.concat(F.lit("x ("), F.col("year").cast("string"), F.lit(")"))).otherwise("x")
+    return pub.select("id", triage.label(style, F.col("id"), raw, F.col("authors")).alias("l")).select("id", "l.*")
+
+
+@query(f"WITH {_T} SELECT paper_id, count(*) AS n_lines FROM (SELECT paper_id, unnest(range(CASE WHEN category IS NULL THEN 4 WHEN ref_hash = 'stale' THEN 4 ELSE 6 END)) FROM t WHERE status IS NOT NULL AND status <> 'verified') GROUP BY paper_id")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, v = _refs_verdicts(spark, sf_dir)
+    return triage.report_lines(refs.withColumn("title", F.lit(None).cast("string")), v).groupBy("paper_id").agg(F.count("*").alias("n_lines"))
+
+
+@query("SELECT c_nationkey AS paper_id, CASE c_nationkey % 4 WHEN 0 THEN 'no References or Bibliography heading was recognized' WHEN 1 THEN 'a References heading was found, but no entries could be segmented under it (style: none)' WHEN 2 THEN 'the bibliography prints entry [3], [4], but no reference was extracted for it' ELSE 'the text contains citation-like numbers up to [12] beyond the extracted bibliography (first unmatched number [9])' END AS problem FROM (SELECT DISTINCT c_nationkey FROM customer)")
+def extraction_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_nationkey") % 4
+    none = F.expr("cast(array() as array<int>)")
+    ext = F.struct((k != 0).alias("section_found"), F.lit("none").alias("style"), F.when(k == 2, F.array(F.lit(3), F.lit(4))).otherwise(none).alias("missing_numbers"), F.when(k == 3, F.array(F.lit(9), F.lit(12))).otherwise(none).alias("cited_beyond"), none.alias("suspect_merged"))
+    papers = D.table(spark, sf_dir, "customer").select("c_nationkey").distinct().select(F.col("c_nationkey").alias("paper_id"), F.when(k == 1, 0).otherwise(5).alias("num_references"), ext.alias("extraction"))
+    return triage.problems(papers).select("paper_id", F.explode("problems").alias("problem"))
+
+
+# -- names and measurement (A1-A14, M1-M5) -----------------------------------------------------
+
+
+@query(_with(D.PUB, "SELECT id, CAST(0 AS INTEGER) AS n_absent FROM pub"))
+def absent_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    return pub.select("id", F.size(names.absent_authors(F.reverse("authors"), F.col("authors"))).alias("n_absent"))
+
+
+@query(_with(D.PUB, "SELECT id, len(authors) AS matched, len(authors) AS comparable FROM pub"))
+def author_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    initialed = F.transform("authors", lambda a: F.concat(F.substring_index(a, " ", -1), F.lit(" "), F.substring(a, 1, 1)))
+    e = pub.select("id", names.author_evidence(F.reverse(initialed), F.col("authors")).alias("e"))
+    return e.select("id", F.col("e.matched").cast("long").alias("matched"), F.col("e.comparable").cast("long").alias("comparable"))
+
+
+@query(_with(D.PUB, "SELECT v AS variant, count(*) AS n FROM pub, (VALUES ('clean'), ('et_al'), ('first_only'), ('plus1'), ('plus2'), ('plus3'), ('swapped'), ('word_changed'), ('reversed'), ('invented_title'), ('respaced')) AS x(v) WHERE v <> 'word_changed' OR len(list_filter(str_split(title, ' '), lambda w: len(regexp_replace(lower(w), '[^a-z]', '', 'g')) >= 4)) > 0 GROUP BY v"))
+def corruption_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    people = mirror.author_dim(pub)
+    made = measure.invented(pub.select(F.col("key").alias("seed")), people).withColumnRenamed("seed", "key")
+    return measure.corrupt(pub.join(made, "key")).where("variant <> 'subtitle_dropped'").groupBy("variant").agg(F.count("*").alias("n"))
