@@ -70,7 +70,8 @@ class Model:
                 np.maximum.at(best, index[some], np.maximum.reduceat(s, starts))
         out = np.full(len(texts), self.none)
         have = np.isfinite(best)
-        out[have] = 1 / (1 + np.exp(-np.clip(self.scale * best[have] + self.shift, -60, 60)))
+        if self.scale:
+            out[have] = 1 / (1 + np.exp(-np.clip(self.scale * best[have] + self.shift, -60, 60)))
         return out
 
 
@@ -82,7 +83,7 @@ def _windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _constant(p: float) -> Model:
-    return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log((p + 1e-12) / (1 - p + 1e-12))), p)
+    return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0, p)
 
 
 def fit(texts: list[str | None], label: list[int]) -> Model:
