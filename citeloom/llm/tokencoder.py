@@ -20,13 +20,15 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-MAGIC = b"CTLK\x01"
+BLOCK = 1024
+MAGIC = b"CTLK\x02"
 _U = np.uint64
-_TOP, _BOT = _U(1 << 48), _U(1 << 32)
-_PRIOR_BITS = 20
-_SLOTS1, _SLOTS2 = 1 << 11, 1 << 12
-_STEP, _LIMIT = 24, 1000
+_TOP, _BOT, _LOW = _U(1 << 48), _U(1 << 32), _U((1 << 32) - 1)
+_16, _48 = _U(16), _U(48)
+_PRIOR_BITS, _PB = 20, _U(20)
+_BITS1, _BITS2 = 10, 11
+#: Chances stay within these of 2**16: no event gets so little of the range that nothing is left for an id behind it.
+_RATE, _LEAST, _MOST = 4, 256, 61440
 
 
 class Corrupt(ValueError):
@@ -34,41 +36,40 @@ class Corrupt(ValueError):
 
 
 class _Model:
-    """The adaptive state of ``n`` lanes."""
+    """The adaptive state of ``n`` lanes.
+
+    A slot of a context holds the id last seen there and its confidence (0 to 3) in one integer. For each joint state of the
+    two confidences two adaptive chances weigh the orders: that order 2 is right, and, if not, that order 1 is."""
 
     def __init__(self, n: int) -> None:
         lane = np.arange(n, dtype=np.int64)
-        self.base1, self.base2, self.base = lane * _SLOTS1, lane * _SLOTS2, lane * 32
-        self.sym1, self.sym2 = np.full(n * _SLOTS1, -1, np.int32), np.full(n * _SLOTS2, -1, np.int32)
-        self.sure1, self.sure2 = np.zeros(n * _SLOTS1, np.int8), np.zeros(n * _SLOTS2, np.int8)
-        self.counts = np.full((3, n * 32), 16, np.int64)
-        self.counts[2] = 48
+        self.base1, self.base2, self.base = lane << _BITS1, lane << _BITS2, lane << 5
+        self.slot1, self.slot2 = np.full(n << _BITS1, -4, np.int32), np.full(n << _BITS2, -4, np.int32)
+        self.chance2, self.chance1 = np.full(n << 5, 1 << 13, np.int32), np.full(n << 5, 1 << 13, np.int32)
         self.prev, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the first ``n`` lanes: the order-2 and order-1 ids, and the shares of 2**16 that they get."""
-        a, b = self.prev[:n], self.prev2[:n]
-        self.i1 = self.base1[:n] + (a * 2654435761 >> 7 & _SLOTS1 - 1)
-        self.i2 = self.base2[:n] + (a * 2654435761 + b * 40503 * 65537 >> 9 & _SLOTS2 - 1)
-        p1, p2 = self.sym1[self.i1], self.sym2[self.i2]
-        self.k1, self.k2 = self.sure1[self.i1], self.sure2[self.i2]
-        self.state = self.base[:n] + ((self.k2.astype(np.int64) << 3) + (self.k1 << 1) + (p1 == p2))
-        n2, n1, n0 = self.counts[0][self.state], self.counts[1][self.state], self.counts[2][self.state]
-        total = n2 + n1 + n0
-        self.heavy = total > _LIMIT
-        return p2, p1, n2 * 65533 // total + 1, n1 * 65533 // total + 1
-
-    def update(self, n: int, sym: np.ndarray, p2: np.ndarray, p1: np.ndarray, event: np.ndarray) -> None:
-        if self.heavy.any():
-            at = self.state[self.heavy]
-            self.counts[:, at] = (self.counts[:, at] + 1) >> 1
-        self.counts[event, self.state] += _STEP
-        for table, sure, i, k, p in ((self.sym1, self.sure1, self.i1, self.k1, p1), (self.sym2, self.sure2, self.i2, self.k2, p2)):
-            hit = p == sym
-            table[i] = np.where(hit | (k == 0), sym, p)
-            sure[i] = np.where(hit, np.minimum(k + 1, 3), np.maximum(k - 1, 0))
+        a = self.prev[:n] * 2654435761
+        self.i1 = ((a >> 7) & ((1 << _BITS1) - 1)) + self.base1[:n]
+        self.i2 = (((a + self.prev2[:n] * 2654404609) >> 9) & ((1 << _BITS2) - 1)) + self.base2[:n]
+        self.v1, self.v2 = self.slot1[self.i1], self.slot2[self.i2]
+        p1, p2 = self.v1 >> 2, self.v2 >> 2
+        self.state = self.base[:n] + (((self.v2 & 3) << 3) + ((self.v1 & 3) << 1) + (p1 == p2))
+        self.c2, self.c1 = self.chance2[self.state], self.chance1[self.state]
+        return p2, p1, self.c2, ((65536 - self.c2) * (self.c1 >> 2)) >> 14
+
+    def update(self, n: int, sym: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``hit2``, ``hit1``: whether each order's id was right, whatever was coded."""
+        seen = sym << 2
+        for slot, i, v, hit in ((self.slot1, self.i1, self.v1, hit1), (self.slot2, self.i2, self.v2, hit2)):
+            sure = v & 3
+            slot[i] = np.where(hit, v + (sure < 3), np.where(sure == 0, seen, v - 1))
+        self.chance2[self.state] = self.c2 + np.where(hit2, (_MOST - self.c2) >> _RATE, -((self.c2 - _LEAST) >> _RATE))
+        self.chance1[self.state] = np.where(hit2, self.c1, self.c1 + np.where(hit1, (_MOST - self.c1) >> _RATE, -((self.c1 - _LEAST) >> _RATE)))
         self.prev2[:n] = self.prev[:n]
-        self.prev[:n] = sym + 1
+        self.prev[:n] = sym
+        self.prev[:n] += 1
 
 
 def _prior(count: np.ndarray) -> np.ndarray:
@@ -81,123 +82,121 @@ def _prior(count: np.ndarray) -> np.ndarray:
     return freq
 
 
+def _unsettled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """The lanes whose top word is settled or whose range has become too small; the latter's ranges are cut to fit."""
+    need = (low ^ (low + rng)) < _TOP
+    tight = rng < _BOT
+    if tight.any():
+        cut = np.flatnonzero(tight & ~need)
+        rng[cut] = (~low[cut] + _U(1)) & _LOW
+        need |= tight
+    return np.flatnonzero(need)
+
+
 def _encode_lanes(sym: np.ndarray, length: np.ndarray, freq: np.ndarray) -> list[bytes]:
     """``sym``: (steps, lanes) of symbols; lanes by descending length. The code words of each lane."""
     steps, lanes = sym.shape
-    start0 = (np.cumsum(freq) - freq).astype(np.uint64)
-    freq0 = freq.astype(np.uint64)
+    start0, freq0 = (np.cumsum(freq) - freq).astype(np.uint64), freq.astype(np.uint64)
     model = _Model(lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, at = np.zeros((lanes, 4 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    every = np.arange(lanes)
-
-    def settle(some: np.ndarray) -> None:
-        while len(some):
-            lo, r = low[some], rng[some]
-            need = (lo ^ (lo + r)) < _TOP
-            tight = ~need & (r < _BOT)
-            if tight.any():
-                i = some[tight]
-                rng[i] = (~lo[tight] + _U(1)) & (_BOT - _U(1))
-                need |= tight
-            some = some[need]
-            out[some, at[some]] = (low[some] >> _U(48)).astype(np.uint16)
-            at[some] += 1
-            low[some] <<= _U(16)
-            rng[some] <<= _U(16)
+    width = 4 * steps + 8
+    out, at = np.zeros(lanes * width, np.uint16), np.arange(lanes, dtype=np.int64) * width
 
     for t in range(steps):
         n = int(np.searchsorted(-length, -t, "left"))
         s = sym[t, :n]
         p2, p1, a2, a1 = model.predict(n)
-        hit2 = p2 == s
-        hit1 = ~hit2 & (p1 == s)
-        event = np.where(hit2, 0, np.where(hit1, 1, 2))
-        start = np.where(hit2, 0, np.where(hit1, a2, a2 + a1)).astype(np.uint64)
-        width = np.where(hit2, a2, np.where(hit1, a1, 65536 - a2 - a1)).astype(np.uint64)
-        r = rng[:n] >> _U(16)
-        low[:n] += r * start
-        rng[:n] = r * width
-        settle(every[:n])
-        miss = np.flatnonzero(event == 2)
-        if len(miss):
-            x = s[miss]
-            r = rng[miss] >> _U(_PRIOR_BITS)
-            low[miss] += r * start0[x]
-            rng[miss] = r * freq0[x]
-            settle(miss)
-        model.update(n, s, p2, p1, event)
+        hit2, hit1 = p2 == s, p1 == s
+        first = a2 + a1
+        lo, r = low[:n], rng[:n]
+        r >>= _16
+        lo += r * np.where(hit2, 0, np.where(hit1, a2, first)).astype(np.uint64)
+        r *= np.where(hit2, a2, np.where(hit1, a1, 65536 - first)).astype(np.uint64)
+        miss = np.flatnonzero(~(hit2 | hit1))
+        x = s[miss]
+        q = r[miss] >> _PB
+        lo[miss] += q * start0[x]
+        r[miss] = q * freq0[x]
+        some = _unsettled(lo, r)
+        while len(some):
+            l2, r2 = lo[some], r[some]
+            place = at[some]
+            out[place] = (l2 >> _48).astype(np.uint16)
+            at[some] = place + 1
+            l2 <<= _16
+            r2 <<= _16
+            more = _unsettled(l2, r2)
+            lo[some], r[some] = l2, r2
+            some = some[more]
+        model.update(n, s, hit2, hit1)
     for k in range(4):
-        out[np.arange(lanes), at + k] = (low >> _U(48)).astype(np.uint16)
-        low <<= _U(16)
-    return [out[i, : at[i] + 4].astype("<u2").tobytes() for i in range(lanes)]
+        out[at + k] = (low >> _48).astype(np.uint16)
+        low <<= _16
+    return [out[i * width : end + 4].astype("<u2").tobytes() for i, end in enumerate(at.tolist())]
 
 
-def _decode_lanes(words: list[np.ndarray], length: np.ndarray, freq: np.ndarray) -> np.ndarray:
+def _decode_lanes(words: np.ndarray, size: np.ndarray, length: np.ndarray, freq: np.ndarray) -> np.ndarray:
+    """``words``: the code words of all lanes, ``size`` of each."""
     steps, lanes = int(length.max()), len(length)
-    start0 = (np.cumsum(freq) - freq).astype(np.uint64)
-    freq0 = freq.astype(np.uint64)
+    start0, freq0 = (np.cumsum(freq) - freq).astype(np.uint64), freq.astype(np.uint64)
     slot = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-    size = np.array([len(w) for w in words])
-    data = np.zeros((lanes, int(size.max()) + 4), np.uint64)
-    for i, w in enumerate(words):
-        data[i, : len(w)] = w
+    data = np.concatenate([words, np.zeros(8, np.uint16)])
+    at = (np.cumsum(size) - size).astype(np.int64)
+    last = len(data) - 1
     model = _Model(lanes)
     low, rng, code = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64), np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = (code << _U(16)) | data[:, k]
-    at = np.full(lanes, 4, np.int64)
+    for _ in range(4):
+        code = (code << _16) | data[np.minimum(at, last)]
+        at += 1
     out = np.zeros((steps, lanes), np.int32)
-    every = np.arange(lanes)
-    last = data.shape[1] - 1
-
-    def settle(some: np.ndarray) -> None:
-        while len(some):
-            lo, r = low[some], rng[some]
-            need = (lo ^ (lo + r)) < _TOP
-            tight = ~need & (r < _BOT)
-            if tight.any():
-                i = some[tight]
-                rng[i] = (~lo[tight] + _U(1)) & (_BOT - _U(1))
-                need |= tight
-            some = some[need]
-            code[some] = (code[some] << _U(16)) | data[some, np.minimum(at[some], last)]
-            at[some] += 1
-            low[some] <<= _U(16)
-            rng[some] <<= _U(16)
 
     for t in range(steps):
         n = int(np.searchsorted(-length, -t, "left"))
         p2, p1, a2, a1 = model.predict(n)
-        r = rng[:n] >> _U(16)
-        v = np.minimum((code[:n] - low[:n]) // np.maximum(r, _U(1)), _U(65535)).astype(np.int64)
-        event = (v >= a2).astype(np.int64) + (v >= a2 + a1)
-        s = np.where(event == 0, p2, p1)
-        start = np.where(event == 0, 0, np.where(event == 1, a2, a2 + a1)).astype(np.uint64)
-        width = np.where(event == 0, a2, np.where(event == 1, a1, 65536 - a2 - a1)).astype(np.uint64)
-        low[:n] += r * start
-        rng[:n] = r * width
-        settle(every[:n])
-        miss = np.flatnonzero(event == 2)
-        if len(miss):
-            r = rng[miss] >> _U(_PRIOR_BITS)
-            v = np.minimum((code[miss] - low[miss]) // np.maximum(r, _U(1)), _U((1 << _PRIOR_BITS) - 1))
-            x = slot[v.astype(np.int64)]
-            low[miss] += r * start0[x]
-            rng[miss] = r * freq0[x]
-            s[miss] = x
-            settle(miss)
-        s = s.astype(np.int32)
+        first = a2 + a1
+        lo, r, co = low[:n], rng[:n], code[:n]
+        r >>= _16
+        v = np.minimum((co - lo) // np.maximum(r, _U(1)), _U(65535)).astype(np.int32)
+        coded2 = v < a2
+        coded1 = ~coded2 & (v < first)
+        lo += r * np.where(coded2, 0, np.where(coded1, a2, first)).astype(np.uint64)
+        r *= np.where(coded2, a2, np.where(coded1, a1, 65536 - first)).astype(np.uint64)
+        s = np.where(coded2, p2, p1)
+        miss = np.flatnonzero(~(coded2 | coded1))
+        q = r[miss] >> _PB
+        l0 = lo[miss]
+        x = slot[np.minimum((co[miss] - l0) // np.maximum(q, _U(1)), _U((1 << _PRIOR_BITS) - 1)).astype(np.int64)]
+        lo[miss] = l0 + q * start0[x]
+        r[miss] = q * freq0[x]
+        s[miss] = x
+        some = _unsettled(lo, r)
+        while len(some):
+            l2, r2 = lo[some], r[some]
+            place = at[some]
+            co[some] = (co[some] << _16) | data[np.minimum(place, last)]
+            at[some] = place + 1
+            l2 <<= _16
+            r2 <<= _16
+            more = _unsettled(l2, r2)
+            lo[some], r[some] = l2, r2
+            some = some[more]
         out[t, :n] = s
-        model.update(n, s, p2, p1, event)
+        model.update(n, s, p2 == s, p1 == s)
     return out
 
 
 def encode_segment(ids: np.ndarray, doc_sizes: np.ndarray) -> bytes:
     """The bytes of a segment: ``ids`` are those of its documents one after another, ``doc_sizes`` how many each has."""
     ids = np.ascontiguousarray(ids, np.uint32)
-    alphabet, dense, count = np.unique(ids, return_inverse=True, return_counts=True)
     n = len(ids)
+    if n and int(ids.max()) < 1 << 22:  # counting is faster than sorting
+        counts = np.bincount(ids)
+        alphabet = np.flatnonzero(counts).astype(np.uint32)
+        rank = np.zeros(len(counts), np.int32)
+        rank[alphabet] = np.arange(len(alphabet))
+        dense, count = rank[ids], counts[alphabet]
+    else:
+        alphabet, dense, count = np.unique(ids, return_inverse=True, return_counts=True)
     blocks = -(-n // BLOCK)
     head_parts, body = [], []
     if n:
@@ -234,7 +233,7 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     length[-1] = n - BLOCK * (blocks - 1)
     if len(words) != int(sizes.sum()):
         raise Corrupt("the segment is cut short")
-    sym = _decode_lanes(np.split(words, np.cumsum(sizes)[:-1]), length, freq.astype(np.int64))
+    sym = _decode_lanes(words, sizes.astype(np.int64), length, freq.astype(np.int64))
     ids = alphabet[np.minimum(sym.T.reshape(-1)[:n], letters - 1)].astype(np.uint32)
     for i in range(blocks):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != crcs[i]:
