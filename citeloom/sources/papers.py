@@ -21,7 +21,7 @@ PAPER_ID = r"([^/]+?)\.[^./]*$"
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(paper_id, page_no, line_no, text) of laid-out text files; a form feed ends a page. Fails if there are none."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.[tT][xX][tT]").text(path).select(F.regexp_extract(F.col("_metadata.file_path"), PAPER_ID, 1).alias("paper_id"), "value")
+    files = spark.read.option("pathGlobFilter", "*.[tT][xX][tT]").text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), PAPER_ID, 1).alias("paper_id"), "value")
     if files.isEmpty():
         raise FileNotFoundError(f"no text files under {path}")
     pages = files.select("paper_id", F.posexplode(F.split("value", "\f")).alias("page_no", "page"))
