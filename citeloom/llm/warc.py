@@ -243,6 +243,8 @@ def parse(file: BinaryIO) -> Iterator[tuple[str, int, bool, bytes, str]]:
             top.append(line)
         top.append(b"\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in top[1:-1])}
+        if line == b"" or not fields.keys() >= {"content-length", "warc-record-id"}:
+            raise Damaged("the file is cut short, or a head lacks its length")
         left = int(fields["content-length"])
         http = [] if "http" not in fields.get("content-type", "") else top
         while http and left:
