@@ -257,6 +257,33 @@ def volume_match(volume: Column, number: Column, pages: Column, raw: Column) ->
     return digits(v) & (named | (digits(n) & issue) | ((first != "") & page))
 
 
+def locators(raw: Column, doi: Column | None = None) -> Column:
+    """All that a citation prints to tell records of one title apart, read once so that pairs need no pattern of their own:
+    DOIs, years, page ranges ``a-b``, volumes, ``v(n)``, ``v,n`` and ``v,first-``."""
+    r = _text(raw)
+    every = lambda pattern: F.regexp_extract_all(r, F.lit(pattern), 1)
+    bare = lambda found: F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"[a-z.\s]+", ""), f"{_DASH}+", "-"))
+    return F.struct(
+        cited_dois(raw, doi).alias("dois"),
+        cited_years(raw).alias("years"),
+        bare(every(rf"(?<!\d)(?=(\d+\s*{_DASH}+\s*\d+))")).alias("ranges"),
+        every(r"(?i)\bvol(?:ume)?\.?\s*(\d+)").alias("volumes"),
+        bare(every(r"(?<![\d.])(?=(\d+\s*\(\s*\d+\s*\)))")).alias("issues"),
+        bare(every(r"(?i)(?<![\d.])(?=(\d+\s*,\s*(?:no\.?\s*)?\d+))")).alias("commas"),
+        bare(every(rf"(?<![\d.])(?=(\d+\s*,\s*(?:pp?\.?\s*)?\d+\s*{_DASH}))")).alias("firsts"),
+    )
+
+
+def located(loc: Column, ee: Column, pages: Column, volume: Column, number: Column, year: Column) -> list[Column]:
+    """Whether a citation's locators name a record: by DOI, pages, volume and year."""
+    has = lambda field, value: F.coalesce(F.array_contains(loc[field], value), F.lit(False))
+    v, n, p = F.trim(_text(volume)), F.trim(_text(number)), F.trim(_text(pages))
+    first = F.regexp_extract(p, r"^(\d+)", 1)
+    issue = n.rlike(r"^\d+$") & (has("issues", F.concat(v, F.lit("("), n, F.lit(")"))) | has("commas", F.concat(v, F.lit(","), n)))
+    volumed = v.rlike(r"^\d+$") & (has("volumes", v) | issue | ((first != "") & has("firsts", F.concat(v, F.lit(","), first, F.lit("-")))))
+    return [has("dois", record_doi(ee)), p.rlike(r"^\d+-\d+$") & has("ranges", p), volumed, has("years", year.cast("string"))]
+
+
 # -- people in author lists -------------------------------------------------------------------
 
 

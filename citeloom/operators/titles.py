@@ -106,19 +106,21 @@ def and_retrieval(items: DataFrame, pub: DataFrame, item: str = "ref_id", title:
 
 
 def _keys(full: Column, head: Column) -> Column:
+    """A title's keys; a head that is the whole title is none of its own, so no pair of titles meets twice."""
+    head = F.when(head != full, head).otherwise("")
     some = F.array(F.struct(full.alias("key"), F.lit(False).alias("is_head")), F.struct(head.alias("key"), F.lit(True).alias("is_head")))
     return F.filter(some, lambda k: k["key"] != "")
 
 
 def candidates(refs: DataFrame, pub: DataFrame, parity: bool = False) -> DataFrame:
-    """Every pair (citation, record) whose titles match: ``refs`` (ref_id, title, ...) and ``pub`` with keys.
+    """Every pair (citation, record) whose titles match: ``refs`` (ref_id, title, raw, doi, ...) and ``pub`` with keys.
 
     One equi-join on the letters: a whole title meets a whole title or a head, two heads don't meet. ``parity`` keeps only
     what a text index would have retrieved, its fallback queries only where the primary ones gave nothing."""
-    cited = refs.withColumn("_k", F.explode(_keys(N.letters(F.col("title")), N.subtitle_head(F.col("title")))))
+    asked = refs.where(queryable(F.col("title"))).withColumn("loc", N.locators(F.col("raw"), F.col("doi")))
+    cited = asked.withColumn("_k", F.explode(_keys(N.letters(F.col("title")), N.subtitle_head(F.col("title")))))
     held = pub.select(F.struct(*pub.columns).alias("rec"), F.explode(_keys(F.col("title_full"), F.col("title_head"))).alias("_r"))
-    met = cited.join(held, (F.col("_k.key") == F.col("_r.key")) & ~(F.col("_k.is_head") & F.col("_r.is_head"))).drop("_k", "_r").dropDuplicates(["ref_id", "rec"])
-    met = met.where(queryable(F.col("title")))
+    met = cited.join(held, (F.col("_k.key") == F.col("_r.key")) & ~(F.col("_k.is_head") & F.col("_r.is_head"))).drop("_k", "_r")
     if not parity:
         return met
     tier = F.when(retrieved(F.col("rec.tokens"), F.col("title")), 0).when(retrieved_late(F.col("rec.tokens"), F.col("title")), 1)
@@ -130,18 +132,10 @@ def is_preprint(venue: Column) -> Column:
     return F.lower(F.trim(F.coalesce(venue, F.lit("")))) == "corr"
 
 
-def choice_order(rec: str = "rec", raw: str = "raw", doi: str = "doi") -> list[Column]:
+def choice_order(rec: str = "rec", loc: str = "loc") -> list[Column]:
     """Published before preprint, then the record whose DOI, pages, volume or year the citation prints, then the least id."""
     c = lambda f: F.col(f"{rec}.{f}")
-    text = F.col(raw)
-    return [
-        is_preprint(c("venue")),
-        ~N.doi_match(c("ee"), N.cited_dois(text, F.col(doi))),
-        ~F.coalesce(N.pages_match(c("pages"), text), F.lit(False)),
-        ~F.coalesce(N.volume_match(c("volume"), c("number"), c("pages"), text), F.lit(False)),
-        ~F.coalesce(F.array_contains(N.cited_years(text), c("year").cast("string")), F.lit(False)),
-        c("id"),
-    ]
+    return [is_preprint(c("venue")), *(~x for x in N.located(F.col(loc), c("ee"), c("pages"), c("volume"), c("number"), c("year"))), c("id")]
 
 
 def ranked(found: DataFrame) -> DataFrame:

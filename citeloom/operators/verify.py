@@ -44,7 +44,7 @@ def verdict(title_matches: Column, cited: Column, record: Column, complete_sourc
 def judged(pairs: DataFrame, complete_source: Column, cited: str = "authors", record: str = "rec.authors", matches: Column | None = None) -> DataFrame:
     """``pairs`` of citations and candidates with ``verdict`` and ``matched``.
 
-    The kernel runs once for each distinct pair of author lists."""
+    The kernel runs once a batch for each distinct pair of author lists."""
     none = F.expr(NO_NAMES)
     keyed = pairs.withColumns({"_c": F.coalesce(F.filter(F.col(cited), lambda a: a != ""), none), "_r": F.coalesce(F.col(record), none)})
     with_evidence = keyed.withColumn("_e", names.author_evidence("_c", "_r"))

@@ -106,7 +106,9 @@ def locator_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, raw, k, c = (lambda x: x.cast("string")), F.col("raw"), F.col("o_orderkey"), F.col("o_custkey")
     pages = F.concat(s(c % 300), F.lit("-"), s(c % 300 + 9))
     ee = F.concat(F.lit("https://doi.org/10.1000/"), s(k), F.lit("."), s(c))
-    return o.select("o_orderkey", N.pages_match(pages, raw).alias("pages"), N.volume_match(s(c % 40), s(k % 12), pages, raw).alias("volume"), N.doi_match(ee, N.cited_dois(raw)).alias("doi"))
+    _, by_pages, by_volume, _ = N.located(N.locators(raw), ee, pages, s(c % 40), s(k % 12), F.lit(None))
+    same = (by_pages == N.pages_match(pages, raw)) & (by_volume == N.volume_match(s(c % 40), s(k % 12), pages, raw))
+    return o.where(same).select("o_orderkey", by_pages.alias("pages"), by_volume.alias("volume"), N.doi_match(ee, N.cited_dois(raw)).alias("doi"))
 
 
 @query("SELECT p_partkey, 'paper' || lpad(CAST(p_size AS VARCHAR), 20, '0') || '-' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') AS natural_key FROM part")
