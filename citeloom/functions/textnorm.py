@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -59,9 +60,18 @@ def _fold(text: Column, strokes: bool) -> Column:
             if len(f) > 1:
                 text = F.replace(text, F.lit(c), F.lit(f))
     index = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # folds into one constant
-    some = F.length(F.translate(text, "".join(many), "")) != F.length(text)  # a class of so many letters is a slow pattern
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(index, c), c)), "")
-    return F.lower(F.translate(F.when(text.rlike("[^\\x00-\\x7F]") & some, spelled).otherwise(text), find, put))
+
+    def folded(t: Column) -> Column:
+        some = F.length(F.translate(t, "".join(many), "")) != F.length(t)  # a class of so many letters is a slow pattern
+        spelled = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(index, c), c)), "")
+        return F.lower(F.translate(F.when(t.rlike("[^\\x00-\\x7F]") & some, spelled).otherwise(t), find, put))
+
+    return let(text, folded)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def fold(text: Column) -> Column:
@@ -86,10 +96,12 @@ def letters(title: Column) -> Column:
 def subtitle_head(title: Column) -> Column:
     """The letters before the subtitle mark, if they are enough to name a work; else an empty string."""
     t = _text(title)
-    head = F.element_at(F.split(t, SUBTITLE_MARK, 2), 1)
-    key = letters(head)
-    words = F.size(F.regexp_extract_all(head, F.lit(r"\S+"), 0))
-    return F.when((head != t) & (words >= HEAD_WORDS) & (F.length(key) >= HEAD_LETTERS), key).otherwise("")
+
+    def of(head: Column) -> Column:
+        words = F.size(F.regexp_extract_all(head, F.lit(r"\S+"), 0))
+        return F.when((head == t) | (words < HEAD_WORDS), "").otherwise(let(letters(head), lambda key: F.when(F.length(key) >= HEAD_LETTERS, key).otherwise("")))
+
+    return let(F.element_at(F.split(t, SUBTITLE_MARK, 2), 1), of)
 
 
 def without_edition(title: Column) -> Column:

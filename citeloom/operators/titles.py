@@ -37,7 +37,11 @@ def groups(title: Column) -> Column:
 
 def glued(title: Column) -> Column:
     """Word lists with one short fragment glued to a neighbour; the last resort of retrieval."""
-    words = F.filter(F.split(F.regexp_replace(N.fold(F.coalesce(title, F.lit(""))), "[^a-z0-9 ]", " "), " +"), lambda w: w != "")
+    spelled = F.filter(F.split(F.regexp_replace(N.fold(F.coalesce(title, F.lit(""))), "[^a-z0-9 ]", " "), " +"), lambda w: w != "")
+    return N.let(spelled, _glued)
+
+
+def _glued(words: Column) -> Column:
     at = F.sequence(F.lit(0), F.size(words) - 1)
     short = F.filter(at, lambda i: F.length(F.get(words, i)) <= SPLIT_WORD)
 
@@ -58,7 +62,10 @@ def glued(title: Column) -> Column:
 
 def dropped_pairs(title: Column) -> Column:
     """Group lists with one adjacent pair left out."""
-    g = groups(title)
+    return N.let(groups(title), _without_pairs)
+
+
+def _without_pairs(g: Column) -> Column:
     at = F.sequence(F.lit(0), F.greatest(F.size(g) - 1, F.lit(0)))
     rest = F.transform(at, lambda i: F.filter(g, lambda _, k: (k != i) & (k != i + 1)))
     return F.slice(F.array_distinct(F.transform(F.filter(rest, lambda r: F.size(r) >= LEAST_TOKENS), lambda r: F.slice(r, 1, MOST_GROUPS))), 1, MOST_DROPPED)
