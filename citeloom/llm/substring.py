@@ -9,7 +9,9 @@ wherever it stands; pieces of equal words form a class.
 
 Paragraphs and pieces that occur in several documents mark their words as repeated. Marked words that follow each
 other are a span; it counts if it has ``SPAN`` words in one line, or ``LONG_SPAN`` over several (so that a few short lines
-that many documents share are left alone). The cluster's document with the least id keeps the passage, the others lose it.
+that many documents share are left alone). Of each cluster and class the document with the least id keeps it, the others lose
+it. This is decided for each paragraph and piece by itself, and what goes must be long enough without what stays. A
+piece inside a paragraph that goes is not kept there, so its class is kept by the least document beside those.
 
 Defined results: null and empty texts have no spans; rows with a null id are left out; what repeats only within one
 id does not count. An empty table gives an empty result.
@@ -29,6 +31,8 @@ from .shared import small, stored
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 5, 2
 LEAST_WORDS, RADIUS, LEAST_PIECE, SPAN, LONG_SPAN = 20, 5, 3, 18, 40
+#: Words of documents that are walked over at a time.
+WALKED = 1_000_000
 _TURNS = textvec.mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -161,29 +165,90 @@ def _clusters(docs: DataFrame, every: DataFrame) -> DataFrame:
     return joined.join(heads.select("root", "keeper"), "root").select("sig", "keeper")
 
 
+def _lengths_count(owner: np.ndarray, line: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the spans from ``begin`` to ``end`` are long enough."""
+    return end - begin >= np.where(line[begin] == line[end - 1], SPAN, LONG_SPAN)
+
+
+def _edges(differs: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of marked words begin and end; a run ends also where ``differs`` holds for the next word."""
+    before = np.concatenate([[False], marked[:-1]])
+    begin = np.flatnonzero(marked & (~before | differs))
+    after = np.concatenate([marked[1:] & ~differs[1:], [False]])
+    return begin, np.flatnonzero(marked & ~after) + 1
+
+
+def walk(ids: np.ndarray, doc: np.ndarray, u: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(doc, start, words, keeper) of the spans of documents, from their units in order of documents; each has one.
+
+    A word's keeper is that of its unit: a paragraph that goes, else a piece, else a paragraph that stays. A run of marked words
+    that is long enough has parts that go and parts that stay. A part too short to go alone stays, and of those that
+    stay the long enough ones are given."""
+    size = np.maximum.reduceat(u["end"], np.searchsorted(doc, np.arange(len(ids)))) + 1
+    base = np.cumsum(size) - size
+    text = np.repeat(np.arange(len(ids)), size)
+    owner, line, marked = ids[text], np.full(len(text), -1, np.int32), np.zeros(len(text), bool)
+    whole, goes = u["whole"], u["keeper"] != ids[doc]
+    for chosen in (whole & ~goes, ~whole, whole & goes):
+        n = (u["end"] - u["start"])[chosen]
+        at = np.repeat((u["start"] + base[doc])[chosen] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        owner[at], line[at], marked[at] = np.repeat(u["keeper"][chosen], n), np.repeat(u["line"][chosen], n), True
+    begin, end = _edges(np.zeros(len(text), bool), marked)
+    enough = _lengths_count(owner, line, begin, end)
+    for i, j in zip(begin[~enough].tolist(), end[~enough].tolist(), strict=True):
+        marked[i:j] = False
+    gone = owner != ids[text]
+    begin, end = _edges(np.concatenate([[False], gone[1:] != gone[:-1]]), marked)
+    enough = _lengths_count(owner, line, begin, end) | ~gone[begin]
+    for i, j in zip(begin[~enough].tolist(), end[~enough].tolist(), strict=True):
+        owner[i:j], gone[i:j] = ids[text[i]], False
+    begin, end = _edges(np.concatenate([[False], gone[1:] != gone[:-1]]), marked)
+    enough = _lengths_count(owner, line, begin, end)
+    begin, end = begin[enough], end[enough]
+    keeper = np.minimum.reduceat(np.append(owner, np.iinfo(np.int64).max), np.column_stack([begin, end]).ravel())[::2] if len(begin) else owner[:0]
+    return text[begin], begin - base[text[begin]], end - begin, keeper
+
+
+def _walked(per_doc: DataFrame) -> DataFrame:
+    """The spans of documents given as (doc_id, hits)."""
+    names = ["doc_id", "start", "n_words", "class_id", "removed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hits = b.column(0).to_numpy(), b.column(1)
+            offsets = hits.offsets.to_numpy() - hits.offsets[0].as_py()
+            flat = hits.flatten()
+            u = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+            longest = np.maximum.reduceat(u["end"], offsets[:-1]).astype(np.int64)
+            share = np.cumsum(longest) // WALKED
+            for k in np.unique(share).tolist():
+                i, j = np.searchsorted(share, [k, k + 1]).tolist()
+                at = slice(offsets[i], offsets[j])
+                text, start, n, keeper = walk(ids[i:j], np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1])), {c: x[at] for c, x in u.items()})
+                own = ids[i:j][text]
+                cols = [pa.array(own), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(keeper, pa.int64()), pa.array(keeper != own)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return per_doc.mapInArrow(run, "doc_id long, start long, n_words long, class_id long, removed boolean")
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start, n_words, class_id, removed) of each repeated span, places in words of the text.
 
-    ``class_id`` is the least id of a document that holds the passage or part of it; the span is removed elsewhere."""
+    ``class_id`` is the document that keeps the span; where parts have several, the least. The span is removed elsewhere."""
+    kind = docs.schema["doc_id"].dataType
     every = stored(_units(docs), "units")
-    pieces = every.where("bands is null").groupBy("sig").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("sig", "keeper")
-    repeated = small(stored(pieces, "repeated"))
+    repeated = every.where("bands is null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sig")
+    repeated = small(stored(repeated, "repeated"))
     clusters = small(stored(_clusters(docs, every), "clusters"))
-    columns = ("doc_id", "line", "start", "words", "keeper")
-    hits = every.where("bands is null").join(repeated, "sig").select(*columns).unionAll(every.where("bands is not null").join(clusters, "sig").select(*columns))
-    unit = F.struct("start", (F.col("start") + F.col("words")).alias("end"), "line", "keeper")
-    per_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(unit)).alias("hits"))
-    # walk over a document's units in order: join those that touch; the last of the array is the open span
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,line:int,last:int,keeper:bigint>>)")
-    opened = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["line"].alias("line"), x["line"].alias("last"), x["keeper"].cast("long").alias("keeper"))
-
-    def step(acc, x):  # noqa: ANN001, ANN202
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["line"].alias("line"), F.greatest(last["last"], x["line"]).alias("last"), F.least(last["keeper"], x["keeper"].cast("long")).alias("keeper"))
-        touches = (F.size(acc) > 0) & (x["start"] <= last["end"])
-        return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(opened(x))))
-
-    merged = per_doc.select("doc_id", F.explode(F.aggregate("hits", empty, step)).alias("s"))
-    n = F.col("s.end") - F.col("s.start")
-    long_enough = F.when(F.col("s.line") == F.col("s.last"), n >= SPAN).otherwise(n >= LONG_SPAN)
-    return merged.where(long_enough).select("doc_id", F.col("s.start").cast("long").alias("start"), n.cast("long").alias("n_words"), F.col("s.keeper").alias("class_id"), (F.col("s.keeper") != F.col("doc_id")).alias("removed"))
+    lines = stored(every.where("bands is not null").join(clusters, "sig").select("doc_id", "line", "start", "words", "keeper"), "lines")
+    # a paragraph that goes takes its pieces along, so none of them can be the one that is kept
+    gone = small(stored(lines.where("keeper <> doc_id").select("doc_id", "line").distinct(), "gone"))
+    pieces = every.where("bands is null").join(repeated, "sig").join(gone, ["doc_id", "line"], "left_anti")
+    pieces = stored(pieces.select("doc_id", "line", "start", "words", "sig"), "pieces")
+    keepers = small(stored(pieces.groupBy("sig").agg(F.min("doc_id").alias("keeper")), "keepers"))
+    columns = ("doc_id", "line", "start", "words", "keeper", "whole")
+    hits = pieces.join(keepers, "sig").withColumn("whole", F.lit(False)).select(*columns).unionAll(lines.withColumn("whole", F.lit(True)).select(*columns))
+    unit = F.struct("start", (F.col("start") + F.col("words")).alias("end"), "line", F.col("keeper").cast("long").alias("keeper"), "whole")
+    per_doc = hits.groupBy("doc_id").agg(F.collect_list(unit).alias("hits")).select(F.col("doc_id").cast("long").alias("doc_id"), "hits")
+    return _walked(per_doc).withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -277,6 +277,30 @@ def test_repeated_passages_are_found_wherever_they_stand(spark):
     assert substring.spans(docs(spark, [])).collect() == []
 
 
+def left_over(spark, rows):
+    """The words of each document that are not in removed spans, and the spans."""
+    found = substring.spans(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    kept = {}
+    for i, t in rows:
+        gone = {k for r in found if r["doc_id"] == i and r["removed"] for k in range(r["start"], r["start"] + r["n_words"])}
+        kept[i] = " ".join(w for k, w in enumerate(t.split()) if k not in gone)
+    return kept, found
+
+
+def test_a_passage_beside_an_older_one_is_kept_somewhere(spark):
+    one, two = prose(45, 71), prose(45, 72)
+    for glue in (" ", "\n"):
+        kept, found = left_over(spark, [(3, prose(30, 73) + glue + one), (5, one + glue + two), (7, two + glue + prose(30, 74))])
+        assert one[9:-9] in kept[3] and two[60:-60] in kept[5] and two[60:-60] not in kept[7]
+        assert one[60:-60] not in kept[5]
+        assert all(r["removed"] == (r["class_id"] != r["doc_id"]) for r in found)
+    # the second copy of a piece stands in a near copy of an older paragraph and goes with it: the third stays
+    near = prose(60, 75).split()
+    changed = near[:50] + ["otherwise"] + near[51:]
+    kept, _ = left_over(spark, [(1, " ".join(near)), (2, " ".join(changed)), (4, prose(60, 76) + " " + " ".join(changed[30:]))])
+    assert kept[2] == "" and "otherwise" in kept[4]
+
+
 # -- op6 ---------------------------------------------------------------------------------------
 
 
