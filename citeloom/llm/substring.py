@@ -7,7 +7,11 @@ middle of a paragraph, where the paragraph around it differs. So each line is cu
 among its ``RADIUS`` neighbours on either side: cuts depend on nearby words only, so the same passage is cut alike
 wherever it stands; pieces of equal words form a class.
 
-Paragraphs and pieces that occur in several documents mark their words as repeated. Marked words that follow each
+Where a passage begins and ends, words are compared one by one, whatever its lines: of each ``REACH`` runs of ``ANCHOR``
+words that follow each other the one of least hash is an anchor, so that a passage of ``LONG_SPAN`` words has one. Around
+anchors that repeat, all runs of ``GRAM`` words are brought together; those that repeat cover the passage to its ends.
+
+Paragraphs, pieces and runs that occur in several documents mark their words as repeated. Marked words that follow each
 other are a span; it counts if it has ``SPAN`` words in one line, or ``LONG_SPAN`` over several (so that a few short lines
 that many documents share are left alone). Of each cluster and class the document with the least id keeps it, the others lose
 it. This is decided for each paragraph and piece by itself, and what goes must be long enough without what stays. A
@@ -20,6 +24,7 @@ id does not count. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,14 @@ from .shared import small, stored
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 5, 2
 LEAST_WORDS, RADIUS, LEAST_PIECE, SPAN, LONG_SPAN = 20, 5, 3, 18, 40
+#: Kinds of units: the last only tell where lines are.
+PIECE, PARAGRAPH, RUN, LINE = range(4)
+NONE = np.iinfo(np.int64).max
 #: Words of documents that are walked over at a time.
 WALKED = 1_000_000
+#: Runs of GRAM words mark what repeats exactly; anchors are runs of ANCHOR words, one at least in any REACH that follow each other.
+GRAM, ANCHOR = SPAN, 10
+REACH = LONG_SPAN - ANCHOR + 1
 _TURNS = textvec.mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -68,8 +79,42 @@ def _cuts(w: np.ndarray, at: np.ndarray) -> np.ndarray:
     return cut
 
 
+def _extremes(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
+    """The least or greatest of each ``size`` values that follow each other."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        x = of(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def _grams(w: np.ndarray, size: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the run of ``size`` words from each word on, and whether it lies within one text."""
+    inside = np.arange(len(w)) + size <= np.repeat(ends, np.diff(ends, prepend=0))
+    h = np.zeros(len(w), np.uint64)
+    every = textvec.shingle_hashes(w, size)
+    h[: len(every)] = textvec.mix(every + np.uint64(size))
+    return h, inside
+
+
+def anchors(w: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of ``ANCHOR`` words begin that are the least of some ``REACH`` in a text, and their hashes.
+
+    A passage of ``LONG_SPAN`` words holds one, the same wherever it stands and however it is set into lines."""
+    if len(w) < LONG_SPAN:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h, inside = _grams(w, ANCHOR, ends)
+    h[~inside] = np.iinfo(np.uint64).max
+    least = _extremes(h, REACH, np.minimum)
+    least[~inside[REACH - 1 :] | (np.repeat(ends, np.diff(ends, prepend=0))[: len(least)] < np.arange(len(least)) + LONG_SPAN)] = 0
+    none = np.zeros(REACH - 1, np.uint64)
+    at = np.flatnonzero(inside & (_extremes(np.concatenate([none, least, none]), REACH, np.maximum) == h))
+    return at, h[at]
+
+
 def units(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """All pieces (kind 0) and long enough paragraphs (kind 1): text, line, start in words within the text, words, sig, and for paragraphs the place of their bands."""
+    """All pieces, anchors (their line is -1) and long enough paragraphs: text, line, start in words within the text, words, sig, and for paragraphs, the last, their bands."""
     w, at, n_lines = _lines(texts)
     if not len(w):
         return {}
@@ -95,14 +140,19 @@ def units(texts: list[str | None]) -> dict[str, np.ndarray]:
                 turned = own * (textvec.mix(np.array([b * ROWS + r + 1], np.uint64))[0] | np.uint64(1))
                 key = textvec.mix(key + np.minimum.reduceat(turned, np.cumsum(n) - n) * np.uint64(2 * r + 3))
             bands[:, b] = key
-    lines = np.concatenate([line, long])
+    anchor, asig = anchors(w, at[first_line + n_lines])
+    lines = np.concatenate([line, np.searchsorted(at, anchor, "right") - 1, long])
     text = text_of_line[lines]
+    of_anchor = slice(len(line), len(line) + len(anchor))
+    words = np.concatenate([end - start, np.full(len(anchor), ANCHOR), at[long + 1] - at[long]])
+    lines -= first_line[text]
+    lines[of_anchor] = -1
     return {
         "text": text,
-        "line": lines - first_line[text],
-        "start": np.concatenate([start, at[long]]) - base[text],
-        "words": np.concatenate([end - start, at[long + 1] - at[long]]),
-        "sig": np.concatenate([sig, lsig]).view(np.int64),
+        "line": lines,
+        "start": np.concatenate([start, anchor, at[long]]) - base[text],
+        "words": words,
+        "sig": np.concatenate([sig, asig, lsig]).view(np.int64),
         "bands": bands.view(np.int64),
     }
 
@@ -146,6 +196,49 @@ def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "sigs").mapInArrow(run, "sig long, members binary").dropDuplicates(["sig"])
 
 
+def _passages(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, line, start, words, sig) of the runs of ``GRAM`` words near repeated anchors, and of the lines there (null sig).
+
+    ``wanted`` is (doc_id, anchors, gone): where the anchors begin, and lines that go; runs with words of those are left out."""
+    names = ["doc_id", "line", "start", "words", "sig"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, at, n_lines = _lines(b.column(1).to_pylist())
+            after = np.cumsum(n_lines)
+            ends, first_line = at[after], after - n_lines
+            base = at[first_line]
+            h, inside = _grams(w, GRAM, ends)
+            # words near an anchor, and words that go, by differences of how many ranges begin and end
+            near, goes = np.zeros(len(w) + 1, np.int32), np.zeros(len(w) + 1, np.int32)
+            for i, (found, lost) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                a = np.array(found) + base[i]
+                a = a[a < ends[i]]
+                np.add.at(near, np.maximum(a - REACH + 1, base[i]), 1)
+                np.add.at(near, np.minimum(a + REACH, ends[i]), -1)
+                if lost:
+                    k = np.array(lost)[np.array(lost) < n_lines[i]] + first_line[i]
+                    np.add.at(goes, at[k], 1)
+                    np.add.at(goes, at[k + 1], -1)
+            before = np.concatenate([[0], np.cumsum(np.cumsum(goes[:-1]) > 0)])
+            p = np.flatnonzero(inside & (np.cumsum(near[:-1]) > 0))
+            p = p[before[p + GRAM] == before[p]]
+            seen = np.zeros(len(w) + 1, np.int32)
+            np.add.at(seen, p, 1)
+            np.add.at(seen, p + GRAM, -1)
+            line = np.unique(np.searchsorted(at, np.flatnonzero(np.cumsum(seen[:-1]) > 0), "right") - 1)
+            lines = np.concatenate([np.searchsorted(at, p, "right") - 1, line])
+            text = np.searchsorted(after, lines, "right")
+            start = np.concatenate([p, at[line]]) - base[text]
+            words = np.concatenate([np.full(len(p), GRAM), at[line + 1] - at[line]])
+            sig = pa.array(np.concatenate([h[p], np.zeros(len(line), np.uint64)]).view(np.int64), mask=np.arange(len(lines)) >= len(p))
+            cols = [b.column(0).take(pa.array(text)), pa.array((lines - first_line[text]).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(words.astype(np.int32)), sig]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line int, start int, words int, sig long"
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "anchors", "gone").mapInArrow(run, schema)
+
+
 def _clusters(docs: DataFrame, every: DataFrame) -> DataFrame:
     """(sig, keeper) of the paragraphs whose cluster is in several documents."""
     lines = every.where("bands is not null")
@@ -165,9 +258,19 @@ def _clusters(docs: DataFrame, every: DataFrame) -> DataFrame:
     return joined.join(heads.select("root", "keeper"), "root").select("sig", "keeper")
 
 
-def _lengths_count(owner: np.ndarray, line: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which of the spans from ``begin`` to ``end`` are long enough."""
-    return end - begin >= np.where(line[begin] == line[end - 1], SPAN, LONG_SPAN)
+def _lengths_count(line: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the spans from ``begin`` to ``end`` are long enough: as a whole, or by what they have of one line."""
+    if not len(begin):
+        return np.zeros(0, bool)
+    first = np.concatenate([[True], line[1:] != line[:-1]])
+    first[begin] = True
+    at = np.flatnonzero(first)
+    span = np.searchsorted(begin, at, "right") - 1
+    n = np.minimum(np.append(at[1:], len(line)), end[span]) - at
+    n[span < 0] = 0
+    longest = np.zeros(len(begin), np.int64)
+    np.maximum.at(longest, np.maximum(span, 0), n)
+    return (end - begin >= LONG_SPAN) | (longest >= SPAN)
 
 
 def _edges(differs: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,31 +284,45 @@ def _edges(differs: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndar
 def walk(ids: np.ndarray, doc: np.ndarray, u: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """(doc, start, words, keeper) of the spans of documents, from their units in order of documents; each has one.
 
-    A word's keeper is that of its unit: a paragraph that goes, else a piece, else a paragraph that stays. A run of marked words
+    A word's keeper is that of its unit: a paragraph that goes, else a piece, else the least of its runs, else a paragraph that stays. A run of marked words
     that is long enough has parts that go and parts that stay. A part too short to go alone stays, and of those that
     stay the long enough ones are given."""
     size = np.maximum.reduceat(u["end"], np.searchsorted(doc, np.arange(len(ids)))) + 1
     base = np.cumsum(size) - size
     text = np.repeat(np.arange(len(ids)), size)
     owner, line, marked = ids[text], np.full(len(text), -1, np.int32), np.zeros(len(text), bool)
-    whole, goes = u["whole"], u["keeper"] != ids[doc]
-    for chosen in (whole & ~goes, ~whole, whole & goes):
+    kind, goes = u["kind"], u["keeper"] != ids[doc]
+    place = u["start"] + base[doc]
+
+    def put(chosen: np.ndarray, *, marks: bool) -> None:
         n = (u["end"] - u["start"])[chosen]
-        at = np.repeat((u["start"] + base[doc])[chosen] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        owner[at], line[at], marked[at] = np.repeat(u["keeper"][chosen], n), np.repeat(u["line"][chosen], n), True
+        at = np.repeat(place[chosen] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        line[at] = np.repeat(u["line"][chosen], n)
+        if marks:
+            owner[at], marked[at] = np.repeat(u["keeper"][chosen], n), True
+
+    put(kind == LINE, marks=False)
+    put((kind == PARAGRAPH) & ~goes, marks=True)
+    least = np.full(len(text) + GRAM - 1, NONE)
+    np.minimum.at(least, place[kind == RUN] + GRAM - 1, u["keeper"][kind == RUN])
+    least = _extremes(least, GRAM, np.minimum)
+    marked |= least < NONE
+    owner = np.minimum(owner, least)
+    put(kind == PIECE, marks=True)
+    put((kind == PARAGRAPH) & goes, marks=True)
     begin, end = _edges(np.zeros(len(text), bool), marked)
-    enough = _lengths_count(owner, line, begin, end)
+    enough = _lengths_count(line, begin, end)
     for i, j in zip(begin[~enough].tolist(), end[~enough].tolist(), strict=True):
         marked[i:j] = False
     gone = owner != ids[text]
     begin, end = _edges(np.concatenate([[False], gone[1:] != gone[:-1]]), marked)
-    enough = _lengths_count(owner, line, begin, end) | ~gone[begin]
+    enough = _lengths_count(line, begin, end) | ~gone[begin]
     for i, j in zip(begin[~enough].tolist(), end[~enough].tolist(), strict=True):
         owner[i:j], gone[i:j] = ids[text[i]], False
     begin, end = _edges(np.concatenate([[False], gone[1:] != gone[:-1]]), marked)
-    enough = _lengths_count(owner, line, begin, end)
+    enough = _lengths_count(line, begin, end)
     begin, end = begin[enough], end[enough]
-    keeper = np.minimum.reduceat(np.append(owner, np.iinfo(np.int64).max), np.column_stack([begin, end]).ravel())[::2] if len(begin) else owner[:0]
+    keeper = np.minimum.reduceat(np.append(owner, NONE), np.column_stack([begin, end]).ravel())[::2] if len(begin) else owner[:0]
     return text[begin], begin - base[text[begin]], end - begin, keeper
 
 
@@ -239,16 +356,23 @@ def spans(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     every = stored(_units(docs), "units")
     repeated = every.where("bands is null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sig")
-    repeated = small(stored(repeated, "repeated"))
+    repeated = stored(repeated, "repeated")  # grows with the input, so it is never broadcast
     clusters = small(stored(_clusters(docs, every), "clusters"))
     lines = stored(every.where("bands is not null").join(clusters, "sig").select("doc_id", "line", "start", "words", "keeper"), "lines")
     # a paragraph that goes takes its pieces along, so none of them can be the one that is kept
     gone = small(stored(lines.where("keeper <> doc_id").select("doc_id", "line").distinct(), "gone"))
-    pieces = every.where("bands is null").join(repeated, "sig").join(gone, ["doc_id", "line"], "left_anti")
-    pieces = stored(pieces.select("doc_id", "line", "start", "words", "sig"), "pieces")
-    keepers = small(stored(pieces.groupBy("sig").agg(F.min("doc_id").alias("keeper")), "keepers"))
-    columns = ("doc_id", "line", "start", "words", "keeper", "whole")
-    hits = pieces.join(keepers, "sig").withColumn("whole", F.lit(False)).select(*columns).unionAll(lines.withColumn("whole", F.lit(True)).select(*columns))
-    unit = F.struct("start", (F.col("start") + F.col("words")).alias("end"), "line", F.col("keeper").cast("long").alias("keeper"), "whole")
+    found = stored(every.where("bands is null").join(repeated, "sig").select("doc_id", "line", "start", "words", "sig"), "found")
+    pieces = found.where("line >= 0").join(gone, ["doc_id", "line"], "left_anti")
+    wanted = found.where("line < 0").groupBy("doc_id").agg(F.collect_set("start").alias("anchors"))
+    wanted = wanted.join(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "doc_id", "left")
+    passages = stored(_passages(docs, small(stored(wanted, "wanted"))), "passages")
+    runs = passages.where("sig is not null")
+    known = pieces.groupBy("sig").agg(F.min("doc_id").alias("keeper")).unionAll(runs.groupBy("sig").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("sig", "keeper"))
+    keepers = stored(known, "keepers")
+    columns = ("doc_id", "line", "start", "words", "keeper", "kind")
+    runs = runs.select("doc_id", "start", "sig").join(keepers, "sig").select("*", F.lit(-1).alias("line"), F.lit(GRAM).alias("words"))
+    kinds = ((pieces.join(keepers, "sig"), PIECE), (runs, RUN), (lines, PARAGRAPH), (passages.where("sig is null").withColumn("keeper", F.col("doc_id")), LINE))
+    hits = reduce(DataFrame.unionAll, [df.withColumn("kind", F.lit(k)).select(*columns) for df, k in kinds])
+    unit = F.struct("start", (F.col("start") + F.col("words")).alias("end"), "line", F.col("keeper").cast("long").alias("keeper"), "kind")
     per_doc = hits.groupBy("doc_id").agg(F.collect_list(unit).alias("hits")).select(F.col("doc_id").cast("long").alias("doc_id"), "hits")
     return _walked(per_doc).withColumn("doc_id", F.col("doc_id").cast(kind))

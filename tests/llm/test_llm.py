@@ -301,6 +301,40 @@ def test_a_passage_beside_an_older_one_is_kept_somewhere(spark):
     assert kept[2] == "" and "otherwise" in kept[4]
 
 
+def set_in(text, width, first):
+    """The text in lines of ``width`` words, the first line of ``first``."""
+    w = text.split()
+    cuts = [0, *range(first, len(w), width), len(w)]
+    return "\n".join(" ".join(w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def test_passages_over_lines_are_found_to_their_ends(spark):
+    # passages of 51 words that begin and end within lines, by lines of 1 to 200 words; each in two documents, set differently
+    widths = [1, 2, 7, 15, 25, 200]
+    rows, where = [], {}
+    for i in range(60):
+        passage = prose(51, 9000 + i)
+        for j in (2 * i, 2 * i + 1):
+            n = 70 + j % 13
+            rows.append((j, set_in(f"{prose(n, 10_000 + j)} before{j} {passage} after{j} {prose(70, 20_000 + j)}", widths[(i + j % 2) % 6], 1 + j % widths[(i + j % 2) % 6])))
+            where[j] = (n + 1, 51)
+    found = substring.spans(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert {r["doc_id"]: (r["start"], r["n_words"]) for r in found} == where and len(found) == len(where)
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 and r["removed"] == (r["doc_id"] % 2 == 1) for r in found)
+
+
+@pytest.mark.parametrize("n", [0, 5, 39, 40, 41, 400])
+def test_every_passage_has_an_anchor(n):
+    texts = [prose(n, 31), "", prose(57, 32), prose(n, 33)]
+    w, at = textvec.words(texts)
+    found, sig = substring.anchors(w, at[1:])
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        inside = found[(found >= a) & (found < b)]
+        assert all(((inside >= k) & (inside + substring.ANCHOR <= k + substring.LONG_SPAN)).any() for k in range(a, b - substring.LONG_SPAN + 1))
+    alone, own = substring.anchors(*(lambda w, at: (w, at[1:]))(*textvec.words(texts[2:3])))
+    assert set(own) <= set(sig)
+
+
 # -- op6 ---------------------------------------------------------------------------------------
 
 
