@@ -12,7 +12,7 @@ checked where they are; only the rows of longer ones are brought together, in or
 
 Defined results: a null payload is empty; a null URL is written as ``about:blank``; rows that repeat the least page
 id are all responses; a row with a null page id is a revisit if some page with an id has its payload, else a
-response. An empty table gives an empty archive.
+response. Every row has a record id of its own, whatever repeats. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,9 @@ def record_id(name: str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}"
 
 
-def head(page: int | None, row: int, url: str | None, digest: str, length: int, refers_to: int | None) -> tuple[str, bytes]:
-    """The id of a record and its bytes up to the payload."""
-    name = record_id(f"page/{page}" if page is not None else f"page/{digest}/{row}")
+def head(page: int | None, row: int | str | None, url: str | None, digest: str, length: int, refers_to: int | None) -> tuple[str, bytes]:
+    """The id of a record and its bytes up to the payload; ``row`` tells it from others of its page and payload, but for the first."""
+    name = record_id(f"page/{page}/{digest}" if row is None else f"page/{page}/{digest}/{row}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     lines = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -63,7 +64,7 @@ def head(page: int | None, row: int, url: str | None, digest: str, length: int,
     if page is not None:
         lines.append(f"X-Page-ID: {page}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(f'page/{refers_to}')}>", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(f'page/{refers_to}/{digest}')}>", f"X-Refers-To-Page: {refers_to}"]
     return name, VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
@@ -78,7 +79,8 @@ def chunks(start: bytes, payload: memoryview) -> Iterator[tuple[int, bool, bytes
 
 
 def _planned(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): which page each one repeats, null for responses."""
+    """(page_id, url, html, digest, refers_to, row): which page each one repeats, null for responses; and a number for rows
+    that repeat both a page id and its payload, null for the first of them."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     hashed = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
     groups = hashed.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
@@ -89,7 +91,17 @@ def _planned(pages: DataFrame) -> DataFrame:
         often = F.broadcast(groups.where(F.col("n") > HOT).select("digest", F.col("first").alias("first_often")))
         rarely = groups.where(F.col("n") <= HOT).select("digest", F.col("first").alias("first_rarely"))
         joined = hashed.join(often, "digest", "left").join(rarely, "digest", "left").withColumn("first", F.coalesce("first_often", "first_rarely"))
-    return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    planned = joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    repeats = hashed.where("page_id is not null").groupBy("page_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("page_id", "digest")
+    repeats = stored(repeats, "repeated-rows")
+    if repeats.isEmpty():
+        return planned.withColumn("row", F.lit(None).cast("long"))
+    repeats = small(repeats)
+    once = planned.join(repeats, ["page_id", "digest"], "left_anti").withColumn("row", F.lit(None).cast("long"))
+    again = stored(planned.join(repeats, ["page_id", "digest"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    first = again.groupBy("page_id", "digest").agg(F.min("row").alias("least"))
+    again = again.join(small(stored(first, "first-rows")), ["page_id", "digest"]).withColumn("row", F.when(F.col("row") != F.col("least"), F.col("row")))
+    return once.unionByName(again.drop("least")).select(*planned.columns, "row")
 
 
 def archive(pages: DataFrame) -> DataFrame:
@@ -97,14 +109,14 @@ def archive(pages: DataFrame) -> DataFrame:
     names = ["record_id", "chunk_no", "last", "data", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = 0
+        seen, task = 0, TaskContext.get().partitionId()
         for b in batches:
             out: list[tuple] = []
             size = 0
-            for page, url, html, digest, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page, url, html, digest, first, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 seen += 1
                 payload = memoryview((html or "").encode("utf-8", "surrogatepass"))
-                name, start = head(page, seen, url, digest, len(payload), first)
+                name, start = head(page, f"{task}/{seen}" if page is None else row, url, digest, len(payload), first)
                 for k, last, data, so_far in [(0, True, start + b"\r\n\r\n", digest)] if first is not None else chunks(start, payload):
                     out.append((name, k, last, data, so_far))
                     size += len(data)

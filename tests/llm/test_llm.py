@@ -405,6 +405,24 @@ def test_warc_archives_are_read_back(spark, monkeypatch):
     assert warc.round_trip(table.limit(0)).collect() == []
 
 
+def test_warc_records_of_repeated_and_null_ids_stay_apart(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(warc, "CHUNK", 256)
+    one, two = prose(400, 81), prose(300, 82)
+    rows = [(5, "u", one), (5, "v", one), (5, "u", one), (5, "u", two), (8, "u", one), (9, "u", two), (6, "u", "short"), (6, "u", "short")]
+    rows += [(None, "u", prose(350, 83))] * 8
+    table = spark.createDataFrame(rows, PAGE).repartition(4)
+    records = [r for r in warc.archive(table).collect() if r["chunk_no"] == 0]
+    assert len({r["record_id"] for r in records}) == len(records) == len(rows)
+    heads = [(r["record_id"], warc._fields(bytes(r["data"]))[0]) for r in records]
+    responses = {name: (int(f["x-page-id"]), f["warc-payload-digest"]) for name, f in heads if f["warc-type"] == "response" and "x-page-id" in f}
+    told = [(f["warc-refers-to"].strip("<>"), f) for _, f in heads if f["warc-type"] == "revisit"]
+    assert len(told) == 2 and all(responses[name] == (int(f["x-refers-to-page"]), f["warc-payload-digest"]) for name, f in told)
+    want = Counter((i, len(h), hashlib.sha256(h.encode()).hexdigest(), *(("revisit", 5) if i in (8, 9) else ("response", None))) for i, _, h in rows)
+    assert Counter(tuple(r) for r in warc.round_trip(table).collect()) == want
+
+
 def test_warc_files_are_parsed_in_chunks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "CHUNK", 100)
     rows = sorted(((r["record_id"], r["chunk_no"], r["last"], bytes(r["data"]), r["digest"]) for r in warc.archive(spark.createDataFrame([(i, "u", prose(5 * i * i, i)) for i in range(8)], PAGE)).collect()), key=lambda r: r[:2])
