@@ -397,6 +397,19 @@ def extraction_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where((style < 2) & (F.col("num_references") > 2)).select("paper_id", "num_references", "extraction.style", "extraction.section_found")
 
 
+@query()
+def segment_entries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of every paper and style; no SQL, as authors of some author-year entries are not recognized."""
+    return segment.segment(D.layout(D.publications(spark, sf_dir))).select("paper_id", "number", F.array_join("authors", "|").alias("authors"))
+
+
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(count(*) AS INTEGER) AS num_references, CASE min(style) WHEN 0 THEN 'bracket-numeric' WHEN 1 THEN 'numeric' ELSE 'author-year' END AS style, true AS section_found FROM ranked GROUP BY paper"))
+def extraction_facts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of every paper and style."""
+    found = segment.extraction(D.layout(D.publications(spark, sf_dir)))
+    return found.select("paper_id", "num_references", "extraction.style", "extraction.section_found")
+
+
 @query(_with(D.PUB, "SELECT id, array_to_string(authors, '|') AS authors FROM pub"))
 def parse_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     pub = D.publications(spark, sf_dir)
