@@ -1,16 +1,18 @@
 """Token ids in compressed blocks: an adaptive context-mixing range coder.
 
-Ids are cut into blocks of ``BLOCK`` ids. Each block is coded on its own, from reset models, and carries a checksum. Within
-a block, order-2 and order-1 contexts each predict one id with a confidence that rises with hits and falls with
-misses; order 0 is the distribution of ids in the segment. Adaptive counts, kept for every joint state of the
-confidences, weigh the three: the coder codes which order holds, then, if neither prediction does, the id from
-order 0. All of it is integer arithmetic, so that any machine decodes what another wrote.
+Ids are cut into blocks of at most ``BLOCK`` ids. A block starts from reset models, holds all that its decoding needs and
+carries a checksum. Within a block three adaptive models predict the next id: order 0, a distribution over the
+block's alphabet that follows the ids coded so far, and orders 1 and 2, each of which names the id that its context
+was last followed by, with a confidence that rises with hits and falls with misses. Their probabilities are mixed: an id gets the
+weighted sum of what the three give it. For each joint state of the confidences the weights follow the share that
+each order had in the ids that came (one step of expectation maximization an id), so that on independent ids nearly all weight
+goes to order 0.
 
-The blocks of a segment step forward together, one numpy lane each, which makes the loop in Python as long as a
-block and not as long as the data. A segment holds whole documents: its head (alphabet, frequencies, documents,
-block lengths and checksums), then the words of each block.
+A block is coded in lanes, contiguous stretches of it that step forward together as one numpy row and share the
+models; a step's ids are learned after all its lanes are coded. That makes the loop in Python as long as a lane, and not as long as the
+data. All of it is integer arithmetic, so that any machine decodes what another wrote.
 
-The coder is a carry-less range coder with 64-bit state and 16-bit output words.
+Each lane is a carry-less range coder with 64-bit state and 16-bit output words.
 """
 
 from __future__ import annotations
@@ -20,66 +22,116 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1024
-MAGIC = b"CTLK\x02"
+BLOCK, LANES, LEAST_LANE = 1 << 20, 2048, 64
+MAGIC = b"CTLK\x03"
 _U = np.uint64
 _TOP, _BOT, _LOW = _U(1 << 48), _U(1 << 32), _U((1 << 32) - 1)
-_16, _48 = _U(16), _U(48)
-_PRIOR_BITS, _PB = 20, _U(20)
-_BITS1, _BITS2 = 10, 11
-#: Chances stay within these of 2**16: no event gets so little of the range that nothing is left for an id behind it.
-_RATE, _LEAST, _MOST = 4, 256, 61440
+_16, _32, _48 = _U(16), _U(32), _U(48)
+#: An order-0 distribution sums to 2**20 and the three weights to 2**12, so that a mixed one sums to 2**32.
+_ORDER0_BITS, _WEIGHT_BITS, _CONTEXT2_BITS = 20, 12, 18
+_MOST_LETTERS = 1 << 18
+_GAIN, _LEAST_WEIGHT, _FORGET = 32, 16, 1 << 27
+#: Weights learn from each of the first steps and then from every so manieth.
+_EACH = 8
 
 
 class Corrupt(ValueError):
     """A segment or a block that does not hold what its checksum says."""
 
 
-class _Model:
-    """The adaptive state of ``n`` lanes.
+class _Models:
+    """The three models of a block of ``letters`` different ids, and their weights."""
 
-    A slot of a context holds the id last seen there and its confidence (0 to 3) in one integer. For each joint state of the
-    two confidences two adaptive chances weigh the orders: that order 2 is right, and, if not, that order 1 is."""
+    def __init__(self, letters: int, lanes: int) -> None:
+        self.slot1, self.slot2 = np.full(letters + 1, -4, np.int64), np.full(1 << _CONTEXT2_BITS, -4, np.int64)
+        self.prev, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.share = np.full((3, 32), 1 << 13, np.int64)
+        self.count = np.ones(letters, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.seen = self.due = self.step = 0
+        self._distribute()
+        self._weigh()
 
-    def __init__(self, n: int) -> None:
-        lane = np.arange(n, dtype=np.int64)
-        self.base1, self.base2, self.base = lane << _BITS1, lane << _BITS2, lane << 5
-        self.slot1, self.slot2 = np.full(n << _BITS1, -4, np.int32), np.full(n << _BITS2, -4, np.int32)
-        self.chance2, self.chance1 = np.full(n << 5, 1 << 13, np.int32), np.full(n << 5, 1 << 13, np.int32)
-        self.prev, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    def _distribute(self) -> None:
+        whole = 1 << _ORDER0_BITS
+        freq = 1 + self.count * (whole - len(self.count)) // int(self.count.sum())
+        freq[int(self.count.argmax())] += whole - int(freq.sum())
+        self.cum = np.concatenate([[0], np.cumsum(freq)])
 
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the first ``n`` lanes: the order-2 and order-1 ids, and the shares of 2**16 that they get."""
-        a = self.prev[:n] * 2654435761
-        self.i1 = ((a >> 7) & ((1 << _BITS1) - 1)) + self.base1[:n]
-        self.i2 = (((a + self.prev2[:n] * 2654404609) >> 9) & ((1 << _BITS2) - 1)) + self.base2[:n]
+    def _weigh(self) -> None:
+        whole = 1 << _WEIGHT_BITS
+        a = np.minimum((self.share[:2] * whole) // self.share.sum(axis=0), (whole - _LEAST_WEIGHT) // 2)
+        self.weight2, self.weight1 = a
+
+    def _credit(self) -> None:
+        some = np.flatnonzero(self.hit1 | self.hit2)
+        state, width = self.state[some], self.width[some]
+        total = np.bincount(self.state, minlength=32) << 10
+        for k, (hit, m) in enumerate(((self.hit2, self.m2), (self.hit1, self.m1))):
+            got = np.bincount(state, weights=(np.where(hit[some], m[some], 0) << 10) // width, minlength=32).astype(np.int64)
+            self.share[k] += got
+            total -= got
+        self.share[2] += total
+        old = self.share.sum(axis=0) > _FORGET
+        if old.any():
+            self.share[:, old] >>= 1
+        self._weigh()
+
+    def predict(self, n: int) -> None:
+        """For the first ``n`` lanes: the ids of orders 2 and 1 (-1: none) with their shares of 2**32, and order 0's weight."""
+        a, b = self.prev[:n], self.prev2[:n]
+        self.i1, self.i2 = a, ((a * 2654435761 + b * 2246822519) >> 7) & ((1 << _CONTEXT2_BITS) - 1)
         self.v1, self.v2 = self.slot1[self.i1], self.slot2[self.i2]
-        p1, p2 = self.v1 >> 2, self.v2 >> 2
-        self.state = self.base[:n] + (((self.v2 & 3) << 3) + ((self.v1 & 3) << 1) + (p1 == p2))
-        self.c2, self.c1 = self.chance2[self.state], self.chance1[self.state]
-        return p2, p1, self.c2, ((65536 - self.c2) * (self.c1 >> 2)) >> 14
-
-    def update(self, n: int, sym: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """``hit2``, ``hit1``: whether each order's id was right, whatever was coded."""
-        seen = sym << 2
-        for slot, i, v, hit in ((self.slot1, self.i1, self.v1, hit1), (self.slot2, self.i2, self.v2, hit2)):
-            sure = v & 3
-            slot[i] = np.where(hit, v + (sure < 3), np.where(sure == 0, seen, v - 1))
-        self.chance2[self.state] = self.c2 + np.where(hit2, (_MOST - self.c2) >> _RATE, -((self.c2 - _LEAST) >> _RATE))
-        self.chance1[self.state] = np.where(hit2, self.c1, self.c1 + np.where(hit1, (_MOST - self.c1) >> _RATE, -((self.c1 - _LEAST) >> _RATE)))
-        self.prev2[:n] = self.prev[:n]
-        self.prev[:n] = sym
-        self.prev[:n] += 1
+        self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
+        self.state = ((self.v2 & 3) << 3) + ((self.v1 & 3) << 1) + (self.p1 == self.p2)
+        w1, w2 = np.where(self.p1 < 0, 0, self.weight1[self.state]), np.where(self.p2 < 0, 0, self.weight2[self.state])
+        self.a0 = (1 << _WEIGHT_BITS) - w1 - w2
+        self.m1, self.m2 = w1 << _ORDER0_BITS, w2 << _ORDER0_BITS
+
+    def place(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids ``s`` begin in the mixed distribution, and how wide they are."""
+        at = self.cum[s]
+        self.hit1, self.hit2 = self.p1 == s, self.p2 == s
+        self.own0 = self.a0 * (self.cum[s + 1] - at)
+        start = self.a0 * at + np.where(self.p2 < s, self.m2, 0) + np.where(self.p1 < s, self.m1, 0)
+        self.width = self.own0 + np.where(self.hit2, self.m2, 0) + np.where(self.hit1, self.m1, 0)
+        return start, self.width
 
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids whose places in the mixed distribution hold ``v``."""
+        first, second = np.minimum(self.p1, self.p2), np.maximum(self.p1, self.p2)
+        m_second = np.where(self.p1 < self.p2, self.m2, self.m1)
+        m_first = self.m1 + self.m2 - m_second
+        u = v.copy()
+        s = np.full(len(v), -1, np.int64)
+        for p, m in ((first, m_first), (second, m_second)):
+            over = u - self.a0 * self.cum[p]  # no id (-1) has the last entry and no share of its own
+            past = np.flatnonzero((over >= 0) & (m > 0) & (s < 0))
+            q = p[past]
+            s[past] = np.where(over[past] < m[past] + self.a0[past] * (self.cum[q + 1] - self.cum[q]), q, -1)
+            u[past] -= m[past]
+        rest = np.flatnonzero(s < 0)
+        s[rest] = np.searchsorted(self.cum, u[rest] // self.a0[rest], "right") - 1
+        return s
 
-def _prior(count: np.ndarray) -> np.ndarray:
-    """Frequencies with sum 2**20, each 1 at least, near to the counts."""
-    n, total = len(count), 1 << _PRIOR_BITS
-    if n > total // 2:
-        raise ValueError(f"an alphabet of {n} ids is too large for this format")
-    freq = 1 + count.astype(np.int64) * (total - n) // int(count.sum())
-    freq[int(count.argmax())] += total - int(freq.sum())
-    return freq
+    def learn(self, n: int, s: np.ndarray) -> None:
+        for slot, i, v, hit in ((self.slot1, self.i1, self.v1, self.hit1), (self.slot2, self.i2, self.v2, self.hit2)):
+            sure = v & 3
+            fresh = np.where(sure == 0, s << 2, v - 1)
+            np.copyto(fresh, v + (sure < 3), where=hit)
+            slot[i] = fresh
+        if self.step < _EACH or self.step % _EACH == 0:
+            self._credit()
+        self.step += 1
+        self.prev2[:n] = self.prev[:n]
+        self.prev[:n] = s + 1
+        self.waiting.append(s)
+        self.seen += n
+        if self.seen >= self.due:
+            self.count += _GAIN * np.bincount(np.concatenate(self.waiting), minlength=len(self.count))
+            self.waiting = []
+            self._distribute()
+            self.due = self.seen + (self.seen >> 3)
 
 
 def _unsettled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
@@ -93,30 +145,31 @@ def _unsettled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
     return np.flatnonzero(need)
 
 
-def _encode_lanes(sym: np.ndarray, length: np.ndarray, freq: np.ndarray) -> list[bytes]:
-    """``sym``: (steps, lanes) of symbols; lanes by descending length. The code words of each lane."""
-    steps, lanes = sym.shape
-    start0, freq0 = (np.cumsum(freq) - freq).astype(np.uint64), freq.astype(np.uint64)
-    model = _Model(lanes)
+def _shape(n: int) -> tuple[int, int, int]:
+    """(lanes, steps, ids of the last lane) for a block of ``n`` ids."""
+    steps = -(-n // max(1, min(LANES, n // LEAST_LANE)))
+    lanes = -(-n // steps)
+    return lanes, steps, n - steps * (lanes - 1)
+
+
+def _encode_lanes(dense: np.ndarray, letters: int) -> list[bytes]:
+    lanes, steps, last = _shape(len(dense))
+    sym = np.zeros(lanes * steps, np.int64)
+    sym[: len(dense)] = dense
+    sym = np.ascontiguousarray(sym.reshape(lanes, steps).T)
+    models = _Models(letters, lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    width = 4 * steps + 8
+    width = 3 * steps + 8
     out, at = np.zeros(lanes * width, np.uint16), np.arange(lanes, dtype=np.int64) * width
-
     for t in range(steps):
-        n = int(np.searchsorted(-length, -t, "left"))
+        n = lanes - (t >= last)
         s = sym[t, :n]
-        p2, p1, a2, a1 = model.predict(n)
-        hit2, hit1 = p2 == s, p1 == s
-        first = a2 + a1
+        models.predict(n)
+        start, size = models.place(s)
         lo, r = low[:n], rng[:n]
-        r >>= _16
-        lo += r * np.where(hit2, 0, np.where(hit1, a2, first)).astype(np.uint64)
-        r *= np.where(hit2, a2, np.where(hit1, a1, 65536 - first)).astype(np.uint64)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        x = s[miss]
-        q = r[miss] >> _PB
-        lo[miss] += q * start0[x]
-        r[miss] = q * freq0[x]
+        r >>= _32
+        lo += r * start.astype(np.uint64)
+        r *= size.astype(np.uint64)
         some = _unsettled(lo, r)
         while len(some):
             l2, r2 = lo[some], r[some]
@@ -128,52 +181,42 @@ def _encode_lanes(sym: np.ndarray, length: np.ndarray, freq: np.ndarray) -> list
             more = _unsettled(l2, r2)
             lo[some], r[some] = l2, r2
             some = some[more]
-        model.update(n, s, hit2, hit1)
-    for k in range(4):
+        models.learn(n, s)
+    # The end: the least number of the range whose lower half is zero, so that two words do.
+    low += _LOW
+    for k in range(2):
         out[at + k] = (low >> _48).astype(np.uint16)
         low <<= _16
-    return [out[i * width : end + 4].astype("<u2").tobytes() for i, end in enumerate(at.tolist())]
-
-
-def _decode_lanes(words: np.ndarray, size: np.ndarray, length: np.ndarray, freq: np.ndarray) -> np.ndarray:
-    """``words``: the code words of all lanes, ``size`` of each."""
-    steps, lanes = int(length.max()), len(length)
-    start0, freq0 = (np.cumsum(freq) - freq).astype(np.uint64), freq.astype(np.uint64)
-    slot = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-    data = np.concatenate([words, np.zeros(8, np.uint16)])
-    at = (np.cumsum(size) - size).astype(np.int64)
-    last = len(data) - 1
-    model = _Model(lanes)
+    return [out[i * width : end + 2].astype("<u2").tobytes() for i, end in enumerate(at.tolist())]
+
+
+def _decode_lanes(words: np.ndarray, size: np.ndarray, count: int, letters: int) -> np.ndarray:
+    lanes, steps, last = _shape(count)
+    end = np.cumsum(size.astype(np.int64))
+    at = end - size
+    data = np.concatenate([words, np.zeros(1, np.uint16)])
+    zero = len(words)
+    models = _Models(letters, lanes)
     low, rng, code = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64), np.zeros(lanes, np.uint64)
     for _ in range(4):
-        code = (code << _16) | data[np.minimum(at, last)]
+        code = (code << _16) | data[np.where(at < end, at, zero)]
         at += 1
-    out = np.zeros((steps, lanes), np.int32)
-
+    out = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
-        n = int(np.searchsorted(-length, -t, "left"))
-        p2, p1, a2, a1 = model.predict(n)
-        first = a2 + a1
+        n = lanes - (t >= last)
+        models.predict(n)
         lo, r, co = low[:n], rng[:n], code[:n]
-        r >>= _16
-        v = np.minimum((co - lo) // np.maximum(r, _U(1)), _U(65535)).astype(np.int32)
-        coded2 = v < a2
-        coded1 = ~coded2 & (v < first)
-        lo += r * np.where(coded2, 0, np.where(coded1, a2, first)).astype(np.uint64)
-        r *= np.where(coded2, a2, np.where(coded1, a1, 65536 - first)).astype(np.uint64)
-        s = np.where(coded2, p2, p1)
-        miss = np.flatnonzero(~(coded2 | coded1))
-        q = r[miss] >> _PB
-        l0 = lo[miss]
-        x = slot[np.minimum((co[miss] - l0) // np.maximum(q, _U(1)), _U((1 << _PRIOR_BITS) - 1)).astype(np.int64)]
-        lo[miss] = l0 + q * start0[x]
-        r[miss] = q * freq0[x]
-        s[miss] = x
+        r >>= _32
+        v = np.minimum((co - lo) // np.maximum(r, _U(1)), _LOW).astype(np.int64)
+        s = models.find(v)
+        start, width = models.place(s)
+        lo += r * start.astype(np.uint64)
+        r *= width.astype(np.uint64)
         some = _unsettled(lo, r)
         while len(some):
             l2, r2 = lo[some], r[some]
             place = at[some]
-            co[some] = (co[some] << _16) | data[np.minimum(place, last)]
+            co[some] = (co[some] << _16) | data[np.where(place < end[some], place, zero)]
             at[some] = place + 1
             l2 <<= _16
             r2 <<= _16
@@ -181,61 +224,75 @@ def _decode_lanes(words: np.ndarray, size: np.ndarray, length: np.ndarray, freq:
             lo[some], r[some] = l2, r2
             some = some[more]
         out[t, :n] = s
-        model.update(n, s, p2 == s, p1 == s)
-    return out
+        models.learn(n, s)
+    return out.T.reshape(-1)[:count]
+
+
+def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in ascending order, and each id's place among them."""
+    if int(ids.max()) >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(int(ids.max()) + 1, bool)  # counting is faster than sorting
+    there[ids] = True
+    return np.flatnonzero(there).astype(np.uint32), (np.cumsum(there) - 1)[ids]
+
+
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """``ids`` as blocks; a stretch with more different ids than a model takes is halved."""
+    if not len(ids):
+        return []
+    if len(ids) > BLOCK:
+        return [x for a in range(0, len(ids), BLOCK) for x in encode_blocks(ids[a : a + BLOCK])]
+    alphabet, dense = _dense(ids)
+    if len(alphabet) > _MOST_LETTERS:
+        return [*encode_blocks(ids[: len(ids) // 2]), *encode_blocks(ids[len(ids) // 2 :])]
+    lanes = _encode_lanes(dense, len(alphabet))
+    gaps = np.diff(alphabet, prepend=np.uint32(0)).astype("<u4").tobytes()
+    tables = zlib.compress(gaps + np.array([len(x) // 2 for x in lanes], "<u4").tobytes(), 6)
+    return [struct.pack("<IIII", len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(alphabet), len(tables)) + tables + b"".join(lanes)]
+
+
+def decode_block(data: bytes) -> np.ndarray:
+    """The ids of a block; raises ``Corrupt`` if they fail its checksum."""
+    try:
+        n, crc, letters, packed = struct.unpack_from("<IIII", data)
+        table = np.frombuffer(zlib.decompress(data[16 : 16 + packed]), "<u4")
+        alphabet = np.cumsum(table[:letters], dtype=np.uint32)
+        words = np.frombuffer(data, "<u2", offset=16 + packed)
+        size = table[letters:]
+        if int(size.sum()) != len(words) or len(size) != _shape(n)[0]:
+            raise Corrupt("a block is cut short")
+        ids = alphabet[np.clip(_decode_lanes(words, size, n, letters), 0, letters - 1)]
+    except (struct.error, zlib.error, ValueError, IndexError, ZeroDivisionError) as e:
+        raise Corrupt(f"a block can't be read: {e}") from e
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise Corrupt("a block's checksum is wrong")
+    return ids
 
 
 def encode_segment(ids: np.ndarray, doc_sizes: np.ndarray) -> bytes:
     """The bytes of a segment: ``ids`` are those of its documents one after another, ``doc_sizes`` how many each has."""
-    ids = np.ascontiguousarray(ids, np.uint32)
-    n = len(ids)
-    if n and int(ids.max()) < 1 << 22:  # counting is faster than sorting
-        counts = np.bincount(ids)
-        alphabet = np.flatnonzero(counts).astype(np.uint32)
-        rank = np.zeros(len(counts), np.int32)
-        rank[alphabet] = np.arange(len(alphabet))
-        dense, count = rank[ids], counts[alphabet]
-    else:
-        alphabet, dense, count = np.unique(ids, return_inverse=True, return_counts=True)
-    blocks = -(-n // BLOCK)
-    head_parts, body = [], []
-    if n:
-        freq = _prior(count)
-        length = np.full(blocks, BLOCK, np.int64)
-        length[-1] = n - BLOCK * (blocks - 1)
-        sym = np.zeros(blocks * min(BLOCK, n) if blocks == 1 else blocks * BLOCK, np.int32)
-        sym[:n] = dense
-        steps = len(sym) // blocks
-        body = _encode_lanes(np.ascontiguousarray(sym.reshape(blocks, steps).T), length, freq)
-        crc = np.array([zlib.crc32(ids[a : a + BLOCK].astype("<u4").tobytes()) for a in range(0, n, BLOCK)], np.uint32)
-        head_parts = [alphabet.astype("<u4"), freq.astype("<u4"), np.array([len(x) // 2 for x in body], "<u4"), crc.astype("<u4")]
-    tables = zlib.compress(b"".join([np.asarray(doc_sizes).astype("<u4").tobytes(), *(p.tobytes() for p in head_parts)]), 6)
-    head = struct.pack("<QIII", n, len(doc_sizes), len(alphabet), len(tables)) + tables
-    return MAGIC + struct.pack("<I", zlib.crc32(head)) + head + b"".join(body)
+    blocks = encode_blocks(np.ascontiguousarray(ids, np.uint32))
+    tables = zlib.compress(np.asarray(doc_sizes).astype("<u4").tobytes() + np.array([len(b) for b in blocks], "<u4").tobytes(), 6)
+    head = struct.pack("<QIII", len(ids), len(doc_sizes), len(blocks), len(tables)) + tables
+    return MAGIC + struct.pack("<I", zlib.crc32(head)) + head + b"".join(blocks)
 
 
 def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The ids and document sizes of a segment; raises ``Corrupt`` if the head or a block fails its checksum."""
-    if data[:5] != MAGIC:
+    if data[:5] != MAGIC or len(data) < 29:
         raise Corrupt("not a segment")
     (crc,) = struct.unpack_from("<I", data, 5)
-    n, docs, letters, packed = struct.unpack_from("<QIII", data, 9)
-    end = 9 + struct.calcsize("<QIII") + packed
+    n, docs, blocks, packed = struct.unpack_from("<QIII", data, 9)
+    end = 29 + packed
     if zlib.crc32(data[9:end]) != crc:
         raise Corrupt("the head's checksum is wrong")
-    table = np.frombuffer(zlib.decompress(data[end - packed : end]), "<u4")
-    blocks = -(-n // BLOCK)
-    doc_sizes, alphabet, freq, sizes, crcs = np.split(table, np.cumsum([docs, letters, letters, blocks]))
-    if not n:
-        return np.empty(0, np.uint32), doc_sizes
-    words = np.frombuffer(data, "<u2", offset=end)
-    length = np.full(blocks, BLOCK, np.int64)
-    length[-1] = n - BLOCK * (blocks - 1)
-    if len(words) != int(sizes.sum()):
+    table = np.frombuffer(zlib.decompress(data[29:end]), "<u4")
+    edges = end + np.cumsum(table[docs:], dtype=np.int64)
+    if len(table) != docs + blocks or len(data) != (int(edges[-1]) if blocks else end):
         raise Corrupt("the segment is cut short")
-    sym = _decode_lanes(words, sizes.astype(np.int64), length, freq.astype(np.int64))
-    ids = alphabet[np.minimum(sym.T.reshape(-1)[:n], letters - 1)].astype(np.uint32)
-    for i in range(blocks):
-        if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != crcs[i]:
-            raise Corrupt(f"block {i}'s checksum is wrong")
-    return ids, doc_sizes
+    found = [decode_block(data[b - int(k) : b]) for b, k in zip(edges.tolist(), table[docs:], strict=True)]
+    ids = np.concatenate(found) if found else np.empty(0, np.uint32)
+    if len(ids) != n:
+        raise Corrupt("the blocks hold another number of ids")
+    return ids, table[:docs]

@@ -1,12 +1,15 @@
 """Token-ID output: every text through a public tokenizer, its ids into compressed segments, and back.
 
-Documents are dealt by ranges of their id (then of a hash of the text, which splits rows that repeat an id) and sorted
-within each range, so that the segments of part after part hold all documents in ascending order. Each task
+Documents are dealt by ranges of their id (then of a hash of the text and of the row's place, which split rows that repeat an
+id) and sorted within each range, so that the segments of part after part hold all documents in ascending order. Each task
 writes segments of about ``SEGMENT`` ids, one row each, through Spark's own writer: any store that Spark
-writes can hold them, a lost task is simply run again, and a reader needs one segment in memory at a time.
+writes can hold them, a lost task is simply run again, and a reader needs one segment in memory at a time. The place
+of a row is stable where ``docs`` is a stored table; it only orders rows that are equal in id and text.
 
-A text is cut at white space, which this tokenizer neither joins over nor keeps; distinct chunks are encoded once
-and remembered, up to ``REMEMBERED`` of them a worker. The tokenizer's file is a parameter.
+The tokenizer's file is a parameter. Of one whose normalizer and word pattern are those of ``KNOWN_SPLIT``, texts are cut into
+words on whole byte arrays, and each different word goes to the tokenizer's model once; words are
+remembered exactly, by their bytes, and at most ``REMEMBERED`` of them a worker. With any other file whole
+texts go to the tokenizer.
 
 Defined results: a null text has only the end id; null ids come first; rows that repeat an id keep an order given by
 their texts' hashes, and equal rows are interchangeable. An empty table gives an empty result.
@@ -14,7 +17,7 @@ their texts' hashes, and equal rows are interchangeable. An empty table gives an
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -27,20 +30,115 @@ from pyspark.sql import functions as F
 from . import tokencoder
 from .shared import new_path, small, stored
 
-END_ID, SEGMENT, REMEMBERED, MARK = 1, 4_000_000, 500_000, "\x01"
-_CONTROL = re.compile("[\x1c-\x1f]")
+END_ID, SEGMENT, REMEMBERED, SLICE = 1, 1 << 20, 400_000, 1 << 20
+#: How a tokenizer must normalize and split for words to be cut on bytes.
+KNOWN_SPLIT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_SLOTS = 1 << 20
+_KEY = 24
 _encoders: dict[str, Encoder] = {}
 
 
+def _classes() -> np.ndarray:
+    """The class of each byte; of two-byte letters (Latin to U+024F, and Cyrillic from U+0400 to U+047F) the first byte's."""
+    out = np.full(256, _ODD, np.uint8)
+    for c in range(33, 127):
+        out[c] = _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _MARK
+    out[[9, 10, 11, 12, 13, 32]] = _SPACE
+    out[0xC3:0xCA] = out[0xD0:0xD2] = _LETTER
+    return out
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: itself where it prints, else one from U+0100 on."""
+    prints = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if p else chr(next(rest)) for b, p in enumerate(prints)]
+
+
+class _Words:
+    """The words known so far, by their bytes (up to 24 of them, in three integers), and the ids of each."""
+
+    def __init__(self) -> None:
+        self.slots = np.full(_SLOTS, -1, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots[:] = -1
+        self.keys = np.empty((0, 3), np.uint64)
+        self.others: dict[bytes, int] = {}
+        self.at, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ keys[:, 2] * np.uint64(0x165667B19E3779F9)
+        h ^= h >> np.uint64(29)
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for those that are not known."""
+        out = np.full(len(keys), -1, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            got = self.slots[slot]
+            there = np.flatnonzero(got >= 0)
+            same = (self.keys[got[there]] == keys[todo[there]]).all(axis=1)
+            out[todo[there[same]]] = got[there[same]]
+            left = there[~same]
+            todo, slot = todo[left], (slot[left] + 1) & (_SLOTS - 1)
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """New words with short bytes. They must be distinct, and not known."""
+        first = self._extend(ids)
+        grown = np.zeros((first + len(keys), 3), np.uint64)
+        grown[: len(self.keys)] = self.keys
+        grown[first:] = keys
+        self.keys = grown
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = first + todo[free]
+            lost = self.slots[slot] != first + todo  # to a word that was there, or that came here too
+            todo, slot = todo[lost], (slot[lost] + 1) & (_SLOTS - 1)
+
+    def _extend(self, ids: list[list[int]]) -> int:
+        first = len(self)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+        return first
+
+    def add_others(self, words: list[bytes], ids: list[list[int]]) -> None:
+        first = self._extend(ids)
+        self.others.update(zip(words, range(first, first + len(words)), strict=True))
+
+
 class Encoder:
-    """A tokenizer whose ids of white-space separated chunks do not depend on their neighbours."""
+    """A tokenizer; where its way of splitting is known, with a memory of words."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        self.cuts = all(spec[k] == v for k, v in KNOWN_SPLIT.items()) and model["type"] == "BPE" and not model.get("dropout")
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = dict(enumerate(_byte_letters()))
+        self.words = _Words()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -48,60 +146,167 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        plain = [c for c in chunks if MARK not in c]
-        for a in range(0, len(plain), 200):
-            part = plain[a : a + 200]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark)
-            if len(cut) != len(part) - 1:
-                raise AssertionError("the tokenizer does not keep chunks apart")
-            for c, x in zip(part, np.split(ids, cut), strict=True):
-                self.known[c] = (x[1:] if len(x) and x[0] == self.mark else x).tobytes()
-        for c in chunks:
-            if MARK in c:
-                self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        out = []
-        for a in range(0, len(texts), 64):
-            split = [t.split(" ") if _CONTROL.search(t) else t.split() for t in texts[a : a + 64]]
-            for chunks in split:
-                missing = [c for c in set(chunks) if c not in self.known]
-                if missing:
-                    self._learn(missing)
-                    if any(c not in self.known for c in chunks):  # the memory was emptied in between
-                        out.append(b"".join(self._all(chunks)))
-                        continue
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out
+    def _whole(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _model(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of words of nothing but letters that stay themselves when composed: only case and byte letters are to be mapped."""
+        mapped = b" ".join(words).decode().lower().encode().decode("latin-1").translate({b: c for b, c in self.letters.items() if b != 32})
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in mapped.split(" ")]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, given in UTF-8."""
+        if not self.cuts:
+            return [np.array(x, np.uint32) for x in self._whole(texts)]
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, bytes]] = []
+        n = 0
+        for i, t in enumerate(texts):
+            if i in whole:
+                out[i].append(np.array(self._whole([t])[0], np.uint32))
+                continue
+            for part in _sections(t):
+                held.append((i, part))
+                n += len(part) + 1
+                if n >= SLICE:
+                    self._some(held, out)
+                    held, n = [], 0
+        if held:
+            self._some(held, out)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, np.uint32) for x in out]
+
+    def _some(self, held: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
+        raw = b"\n".join([t for _, t in held])
+        start, length, plain = _cut(raw)
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        number = self._numbers(raw, start, length, plain)
+        size = self.words.at[number + 1] - self.words.at[number]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        ids = self.words.flat[np.repeat(self.words.at[number] - (end - size), size) + np.arange(total)]
+        edges = np.cumsum([len(t) + 1 for _, t in held])
+        upto = np.concatenate([[0], end])[np.searchsorted(start, edges)]
+        for (i, _), a, b in zip(held, [0, *upto.tolist()], upto.tolist(), strict=False):
+            out[i].append(ids[a:b])
+
+    def _numbers(self, raw: bytes, start: np.ndarray, length: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """The numbers of the words at ``start``; unknown ones are learned. ``plain``: those of letters that are cut off cleanly."""
+        number = np.empty(len(start), np.int64)
+        short = np.flatnonzero(plain & (length <= _KEY))
+        keys = _keys(raw, start[short], length[short])
+        number[short] = found = self.words.find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            order = new[np.lexsort(keys[new].T)]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+            first = order[fresh]
+            spans = zip(start[short[first]].tolist(), length[short[first]].tolist(), strict=True)
+            ids = self._model([raw[a : a + k] for a, k in spans])
+            base = len(self.words)
+            self.words.add(keys[first], ids)
+            number[short[order]] = base + np.cumsum(fresh) - 1
+        rest = np.flatnonzero(~plain | (length > _KEY))
+        if len(rest):
+            spelled = [raw[a : a + k] for a, k in zip(start[rest].tolist(), length[rest].tolist(), strict=True)]
+            unknown = list(set(spelled) - self.words.others.keys())
+            if unknown:
+                self.words.add_others(unknown, self._whole(unknown))
+            number[rest] = [self.words.others[w] for w in spelled]
+        return number
+
+
+def _sections(text: bytes) -> Iterator[bytes]:
+    """A long text in sections, cut at a space."""
+    at = 0
+    while len(text) - at > SLICE:
+        cut = text.find(b" ", at + SLICE)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+_CLASS = _classes()
+
+
+def _cut(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, plain) of the words that the tokenizer's pattern finds, or of unions of some.
+
+    A cut is made only where it is sure: between letters, a digit and the marks of ASCII. What lies between white space
+    and holds anything else (other letters, combining or control characters) is one word."""
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    kind = _CLASS[b]
+    lead = np.flatnonzero((b >= 0xC3) & (kind == _LETTER))
+    after = lead + 1  # there is one, as the text is UTF-8
+    kind[after] = _LETTER
+    first, second = b[lead], b[after]
+    no = ((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) | ((first == 0xC4) & (second == 0xB0))  # two signs; a letter whose small form is two
+    kind[lead[no]] = kind[after[no]] = _ODD
+    edge = np.empty(len(b), bool)
+    edge[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+    edge |= kind == _DIGIT
+    start = np.flatnonzero(edge)
+    sort = kind[start]
+    length = np.diff(start, append=len(b))
+    # A lone apostrophe belongs to the letters behind it, as it may begin one of the pattern's endings.
+    lone = np.flatnonzero((sort[:-1] == _MARK) & (length[:-1] == 1) & (b[start[:-1]] == 39) & (sort[1:] == _LETTER))
+    keep = np.ones(len(start), bool)
+    keep[lone + 1] = False
+    start, sort = start[keep], sort[keep]
+    plain = sort == _LETTER
+    if (sort == _ODD).any():
+        space = sort == _SPACE
+        run = np.cumsum(np.diff(space, prepend=~space[0]) != 0)  # white space and what lies between, by turns
+        odd = np.zeros(int(run[-1]) + 1, bool)
+        odd[run[sort == _ODD]] = True
+        inside = odd[run]
+        begins = np.diff(run, prepend=0) > 0
+        keep = ~inside | begins
+        plain &= ~inside
+        start, sort, plain = start[keep], sort[keep], plain[keep]
+    length = np.diff(start, append=len(b))
+    word = sort != _SPACE
+    return start[word], length[word], plain[word]
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 
-    def _all(self, chunks: list[str]) -> Iterator[bytes]:
-        for c in chunks:
-            if c not in self.known:
-                self._learn([c])
-            yield self.known[c]
+def _keys(raw: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of each word in three integers. ASCII capitals are lowered: words that differ in them have the same ids."""
+    padded = np.frombuffer(raw.lower() + bytes(_KEY + 8), np.uint8)
+    loads = np.ndarray((len(padded) - 8,), "<u8", padded, strides=(1,))
+    out = np.empty((len(start), 3), np.uint64)
+    for k in range(3):
+        out[:, k] = loads[start + 8 * k] & _MASK[np.clip(length - 8 * k, 0, 8)]
+    return out
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) into a table of segments at ``path``: (part, seg, n_ids, doc_ids, data)."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], np.uint32).tobytes()
+    end = np.array([end_id], np.uint32)
     names = ["part", "seg", "n_ids", "doc_ids", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.at(tokenizer), TaskContext.get().partitionId()
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        sizes: list[int] = []
         held_ids: list[pa.Array] = []
         n = seg = 0
 
         def segment() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), np.uint32)
-            data = tokencoder.encode_segment(ids, np.array([len(x) // 4 for x in held], np.int64))
+            ids = np.concatenate(held)
+            data = tokencoder.encode_segment(ids, np.array(sizes, np.int64))
             doc_ids = pa.concat_arrays(held_ids)
             lists = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(ids)], pa.int64()), lists, pa.array([data], pa.binary())], names=names)
@@ -109,19 +314,21 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
         for b in batches:
             for a in range(0, b.num_rows, 64):
                 some = b.slice(a, 64)
-                for i, x in enumerate(encoder.encode([t or "" for t in some.column(1).to_pylist()])):
-                    held.append(x + end)
+                for i, x in enumerate(encoder.encode([t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()])):
+                    held += [x, end]
+                    sizes.append(len(x) + 1)
                     held_ids.append(some.column(0).slice(i, 1))
-                    n += len(x) // 4 + 1
+                    n += len(x) + 1
                     if n >= SEGMENT:
                         yield segment()
-                        held, held_ids, n, seg = [], [], 0, seg + 1
+                        held, held_ids, sizes, n, seg = [], [], [], 0, seg + 1
         if held:
             yield segment()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    dealt = keyed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("doc_id").asc_nulls_first(), "h", "place"]
+    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt.select("doc_id", "text").mapInArrow(run, f"part int, seg int, n_ids long, doc_ids array<{id_type}>, data binary").write.option("compression", "none").parquet(path)
 
 
