@@ -23,7 +23,7 @@ import zlib
 import numpy as np
 
 BLOCK, LANES, LEAST_LANE = 1 << 20, 2048, 64
-MAGIC = b"CTLK\x03"
+MAGIC = b"CTLK\x04"
 _U = np.uint64
 _TOP, _BOT, _LOW = _U(1 << 48), _U(1 << 32), _U((1 << 32) - 1)
 _16, _32, _48 = _U(16), _U(32), _U(48)
@@ -33,6 +33,7 @@ _MOST_LETTERS = 1 << 18
 _GAIN, _LEAST_WEIGHT, _FORGET = 32, 16, 1 << 27
 #: Weights learn from each of the first steps and then from every so manieth.
 _EACH = 8
+_STATES = 128
 
 
 class Corrupt(ValueError):
@@ -40,12 +41,18 @@ class Corrupt(ValueError):
 
 
 class _Models:
-    """The three models of a block of ``letters`` different ids, and their weights."""
+    """The three models of a block of ``letters`` different ids, and their weights.
+
+    A slot of a context holds the id last seen there and its confidence (1 to 4, 0 for an empty slot) in one integer. A state
+    is both confidences and whether orders 1 and 2 name one id; if so, order 1 has the weight of both."""
 
     def __init__(self, letters: int, lanes: int) -> None:
-        self.slot1, self.slot2 = np.full(letters + 1, -4, np.int64), np.full(1 << _CONTEXT2_BITS, -4, np.int64)
+        self.slot1, self.slot2 = np.full(letters + 1, letters << 3, np.int64), np.full(1 << _CONTEXT2_BITS, letters << 3, np.int64)
         self.prev, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.share = np.full((3, 32), 1 << 13, np.int64)
+        self.share = np.full((3, _STATES), 1 << 13, np.int64)
+        state = np.arange(_STATES)
+        self.share[0, (state >> 4 == 0) | (state & 1 == 1)] = 0
+        self.share[1, (state >> 1) & 7 == 0] = 0
         self.count = np.ones(letters, np.int64)
         self.waiting: list[np.ndarray] = []
         self.seen = self.due = self.step = 0
@@ -56,19 +63,21 @@ class _Models:
         whole = 1 << _ORDER0_BITS
         freq = 1 + self.count * (whole - len(self.count)) // int(self.count.sum())
         freq[int(self.count.argmax())] += whole - int(freq.sum())
-        self.cum = np.concatenate([[0], np.cumsum(freq)])
+        self.cum = np.concatenate([[0], np.cumsum(freq), [whole]])  # the last entry is for the id of empty slots
 
     def _weigh(self) -> None:
         whole = 1 << _WEIGHT_BITS
         a = np.minimum((self.share[:2] * whole) // self.share.sum(axis=0), (whole - _LEAST_WEIGHT) // 2)
-        self.weight2, self.weight1 = a
+        self.weight0 = whole - a[0] - a[1]
+        self.point2, self.point1 = a << _ORDER0_BITS
 
     def _credit(self) -> None:
+        """Each order gets of an id that came what it gave to its probability."""
         some = np.flatnonzero(self.hit1 | self.hit2)
         state, width = self.state[some], self.width[some]
-        total = np.bincount(self.state, minlength=32) << 10
+        total = np.bincount(self.state, minlength=_STATES) << 10
         for k, (hit, m) in enumerate(((self.hit2, self.m2), (self.hit1, self.m1))):
-            got = np.bincount(state, weights=(np.where(hit[some], m[some], 0) << 10) // width, minlength=32).astype(np.int64)
+            got = np.bincount(state, weights=((hit[some] * m[some]) << 10) // width, minlength=_STATES).astype(np.int64)
             self.share[k] += got
             total -= got
         self.share[2] += total
@@ -78,53 +87,48 @@ class _Models:
         self._weigh()
 
     def predict(self, n: int) -> None:
-        """For the first ``n`` lanes: the ids of orders 2 and 1 (-1: none) with their shares of 2**32, and order 0's weight."""
-        a, b = self.prev[:n], self.prev2[:n]
-        self.i1, self.i2 = a, ((a * 2654435761 + b * 2246822519) >> 7) & ((1 << _CONTEXT2_BITS) - 1)
-        self.v1, self.v2 = self.slot1[self.i1], self.slot2[self.i2]
-        self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
-        self.state = ((self.v2 & 3) << 3) + ((self.v1 & 3) << 1) + (self.p1 == self.p2)
-        w1, w2 = np.where(self.p1 < 0, 0, self.weight1[self.state]), np.where(self.p2 < 0, 0, self.weight2[self.state])
-        self.a0 = (1 << _WEIGHT_BITS) - w1 - w2
-        self.m1, self.m2 = w1 << _ORDER0_BITS, w2 << _ORDER0_BITS
+        """For the first ``n`` lanes: the ids of orders 2 and 1 with their shares of 2**32, and order 0's weight."""
+        self.i1 = self.prev[:n]
+        self.i2 = ((self.i1 * 2654435761 + self.prev2[:n] * 2246822519) >> 7) & ((1 << _CONTEXT2_BITS) - 1)
+        self.v1, self.v2 = self.slot1.take(self.i1), self.slot2.take(self.i2)
+        self.p1, self.p2 = self.v1 >> 3, self.v2 >> 3
+        self.sure1, self.sure2 = self.v1 & 7, self.v2 & 7
+        self.state = (self.sure2 << 4) + (self.sure1 << 1) + (self.p1 == self.p2)
+        self.a0, self.m1, self.m2 = self.weight0.take(self.state), self.point1.take(self.state), self.point2.take(self.state)
 
     def place(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids ``s`` begin in the mixed distribution, and how wide they are."""
-        at = self.cum[s]
+        at = self.cum.take(s)
         self.hit1, self.hit2 = self.p1 == s, self.p2 == s
-        self.own0 = self.a0 * (self.cum[s + 1] - at)
-        start = self.a0 * at + np.where(self.p2 < s, self.m2, 0) + np.where(self.p1 < s, self.m1, 0)
-        self.width = self.own0 + np.where(self.hit2, self.m2, 0) + np.where(self.hit1, self.m1, 0)
+        start = self.a0 * at + self.m2 * (self.p2 < s) + self.m1 * (self.p1 < s)
+        self.width = self.a0 * (self.cum.take(s + 1) - at) + self.m2 * self.hit2 + self.m1 * self.hit1
         return start, self.width
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """The ids whose places in the mixed distribution hold ``v``."""
-        first, second = np.minimum(self.p1, self.p2), np.maximum(self.p1, self.p2)
-        m_second = np.where(self.p1 < self.p2, self.m2, self.m1)
-        m_first = self.m1 + self.m2 - m_second
-        u = v.copy()
-        s = np.full(len(v), -1, np.int64)
-        for p, m in ((first, m_first), (second, m_second)):
-            over = u - self.a0 * self.cum[p]  # no id (-1) has the last entry and no share of its own
-            past = np.flatnonzero((over >= 0) & (m > 0) & (s < 0))
-            q = p[past]
-            s[past] = np.where(over[past] < m[past] + self.a0[past] * (self.cum[q + 1] - self.cum[q]), q, -1)
-            u[past] -= m[past]
-        rest = np.flatnonzero(s < 0)
-        s[rest] = np.searchsorted(self.cum, u[rest] // self.a0[rest], "right") - 1
+        """The ids whose places in the mixed distribution hold ``v``. Of a named id's place the part that its order gives comes
+        first; without such parts what is left is the place in order 0."""
+        r1 = v - self.a0 * self.cum.take(self.p1) - self.m2 * (self.p2 < self.p1)
+        r2 = v - self.a0 * self.cum.take(self.p2) - self.m1 * (self.p1 < self.p2)
+        past1, past2 = r1 >= 0, r2 >= 0
+        in1, in2 = past1 & (r1 < self.m1), past2 & (r2 < self.m2)
+        s = np.where(in1, self.p1, self.p2)
+        rest = np.flatnonzero(~(in1 | in2))
+        u = (v - self.m1 * past1 - self.m2 * past2)[rest]
+        s[rest] = self.cum[:-1].searchsorted(u // self.a0[rest], "right") - 1
         return s
 
     def learn(self, n: int, s: np.ndarray) -> None:
-        for slot, i, v, hit in ((self.slot1, self.i1, self.v1, self.hit1), (self.slot2, self.i2, self.v2, self.hit2)):
-            sure = v & 3
-            fresh = np.where(sure == 0, s << 2, v - 1)
-            np.copyto(fresh, v + (sure < 3), where=hit)
-            slot[i] = fresh
+        fresh = (s << 3) + 1
+        for slot, i, v, sure, hit in ((self.slot1, self.i1, self.v1, self.sure1, self.hit1), (self.slot2, self.i2, self.v2, self.sure2, self.hit2)):
+            now = np.where(sure < 2, fresh, v - 1)
+            np.copyto(now, v + (sure < 4), where=hit)
+            slot[i] = now
         if self.step < _EACH or self.step % _EACH == 0:
             self._credit()
         self.step += 1
         self.prev2[:n] = self.prev[:n]
-        self.prev[:n] = s + 1
+        self.prev[:n] = s
+        self.prev[:n] += 1
         self.waiting.append(s)
         self.seen += n
         if self.seen >= self.due:
