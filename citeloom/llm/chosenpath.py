@@ -4,8 +4,8 @@ Every text is the set of hashes of its runs of five words. In each of ``runs`` i
 token whose hash is below ``1 / (threshold * size)``, so that two sets at the threshold share one chosen token on
 average; sets that chose the same token meet in its bucket. A bucket of at most ``SMALL`` sets is compared by brute
 force. A larger one is split again: its sets choose further tokens, with hashes that depend on the path so
-far, down to ``DEPTH`` tokens; what is still large then is compared in blocks of ``BLOCK`` sets, pair of blocks by
-pair of blocks. The number of runs is what brings a pair at the threshold to the target recall even at full depth.
+far, down to ``DEPTH`` tokens; what is still large then is compared in blocks of ``BLOCK`` sets (or fewer, ``WEIGHT`` members), pair of
+blocks by pair of blocks. The number of runs is what brings a pair at the threshold to the target recall even at full depth.
 
 Texts with equal sets form a class; only one of each is compared. A pair of classes that meets in several buckets
 belongs to the least of them and is verified and counted only there. What comes out of the comparison is a sum per
@@ -23,15 +23,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
 from .components import components
-from .shared import small, stored
+from .shared import by_bytes, give_back, small, stored
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.995
 SMALL, DEPTH, BLOCK = 64, 3, 1024
+#: Members of all sets that a block may have on average.
+WEIGHT = 1 << 20
 _COLUMNS = 4096
 
 
@@ -82,15 +84,16 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def prepare(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """(doc_id, sig, n, p1, q2, p2, q3, p3): the class, the set's size and its paths, ``qk`` being the parents of ``pk``.
+    """(doc_id, h, sig, n, p1, q2, p2, q3, p3): a hash of the text, its class, the set's size and its paths, ``qk`` being the parents
+    of ``pk``.
 
     Paths are of the class, so of equal texts in a task only the first one carries them."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sig long, n long, p1 array<long>, " + ", ".join(f"q{k} array<long>, p{k} array<long>" for k in range(2, DEPTH + 1))
-    names = ["doc_id", "sig", "n", "p1", *(f"{c}{k}" for k in range(2, DEPTH + 1) for c in "qp")]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, sig long, n long, p1 array<long>, " + ", ".join(f"q{k} array<long>, p{k} array<long>" for k in range(2, DEPTH + 1))
+    names = ["doc_id", "h", "sig", "n", "p1", *(f"{c}{k}" for k in range(2, DEPTH + 1) for c in "qp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in by_bytes(batches, 1):
             w, at = textvec.words(b.column(1).to_pylist())
             sets = textvec.shingle_sets(w, at, SHINGLE)
             known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -100,35 +103,40 @@ def prepare(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
             for x, s in zip(sigs, sets, strict=True):
                 found.append(paths(s[:0] if x is None or x in seen else s, threshold, runs))
                 seen.add(x)
-            cols = [b.column(0), pa.array(sigs, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([f[0] for f in found])]
+            cols = [b.column(0), b.column(2), pa.array(sigs, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([f[0] for f in found])]
             for k in range(DEPTH - 1):
                 cols += [_lists([np.ascontiguousarray(f[1][k][:, c]) for f in found]) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, sig, size) of all buckets to compare: small ones of each depth, and whatever is left at the last."""
+    """(bucket, sig, blocks) of all buckets to compare: small ones of each depth, and whatever is left at the last."""
     some = rows.where("sig is not null")
-    level = some.select(F.explode("p1").alias("bucket"), "sig").distinct()
+    level = some.select(F.explode("p1").alias("bucket"), "sig", "n").distinct()
     out = None
     for k in range(1, DEPTH + 1):
         level = stored(level, f"level{k}")
-        sizes = stored(level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{k}")
+        sizes = stored(level.groupBy("bucket").agg(F.count("*").alias("size"), blocks_for(F.count("*"), F.sum("n")).alias("blocks")).where("size > 1"), f"sizes{k}")
         done = sizes if k == DEPTH else sizes.where(F.col("size") <= SMALL)
-        part = level.join(done, "bucket")
+        part = level.join(done.select("bucket", "blocks"), "bucket").select("bucket", "sig", "blocks")
         out = part if out is None else out.unionAll(part)
         if k < DEPTH:
             split = small(sizes.where(F.col("size") > SMALL).select(F.col("bucket").alias("parent")))
             pairs = F.explode(F.arrays_zip(F.col(f"q{k + 1}").alias("parent"), F.col(f"p{k + 1}").alias("bucket"))).alias("x")
-            level = some.select(pairs, "sig").select("x.parent", "x.bucket", "sig").join(split, "parent", "left_semi").select("bucket", "sig").distinct()
+            level = some.select(pairs, "sig", "n").select("x.parent", "x.bucket", "sig", "n").join(split, "parent", "left_semi").select("bucket", "sig", "n").distinct()
     return out
 
 
+def blocks_for(size: Column, weight: Column) -> Column:
+    """In how many blocks to compare a bucket of ``size`` sets with ``weight`` members together."""
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(weight / WEIGHT)).cast("int")
+
+
 def _in_blocks(found: DataFrame) -> DataFrame:
     """Each member of a bucket once for each pair of blocks that its own block is in: (bucket, bi, bj, blk, sig)."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    n = F.col("blocks")
     blk = F.pmod(F.xxhash64("sig"), n).cast("int")
     keyed = found.select("bucket", "sig", blk.alias("blk"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
     return keyed.select("bucket", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "sig")
@@ -171,10 +179,16 @@ def _owned(bucket: int, blk: np.ndarray, bi: int, bj: int, n: np.ndarray, lists:
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """How many members each two of the sets share."""
     m = len(sets)
+    if max(map(len, sets)) >= 1 << 24:
+        both = np.zeros((m, m), np.int64)
+        for i in range(m):
+            for j in range(i + 1, m):
+                both[i, j] = both[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return both
     if m == 2:
         x = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.array([[0, x], [x, 0]])
-    out = np.zeros((m, m), np.int64)
+    out = np.zeros((m, m), np.float32)  # exact below 2**24
     flat = np.concatenate(sets)
     if not len(flat):
         return out
@@ -191,7 +205,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
         lo, hi = np.searchsorted(column, [a, a + _COLUMNS])
         x = np.zeros((m, min(_COLUMNS, int(column[-1]) + 1 - a)), np.float32)
         x[owner[lo:hi], column[lo:hi] - a] = 1
-        out += np.rint(x @ x.T).astype(np.int64)
+        out += x @ x.T
     return out
 
 
@@ -272,6 +286,7 @@ def _candidates(blocks: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], names=names)
                 held = [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], names=names)
+        give_back()
 
     kinds, names = (pa.int64(), pa.int32(), pa.int32(), pa.int64()), ["bucket", "bi", "bj", "sig"]
     return blocks.select("bucket", "bi", "bj", "blk", "sig", "n", "lists").mapInArrow(run, "bucket long, bi int, bj int, sig long")
@@ -294,6 +309,7 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
             if found.full():
                 yield found.rows()
         yield found.rows()
+        give_back()
 
     return blocks.select("bucket", "bi", "bj", "blk", "sig", "n", "lists", "mult", "members").mapInArrow(run, "sig long, links long, other long")
 
@@ -302,7 +318,7 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sig, members) of the classes in ``wanted`` (doc_id, sig): their sets, read from one of their documents again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 0):
             w, at = textvec.words(b.column(0).to_pylist())
             sets = textvec.shingle_sets(w, at, SHINGLE)
             sig = b.column(1).to_pylist()
@@ -315,7 +331,7 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def compare(found: DataFrame, known: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(sig, links, other) of all pairs that share a bucket: sums of links where ``other`` is null, else edges.
 
-    ``found``: (bucket, sig, size). ``known``: (sig, n, mult, lists), the sizes of the sets (or 1 where they are not
+    ``found``: (bucket, sig, blocks). ``known``: (sig, n, mult, lists), the sizes of the sets (or 1 where they are not
     known yet), their weights and their buckets in order. ``fetch`` gives (sig, members) for a table of ``sig``."""
     parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
 
@@ -326,8 +342,8 @@ def compare(found: DataFrame, known: DataFrame, fetch: Callable[[DataFrame], Dat
     near = stored(_candidates(dealt(_in_blocks(found).join(known, "sig")), threshold), "candidates")
     members = fetch(stored(near.select("sig").distinct(), "wanted"))
     full = near.join(stored(members, "members"), "sig").join(known, "sig")
-    large = found.where(F.col("size") > BLOCK).select("bucket", "size").distinct()
-    n = F.ceil(F.coalesce(F.col("size"), F.lit(1)) / BLOCK).cast("int")
+    large = found.where("blocks > 1").select("bucket", "blocks").distinct()
+    n = F.coalesce("blocks", F.lit(1))
     full = full.join(small(stored(large, "large")), "bucket", "left").withColumn("blk", F.pmod(F.xxhash64("sig"), n).cast("int"))
     return stored(_verified(dealt(full), threshold), "verified")
 
@@ -342,37 +358,46 @@ def listed(found: DataFrame) -> DataFrame:
     return found.groupBy("sig").agg(F.sort_array(F.collect_set("bucket")).alias("lists"))
 
 
+def _linked(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(doc_id, h, n_links, class_id, class_h) of each row: ``h`` is a hash of its text, and the class the least (doc_id, h) that links
+    reach; nulls for rows that can't link."""
+    rows = stored(prepare(docs, threshold, runs_needed(recall)), "paths")
+    known = rows.where("sig is not null")
+    classes = stored(known.groupBy("sig").agg(F.count("*").alias("mult"), F.min(F.struct("doc_id", "h")).alias("first"), F.min("n").alias("n")).select("*", "first.doc_id"), "classes")
+    found = stored(buckets(rows), "buckets")
+    wide = stored(listed(found).join(classes.drop("first"), "sig"), "known")
+    out = compare(found, wide, lambda wanted: _members(docs, small(stored(wanted.join(classes, "sig").select("doc_id", "sig"), "sources"))), threshold)
+    links = out.where("other is null").groupBy("sig").agg(F.sum("links").alias("links"))
+    least = stored(classes.join(rooted(out), "sig").select("sig", "root", "first"), "rooted")
+    named = least.join(least.groupBy("root").agg(F.min("first").alias("head")), "root").select("sig", "head")
+    per_class = classes.join(links, "sig", "left").join(named, "sig", "left").select("sig", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("head", "first").alias("head"))
+    per_class = stored(per_class.where("n_links > 0").select("sig", "n_links", F.col("head.doc_id").alias("class_id"), F.col("head.h").alias("class_h")), "linked")
+    return rows.select("doc_id", "h", "sig").join(small(per_class), "sig", "left").drop("sig")
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, n_links, class_id, kept) of each document.
 
     ``n_links``: other documents at least ``threshold`` similar. ``class_id``: the least id reachable by links, the own
     one included. ``kept``: whether it is that document."""
-    rows = stored(prepare(docs, threshold, runs_needed(recall)), "paths")
-    classes = stored(rows.where("sig is not null").groupBy("sig").agg(F.count("*").alias("mult"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-    found = stored(buckets(rows), "buckets")
-    known = stored(listed(found).join(classes, "sig"), "known")
-    out = compare(found, known, lambda wanted: _members(docs, small(stored(wanted.join(classes, "sig").select("doc_id", "sig"), "sources"))), threshold)
-    links = out.where("other is null").groupBy("sig").agg(F.sum("links").alias("links"))
-    least = stored(classes.join(rooted(out), "sig").select("sig", "root", "doc_id"), "rooted")
-    named = least.join(least.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("sig", "class_id")
-    per_class = classes.join(links, "sig", "left").join(named, "sig", "left").select("sig", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    per_class = stored(per_class.where("n_links > 0"), "linked")
-    joined = rows.select("doc_id", "sig").join(small(per_class), "sig", "left")
     own = F.coalesce("class_id", "doc_id")
-    return joined.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("class_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return _linked(docs, threshold, recall).select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("class_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The documents, with all their columns, without those that are linked, directly or not, with one of a lesser id.
 
-    Rows that repeat an id and its text stay once."""
-    result = stored(join(docs, threshold, recall), "joined")
-    gone = small(stored(result.where("not kept").select("doc_id").distinct(), "gone"))
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = result.where("kept and n_links > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = stored(again, "again")
+    Rows are told apart by their id and text, so that of rows that repeat an id only those go whose text has a lesser one; rows that
+    repeat both stay once."""
+    result = stored(_linked(docs, threshold, recall).where("n_links > 0").withColumn("stays", (F.col("doc_id") == F.col("class_id")) & (F.col("h") == F.col("class_h"))), "joined")
+    text_hash = F.xxhash64("text")
+    gone = small(stored(result.where("not stays").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "gone"))
+    is_gone = lambda df: (df["doc_id"] == gone["_id"]) & (text_hash == gone["_h"])
+    rest = docs.join(gone, is_gone(docs), "left_anti").select(*docs.columns)
+    again = stored(result.where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).count().where("count > 1").select("_id", "_h"), "again")
     if again.isEmpty():
         return rest
     again = small(again)
-    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(once.select(*docs.columns))
+    same = (rest["doc_id"] == again["_id"]) & (text_hash == again["_h"])
+    once = rest.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(again, same, "left_anti").select(*docs.columns).unionAll(once.select(*docs.columns))

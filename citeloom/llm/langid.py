@@ -7,7 +7,7 @@ whose two nearest codewords lie close is flagged as ambiguous.
 
 Up to ``EXHAUSTIVE`` languages use all distinct two-way splits, more use random codewords chosen for their distance.
 The classifiers are fitted to a bounded sample (``MAX_ROWS`` texts a language in the order of a hash of the id, with
-at most ``MAX_CHARS`` in total), cut into pieces of several lengths so that short texts are known too; every text is
+at most ``MAX_CHARS`` in total, long ones by a stretch out of their middle), cut into pieces of several lengths so that short texts are known too; every text is
 predicted whole.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for all texts if there is no
@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
+from .shared import by_bytes
 from .toxicity import held_out
 
 SIZES, BUCKETS = (2, 3), 1 << 13
@@ -142,21 +143,35 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def training_rows(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """The bounded sample of labelled texts, as many of each language at most."""
-    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
+    """The bounded sample of labelled texts, as many of each language at most, read in one scan.
+
+    ``MAX_ROWS`` texts a language come first in the order of a hash; while they are found, each task keeps no more than that of
+    each. All of them together have ``MAX_CHARS`` characters at most: every language has an equal share and every one of its texts
+    an equal part of that, so that a language of nothing but long texts is learned too. A longer text gives a stretch out of its
+    middle."""
     open_rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keyed = open_rows.select("doc_id", "lang", F.length("text").alias("n"), F.xxhash64("doc_id", F.lit(SEED)).alias("key"))
-    langs = sorted(r["lang"] for r in keyed.select("lang").distinct().collect())
-    ids: list = []
-    for lang in langs:
-        left = MAX_CHARS // len(langs)
-        for r in keyed.where(F.col("lang") == lang).orderBy("key", "doc_id").limit(MAX_ROWS).collect():
-            if r["n"] <= left:
-                left -= r["n"]
-                ids.append(r["doc_id"])
-    table = F.broadcast(spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], T.StructType([T.StructField("doc_id", id_type)])))
-    got = sorted((r["doc_id"], r["lang"], r["text"]) for r in open_rows.select("doc_id", "lang", "text").join(table, "doc_id").collect())
-    return [r[2] for r in got], [r[1] for r in got]
+    keyed = open_rows.select("lang", F.struct(F.xxhash64("doc_id", "text", F.lit(SEED)).alias("key"), F.xxhash64("text").alias("h")).alias("x")).distinct()
+    per_lang = keyed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("x"))).where(F.col("place") <= MAX_ROWS).select("lang", "x.*")
+    picked = [tuple(r) for r in per_lang.collect()]
+    langs = {lang for lang, _, _ in picked}
+    if not langs:
+        return [], []
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("key", T.LongType()), T.StructField("h", T.LongType())])
+    table = F.broadcast(docs.sparkSession.createDataFrame(picked, schema))
+    piece = max(1, MAX_CHARS // len(langs) // MAX_ROWS)
+    n = F.length("text")
+    middle = F.when(n <= 4 * piece, F.col("text")).otherwise(F.substring(F.col("text"), (F.floor(n / 2) - 2 * piece).cast("int"), F.lit(4 * piece)))
+    same = F.xxhash64("doc_id", "text", F.lit(SEED)).alias("key")
+    found = open_rows.select("lang", same, F.xxhash64("text").alias("h"), middle.alias("text")).join(table, ["lang", "key", "h"]).dropDuplicates(["lang", "key", "h"])
+    left = dict.fromkeys(langs, MAX_CHARS // len(langs))
+    texts, names = [], []
+    for _, lang, text in sorted((r["key"], r["lang"], r["text"]) for r in found.collect()):
+        some = text[: left[lang]]
+        if some:
+            left[lang] -= len(some)
+            texts.append(some)
+            names.append(lang)
+    return texts, names
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -165,7 +180,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
+        for b in by_bytes(batches, 1):
             lang, score, unsure = m.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 

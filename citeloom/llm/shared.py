@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast; what is larger goes through a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side that may be broadcast, as Spark holds it in memory; what is larger goes through a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of text that a kernel works on at a time.
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +41,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has no more than ``rows`` rows, else as it is. ``df`` should be stored."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _held(df: DataFrame) -> int:
+    """About the bytes of a stored table as rows in memory: 16 a field, and what its strings, binaries and arrays hold."""
+    width = 16 * (len(df.columns) + 1)
+    sizes = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: 16 * F.size(c)}
+    varying = [F.coalesce(sizes[f.dataType.typeName()](F.col(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in sizes]
+    per_row = sum(varying, F.lit(width))
+    return df.agg(F.coalesce(F.sum(per_row.cast("long")), F.lit(0)).alias("n")).first()["n"]
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it holds no more than ``most`` bytes, else as it is. ``df`` should be stored."""
+    return F.broadcast(df) if _held(df) <= most else df
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes in a column of strings, one row at least; memory is given back at the end."""
+    try:
+        for b in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < b.num_rows:
+                done = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+                yield b.slice(at, to - at)
+                at = to
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return what this worker process has freed to the system, as workers live for many tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
 
 
 def drop_shared(spark: SparkSession) -> None:

@@ -1,8 +1,8 @@
 """Substring dedup: paragraphs by MinHash banding, with pieces of paragraphs for passages set into other text.
 
-A paragraph is a line. Those of at least ``LEAST_WORDS`` words get MinHash signatures over runs of five words, in
-``BANDS`` bands of ``ROWS`` (recall 1 - (1 - 0.8**2)**5 = 0.994 at the threshold); paragraphs that collide in a band are
-compared by exact Jaccard similarity, and connected components cluster them. A passage may also stand in the
+A paragraph is a line. Those of at least ``LEAST_WORDS`` words, which is all that have a run of five, get MinHash signatures over such
+runs, in bands of ``ROWS``; there are as many bands as bring a pair at the threshold together with the target recall (``bands_for``).
+Paragraphs that collide in a band are compared by exact Jaccard similarity, and connected components cluster them. A passage may also stand in the
 middle of a paragraph, where the paragraph around it differs. So each line is cut where a word's hash is the least
 among its ``RADIUS`` neighbours on either side: cuts depend on nearby words only, so the same passage is cut alike
 wherever it stands; pieces of equal words form a class.
@@ -18,11 +18,12 @@ it. This is decided for each paragraph and piece by itself, and what goes must b
 piece inside a paragraph that goes is not kept there, so its class is kept by the least document beside those.
 
 Defined results: null and empty texts have no spans; rows with a null id are left out; what repeats only within one
-id does not count. An empty table gives an empty result.
+id does not count. Ids are integers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,12 +31,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import chosenpath, textvec
-from .shared import small, stored
+from .shared import by_bytes, small, stored
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 5, 2
-LEAST_WORDS, RADIUS, LEAST_PIECE, SPAN, LONG_SPAN = 20, 5, 3, 18, 40
+SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99, 2
+LEAST_WORDS, RADIUS, LEAST_PIECE, SPAN, LONG_SPAN = SHINGLE, 5, 3, 18, 40
+
+
+def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
+    """Bands of ``rows`` minima that let a pair at the threshold collide in one at least with the target recall."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+
+
+BANDS = bands_for(THRESHOLD, RECALL)
 #: Kinds of units: the last only tell where lines are.
 PIECE, PARAGRAPH, RUN, LINE = range(4)
 NONE = np.iinfo(np.int64).max
@@ -162,7 +172,7 @@ def _units(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "line", "start", "words", "sig", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             u = units(b.column(1).to_pylist())
             if not u:
                 continue
@@ -181,7 +191,7 @@ def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sig, members) of the paragraphs in ``wanted`` (doc_id, sigs), read from their documents again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 0):
             w, at, n_lines = _lines(b.column(0).to_pylist())
             long = np.flatnonzero(np.diff(at) >= LEAST_WORDS)
             out: dict[int, bytes] = {}
@@ -203,7 +213,7 @@ def _passages(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     names = ["doc_id", "line", "start", "words", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             w, at, n_lines = _lines(b.column(1).to_pylist())
             after = np.cumsum(n_lines)
             ends, first_line = at[after], after - n_lines
@@ -243,9 +253,9 @@ def _clusters(docs: DataFrame, every: DataFrame) -> DataFrame:
     """(sig, keeper) of the paragraphs whose cluster is in several documents."""
     lines = every.where("bands is not null")
     classes = stored(lines.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "paragraphs")
-    banded = stored(lines.select(F.explode("bands").alias("bucket"), "sig").distinct(), "bands")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    found = stored(banded.join(small(stored(sizes, "band-sizes")), "bucket"), "band-members")
+    banded = stored(lines.select(F.explode("bands").alias("bucket"), "sig", "words").distinct(), "bands")
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size"), chosenpath.blocks_for(F.count("*"), F.sum("words")).alias("blocks")).where("size > 1")
+    found = stored(banded.join(small(stored(sizes.select("bucket", "blocks"), "band-sizes")), "bucket").select("bucket", "sig", "blocks"), "band-members")
     known = chosenpath.listed(found).select("sig", F.lit(1).alias("n"), F.lit(1).alias("mult"), "lists")
 
     def fetch(wanted: DataFrame) -> DataFrame:
@@ -354,6 +364,8 @@ def spans(docs: DataFrame) -> DataFrame:
 
     ``class_id`` is the document that keeps the span; where parts have several, the least. The span is removed elsewhere."""
     kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"doc_id must be an integer, not {kind.simpleString()}")
     every = stored(_units(docs), "units")
     repeated = every.where("bands is null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sig")
     repeated = stored(repeated, "repeated")  # grows with the input, so it is never broadcast

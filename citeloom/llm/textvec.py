@@ -31,17 +31,23 @@ _powers: list[np.ndarray] = []
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        m = max(n, GROUP + 65536)
-        both = []
-        for b in (_BASE, _BASE_INV):
-            x = np.full(m, b, dtype=np.uint64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        _powers[:] = both
+    kept = GROUP + 65536
+    if n > kept:
+        return _power_table(n)
+    if not _powers:
+        _powers[:] = _power_table(kept)
     return _powers[0][:n], _powers[1][:n]
 
 
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    tables = []
+    for b in (_BASE, _BASE_INV):
+        x = np.full(n, b, dtype=np.uint64)
+        x[0] = 1
+        tables.append(np.multiply.accumulate(x))
+    return tables[0], tables[1]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over all bits."""
     x = x ^ (x >> np.uint64(31))

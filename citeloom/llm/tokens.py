@@ -8,7 +8,7 @@ of a row is stable where ``docs`` is a stored table; it only orders rows that ar
 
 The tokenizer's file is a parameter. Of one whose normalizer and word pattern are those of ``KNOWN_SPLIT``, texts are cut into
 words on whole byte arrays, and each different word goes to the tokenizer's model once; words are
-remembered exactly, by their bytes, and at most ``REMEMBERED`` of them a worker. With any other file whole
+remembered exactly, by their bytes, within the bounds of ``REMEMBERED`` and ``REMEMBERED_BYTES`` a worker. With any other file whole
 texts go to the tokenizer.
 
 Defined results: a null text has only the end id; null ids come first; rows that repeat an id keep an order given by
@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokencoder
-from .shared import new_path, small, stored
+from .shared import give_back, new_path, small, stored
 
-END_ID, SEGMENT, REMEMBERED, SLICE = 1, 1 << 20, 400_000, 1 << 20
+END_ID, SEGMENT, SLICE = 1, 1 << 20, 1 << 20
+#: Words, and bytes of long words and ids, that a worker remembers.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 16 << 20
 #: How a tokenizer must normalize and split for words to be cut on bytes.
 KNOWN_SPLIT = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -77,6 +79,7 @@ class _Words:
         self.keys = np.empty((0, 3), np.uint64)
         self.others: dict[bytes, int] = {}
         self.at, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.held = 0
 
     def __len__(self) -> int:
         return len(self.at) - 1
@@ -118,11 +121,13 @@ class _Words:
         first = len(self)
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
         self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+        self.held = max(self.held, self.flat.nbytes)
         return first
 
     def add_others(self, words: list[bytes], ids: list[list[int]]) -> None:
         first = self._extend(ids)
         self.others.update(zip(words, range(first, first + len(words)), strict=True))
+        self.held += sum(map(len, words))
 
 
 class Encoder:
@@ -180,7 +185,7 @@ class Encoder:
     def _some(self, held: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
         raw = b"\n".join([t for _, t in held])
         start, length, plain = _cut(raw)
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > REMEMBERED or self.words.held > REMEMBERED_BYTES:
             self.words.clear()
         number = self._numbers(raw, start, length, plain)
         size = self.words.at[number + 1] - self.words.at[number]
@@ -324,6 +329,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
                         held, held_ids, sizes, n, seg = [], [], [], 0, seg + 1
         if held:
             yield segment()
+        give_back()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
+from .shared import by_bytes
 
 SIZES, BUCKETS, DIM, WINDOW = (3, 4, 5), 1 << 18, 8, 8
 MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 1_500, 8_000_000
@@ -190,26 +191,28 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str | None], list[int]]:
-    """The bounded sample: texts and labels, in the order of a hash of the id."""
+    """The bounded sample: texts and labels, in the order of a hash of the id and the text.
+
+    At most ``MAX_TRAIN_ROWS`` rows a label come to the driver, each with at most its label's share of ``MAX_TRAIN_CHARS``, whatever
+    ids repeat; of these the first are fitted that have ``MAX_TRAIN_CHARS`` together."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    ranked = known.where(~held_out(F.col("doc_id"))).withColumn("key", F.xxhash64("doc_id", F.lit(SEED)))
-    picked = None
+    open_rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
+    rows = open_rows.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(known, "doc_id").where(F.col("n") <= MAX_TRAIN_CHARS)
+    order = F.struct(F.xxhash64("doc_id", "h", F.lit(SEED)).alias("key"), "doc_id", "h", "n")
+    least = rows.groupBy("toxic", order.alias("x")).agg(F.count("*").alias("times"))
+    picked: list[tuple] = []
     for label in (0, 1):
-        some = ranked.where(F.col("toxic") == label).orderBy("key", "doc_id").limit(MAX_TRAIN_ROWS)
-        picked = some if picked is None else picked.unionAll(some)
-    rows = [(r["doc_id"], r["toxic"], r["key"]) for r in picked.collect()]
-    spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType
-    table = spark.createDataFrame(rows, T.StructType([T.StructField("doc_id", id_type), T.StructField("toxic", T.IntegerType()), T.StructField("key", T.LongType())]))
-    found = docs.select("doc_id", "text").join(F.broadcast(table), "doc_id")
-    sizes = sorted((r["key"], r["doc_id"], r["n"]) for r in found.select("key", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).distinct().collect())
-    left, ids = MAX_TRAIN_CHARS, []
-    for _, i, n in sizes:
+        some = least.where(F.col("toxic") == label).orderBy("x").limit(MAX_TRAIN_ROWS).collect()
+        picked += [(*r["x"], label) for r in some]
+    left, chosen = MAX_TRAIN_CHARS, []
+    for key, i, h, n, label in sorted(picked):
         if n <= left:
-            ids.append(i)
             left -= n
-    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("doc_id", id_type)])))
-    got = sorted(((r["key"], r["doc_id"], r["toxic"], r["text"]) for r in found.join(wanted, "doc_id").collect()), key=lambda r: (r[0], r[1], r[2], r[3] or ""))
+            chosen.append((i, h, key, label))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("h", T.LongType()), T.StructField("key", T.LongType()), T.StructField("toxic", T.IntegerType())])
+    table = F.broadcast(docs.sparkSession.createDataFrame(chosen, schema))
+    found = open_rows.withColumn("h", F.xxhash64("text")).join(table, ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "toxic"])
+    got = sorted(((r["key"], r["doc_id"], r["toxic"], r["text"]) for r in found.collect()), key=lambda r: (r[0], r[1], r[2], r[3] or ""))
     return [r[3] for r in got], [r[2] for r in got]
 
 
@@ -221,12 +224,13 @@ def with_scores(docs: DataFrame, model: Model, keep_below: float | None = None)
     """``docs`` with a column ``score`` (one of that name is replaced); with ``keep_below``: only rows that score less, without it."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop("score") if keep_below is None else docs
+    at = base.columns.index("text")
     schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]) if keep_below is None else base.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
-            s = m.scores(b.column(b.schema.get_field_index("text")).to_pylist())
+        for b in by_bytes(batches, at):
+            s = m.scores(b.column(at).to_pylist())
             if keep_below is None:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
             else:
