@@ -1,12 +1,13 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are joined on shared runs of ``SEED`` words. For each pair that shares one, running
-Karp-Rabin finds the runs of words that both hold: seeds with equal rolling hashes, extended along their
-diagonal. The longest run becomes a tile and its words are marked on both sides; what remains of the others
-is tried again, longest first, until none of at least ``SEED`` words is left. An item leaks into a document if
-tiles cover at least ``COVERAGE`` of the item's words, in whatever order its passages stand.
-
-The benchmark is the query set: it is read in blocks of at most ``BLOCK_WORDS`` words, each of which goes
+Documents and benchmark items are joined on shared runs of ``SEED`` words. Each pair that shares some is tiled by running
+Karp-Rabin: rolling hashes give every run of the present search length on both sides, runs with equal hashes are joined, verified and
+followed to their ends, and the longest matches whose words are all unmarked become tiles, marked on both sides. The
+search length goes up to the longest match while that is more than twice as long, then down to ``SEED``; matches are looked for again among
+unmarked words each time. An item leaks into a document if tiles cover at least ``COVERAGE`` of the item's words, in
+whatever order its passages stand.
+
+The benchmark is the query set: it is read in blocks of about ``BLOCK_CHARS`` characters, each of which goes
 to the executors and meets all documents; documents are read once a block and never shuffled.
 
 Defined results: an item of fewer than ``SEED`` words must occur as a whole run; items and documents without words
@@ -27,42 +28,83 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
+from .shared import by_bytes
 
-SEED, COVERAGE, BLOCK_WORDS = 5, 0.5, 2_000_000
+SEED, COVERAGE, SEARCH, BLOCK_CHARS, BUCKETS = 5, 0.5, 20, 8_000_000, 64
 _FILTER_BITS = 20
 
 
-def runs(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Maximal common runs (length, start in item, start in doc) from the seeds' places."""
-    order = np.lexsort((at_item, at_doc - at_item))
-    i, j = at_item[order], at_doc[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (np.diff(j - i) != 0) | (np.diff(i) != 1)
+class _Side:
+    """One side of a pair: its words, which of them are unmarked, and what gives the hash of any run of words at once."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        power, inverse = textvec.powers(len(words) + 1)
+        self.words, self.inverse = words, inverse
+        self.free = np.ones(len(words), bool)
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * power[: len(words)], out=self.sums[1:])
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of ``n`` unmarked words begin, and their hashes."""
+        marked = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(marked[n:] == marked[:-n])
+        return at, (self.sums[at + n] - self.sums[at]) * self.inverse[at]
+
+
+def scan(item: _Side, doc: _Side, n: int) -> list[tuple[int, int, int]]:
+    """Matches (length, place in item, place in doc) of at least ``n`` unmarked words, each followed to its ends."""
+    (i, hi), (j, hj) = item.runs(n), doc.runs(n)
+    order = np.argsort(hi, kind="stable")
+    i, hi = i[order], hi[order]
+    left, right = np.searchsorted(hi, hj, "left"), np.searchsorted(hi, hj, "right")
+    m = right - left
+    if not m.sum():
+        return []
+    a = i[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(left, m)]
+    b = np.repeat(j, m)
+    order = np.lexsort((a, b - a))  # matches of n words that follow each other on a diagonal are one longer match
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (np.diff(b - a) != 0) | (np.diff(a) != 1)
     first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(i))) + seed - 1
-    return [(length, a, b) for length, a, b in zip(n.tolist(), i[first].tolist(), j[first].tolist(), strict=True) if (item[a : a + length] == doc[b : b + length]).all()]
-
-
-def tiles(found: list[tuple[int, int, int]], n_item: int, n_doc: int, seed: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling: longest runs first, each without the words that earlier tiles have marked."""
-    item_free, doc_free = np.ones(n_item, bool), np.ones(n_doc, bool)
-    heap = [(-n, a, b) for n, a, b in found]
-    heapq.heapify(heap)
-    chosen = []
-    while heap and item_free.any():
-        n, a, b = heapq.heappop(heap)
-        n = -n
-        free = item_free[a : a + n] & doc_free[b : b + n]
+    length = np.diff(np.append(first, len(a))) + n - 1
+    return [(k, x, y) for k, x, y in zip(length.tolist(), a[first].tolist(), b[first].tolist(), strict=True) if (item.words[x : x + k] == doc.words[y : y + k]).all()]
+
+
+def tiles(item_words: np.ndarray, doc_words: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The greedy tiling of a pair: (length, place in item, place in doc), no word in two tiles, each of ``least`` words or more.
+
+    Of matches of one length that overlap, the one that comes first in the item, then in the document, is taken."""
+    item, doc = _Side(item_words), _Side(doc_words)
+    chosen: list[tuple[int, int, int]] = []
+    n = max(least, min(SEARCH, len(item_words)))
+    while True:
+        found = scan(item, doc, n)
+        longest = max((k for k, _, _ in found), default=0)
+        if longest > 2 * n:
+            n = longest
+            continue
+        chosen += _marked(item, doc, found, n)
+        if n == least:
+            return chosen
+        n = max(least, n // 2)
+
+
+def _marked(item: _Side, doc: _Side, found: list[tuple[int, int, int]], n: int) -> Iterator[tuple[int, int, int]]:
+    """Mark matches, longest first; of one that has lost words to a tile, parts of ``n`` words and more take their turn again."""
+    waiting = [(-k, x, y) for k, x, y in found]
+    heapq.heapify(waiting)
+    while waiting:
+        k, x, y = heapq.heappop(waiting)
+        free = item.free[x : x - k] & doc.free[y : y - k]
         if free.all():
-            item_free[a : a + n] = False
-            doc_free[b : b + n] = False
-            chosen.append((n, a, b))
+            item.free[x : x - k] = doc.free[y : y - k] = False
+            yield -k, x, y
             continue
-        edge = np.diff(free.astype(np.int8), prepend=0, append=0)
-        for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-            if e - s >= seed:
-                heapq.heappush(heap, (s - e, a + s, b + s))
-    return chosen
+        edge = np.flatnonzero(np.diff(free.astype(np.int8), prepend=0, append=0))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= n:
+                heapq.heappush(waiting, (a - b, x + a, y + a))
 
 
 @dataclass
@@ -122,20 +164,28 @@ class Block:
             np.add.at(touched, item_at[own] + n, -1)
             if np.count_nonzero(np.cumsum(touched)) < coverage * len(words):
                 continue
-            got = tiles(runs(words, doc, item_at[own], doc_at[own], n), len(words), len(doc), n)
+            got = tiles(words, doc, n)
             covered = sum(x[0] for x in got)
             if covered >= coverage * len(words):
                 yield t, k, covered, len(got), max(x[0] for x in got)
 
 
 def blocks(bench: DataFrame) -> Iterator[Block]:
-    """The benchmark in blocks of a bounded size."""
-    sized = bench.select("item_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    """The benchmark in blocks of about ``BLOCK_CHARS``: items are hashed to many more buckets than blocks, whose sizes are
+    known before any text is read, and neighbouring buckets are taken together up to that bound."""
+    sized = bench.select("item_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = 1 + total // (4 * BLOCK_WORDS)
-    for k in range(parts):
-        some = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else sized
-        yield Block.of(sorted(((r["item_id"], r["text"]) for r in some.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+    many = BUCKETS * (1 + total // BLOCK_CHARS)
+    hashed = sized.withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(many)))
+    sizes = sorted((r["bucket"], r["n"]) for r in hashed.groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+    while sizes:
+        first, n = sizes.pop(0)
+        last = first
+        while sizes and n + sizes[0][1] <= BLOCK_CHARS:
+            last, more = sizes.pop(0)
+            n += more
+        some = hashed.where(F.col("bucket").between(first, last)).collect()
+        yield Block.of(sorted(((r["item_id"], r["text"]) for r in some), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
 
 
 def leaks(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -148,7 +198,7 @@ def leaks(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Data
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in by_bytes(batches, 1):
                 x = held.value
                 rows = list(x.matches(b.column(1).to_pylist(), coverage))
                 n = [len(x.words[k]) for _, k, *_ in rows]
@@ -160,18 +210,19 @@ def leaks(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Data
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)
-    return out
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents into which no item leaks, with all their columns."""
+    at = docs.columns.index("text")
     for block in blocks(bench):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in by_bytes(batches, at):
                 keep = np.ones(b.num_rows, bool)
-                for t, *_ in held.value.matches(b.column(b.schema.get_field_index("text")).to_pylist(), coverage):
+                for t, *_ in held.value.matches(b.column(at).to_pylist(), coverage):
                     keep[t] = False
                 yield b.filter(pa.array(keep))
 

@@ -495,19 +495,51 @@ def test_many_blocks_give_the_same_leaks(spark, monkeypatch):
     items = [(i, prose(30, 9000 + i)) for i in range(12)]
     bench, d = spark.createDataFrame(items, "item_id long, text string"), docs(spark, [(i, prose(30, 9000 + i) + " x", "", "") for i in range(12)])
     one = sorted(map(str, decontam.leaks(d, bench).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 400)
     assert sorted(map(str, decontam.leaks(d, bench).collect())) == one and len(one) == 12
 
 
-def test_tiles_never_overlap():
+def greedy_tiling(a, b, least):
+    """The longest match of unmarked words, the first of equals, again and again."""
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for x in range(len(a)):
+            for y in range(len(b)):
+                k = 0
+                while x + k < len(a) and y + k < len(b) and a[x + k] == b[y + k] and free_a[x + k] and free_b[y + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, x, y)
+        if best[0] < least:
+            return out
+        k, x, y = best
+        free_a[x : x + k], free_b[y : y + k] = [False] * k, [False] * k
+        out.append(best)
+
+
+def test_tiles_are_those_of_the_greedy_tiling():
     r = np.random.default_rng(2)
-    for _ in range(50):
-        a, b = r.integers(0, 4, 40).astype(np.uint64), r.integers(0, 4, 60).astype(np.uint64)
-        i, j = np.nonzero(textvec.shingle_hashes(a, 3)[:, None] == textvec.shingle_hashes(b, 3)[None])
-        got = decontam.tiles(decontam.runs(a, b, i, j, 3), len(a), len(b), 3)
-        own, other = Counter(), Counter()
-        for n, x, y in got:
-            assert (a[x : x + n] == b[y : y + n]).all() and n >= 3
-            own.update(range(x, x + n))
-            other.update(range(y, y + n))
-        assert max(own.values(), default=1) == 1 and max(other.values(), default=1) == 1
+    for letters in (2, 4, 12):
+        for _ in range(25):
+            a, b = r.integers(0, letters, r.integers(3, 40)).astype(np.uint64), r.integers(0, letters, r.integers(3, 60)).astype(np.uint64)
+            got, want = decontam.tiles(a, b, 3), greedy_tiling(a.tolist(), b.tolist(), 3)
+            assert sorted(got) == sorted(want)
+    long = np.arange(100, dtype=np.uint64)
+    assert decontam.tiles(long, np.concatenate([long[50:], long[:50]]), 5) == [(50, 0, 50), (50, 50, 0)]
+    assert decontam.tiles(long[:2], long, 2) == [(2, 0, 0)] and decontam.tiles(long[:5], long[50:], 5) == []
+
+
+def test_leaks_equal_tiling_all_pairs(spark):
+    items = {i: prose(12 + i, 700 + i) for i in range(8)}
+    cut = lambda t, a, b: " ".join(t.split()[a:b])
+    texts = {10 * i + k: prose(15, i) + " " + x + " " + prose(9, i + 50) for i, t in items.items() for k, x in enumerate([t, cut(t, 0, 5), cut(t, 4, 30), cut(t, 6, 30) + " zz " + cut(t, 0, 6), ""])}
+    found = {(r["doc_id"], r["item_id"]): (r["n_covered"], r["n_tiles"]) for r in decontam.leaks(docs(spark, [(i, t, "", "") for i, t in texts.items()]), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    want = {}
+    for d, text in texts.items():
+        for i, item in items.items():
+            tiled = greedy_tiling(item.split(), text.split(), 5)
+            covered = sum(k for k, _, _ in tiled)
+            if covered >= 0.5 * len(item.split()):
+                want[d, i] = (covered, len(tiled))
+    assert found == want and len(want) >= 20
