@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import new_path, small, stored
 
-CHUNK, LEAST_REVISIT, HOT = 64 * 1024, 100, 100_000
+CHUNK, LEAST_REVISIT, HOT, FLUSH = 64 * 1024, 100, 100_000, 4_000_000
 DATE = "1970-01-01T00:00:00Z"
 #: The version line, and the profile of a revisit.
 VERSION = b"WARC/1.1"
@@ -68,16 +68,6 @@ def head(page: int | None, row: int | str | None, url: str | None, digest: str,
     return name, VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
-def chunks(start: bytes, payload: memoryview) -> Iterator[tuple[int, bool, bytes, str]]:
-    """(number, whether it is the last, bytes, digest so far) of a record's rows."""
-    digest = hashlib.sha256()
-    n = max(1, -(-len(payload) // CHUNK))
-    for k in range(n):
-        part = payload[k * CHUNK : (k + 1) * CHUNK]
-        digest.update(part)
-        yield k, k == n - 1, (start if k == 0 else b"") + bytes(part) + (b"\r\n\r\n" if k == n - 1 else b""), digest.hexdigest()
-
-
 def _planned(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, digest, refers_to, row): which page each one repeats, null for responses; and a number for rows
     that repeat both a page id and its payload, null for the first of them."""
@@ -85,12 +75,10 @@ def _planned(pages: DataFrame) -> DataFrame:
     hashed = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
     groups = hashed.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     groups = stored(groups, "repeated-payloads")
-    if groups.limit(HOT + 1).count() <= HOT:
-        joined = hashed.join(F.broadcast(groups), "digest", "left")
-    else:  # payloads of very many pages are few and go to all; the others are joined by their digest
-        often = F.broadcast(groups.where(F.col("n") > HOT).select("digest", F.col("first").alias("first_often")))
-        rarely = groups.where(F.col("n") <= HOT).select("digest", F.col("first").alias("first_rarely"))
-        joined = hashed.join(often, "digest", "left").join(rarely, "digest", "left").withColumn("first", F.coalesce("first_often", "first_rarely"))
+    # payloads of very many pages are few and go to all where they fit; the others are joined by their digest
+    often = stored(groups.where(F.col("n") > HOT).select("digest", F.col("first").alias("first_often")), "frequent-payloads")
+    rarely = stored(groups.where(F.col("n") <= HOT).select("digest", F.col("first").alias("first_rarely")), "other-payloads")
+    joined = hashed.join(small(often), "digest", "left").join(small(rarely), "digest", "left").withColumn("first", F.coalesce("first_often", "first_rarely"))
     planned = joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     repeats = hashed.where("page_id is not null").groupBy("page_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("page_id", "digest")
     repeats = stored(repeats, "repeated-rows")
@@ -104,29 +92,49 @@ def _planned(pages: DataFrame) -> DataFrame:
     return once.unionByName(again.drop("least")).select(*planned.columns, "row")
 
 
+def _in_parts(planned: DataFrame) -> DataFrame:
+    """(page_id, url, digest, refers_to, row, length, k, last, part): payloads in pieces of ``CHUNK`` bytes, cut before Python sees them,
+    one record's after another; a revisit has one empty piece."""
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    cut = lambda p: F.transform(
+        F.sequence(F.lit(0), F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(F.octet_length(p) / CHUNK), F.lit(1)) - 1).otherwise(0).cast("int")),
+        lambda k: F.struct(k.alias("k"), F.octet_length(p).alias("length"), F.when(F.col("refers_to").isNull(), F.substring(p, k * CHUNK + 1, F.lit(CHUNK))).alias("part")),
+    )
+    pieces = F.get(F.transform(F.array(payload), cut), F.lit(0))  # bound, so that the text is encoded once and not for each piece
+    each = planned.select("page_id", "url", "digest", "refers_to", "row", F.explode(pieces).alias("x"))
+    last = F.col("refers_to").isNotNull() | ((F.col("x.k") + 1) * CHUNK >= F.col("x.length"))
+    return each.select("page_id", "url", "digest", "refers_to", "row", "x.length", "x.k", last.alias("last"), F.coalesce("x.part", F.lit(b"")).alias("part"))
+
+
 def archive(pages: DataFrame) -> DataFrame:
-    """(record_id, chunk_no, last, data, digest) of a record for each page."""
+    """(record_id, chunk_no, last, data, digest) of a record for each page; the kernel holds one chunk of a payload at a time."""
     names = ["record_id", "chunk_no", "last", "data", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, task = 0, TaskContext.get().partitionId()
+        name, running = "", hashlib.sha256()
+        out: list[tuple] = []
+        size = 0
         for b in batches:
-            out: list[tuple] = []
-            size = 0
-            for page, url, html, digest, first, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                seen += 1
-                payload = memoryview((html or "").encode("utf-8", "surrogatepass"))
-                name, start = head(page, f"{task}/{seen}" if page is None else row, url, digest, len(payload), first)
-                for k, last, data, so_far in [(0, True, start + b"\r\n\r\n", digest)] if first is not None else chunks(start, payload):
-                    out.append((name, k, last, data, so_far))
-                    size += len(data)
-                    if size > 8_000_000:
-                        yield _batch(out, names)
-                        out, size = [], 0
-            if out:
-                yield _batch(out, names)
-
-    return _planned(pages).mapInArrow(run, "record_id string, chunk_no long, last boolean, data binary, digest string")
+            rest = zip(*(b.column(i).to_pylist() for i in range(8)), strict=True)
+            for i, (page, url, digest, first, row, length, k, last) in enumerate(rest):
+                data = b.column(8)[i].as_py()
+                start = b""
+                if k == 0:
+                    seen += 1
+                    name, start = head(page, f"{task}/{seen}" if page is None else row, url, digest, length, first)
+                    running = hashlib.sha256()
+                running.update(data)
+                so_far = running.hexdigest() if first is None else digest
+                out.append((name, k, last, start + data + (b"\r\n\r\n" if last else b""), so_far))
+                size += len(out[-1][3])
+                if size > FLUSH:
+                    yield _batch(out, names)
+                    out, size = [], 0
+        if out:
+            yield _batch(out, names)
+
+    return _in_parts(_planned(pages)).mapInArrow(run, "record_id string, chunk_no long, last boolean, data binary, digest string")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -199,7 +207,7 @@ def read(spark, path: str) -> DataFrame:  # noqa: ANN001
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_by_one = (r for b in batches for r in zip(*(c.to_pylist() if i != 3 else (x.as_py() for x in c) for i, c in enumerate(b.columns)), strict=True))
+        one_by_one = (r for b in batches for r in zip(*(c.to_pylist() if i != 3 else (x.as_py() for x in c) for i, c in enumerate(b.columns)), strict=True))  # data one by one
         held: list[tuple] = []
         for r in _checked(one_by_one):
             held.append(r)
