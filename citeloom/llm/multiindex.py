@@ -1,7 +1,7 @@
 """Embedding near-dedup with an inverted multi-index.
 
 Unit vectors are split in halves. Each half has a codebook (its size follows the number of vectors), fitted independently by k-means to
-a bounded sample (``SAMPLE`` vectors in the order of a hash of their components); the pairs of centroids are the cells
+a bounded sample (``sample_for``, in the order of a hash of the components); the pairs of centroids are the cells
 of a product grid, and every vector lies in one. A query visits cells by the multi-sequence order: ascending sum of
 the squared distances of its halves to the two centroids. How many cells it visits comes from a calibration on
 pairs planted at exactly the threshold's angle: as many as let one of the two find the other in ``RECALL`` of them.
@@ -30,13 +30,21 @@ from pyspark.sql import functions as F
 from . import chosenpath
 from .shared import small, stored
 
-THRESHOLD, SAMPLE, ROUNDS, RECALL, PROBES, BLOCK, QUERIES, SEED = 0.9, 20_000, 12, 0.995, 1_000, 2048, 16_384, 5
-LEAST_CODES, MOST_CODES = 8, 256
+THRESHOLD, ROUNDS, RECALL, PROBES, BLOCK, QUERIES, SEED = 0.9, 12, 0.995, 1_000, 2048, 16_384, 5
+#: The sample that is fitted: so many vectors a centroid, but ``SAMPLE`` at least, and no more bytes than fit the driver.
+LEAST_CODES, PER_CODE, SAMPLE, SAMPLE_BYTES = 8, 16, 20_000, 128 << 20
 
 
-def codes_for(n: int) -> int:
-    """Centroids in each codebook for ``n`` vectors: some dozens of vectors a cell on average, within limits."""
-    return int(min(MOST_CODES, max(LEAST_CODES, 2 ** round(np.log2(max(n, 1) ** 0.5 / 8)))))
+def codes_for(n: int, dim: int = 1) -> int:
+    """Centroids in each codebook for ``n`` vectors: some dozens of vectors a cell on average, as far as the largest sample can tell
+    centroids apart."""
+    most = max(LEAST_CODES, SAMPLE_BYTES // (8 * dim) // PER_CODE)
+    return int(min(most, max(LEAST_CODES, 2 ** round(np.log2(max(n, 1) ** 0.5 / 8)))))
+
+
+def sample_for(codes: int, dim: int) -> int:
+    """How many vectors are fitted."""
+    return max(1, min(max(SAMPLE, PER_CODE * codes), SAMPLE_BYTES // (8 * dim)))
 
 
 def units(raw: np.ndarray) -> np.ndarray:
@@ -50,7 +58,7 @@ def kmeans(x: np.ndarray, k: int) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     centers = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(ROUNDS):
-        near = sq_distances(x, centers).argmin(axis=1)
+        near = np.concatenate([sq_distances(x[a : a + 4096], centers).argmin(axis=1) for a in range(0, len(x), 4096)])
         n = np.bincount(near, minlength=len(centers))
         sums = np.zeros_like(centers)
         np.add.at(sums, near, x)
@@ -75,8 +83,7 @@ class Index:
         away -= (away * q).sum(axis=1)[:, None] * q
         away /= np.maximum(np.sqrt((away * away).sum(axis=1)), 1e-300)[:, None]
         planted = threshold * q + np.sqrt(max(0.0, 1 - threshold**2)) * away
-        places = [(self.order(x) == self.cells(y)[:, None]).argmax(axis=1) for x, y in ((q, planted), (planted, q))]
-        self.visits = int(np.quantile(np.minimum(*places), RECALL, method="higher")) + 1
+        self.visits = int(np.quantile(np.minimum(self.places(q, planted), self.places(planted, q)), RECALL, method="higher")) + 1
 
     def _tables(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return sq_distances(x[:, : self.half], self.books[0]), sq_distances(x[:, self.half :], self.books[1])
@@ -85,10 +92,16 @@ class Index:
         a, b = self._tables(x)
         return a.argmin(axis=1) * self.columns + b.argmin(axis=1)
 
-    def order(self, x: np.ndarray) -> np.ndarray:
-        """All cells of the grid in the multi-sequence order; for the calibration."""
+    def places(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many cells come before the cell of ``y`` in the multi-sequence order of ``x``, row by row. They are counted, not listed:
+        for each centroid of one half those of the other whose sum with it is less."""
         a, b = self._tables(x)
-        return np.argsort((a[:, :, None] + b[:, None, :]).reshape(len(x), -1), axis=1, kind="stable")
+        cell = self.cells(y)
+        out = np.empty(len(x), np.int64)
+        for k in range(len(x)):
+            i, j = divmod(int(cell[k]), self.columns)
+            out[k] = np.searchsorted(np.sort(b[k]), a[k, i] + b[k, j] - a[k], "left").sum()
+        return out
 
     def visited(self, x: np.ndarray) -> list[np.ndarray]:
         """For each query the cells that it visits, by multi-sequence traversal: both lists of centroids are sorted, and of
@@ -134,8 +147,8 @@ def _placed(classes: DataFrame, index: Index, kind: np.dtype) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value
         for big in batches:
-            for a in range(0, big.num_rows, 1024):
-                b = big.slice(a, 1024)
+            for a in range(0, big.num_rows, 256):
+                b = big.slice(a, 256)
                 x = units(np.frombuffer(b"".join(b.column(2).to_pylist()), kind).reshape(b.num_rows, -1))
                 cell, seen = ix.cells(x), ix.visited(x)
                 at, row, query, cells = [], [], [], []
@@ -233,8 +246,8 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     out = None
     for dim, n in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         own = classes.where(F.col("dim") == dim)
-        sample = np.frombuffer(b"".join(bytes(r["raw"]) for r in own.select("sig", "raw").orderBy("sig").limit(SAMPLE).collect()), kind).reshape(-1, dim)
-        index = Index(units(sample), codes_for(n), threshold)
+        sample = np.frombuffer(b"".join(bytes(r["raw"]) for r in own.select("sig", "raw").orderBy("sig").limit(sample_for(codes_for(n, dim), dim)).collect()), kind).reshape(-1, dim)
+        index = Index(units(sample), codes_for(n, dim), threshold)
         part = _search(_deal(stored(_placed(own, index, kind), "placed")), kind, threshold)
         out = part if out is None else out.unionAll(part)
     if out is None:
@@ -247,3 +260,37 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = rows.select("vec_id", "sig").join(small(stored(linked, "vector-linked")), "sig", "left")
     own = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def measured_recall(vectors: DataFrame, found: DataFrame, every: int = 50, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(links found, links there are) of the vectors whose id is divisible by ``every``, by brute force over all vectors.
+
+    The queries go to the executors in blocks of ``QUERIES``; nothing is joined. ``found`` is ``near_copies(vectors)``."""
+    rows, kind = _vectors(vectors)
+    rows = stored(rows.where("sig is not null"), "all-vectors")
+    asked = rows.where(F.col("vec_id") % every == 0)
+    total = 0
+    parts = 1 + asked.count() // QUERIES
+    for k in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("vec_id", "sig"), F.lit(parts)) == k).collect()
+        by_dim: dict[int, list[bytes]] = {}
+        for r in some:
+            by_dim.setdefault(r["dim"], []).append(bytes(r["raw"]))
+        held = vectors.sparkSession.sparkContext.broadcast({d: units(np.frombuffer(b"".join(x), kind).reshape(-1, d)) for d, x in by_dim.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            n = 0
+            for big in batches:
+                for a in range(0, big.num_rows, 256):
+                    b = big.slice(a, 256)
+                    dims = b.column(0).to_numpy()
+                    for d in np.unique(dims).tolist():
+                        if d in held.value:
+                            raw = b.column(1).filter(pa.array(dims == d))
+                            x = units(np.frombuffer(b"".join(raw.to_pylist()), kind).reshape(-1, d))
+                            n += int((x @ held.value[d].T >= threshold).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+        total += rows.select("dim", "raw").mapInArrow(run, "n long").agg(F.sum("n").alias("n")).first()["n"] - len(some)
+    got = found.where(F.col("vec_id") % every == 0).agg(F.coalesce(F.sum("n_links"), F.lit(0)).alias("n")).first()["n"]
+    return got, total
