@@ -14,13 +14,22 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("audit", help="segment, parse and verify the bibliographies of laid-out text files")
     a.add_argument("papers")
+    a.add_argument("--pdf", action="store_true", help="the papers are PDF files (needs pdftotext on the executors)")
     a.add_argument("--mirror", help="the publications table")
     a.add_argument("--out", default="out")
     a.add_argument("--no-verify", action="store_true")
     a.add_argument("--parity", action="store_true", help="only what a text index would have retrieved")
+    a.add_argument("--offline", action="store_true", help="ask the mirror only")
+    a.add_argument("--disable-dbs", default="", help="backends not to ask, by comma")
+    a.add_argument("--retry-degraded", type=int, default=0, metavar="ROUNDS", help="ask again about citations for which a backend failed")
+    a.add_argument("--rate-limit-retries", type=int, default=2)
+    a.add_argument("--mailto", default="", help="an address for the services' logs")
+    a.add_argument("--s2-api-key", default="")
+    a.add_argument("--openalex-api-key", default="")
     i = sub.add_parser("ingest", help="build the publications table from an XML dump")
     i.add_argument("dump")
     i.add_argument("--out", required=True)
+    i.add_argument("--least", type=int, default=1_000_000, help="refuse a load of fewer publications")
     i.add_argument("--work", required=True, help="a folder for the dump with its entities resolved")
     for name in ("worklist", "status", "report"):
         t = sub.add_parser(name)

@@ -6,6 +6,7 @@ import json
 import unicodedata
 from collections.abc import Callable
 from functools import cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -143,12 +144,32 @@ def full_key(raw: Column) -> Column:
     return plain_title(F.regexp_replace(_text(raw), r"\((\d{4})[a-z]\)", "($1)"))
 
 
+@cache
+def _entities() -> str:
+    return json.dumps({f"&{n}": c for n, c in html5.items() if n.endswith(";")})
+
+
+def unescaped(text: Column) -> Column:
+    """Named and numbered character references as the characters they stand for, each resolved once."""
+    named = F.from_json(F.lit(_entities()), "map<string,string>")
+    code = lambda e, at, base: F.conv(F.substring(e, F.lit(at), F.length(e) - at), base, 10).cast("long")
+    number = lambda e: F.when(F.lower(e).startswith("&#x"), code(e, 4, 16)).when(e.startswith("&#"), code(e, 3, 10))
+    letter = lambda n: F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    meaning = lambda e: F.coalesce(F.element_at(named, e), letter(number(e)), e)
+    last = lambda e: F.struct((meaning(e) == "&").alias("amp"), e.alias("e"))  # an ampersand that comes out must not begin another
+
+    def resolve(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"), 0))
+        ordered = F.transform(F.array_sort(F.transform(found, last)), lambda x: x["e"])
+        return F.aggregate(ordered, t, lambda so_far, e: F.replace(so_far, e, meaning(e)))
+
+    return F.when(text.contains("&") & text.contains(";"), let(text, resolve)).otherwise(text)
+
+
 def plain(text: Column) -> Column:
-    """Without markup, with the common entities resolved and white space collapsed."""
-    out = F.regexp_replace(_text(text), "<[^>]{1,40}>", "")
-    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(c))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Without markup, with character references resolved and white space collapsed."""
+    out = unescaped(F.regexp_replace(_text(text), "<[^>]{1,40}>", ""))
+    return F.trim(F.regexp_replace(out, "[\\s\u00a0]+", " "))
 
 
 def is_retracted_title(title: Column) -> Column:

@@ -54,9 +54,11 @@ def facts(pub: DataFrame) -> DataFrame:
     return pub.agg(F.count("*").alias("publication_count")).crossJoin(n).withColumn("complete", (F.col("accented") > 0) | (F.col("author_count") < FEWEST_NAMES))
 
 
-def check_load(pub: DataFrame) -> None:
-    """Refuse a load whose names have lost their accents."""
+def check_load(pub: DataFrame, least: int = 0) -> None:
+    """Refuse a load whose names have lost their accents, or that has fewer publications than a whole dump."""
     f = facts(pub).first()
+    if f["publication_count"] < least:
+        raise ValueError(f"{f['publication_count']} publications where a whole dump has {least} at least")
     if f["publication_count"] > GATE_PUBLICATIONS and not f["accented"]:
         raise ValueError(f"{f['publication_count']} publications and no accented author: the dump's entities were lost")
 

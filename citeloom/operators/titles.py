@@ -104,15 +104,28 @@ def and_retrieval(items: DataFrame, pub: DataFrame, item: str = "ref_id", title:
     word = pub.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     asked = items.select(F.col(item).alias("item"), F.slice(groups(F.col(title)), 1, MOST_GROUPS).alias("gs")).where(F.size("gs") >= LEAST_TOKENS)
     each = asked.select("item", "gs", F.posexplode("gs").alias("g", "group"))
-    ways = each.select("item", "gs", "g", F.explode(F.array_distinct(F.array(F.col("group.joined"), F.element_at("group.parts", 1)))).alias("word"))
+    ways = each.select("item", "g", F.explode(F.array_distinct(F.array(F.col("group.joined"), F.element_at("group.parts", 1)))).alias("word"))
     cost = ways.join(word, "word", "left").groupBy("item", "g").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"))
     rarest = cost.groupBy("item").agg(F.min(F.struct("cost", "g")).alias("x")).select("item", F.col("x.g").alias("g"))
-    held = pub.select(F.col("id").alias("pub_id"), "tokens", F.explode(F.array_distinct("tokens")).alias("word"))
-    pairs = ways.join(rarest, ["item", "g"]).join(held, "word")
-    return pairs.where(F.forall("gs", lambda x: holds_group(F.col("tokens"), x))).select("item", "pub_id").distinct()
+    posted = pub.select(F.col("id").alias("pub_id"), F.explode(F.array_distinct("tokens")).alias("word"))
+    met = ways.join(rarest, ["item", "g"]).select("item", "word").join(posted, "word").select("item", "pub_id").distinct()
+    held = pub.select(F.col("id").alias("pub_id"), "tokens")
+    return met.join(held, "pub_id").join(asked, "item").where(F.forall("gs", lambda x: holds_group(F.col("tokens"), x))).select("item", "pub_id")
 
 
-def _keys(full: Column, head: Column) -> Column:
+def phrase_retrieval(items: DataFrame, pub: DataFrame, item: str = "ref_id", title: str = "title") -> DataFrame:
+    """(item, pub_id) where a record's title holds one of the item's phrases. Phrases and titles meet on the word of the phrase that
+    fewest titles hold; then the whole phrase is tested."""
+    word = pub.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    asked = items.select(F.col(item).alias(item), F.explode(phrases(F.col(title))).alias("phrase"))
+    rarest = asked.select(item, "phrase", F.explode("phrase").alias("word")).join(word, "word", "left").groupBy(item, "phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x"))
+    posted = pub.select(F.col("id").alias("pub_id"), F.explode(F.array_distinct("tokens")).alias("word"))
+    met = rarest.select(item, "phrase", F.col("x.word").alias("word")).join(posted, "word").select(item, "phrase", "pub_id")
+    held = pub.select(F.col("id").alias("pub_id"), "tokens")
+    return met.join(held, "pub_id").where(holds_phrase(F.col("tokens"), F.col("phrase"))).select(item, "pub_id").distinct()
+
+
+def title_keys(full: Column, head: Column) -> Column:
     """A title's keys; a head that is the whole title is none of its own, so no pair of titles meets twice."""
     head = F.when(head != full, head).otherwise("")
     some = F.array(F.struct(full.alias("key"), F.lit(False).alias("is_head")), F.struct(head.alias("key"), F.lit(True).alias("is_head")))
@@ -125,8 +138,8 @@ def candidates(refs: DataFrame, pub: DataFrame, parity: bool = False) -> DataFra
     One equi-join on the letters: a whole title meets a whole title or a head, two heads don't meet. ``parity`` keeps only
     what a text index would have retrieved, its fallback queries only where the primary ones gave nothing."""
     asked = refs.where(queryable(F.col("title"))).withColumn("loc", N.locators(F.col("raw"), F.col("doi")))
-    cited = asked.withColumn("_k", F.explode(_keys(N.letters(F.col("title")), N.subtitle_head(F.col("title")))))
-    held = pub.select(F.struct(*pub.columns).alias("rec"), F.explode(_keys(F.col("title_full"), F.col("title_head"))).alias("_r"))
+    cited = asked.withColumn("_k", F.explode(title_keys(N.letters(F.col("title")), N.subtitle_head(F.col("title")))))
+    held = pub.select(F.struct(*pub.columns).alias("rec"), F.explode(title_keys(F.col("title_full"), F.col("title_head"))).alias("_r"))
     met = cited.join(held, (F.col("_k.key") == F.col("_r.key")) & ~(F.col("_k.is_head") & F.col("_r.is_head"))).drop("_k", "_r")
     if not parity:
         return met
@@ -145,6 +158,11 @@ def choice_order(rec: str = "rec", loc: str = "loc") -> list[Column]:
     return [is_preprint(c("venue")), *(~x for x in N.located(F.col(loc), c("ee"), c("pages"), c("volume"), c("number"), c("year"))), c("id")]
 
 
+def first_choice(found: DataFrame) -> DataFrame:
+    """(ref_id, id) of the candidate to show first; a reduction, so nothing is sorted."""
+    return found.groupBy("ref_id").agg(F.min_by("rec.id", F.struct(*choice_order())).alias("id"))
+
+
 def ranked(found: DataFrame) -> DataFrame:
     """Candidates with ``rank``, 1 being the one to show first."""
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("ref_id").orderBy(*choice_order())))
@@ -183,8 +201,9 @@ def nearest(refs: DataFrame, pub: DataFrame, most: int = NEAREST_CANDIDATES) ->
     cost = ways.join(word, "word", "left").groupBy("ref_id", "miss", "g").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"), F.collect_set("word").alias("words"))
     place = F.row_number().over(Window.partitionBy("ref_id").orderBy("cost", "g"))
     prefix = cost.withColumn("_p", place).where(F.col("_p") <= F.col("miss") + 1).select("ref_id", F.explode("words").alias("word")).distinct()
-    held = pub.select(F.col("id").alias("pub_id"), "tokens", N.title_words(F.col("title")).alias("words"), F.col("venue"), F.explode(F.array_distinct("tokens")).alias("word"))
-    met = prefix.join(held, "word").dropDuplicates(["ref_id", "pub_id"]).join(asked, "ref_id")
+    posted = pub.select(F.col("id").alias("pub_id"), F.explode(F.array_distinct("tokens")).alias("word"))
+    held = pub.select(F.col("id").alias("pub_id"), "tokens", N.title_words(F.col("title")).alias("words"), "venue")
+    met = prefix.join(posted, "word").select("ref_id", "pub_id").distinct().join(held, "pub_id").join(asked, "ref_id")
     enough = F.size(F.filter("gs", lambda x: holds_group(F.col("tokens"), x))) >= F.size("gs") - F.col("miss")
     close = (F.abs(F.size("words") - F.size("want")) <= NEAREST_EDITS) & (F.size(F.array_intersect("want", "words")) >= F.size(F.array_distinct("want")) - NEAREST_EDITS)
     scored = met.where(enough & close).withColumn("edits", word_edits(F.col("want"), F.col("words"))).where("edits >= 0")

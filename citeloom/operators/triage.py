@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, textnorm as N
 from .mirror import latest
+from .rollup import severity_table
 
 #: Verdict categories with their severity, and the vocabularies of the signals.
 SEVERITY = {"real-published": "low", "real-grey-literature": "low", "real-preprint-or-unpublished": "low", "partial-match": "medium", "likely-hallucinated": "high", "unclear": "-"}
@@ -171,6 +172,34 @@ def report_lines(refs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return each.select("paper_id", place.alias("place"), "line")
 
 
+def rollup_lines(refs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(place, line): the Markdown roll-up over all papers, those with the gravest findings first. A verdict about another text doesn't
+    count. Papers are numbered within their severity, so that no task holds more than the order of the report needs."""
+    texts = refs.select("paper_id", "number", "raw")
+    live = verdicts.join(texts, ["paper_id", "number"]).where(~is_stale(F.col("ref_hash"), F.col("raw")))
+    flagged = severity_table(live).select("paper_id", "high", "medium", "other")
+    n = F.count_if(needs_triage(F.col("status")))
+    every = refs.groupBy("paper_id").agg(F.count("*").alias("refs"), n.alias("open")).join(flagged, "paper_id", "left").na.fill(0, ["high", "medium", "other"])
+    cell = lambda c: F.col(c).cast("string")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("paper_id"), *map(cell, ("refs", "open", "high", "medium", "other"))), F.lit(" |"))
+    place = F.concat_ws("/", F.lit("1"), *(F.lpad((F.lit(10**9) - F.col(c)).cast("string"), 10, "0") for c in ("high", "medium", "other")), N.natural_key(F.col("paper_id")))
+    head = refs.sparkSession.createDataFrame([("0/0", "# Papers"), ("0/1", ""), ("0/2", "| Paper | References | To triage | High | Medium | Other |"), ("0/3", "|-|-|-|-|-|-|")], "place string, line string")
+    return head.unionByName(every.select(place.alias("place"), row.alias("line")))
+
+
+def sheet_lines(refs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(paper_id, place, line): the verification sheet, one row for each flagged citation with what a person needs to look it up."""
+    v = verdicts.where(F.col("category").isin("likely-hallucinated", "partial-match", "unclear")).select("paper_id", "number", "category", "finding", "signals", "ref_hash")
+    live = refs.join(v, ["paper_id", "number"]).where(~is_stale(F.col("ref_hash"), F.col("raw")))
+    cell = lambda c: F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "), F.lit("|"), F.lit("\\|"))
+    asked = F.concat(F.lit("https://www.google.com/search?q="), F.url_encode(F.coalesce("title", "raw", F.lit(""))))
+    cells = [F.concat(F.lit("#"), F.col("number").cast("string")), cell(F.coalesce("title", "raw")), severity(F.col("category")), F.col("category"), cell(signals_line(F.col("signals"))), cell(F.col("finding")), asked]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = live.select("paper_id", (F.col("number") + 2).cast("long").alias("place"), row.alias("line"))
+    head = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("place"), F.lit("| Reference | Title | Severity | Category | Signals | Finding | Search |").alias("line")), F.struct(F.lit(1).cast("long").alias("place"), F.lit("|-|-|-|-|-|-|-|").alias("line"))))
+    return live.select("paper_id").distinct().select("paper_id", head.alias("x")).select("paper_id", "x.*").unionByName(rows)
+
+
 def papers_in_order(papers: Sequence[str]) -> list[str]:
     """Paper ids with digits by value; for the few that a report lists."""
     import re

@@ -22,6 +22,8 @@ LOCAL = ("DBLP",)
 MATCH, NO_MATCH, MISMATCH, SKIPPED = "match", "no_match", "author_mismatch", "skipped"
 FAILED = ("timeout", "error", "rate_limited")
 
+#: What backends may say of a cited identifier; the first that says anything is kept.
+INFOS = ("doi_info", "arxiv_info")
 NO_NAMES = "cast(array() as array<string>)"
 ANSWER = "ref_id string, db string, status string, found_authors array<string>, paper_url string, retracted boolean"
 
@@ -56,8 +58,38 @@ def best(judged_pairs: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Of each citation's candidates the one its verdict rests on: the first match, else the mismatch with most paired
     authors, the first of equals."""
     useful = judged_pairs.where(F.col("verdict").isin(MATCH, MISMATCH))
-    own = Window.partitionBy("ref_id").orderBy(F.col("verdict") != MATCH, F.when(F.col("verdict") == MATCH, 0).otherwise(-F.col("matched")), *order)
-    return useful.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*useful.columns), F.struct(_tier(), *order))
+    return useful.groupBy(F.col("ref_id").alias("_ref")).agg(first.alias("x")).select("x.*")
+
+
+def _tier() -> Column:
+    """A match before any mismatch, and mismatches by the number of paired authors."""
+    return F.struct(F.col("verdict") != MATCH, F.when(F.col("verdict") == MATCH, 0).otherwise(-F.col("matched")))
+
+
+def _byline_key(authors: Column) -> Column:
+    return F.unhex(F.md5(F.array_join(authors, "\x1f").cast("binary")))
+
+
+def chosen_records(refs: DataFrame, pub: DataFrame, complete: Column) -> DataFrame:
+    """(ref_id, verdict, id): of the records with a citation's title the one that its verdict rests on.
+
+    Copies of a work share title and byline, and so do citations of it. The kernel sees each pair of (title, byline) classes
+    once; a citation then meets only the records of the classes that its class can rest on, and of these nothing but what the
+    choice among them reads."""
+    none = F.expr(NO_NAMES)
+    asked = refs.where(titles.queryable(F.col("title"))).select("ref_id", N.letters(F.col("title")).alias("full"), N.subtitle_head(F.col("title")).alias("head"), F.coalesce(F.filter("authors", lambda a: a != ""), none).alias("cited"), N.locators(F.col("raw"), F.col("doi")).alias("loc"))
+    asked = asked.withColumn("c", F.struct("full", "head", _byline_key(F.col("cited")).alias("by")))
+    held = pub.select("id", "title_full", "title_head", F.coalesce("authors", none).alias("record"), "venue", "ee", "pages", "volume", "number", "year")
+    held = held.withColumn("r", F.struct("title_full", "title_head", _byline_key(F.col("record")).alias("by")))
+    works = asked.groupBy("c").agg(F.first("cited").alias("cited")).withColumn("k", F.explode(titles.title_keys(F.col("c.full"), F.col("c.head"))))
+    kinds = held.groupBy("r").agg(F.first("record").alias("record")).withColumn("l", F.explode(titles.title_keys(F.col("r.title_full"), F.col("r.title_head"))))
+    met = works.join(kinds, (F.col("k.key") == F.col("l.key")) & ~(F.col("k.is_head") & F.col("l.is_head")))
+    pairs = judged(met.select("c", "r", "cited", "record"), complete, "cited", "record").where(F.col("verdict").isin(MATCH, MISMATCH)).select("c", "r", "verdict", _tier().alias("tier"))
+    top = pairs.withColumn("least", F.min("tier").over(Window.partitionBy("c"))).where("tier = least").select("c", "r", "verdict")
+    rec = F.struct("venue", "ee", "pages", "volume", "number", "year", "id").alias("rec")
+    each = asked.select("ref_id", "c", "loc").join(top, "c").select("ref_id", "loc", "r", "verdict").join(held.select("r", rec), "r")
+    return each.groupBy("ref_id").agg(F.min_by(F.struct("verdict", "rec.id"), F.struct(*titles.choice_order())).alias("x")).select("ref_id", "x.*")
 
 
 def answers(refs: DataFrame, chosen: DataFrame, db: str, asked: Column, url: Column, found: Column, retracted: Column | None = None) -> DataFrame:
@@ -72,8 +104,11 @@ def mirror_backend(pub: DataFrame, complete: bool = True, parity: bool = False,
     """The local mirror as a backend; ``pub`` has its keys (``mirror.with_keys``)."""
 
     def ask(refs: DataFrame) -> DataFrame:
-        found = titles.candidates(refs, pub, parity)
-        chosen = best(judged(found, F.lit(complete)), titles.choice_order())
+        if parity:
+            chosen = best(judged(titles.candidates(refs, pub, parity), F.lit(complete)), titles.choice_order())
+        else:
+            record = pub.select("id", F.struct("key", "authors").alias("rec"))
+            chosen = chosen_records(refs, pub, F.lit(complete)).join(record, "id")
         return answers(refs, chosen, "DBLP", titles.queryable(F.col("title")), F.concat(F.lit(base), F.col("rec.key")), F.col("rec.authors"))
 
     return Backend("DBLP", ask)
@@ -111,8 +146,8 @@ def cascade(refs: DataFrame, backends: Sequence[Backend], disabled: Sequence[str
         got = keep(b.ask(pending))
         if done is not None:
             passed = done.select("ref_id", F.lit(b.name).alias("db"), F.lit(SKIPPED).alias("status"), F.expr(NO_NAMES).alias("found_authors"), F.lit(None).cast("string").alias("paper_url"), F.lit(False).alias("retracted"))
-            out = out.unionByName(passed)
-        out = got if out is None else out.unionByName(got)
+            out = out.unionByName(passed, allowMissingColumns=True)
+        out = got if out is None else out.unionByName(got, allowMissingColumns=True)
         matched = got.where(F.col("status") == MATCH).select("ref_id")
         done = matched if done is None else done.unionAll(matched)
         pending = keep(pending.join(matched, "ref_id", "left_anti"))
@@ -130,12 +165,14 @@ def results(refs: DataFrame, got: DataFrame) -> DataFrame:
     place = place_of(F.col("db"))
     decides = F.when(F.col("status") == MATCH, 0).when(F.col("status") == MISMATCH, 1)
     row = F.struct(place.alias("place"), "db", "status", "found_authors", "paper_url", "retracted")
+    infos = [c for c in INFOS if c in got.columns]
     per_ref = got.withColumn("_d", decides).groupBy("ref_id").agg(
+        *(F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in infos),
         F.min(F.when(F.col("_d").isNotNull(), F.struct(F.col("_d"), place.alias("_p"), "db", "found_authors", "paper_url"))).alias("top"),
         F.array_sort(F.collect_list(row)).alias("db_results"),
         F.max("retracted").alias("retracted"),
     )
-    joined = refs.join(per_ref, "ref_id", "left")
+    joined = refs.drop(*infos).join(per_ref, "ref_id", "left")
     status = F.when(F.col("top._d") == 0, "verified").when(F.col("top._d") == 1, "mismatch").otherwise("not_found")
     failed = F.transform(F.filter("db_results", lambda r: r["status"].isin(*FAILED)), lambda r: r["db"])
     out = joined.withColumns({"status": status, "source": F.col("top.db"), "found_authors": F.coalesce("top.found_authors", F.expr(NO_NAMES)), "paper_url": F.col("top.paper_url"), "failed_dbs": F.coalesce(failed, F.expr(NO_NAMES)), "retracted": F.coalesce("retracted", F.lit(False))})

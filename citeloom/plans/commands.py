@@ -4,69 +4,179 @@ from __future__ import annotations
 
 import argparse
 import time
+import uuid
+from collections.abc import Callable, Sequence
+from functools import partial
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parse as P
 from ..operators import mirror, rollup, segment, triage, verify
-from ..sources import dump, papers
+from ..sources import backends, dump, papers
 
 VERDICTS = f"paper_id string, number int, category string, finding string, signals {triage.SIGNAL_TYPE}, ref_hash string, seq long"
+MIRROR_COLUMNS = {"id", "key", "title", "authors", "year", "venue", "ee", "volume", "number", "pages", "title_full", "title_head", "tokens"}
+WHOLE_DUMP = 1_000_000
 
 
-def ingest(spark: SparkSession, path: str, out: str, work: str) -> int:
-    """Dump to publications table; a load that has lost its accents is refused and nothing is replaced."""
+# -- tables in folders -------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _files(spark, path)
+    return fs.exists(at)
+
+
+def replace(spark: SparkSession, staged: str, out: str) -> None:
+    """Put the table at ``staged`` in the place of the one at ``out``, by renaming: what was there stays beside it until the new one is
+    in place, and ``present`` finds it there if that never comes to pass."""
+    new, fs = _files(spark, staged)
+    place, old = _files(spark, out)[0], _files(spark, f"{out}.old")[0]
+    if fs.exists(place):
+        fs.delete(old, True)
+        if not fs.rename(place, old):
+            raise OSError(f"{out} can't be renamed")
+    if not fs.rename(new, place):
+        raise OSError(f"{staged} can't be renamed")
+    fs.delete(old, True)
+
+
+def present(spark: SparkSession, path: str) -> str:
+    """Where the table of ``replace`` is: in its place, or beside it after a crash."""
+    return path if _exists(spark, path) or not _exists(spark, f"{path}.old") else f"{path}.old"
+
+
+def _stored(spark: SparkSession, work: str, df: DataFrame) -> DataFrame:
+    path = f"{work}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# -- commands ----------------------------------------------------------------------------------
+
+
+def ingest(spark: SparkSession, path: str, out: str, work: str, least: int = WHOLE_DUMP) -> int:
+    """Dump to publications table; a load that is too small or has lost its accents is refused and nothing is replaced."""
     pub = mirror.ingest(dump.records(spark, dump.resolved(spark, path, f"{work}/resolved")))
     staged = f"{work}/staged"
     mirror.with_keys(pub).write.mode("overwrite").parquet(staged)
-    loaded = spark.read.parquet(staged)
-    mirror.check_load(loaded)
-    loaded.write.mode("overwrite").parquet(out)
+    mirror.check_load(spark.read.parquet(staged), least)
+    replace(spark, staged, out)
     return 0
 
 
-def audit(spark: SparkSession, lines: DataFrame, pub: DataFrame | None, parity: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(papers, references): extraction facts with their problems, and every entry with its verification and label."""
-    facts = segment.extraction(lines)
-    found = facts.join(triage.problems(facts), "paper_id")
-    refs = segment.segment(lines).withColumn("ref_id", F.concat_ws(":", "paper_id", F.col("number").cast("string")))
-    if pub is not None:
+def mirror_at(spark: SparkSession, path: str, parity: bool = False) -> tuple[verify.Backend, DataFrame | None]:
+    """The mirror as a backend, and its table; one that can't be read answers ``error`` for every citation."""
+    try:
+        pub = spark.read.parquet(present(spark, path))
+        if not set(pub.columns) >= MIRROR_COLUMNS:
+            return verify.unreadable_backend("DBLP"), None
         complete = mirror.facts(pub).first()["complete"]
-        asked = refs.where("title is not null")
-        done = verify.verify(asked, [verify.mirror_backend(pub, complete, parity)])
-        done = done.join(verify.mirror_evidence(done, pub), "ref_id", "left")
+    except PySparkException:
+        return verify.unreadable_backend("DBLP"), None
+    return verify.mirror_backend(pub, complete, parity), pub
+
+
+def audit(lines: DataFrame, asked: Sequence[verify.Backend], pub: DataFrame | None, keep: Callable[[DataFrame], DataFrame], disabled: Sequence[str] = (), rounds: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(papers, references): extraction facts with their problems, and every entry with its verification and label. Each paper is read
+    once; ``keep`` stores its argument."""
+    extracted = keep(segment.papers(lines))
+    facts = extracted.drop("entries")
+    found = facts.join(triage.problems(facts), "paper_id")
+    refs = segment.entries_of(extracted).withColumn("ref_id", F.concat_ws(":", "paper_id", F.col("number").cast("string")))
+    if asked:
+        check = partial(verify.verify, backends=asked, disabled=disabled, keep=keep)
+        titled = refs.where("title is not null")
+        done = keep(check(titled))
+        if rounds:
+            done = verify.retry_degraded(done, titled, check, rounds, keep)
+        done = keep(_dehyphenated(done, check))
+        if pub is not None:
+            done = done.join(verify.mirror_evidence(done, pub), "ref_id", "left")
+        done = done.withColumn("identifiers", _identifiers(done)).withColumn("absent_authors", triage.authors_absent(F.col("status"), F.col("authors"), F.col("found_authors")))
         refs = done.unionByName(refs.where("title is null").withColumn("status", F.lit("unparsed")), allowMissingColumns=True)
     styles = facts.select("paper_id", F.col("extraction.style").alias("style"))
     return found, refs.join(styles, "paper_id").withColumn("l", triage.label(F.col("style"), F.col("number"), F.col("raw"), F.col("authors"))).select("*", "l.label", "l.label_kind").drop("l", "style")
 
 
+def _dehyphenated(done: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Entries whose line ends may have hyphenated a word are read again without those hyphens, where they are not verified."""
+    e = P.parse_reference(F.col("alt"))
+    again = done.where("alt is not null and status <> 'verified'").select("ref_id", "raw", "doi", "arxiv_id", e.alias("e"))
+    again = again.where("e.title is not null").select("ref_id", "raw", F.coalesce("e.doi", "doi").alias("doi"), F.coalesce("e.arxiv_id", "arxiv_id").alias("arxiv_id"), "e.title", "e.authors")
+    return verify.retry_alternative(done, again, check)
+
+
+def _identifiers(done: DataFrame) -> F.Column:
+    """What the cited identifiers resolved to, where a backend that resolves them was asked."""
+    info = lambda c, name: F.col(c) if c in done.columns else F.struct(F.lit(None).cast("string").alias(name), F.lit(None).cast("boolean").alias("valid"), F.lit(None).cast("string").alias("title"))
+    return triage.identifier_evidence(F.col("title"), info("doi_info", "doi"), info("arxiv_info", "arxiv_id"))
+
+
+def _lines(spark: SparkSession, path: str, pdf: bool) -> DataFrame:
+    return papers.pdf_lines(spark, path) if pdf else papers.text_lines(spark, path)
+
+
 def _verdicts(spark: SparkSession, out: str) -> DataFrame:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/verdicts")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], VERDICTS)
-    return spark.read.schema(VERDICTS).parquet(f"{out}/verdicts")
+    return spark.read.schema(VERDICTS).parquet(f"{out}/verdicts") if _exists(spark, f"{out}/verdicts") else spark.createDataFrame([], VERDICTS)
+
+
+def run_audit(spark: SparkSession, a: argparse.Namespace) -> int:
+    work = f"{a.out}/work"
+    keep = partial(_stored, spark, work)
+    asked, pub = [], None
+    if not a.no_verify:
+        if a.mirror:
+            local, pub = mirror_at(spark, a.mirror, a.parity)
+            asked.append(local)
+        if not a.offline:
+            asked += backends.online(a.mailto, a.s2_api_key, a.openalex_api_key, keep, a.rate_limit_retries)
+    disabled = [x.strip() for x in a.disable_dbs.split(",") if x.strip()]
+    unknown = set(disabled) - set(verify.BACKENDS)
+    if unknown:
+        raise SystemExit(f"no such backend: {', '.join(sorted(unknown))}; there are {', '.join(verify.BACKENDS)}")
+    found, refs = audit(_lines(spark, a.papers, a.pdf), asked, pub, keep, disabled, a.retry_degraded)
+    for name, table in (("papers", found), ("references", refs)):
+        table.write.mode("overwrite").parquet(f"{work}/{name}")
+        replace(spark, f"{work}/{name}", f"{a.out}/{name}")
+    refs = spark.read.parquet(f"{a.out}/references")
+    found = spark.read.parquet(f"{a.out}/papers")
+    if asked:
+        papers.write_summary(rollup.status_rollup(refs), f"{a.out}/summary")
+        ran = refs.select(F.explode("db_results.db").alias("db"))
+        rollup.drift(ran, [b.name for b in asked if b.name not in disabled], verify.LOCAL, a.offline).write.mode("overwrite").json(f"{a.out}/warnings")
+    papers.write_records(papers.record_of(found, refs), f"{a.out}/records")
+    at, fs = _files(spark, work)
+    fs.delete(at, True)
+    return 4 if found.where("num_references = 0").limit(1).count() else 0
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "ingest":
-        return ingest(spark, a.dump, a.out, a.work)
+        return ingest(spark, a.dump, a.out, a.work, a.least)
     if a.command == "audit":
-        pub = None if a.no_verify or not a.mirror else spark.read.parquet(a.mirror)
-        found, refs = audit(spark, papers.text_lines(spark, a.papers), pub, a.parity)
-        found.write.mode("overwrite").parquet(f"{a.out}/papers")
-        refs.write.mode("overwrite").parquet(f"{a.out}/references")
-        if pub is not None:
-            rollup.status_rollup(spark.read.parquet(f"{a.out}/references")).coalesce(1).write.mode("overwrite").json(f"{a.out}/summary")
-        lost = spark.read.parquet(f"{a.out}/papers").where("num_references = 0").count()
-        return 4 if lost else 0
+        return run_audit(spark, a)
     refs = spark.read.parquet(f"{a.out}/references")
+    if getattr(a, "paper", None) and a.command != "record":
+        refs = refs.where(F.col("paper_id") == a.paper)
     now = triage.current(_verdicts(spark, a.out))
+    suffix = f"-{a.paper}" if getattr(a, "paper", None) else ""
     if a.command == "worklist":
-        triage.worklist(refs, now if a.pending else None, a.paper).write.mode("overwrite").json(f"{a.out}/worklist" + (f"-{a.paper}" if a.paper else ""))
+        triage.worklist(refs, now if a.pending else None).write.mode("overwrite").json(f"{a.out}/worklist{suffix}")
     elif a.command == "status":
-        rollup.progress(refs, now).orderBy("paper_id").show(1000, False)
+        rollup.progress(refs, now).write.mode("overwrite").json(f"{a.out}/status{suffix}")
     elif a.command == "report":
-        triage.report_lines(refs, now).repartitionByRange("paper_id", "place").sortWithinPartitions("paper_id", "place").select("paper_id", "line").write.mode("overwrite").partitionBy("paper_id").text(f"{a.out}/reports")
+        for name, lines in (("reports", triage.report_lines(refs, now)), ("rollup", triage.rollup_lines(refs, now)), ("sheet", triage.sheet_lines(refs, now))):
+            by = ["paper_id"] if "paper_id" in lines.columns else []
+            ordered = lines.repartitionByRange(*by, "place").sortWithinPartitions(*by, "place").select(*by, "line")
+            ordered.write.mode("overwrite").partitionBy(*by).text(f"{a.out}/{name}{suffix}")
     else:
         row = [(a.paper, a.number, a.category, a.finding, a.signals, None, time.time_ns())]
         new = spark.createDataFrame(row, VERDICTS).drop("ref_hash")

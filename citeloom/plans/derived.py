@@ -1,7 +1,8 @@
 """Publications, citations and page layouts derived from the driver's tables, each beside the SQL that derives the same.
 
-A document of enough words stands for a publication: its first words are the title, its longer words in pairs are
-its authors. Citations are publications under known corruptions, so what must come of them is known as well.
+A document with a word stands for a publication: eight words that lie evenly over all of its text are the title, and
+longer words that lie so, in pairs, are its authors. Citations are publications under known corruptions, so what must come
+of them is known as well.
 """
 
 from __future__ import annotations
@@ -22,19 +23,25 @@ def _capital(w: Column) -> Column:
     return F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))
 
 
+def _spread(words: Column, k: Column) -> Column:
+    """The ``k``-th of eight words that lie evenly over a list."""
+    return F.element_at(words, (F.floor(k * F.size(words) / 8) + 1).cast("int"))
+
+
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_words = F.regexp_extract_all("text", F.lit("[a-z]{5,}"), 0)
     d = table(spark, sf_dir, "documents").select(
         "doc_id",
         "source",
-        F.regexp_extract_all("text", F.lit(r"\S+"), 0).alias("toks"),
-        F.regexp_extract_all("text", F.lit("[a-z]{5,}"), 0).alias("ws"),
+        F.regexp_extract_all("text", F.lit(r"\p{L}{2,}"), 0).alias("toks"),
+        F.when(F.size(long_words) > 0, long_words).otherwise(F.array(F.lit("unnamed"), F.lit("author"))).alias("ws"),
     )
     i = F.col("doc_id")
-    pair = lambda k: F.concat(_capital(F.get("ws", (20 + 2 * k).cast("int"))), F.lit(" "), _capital(F.get("ws", (21 + 2 * k).cast("int"))))
-    return d.where((F.size("toks") >= 8) & (F.size("ws") >= 28)).select(
+    pair = lambda k: F.concat(_capital(_spread(F.col("ws"), 2 * k)), F.lit(" "), _capital(_spread(F.col("ws"), 2 * k + 1)))
+    return d.where(F.size("toks") > 0).select(
         i.alias("id"),
         F.concat("source", F.lit("/"), i.cast("string")).alias("key"),
-        F.array_join(F.slice("toks", 1, 8), " ").alias("title"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: _spread(F.col("toks"), k)), " ").alias("title"),
         (1990 + i % 35).cast("int").alias("year"),
         F.when(i % 7 == 0, "CoRR").otherwise(F.col("source")).alias("venue"),
         F.concat(F.lit("https://doi.org/10.1000/"), "source", F.lit("/"), i.cast("string")).alias("ee"),
@@ -47,14 +54,15 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PUB = """
-docs0 AS (SELECT doc_id, source, regexp_extract_all(text, '\\S+') AS toks, regexp_extract_all(text, '[a-z]{5,}') AS ws FROM documents),
+docs0 AS (SELECT doc_id, source, regexp_extract_all(text, '\\p{L}{2,}') AS toks, regexp_extract_all(text, '[a-z]{5,}') AS ws0 FROM documents),
+docs1 AS (SELECT *, CASE WHEN len(ws0) > 0 THEN ws0 ELSE ['unnamed', 'author'] END AS ws FROM docs0),
 pub AS (
-  SELECT doc_id AS id, source || '/' || CAST(doc_id AS VARCHAR) AS key, array_to_string(toks[1:8], ' ') AS title, CAST(1990 + doc_id % 35 AS INTEGER) AS year,
+  SELECT doc_id AS id, source || '/' || CAST(doc_id AS VARCHAR) AS key, array_to_string(list_transform(range(0, 8), lambda k: toks[1 + k * len(toks) // 8]), ' ') AS title, CAST(1990 + doc_id % 35 AS INTEGER) AS year,
          CASE WHEN doc_id % 7 = 0 THEN 'CoRR' ELSE source END AS venue, 'https://doi.org/10.1000/' || source || '/' || CAST(doc_id AS VARCHAR) AS ee, 'article' AS kind,
          CAST(doc_id % 50 + 1 AS VARCHAR) AS volume, CAST(doc_id % 12 + 1 AS VARCHAR) AS number,
          CAST(doc_id % 400 + 1 AS VARCHAR) || '-' || CAST(doc_id % 400 + 13 AS VARCHAR) AS pages,
-         list_transform(range(0, 2 + doc_id % 3), lambda k: upper(ws[21 + 2 * k][1]) || ws[21 + 2 * k][2:] || ' ' || upper(ws[22 + 2 * k][1]) || ws[22 + 2 * k][2:]) AS authors
-  FROM docs0 WHERE len(toks) >= 8 AND len(ws) >= 28)"""
+         list_transform(range(0, 2 + doc_id % 3), lambda k: upper(ws[1 + 2 * k * len(ws) // 8][1]) || ws[1 + 2 * k * len(ws) // 8][2:] || ' ' || upper(ws[1 + (2 * k + 1) * len(ws) // 8][1]) || ws[1 + (2 * k + 1) * len(ws) // 8][2:]) AS authors
+  FROM docs1 WHERE len(toks) > 0)"""
 
 #: Letters of a title in SQL: strip_accents decomposes as the fold does, strokes and ligatures are spelled out by hand.
 FOLD = "lower(strip_accents(replace(replace(replace(replace(replace(replace(replace({0}, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'Œ', 'OE'), 'Æ', 'AE'), 'ø', 'o'), 'ł', 'l')))"
@@ -113,8 +121,8 @@ def layout(pub: DataFrame) -> DataFrame:
     label = F.when(style == 0, F.concat(F.lit("["), n, F.lit("] "))).when(style == 1, F.concat(n, F.lit(". "))).otherwise(F.lit(""))
     byline = F.array_join("authors", ", ")
     first = F.concat(label, byline, F.when(style == 2, F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(")"))).otherwise(F.lit(",")))
-    second = F.concat(F.lit("      "), F.when(style == 2, F.col("title")).otherwise(F.concat(F.lit('"'), F.col("title"), F.lit(" "), n, F.lit(',"'))))
-    third = F.concat(F.lit("      in Proceedings of Things, "), F.col("year").cast("string"), F.lit("."))
+    second = F.concat(F.lit("      "), F.when(style == 2, F.concat("title", F.lit(" "), n, F.lit("."))).otherwise(F.concat(F.lit('"'), F.col("title"), F.lit(" "), n, F.lit(',"'))))
+    third = F.concat(F.lit("      in Proceedings "), n, F.lit(" of Things, "), F.col("year").cast("string"), F.lit("."))
     each = ranked.select("paper", "n", F.posexplode(F.array(first, second, third)).alias("k", "text"))
     body = each.select("paper", (2 + F.floor((F.col("n") - 1) / 10)).cast("int").alias("page_no"), (10 * F.col("n") + F.col("k")).cast("int").alias("line_no"), "text")
     heads = body.select("paper", "page_no").distinct().select("paper", "page_no", F.lit(0).alias("line_no"), F.concat(F.lit("A running title of some length about things "), F.col("page_no").cast("string")).alias("text"))
@@ -130,8 +138,8 @@ LAYOUT = (
 ranked AS (SELECT *, id // 30 AS paper, row_number() OVER (PARTITION BY id // 30 ORDER BY id) AS n, (id // 30) % 3 AS style FROM pub),
 entry AS (
   SELECT paper, n, k, CASE k WHEN 0 THEN CASE style WHEN 0 THEN '[' || n || '] ' WHEN 1 THEN n || '. ' ELSE '' END || array_to_string(authors, ', ') || CASE style WHEN 2 THEN ' (' || year || ')' ELSE ',' END
-                             WHEN 1 THEN '      ' || CASE style WHEN 2 THEN title ELSE '"' || title || ' ' || n || ',"' END
-                             ELSE '      in Proceedings of Things, ' || year || '.' END AS text
+                             WHEN 1 THEN '      ' || CASE style WHEN 2 THEN title || ' ' || n || '.' ELSE '"' || title || ' ' || n || ',"' END
+                             ELSE '      in Proceedings ' || n || ' of Things, ' || year || '.' END AS text
   FROM ranked, (VALUES (0), (1), (2)) AS x(k)),
 lines AS (
   SELECT paper, CAST(2 + (n - 1) // 10 AS INTEGER) AS page_no, CAST(10 * n + k AS INTEGER) AS line_no, text FROM entry

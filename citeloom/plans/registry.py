@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, textnorm as N
 from ..functions.parse import parse_reference
+from ..functions.register import register
 from ..operators import measure, mirror, rollup, segment, titles, triage, verify
+from ..sources import identifiers
 from . import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,14 +76,14 @@ def subtitle_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "customer").select("c_custkey", N.subtitle_head(t).alias("head"), N.without_edition(t).alias("bare"))
 
 
-@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]{1,40}>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS plain FROM pages")
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]{1,40}>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) AS plain FROM pages")
 def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", N.plain(F.col("html")).alias("plain"))
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)https?://[^\\s<>\"]+')) AS INTEGER) AS n_urls FROM pages")
+@query("SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(?i)https?://[^\\s<>\"]+'), lambda u: rtrim(u, '.,;:''’”\"‘“)]>')), ' ') AS urls FROM pages")
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "pages").select("page_id", F.size(N.urls(F.col("html"))).alias("n_urls"))
+    return D.table(spark, sf_dir, "pages").select("page_id", F.array_join(N.urls(F.col("html")), " ").alias("urls"))
 
 
 _RAW = "'Order ' || o_orderkey || ', vol. ' || (o_custkey % 40) || '(' || (o_orderkey % 12) || '), pp. ' || (o_orderkey % 300) || '–' || (o_orderkey % 300 + 9) || ', ' || year(o_orderdate) || '. doi:10.1000/' || o_orderkey || '.' || o_custkey || ', arXiv:2' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') || 'v2.'"
@@ -100,15 +104,15 @@ def cited_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_citations(spark, sf_dir).select("o_orderkey", F.array_join(F.array_sort(N.cited_years(raw)), ",").alias("years"), F.array_join(N.cited_dois(raw), ",").alias("doi"), N.arxiv_id(raw).alias("arxiv"), N.fingerprint(raw).alias("fingerprint"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 300 = o_custkey % 300 AS pages, true AS volume, true AS doi FROM orders")
+@query("SELECT o_orderkey, o_orderkey % 300 = o_custkey % 300 AS pages, o_orderkey % 2 = 0 AS volume, o_orderkey % 5 <> 0 AS doi FROM orders")
 def locator_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _order_citations(spark, sf_dir)
     s, raw, k, c = (lambda x: x.cast("string")), F.col("raw"), F.col("o_orderkey"), F.col("o_custkey")
     pages = F.concat(s(c % 300), F.lit("-"), s(c % 300 + 9))
-    ee = F.concat(F.lit("https://doi.org/10.1000/"), s(k), F.lit("."), s(c))
-    _, by_pages, by_volume, _ = N.located(N.locators(raw), ee, pages, s(c % 40), s(k % 12), F.lit(None))
-    same = (by_pages == N.pages_match(pages, raw)) & (by_volume == N.volume_match(s(c % 40), s(k % 12), pages, raw))
-    return o.where(same).select("o_orderkey", by_pages.alias("pages"), by_volume.alias("volume"), N.doi_match(ee, N.cited_dois(raw)).alias("doi"))
+    ee = F.concat(F.lit("https://doi.org/10.1000/"), s(k), F.when(k % 5 == 0, "-").otherwise("."), s(c))
+    volume, number = s(F.when(k % 2 == 0, c % 40).otherwise(c % 40 + 50)), s(k % 12)
+    by_doi, by_pages, by_volume, _ = N.located(N.locators(raw), ee, pages, volume, number, F.lit(None))
+    return o.select("o_orderkey", by_pages.alias("pages"), by_volume.alias("volume"), by_doi.alias("doi"))
 
 
 @query("SELECT p_partkey, 'paper' || lpad(CAST(p_size AS VARCHAR), 20, '0') || '-' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') AS natural_key FROM part")
@@ -117,10 +121,11 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "part").select("p_partkey", N.natural_key(name).alias("natural_key"))
 
 
-@query("SELECT s_suppkey, s_name LIKE '%@%' AS contact, CASE WHEN s_suppkey % 2 = 0 THEN 'de Vries' ELSE s_name END AS surname FROM supplier")
+@query("SELECT s_suppkey, s_suppkey % 3 = 0 AS contact, CASE WHEN s_suppkey % 2 = 0 THEN 'de Vries' ELSE s_name END AS surname FROM supplier")
 def surnames_and_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("mail@host"), F.col("s_suppkey").cast("string"), F.lit(".org"))).otherwise(F.col("s_name"))
     n = F.when(F.col("s_suppkey") % 2 == 0, F.when(F.col("s_suppkey") % 4 == 0, "de Vries, A.").otherwise("de Vries AB")).otherwise(F.col("s_name"))
-    return D.table(spark, sf_dir, "supplier").select("s_suppkey", N.is_contact(F.col("s_name")).alias("contact"), N.surname(n).alias("surname"))
+    return D.table(spark, sf_dir, "supplier").select("s_suppkey", N.is_contact(line).alias("contact"), N.surname(n).alias("surname"))
 
 
 # -- mirror (S3-S9, K1-K6, A10-A12, J16) -------------------------------------------------------
@@ -167,10 +172,10 @@ def posting_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAME = f"{D.LETTERS.format('c.title')} = {D.LETTERS.format('p.title')}"
 
 
-@query(_with(D.CITE, f"SELECT c.ref_id, p.id AS pub_id FROM cite c JOIN pub p ON {_SAME} WHERE c.variant IN ('clean', 'respaced')"))
+@query(_with(D.CITE, f"SELECT c.ref_id, p.id AS pub_id FROM cite c JOIN pub p ON {_SAME} WHERE c.variant <> 'word_changed'"))
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pub = D.publications(spark, sf_dir)
-    refs = D.citations(pub).where(F.col("variant").isin("clean", "respaced", "word_changed"))
+    refs = D.citations(pub)
     return titles.candidates(refs, mirror.with_keys(pub)).select("ref_id", F.col("rec.id").alias("pub_id"))
 
 
@@ -183,7 +188,7 @@ def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     pub = D.publications(spark, sf_dir)
     refs = D.citations(pub).where("variant = 'clean'")
-    return titles.ranked(titles.candidates(refs, mirror.with_keys(pub))).where("rank = 1").select("ref_id", F.col("rec.id").alias("pub_id"))
+    return titles.first_choice(titles.candidates(refs, mirror.with_keys(pub))).withColumnRenamed("id", "pub_id")
 
 
 @query(_with(D.CITE, f"SELECT c.ref_id, min(p.key) AS key, min(p.year) AS year, min(p.venue) AS venue FROM cite c JOIN pub p ON {_SAME} WHERE c.variant = 'clean' GROUP BY c.ref_id HAVING count(*) = 1"))
@@ -192,21 +197,72 @@ def record_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.record_context(D.citations(pub).where("variant = 'clean'"), mirror.with_meta(pub)).select("ref_id", "key", "year", "venue")
 
 
-@query()
+_TOKENS = "regexp_extract_all(lower(strip_accents(title)), '[\\p{L}\\p{N}]+')"
+_GROUPS = "list_filter(str_split(" + D.FOLD.format("title") + ", ' '), lambda w: length(w) >= 4)"
+
+
+def _asked(variant: str, title: str = "title") -> str:
+    return f"c0 AS (SELECT ref_id, {title} AS title FROM cite WHERE variant = '{variant}'), asked AS (SELECT ref_id, title, {_GROUPS}[1:10] AS gs FROM c0), held AS (SELECT id AS pub_id, title, venue, {_TOKENS} AS tokens FROM pub)"
+
+
+#: The title with its third word changed.
+_CHANGED = "array_to_string(list_concat(str_split(title, ' ')[1:2], ['Quorvexing'], str_split(title, ' ')[4:8]), ' ')"
+
+
+
+@query(_with(D.CITE + ",\n" + _asked("clean"), "SELECT ref_id, pub_id FROM asked JOIN held ON len(gs) >= 3 AND list_has_all(tokens, gs)"))
 def and_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     pub = mirror.with_keys(D.publications(spark, sf_dir))
     refs = D.citations(pub).where("variant = 'clean'")
     return titles.and_retrieval(refs, pub).select(F.col("item").alias("ref_id"), "pub_id")
 
 
-@query(_with(D.CITE, "SELECT c.ref_id, p.id AS pub_id FROM cite c JOIN pub p ON contains(' ' || array_to_string(regexp_extract_all(lower(strip_accents(p.title)), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' ' || array_to_string(regexp_extract_all(" + D.FOLD.format("replace(c.title, '-', '')") + ", '[a-z0-9]+'), ' ') || ' ') WHERE c.variant = 'clean' AND " + _SAME))
+
+
+def _padded(text: str, word: str) -> str:
+    return f"' ' || array_to_string(regexp_extract_all({text}, '{word}'), ' ') || ' '"
+
+
+_FOLDED, _UNSTROKED = _padded(D.FOLD.format("title"), "[a-z0-9]+"), _padded("lower(strip_accents(title))", "[a-z0-9]+")
+
+
+@query(
+    _with(
+        D.CITE
+        + ",\nc AS (SELECT pub_id AS ref_id, array_to_string(str_split(title, ' ')[3:6], ' ') AS title FROM cite WHERE variant = 'clean'), q AS (SELECT ref_id, "
+        + _FOLDED
+        + " AS a, "
+        + _UNSTROKED
+        + " AS b FROM c), h AS (SELECT id AS pub_id, "
+        + _padded("lower(strip_accents(title))", "[\\p{L}\\p{N}]+")
+        + " AS t FROM pub)",
+        "SELECT CAST(ref_id AS VARCHAR) AS ref_id, pub_id FROM q JOIN h ON (contains(t, a) AND len(str_split(trim(a), ' ')) >= 3) OR (contains(t, b) AND len(str_split(trim(b), ' ')) >= 3)",
+    )
+)
 def phrase_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four words out of the middle of each title, looked for in all titles."""
     pub = mirror.with_keys(D.publications(spark, sf_dir))
-    met = titles.candidates(D.citations(pub).where("variant = 'clean'"), pub)
-    return met.where(F.exists(titles.phrases(F.col("title")), lambda p: titles.holds_phrase(F.col("rec.tokens"), p))).select("ref_id", F.col("rec.id").alias("pub_id"))
+    asked = pub.select(F.col("id").cast("string").alias("ref_id"), F.array_join(F.slice(F.split("title", " "), 3, 4), " ").alias("title"))
+    return titles.phrase_retrieval(asked, pub)
+
 
+_SPELL = "array_to_string(list_transform({0}, lambda w: chr(CAST(64 + list_position(known, w) AS INTEGER))), '')"
 
-@query()
+
+@query(
+    _with(
+        D.CITE
+        + ",\n"
+        + _asked("word_changed", _CHANGED)
+        + ", met AS (SELECT ref_id, pub_id, venue, regexp_extract_all("
+        + D.FOLD.format("asked.title")
+        + ", '[a-z0-9]+') AS want, regexp_extract_all("
+        + D.FOLD.format("held.title")
+        + ", '[a-z0-9]+') AS words FROM asked JOIN held ON len(gs) >= 4 AND len(list_filter(gs, lambda g: list_contains(tokens, g))) >= len(gs) - CASE WHEN len(gs) >= 5 THEN 2 ELSE 1 END), "
+        "k AS (SELECT *, list_distinct(list_concat(want, words)) AS known FROM met), e AS (SELECT ref_id, pub_id, venue, CAST(levenshtein(" + _SPELL.format("want") + ", " + _SPELL.format("words") + ") AS INTEGER) AS edits FROM k)",
+        "SELECT ref_id, pub_id, edits, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY edits, venue = 'CoRR', pub_id) AS INTEGER) AS place FROM e WHERE edits <= 2 QUALIFY place <= 100",
+    )
+)
 def nearest_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     pub = mirror.with_keys(D.publications(spark, sf_dir))
     return titles.nearest(D.citations(pub).where("variant = 'word_changed'"), pub)
@@ -237,10 +293,17 @@ def paper_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.status_rollup(_checked(spark, sf_dir))
 
 
-@query(_with(D.CITE, "SELECT 'mirror' AS set, variant, count(*) AS n, count(*) FILTER (status = 'verified') AS hits, count(*) FILTER (status = 'mismatch') AS refused FROM cite GROUP BY variant"))
+@query(
+    _with(
+        D.CITE
+        + f",\nmet AS (SELECT c.ref_id, c.pub_id, p.id, row_number() OVER (PARTITION BY c.ref_id ORDER BY p.venue = 'CoRR', p.pages <> c.pages, p.volume <> c.volume, p.year <> c.year, p.id) AS place FROM cite c JOIN pub p ON {_SAME} "
+        "AND list_has_all(p.authors, CASE WHEN c.variant IN ('et_al', 'first_only') THEN c.authors[1:1] ELSE c.authors END) WHERE c.status = 'verified'), other AS (SELECT ref_id FROM met WHERE place = 1 AND id <> pub_id)",
+        "SELECT 'mirror' AS set, variant, count(*) AS n, count(*) FILTER (status = 'verified') AS hits, count(*) FILTER (ref_id IN (SELECT ref_id FROM other)) AS other_record, count(*) FILTER (status = 'mismatch') AS refused FROM cite GROUP BY variant",
+    )
+)
 def corruption_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = _checked(spark, sf_dir).select(F.lit("mirror").alias("set"), "variant", "key", "status", F.regexp_extract("paper_url", "rec/(.*)$", 1).alias("found_key"))
-    return rollup.scores(checked).drop("other_record")
+    return rollup.scores(checked)
 
 
 _ANSWERS = "r AS (SELECT CAST(doc_id AS VARCHAR) AS ref_id, CASE WHEN doc_id % 5 = 0 THEN 'match' WHEN doc_id % 7 = 0 THEN 'timeout' WHEN doc_id % 3 = 0 THEN 'author_mismatch' ELSE 'no_match' END AS a, CASE WHEN doc_id % 2 = 0 THEN 'match' WHEN doc_id % 11 = 0 THEN 'rate_limited' ELSE 'no_match' END AS b FROM documents)"
@@ -293,6 +356,63 @@ def retried_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.retry_degraded(first, refs, lambda r: verify.verify(r, [again])).select("ref_id", "status", "degraded")
 
 
+# -- services that are asked by identifier (B3, B4) ---------------------------------------------
+
+
+def _say_doi(url: str, accept: str) -> tuple[str, bytes]:
+    """A DOI service without a network: what it says follows from the number at the end of the DOI."""
+    n = int(url.rsplit(".", 1)[1])
+    if n % 11 == 0:
+        return "rate_limited", b""
+    record = {"DOI": f"10.1000/x.{n}"}
+    if url.startswith(identifiers.CROSSREF_WORKS):
+        return ("ok", json.dumps({"message": record | {"title": [f"A title of number {n}"], "author": [{"given": "Ann", "family": "Berg"}]}}).encode()) if n % 3 == 0 else ("not_found", b"")
+    return ("ok", json.dumps(record | {"title": f"A title of number {n}", "author": [{"literal": "Bo Ek"}]}).encode()) if n % 3 == 1 else ("not_found", b"")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS ref_id, CASE WHEN doc_id % 11 = 0 THEN 'not_found' WHEN doc_id % 3 = 0 THEN 'verified' WHEN doc_id % 3 = 1 THEN 'mismatch' ELSE 'not_found' END AS status, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 3 <> 2 END AS doi_valid, CASE WHEN doc_id % 11 = 0 THEN 'DOI' ELSE '' END AS failed_dbs FROM documents")
+def doi_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    refs = D.table(spark, sf_dir, "documents").select(i.alias("ref_id"), F.concat(F.lit("A title of number "), i).alias("title"), F.array(F.lit("A. Berg")).alias("authors"), F.concat(F.lit("10.1000/x."), i).alias("doi"))
+    return verify.verify(refs, [identifiers.doi_backend(_say_doi)]).select("ref_id", "status", F.col("doi_info.valid").alias("doi_valid"), F.array_join("failed_dbs", ",").alias("failed_dbs"))
+
+
+def _say_arxiv(url: str, accept: str) -> tuple[str, bytes]:
+    """A preprint server without a network that leaves every seventh paper out of a batch and has no fifth."""
+    asked = parse_qs(urlsplit(url).query)["id_list"][0].split(",")
+    there = [k for k in asked if int(k[-5:]) % 5 and (len(asked) == 1 or int(k[-5:]) % 7)]
+    entries = "".join(f"<entry><id>http://arxiv.org/abs/{k}v1</id><title>A title of number {int(k[-5:])}</title><author><name>Ann Berg</name></author></entry>" for k in there)
+    return "ok", f"<feed>{entries}</feed>".encode()
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS ref_id, CASE WHEN n_nationkey % 5 = 0 THEN 'not_found' ELSE 'verified' END AS status, n_nationkey % 5 <> 0 AS arxiv_valid FROM nation")
+def arxiv_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("n_nationkey").cast("string")
+    refs = D.table(spark, sf_dir, "nation").select(i.alias("ref_id"), F.concat(F.lit("A title of number "), i).alias("title"), F.array(F.lit("A. Berg")).alias("authors"), F.concat(F.lit("2001."), F.lpad(i, 5, "0"), F.lit("v3")).alias("arxiv_id"))
+    return verify.verify(refs, [identifiers.arxiv_backend(_say_arxiv)]).select("ref_id", "status", F.col("arxiv_info.valid").alias("arxiv_valid"))
+
+
+# -- SQL functions (section 2.14) ----------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({D.LETTERS.format('text')}) AS letters, md5(coalesce(CASE WHEN length(" + _WORDS.format("lower(text)") + ") >= 20 THEN " + _WORDS.format("lower(text)") + " END, '')) AS title_key, true AS agrees, false AS refused FROM documents")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    D.table(spark, sf_dir, "documents").createOrReplaceTempView("sql_functions_documents")
+    return spark.sql(
+        "SELECT doc_id, md5(title_letters(text)) AS letters, md5(coalesce(title_key(text), '')) AS title_key, "
+        "authors_match(array('A. Berg', 'et al.'), array('Ann Berg', 'Bo Ek'), true) AS agrees, authors_match(array('A. Berg', 'Mal Fake'), array('Ann Berg', 'Bo Ek'), true) AS refused FROM sql_functions_documents"
+    )
+
+
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(n AS INTEGER) AS number, array_to_string(authors, '|') AS authors FROM ranked"))
+def segment_entries_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over all papers."""
+    register(spark)
+    D.layout(D.publications(spark, sf_dir)).createOrReplaceTempView("segment_entries_lines")
+    return spark.sql("SELECT paper_id, number, array_join(authors, '|') AS authors FROM segment_entries(TABLE(SELECT paper_id, page_no, line_no, text FROM segment_entries_lines) PARTITION BY paper_id ORDER BY (page_no, line_no))")
+
+
 # -- roll-ups (G1-G14) -------------------------------------------------------------------------
 
 @query(
@@ -338,15 +458,15 @@ def backend_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- segmentation (E1-E20) ---------------------------------------------------------------------
 
 
-@query("SELECT conv_id, number FROM (SELECT conv_id, unnest(range(1, max(turn) + 1)) AS number FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id) EXCEPT SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 1")
+@query("SELECT o_custkey, number FROM (SELECT o_custkey, unnest(range(1, max(o_orderkey // 64) + 1)) AS number FROM orders GROUP BY o_custkey) EXCEPT SELECT o_custkey, o_orderkey // 64 FROM orders")
 def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = D.table(spark, sf_dir, "conversations").where("turn % 3 <> 1").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("number"))
-    return segment.missing(c).select(F.col("paper_id").alias("conv_id"), F.col("number").cast("long").alias("number"))
+    c = D.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("paper_id"), F.floor(F.col("o_orderkey") / 64).alias("number"))
+    return segment.missing(c).select(F.col("paper_id").alias("o_custkey"), F.col("number").cast("long").alias("number"))
 
 
-@query("WITH n AS (SELECT DISTINCT l_orderkey // 40 AS paper_id, l_orderkey % 40 AS number FROM lineitem WHERE l_orderkey % 40 > 3), r AS (SELECT *, lead(number, 1) OVER w AS a, lead(number, 2) OVER w AS b FROM n WINDOW w AS (PARTITION BY paper_id ORDER BY number)) SELECT paper_id, coalesce(min(number) FILTER (a = number + 1 AND b = number + 2), min(number)) AS anchor FROM r GROUP BY paper_id")
+@query("WITH n AS (SELECT DISTINCT l_orderkey // 40 AS paper_id, l_orderkey % 40 AS number FROM lineitem), r AS (SELECT *, lead(number, 1) OVER w AS a, lead(number, 2) OVER w AS b FROM n WINDOW w AS (PARTITION BY paper_id ORDER BY number)) SELECT paper_id, coalesce(min(number) FILTER (a = number + 1 AND b = number + 2), min(number)) AS anchor FROM r GROUP BY paper_id")
 def number_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = D.table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 40).alias("paper_id"), (F.col("l_orderkey") % 40).alias("number")).where("number > 3")
+    n = D.table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 40).alias("paper_id"), (F.col("l_orderkey") % 40).alias("number"))
     return segment.number_anchor(n)
 
 
@@ -367,9 +487,16 @@ def indent_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.indent_histogram(D.layout(D.publications(spark, sf_dir))).select("paper_id", "indent", "n")
 
 
-@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, 'A running title of some length about things' AS norm, count(*) AS n FROM lines WHERE line_no = 0 AND text LIKE 'A running%' GROUP BY paper HAVING count(*) > 1"))
+@query(
+    _with(
+        D.LAYOUT
+        + ",\nends AS (SELECT paper, page_no, [arg_min(text, line_no), arg_max(text, line_no)] AS two FROM lines WHERE trim(text) <> '' GROUP BY paper, page_no HAVING count(*) >= 5), "
+        "norms AS (SELECT paper, regexp_replace(regexp_replace(unnest(two), '^[0-9:.\\s]+|[0-9:.\\s]+$', '', 'g'), '\\s+', ' ', 'g') AS norm FROM ends)",
+        "SELECT 'paper' || paper AS paper_id, norm, count(*) AS n FROM norms WHERE length(norm) >= 20 AND len(regexp_extract_all(norm, '\\p{L}{2,}')) >= 3 GROUP BY paper, norm HAVING count(*) > 1",
+    )
+)
 def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.page_furniture(D.layout(D.publications(spark, sf_dir))).where("norm like 'A running%'")
+    return segment.page_furniture(D.layout(D.publications(spark, sf_dir)))
 
 
 @query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, count(*) FILTER (regexp_matches(trim(text), '^\\[[0-9]{1,3}\\]')) AS labels, count(*) FILTER (regexp_matches(trim(text), '^[0-9]{1,3}\\.? +[^ ]')) AS numeric FROM lines WHERE trim(text) <> '' GROUP BY paper"))
@@ -383,38 +510,34 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", N.head_norm(F.col("line")).alias("norm")).where("norm <> ''").groupBy("doc_id", "norm").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(n AS INTEGER) AS number, array_to_string(authors, '|') AS authors FROM ranked WHERE style < 2"))
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(n AS INTEGER) AS number, array_to_string(authors, '|') AS authors, title || ' ' || n AS title, CAST(length(raw) AS INTEGER) AS raw_length FROM ranked JOIN (SELECT paper, n, array_to_string(list(trim(regexp_replace(text, '^(\\[[0-9]+\\]|[0-9]+\\.) ', '')) ORDER BY k), ' ') AS raw FROM entry GROUP BY paper, n) USING (paper, n)"))
 def segment_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = segment.segment(D.layout(D.publications(spark, sf_dir)))
-    style = F.substring("paper_id", 6, 20).cast("long") % 3
-    return found.where(style < 2).select("paper_id", "number", F.array_join("authors", "|").alias("authors"))
+    return found.select("paper_id", "number", F.array_join("authors", "|").alias("authors"), "title", F.length("raw").alias("raw_length"))
 
 
-@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(count(*) AS INTEGER) AS num_references, CASE min(style) WHEN 0 THEN 'bracket-numeric' ELSE 'numeric' END AS style, true AS section_found FROM ranked WHERE style < 2 GROUP BY paper HAVING count(*) > 2"))
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(count(*) AS INTEGER) AS num_references, CASE min(style) WHEN 0 THEN 'bracket-numeric' WHEN 1 THEN 'numeric' ELSE 'author-year' END AS style, true AS section_found, CAST(0 AS INTEGER) AS unparsed, '' AS missing FROM ranked GROUP BY paper"))
 def extraction_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = segment.extraction(D.layout(D.publications(spark, sf_dir)))
-    style = F.substring("paper_id", 6, 20).cast("long") % 3
-    return found.where((style < 2) & (F.col("num_references") > 2)).select("paper_id", "num_references", "extraction.style", "extraction.section_found")
+    missing = F.array_join(F.col("extraction.missing_numbers").cast("array<string>"), ",")
+    return found.select("paper_id", "num_references", "extraction.style", "extraction.section_found", "extraction.unparsed", missing.alias("missing"))
 
 
-@query()
-def segment_entries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of every paper and style; no SQL, as authors of some author-year entries are not recognized."""
-    return segment.segment(D.layout(D.publications(spark, sf_dir))).select("paper_id", "number", F.array_join("authors", "|").alias("authors"))
-
-
-@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(count(*) AS INTEGER) AS num_references, CASE min(style) WHEN 0 THEN 'bracket-numeric' WHEN 1 THEN 'numeric' ELSE 'author-year' END AS style, true AS section_found FROM ranked GROUP BY paper"))
-def extraction_facts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of every paper and style."""
-    found = segment.extraction(D.layout(D.publications(spark, sf_dir)))
-    return found.select("paper_id", "num_references", "extraction.style", "extraction.section_found")
-
-
-@query(_with(D.PUB, "SELECT id, array_to_string(authors, '|') AS authors FROM pub"))
+@query(_with(D.PUB, "SELECT id, style, array_to_string(authors, '|') AS authors, title || ' ' || id AS title, '10.1000/entry.' || id AS doi FROM pub, (VALUES ('quoted'), ('year'), ('et al'), ('in brackets')) AS x(style)"))
 def parse_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each publication as an entry of four styles, to its authors, title and DOI."""
     pub = D.publications(spark, sf_dir)
-    raw = F.concat(F.array_join("authors", ", "), F.lit(', "'), "title", F.lit('," in Proceedings of Things, '), F.col("year").cast("string"), F.lit("."))
-    return pub.select("id", parse_reference(raw).alias("e")).select("id", F.array_join("e.authors", "|").alias("authors"))
+    by, year, end = F.array_join("authors", ", "), F.col("year").cast("string"), F.concat(F.lit("in Proceedings of Things, 2001, pp. 1-9. doi:10.1000/entry."), F.col("id").cast("string"))
+    title = F.concat("title", F.lit(" "), F.col("id").cast("string"))
+    entry = lambda style, *parts: F.struct(F.lit(style).alias("style"), F.concat(*parts).alias("raw"))
+    each = F.array(
+        entry("quoted", by, F.lit(', "'), title, F.lit('," '), end),
+        entry("year", by, F.lit(". "), year, F.lit(". "), title, F.lit(". "), end),
+        entry("et al", by, F.lit(", et al. "), title, F.lit(". "), end),
+        entry("in brackets", by, F.lit(" ("), year, F.lit("). "), title, F.lit(". "), end),
+    )
+    raws = pub.select("id", F.explode(each).alias("x")).select("id", "x.style", parse_reference(F.col("x.raw")).alias("e"))
+    return raws.select("id", "style", F.array_join("e.authors", "|").alias("authors"), "e.title", "e.doi")
 
 
 # -- triage (W1-W14, K9-K11) -------------------------------------------------------------------
@@ -495,10 +618,13 @@ def extraction_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- names and measurement (A1-A14, M1-M5) -----------------------------------------------------
 
 
-@query(_with(D.PUB, "SELECT id, CAST(0 AS INTEGER) AS n_absent FROM pub"))
+@query(_with(D.PUB, "SELECT id, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Zzyx Qqvor' ELSE 'Zzyx Qqvor|Xylo Quux' END AS absent FROM pub"))
 def absent_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """None, one or two names that no record has, put among the authors."""
     pub = D.publications(spark, sf_dir)
-    return pub.select("id", F.size(names.absent_authors(F.reverse("authors"), F.col("authors"))).alias("n_absent"))
+    one, two = F.array(F.lit("Zzyx Qqvor")), F.array(F.lit("Xylo Quux"))
+    cited = F.when(F.col("id") % 3 == 0, F.reverse("authors")).when(F.col("id") % 3 == 1, F.concat(one, F.col("authors"))).otherwise(F.concat(one, F.col("authors"), two))
+    return pub.select("id", F.array_join(names.absent_authors(cited, F.col("authors")), "|").alias("absent"))
 
 
 @query(_with(D.PUB, "SELECT id, len(authors) AS matched, len(authors) AS comparable FROM pub"))

@@ -7,7 +7,9 @@ here: a connector gets its ``fetch`` from outside, and tests pass recorded answe
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.parse
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -122,22 +124,106 @@ class Client:
             yield ref, status, bodies
 
 
-def backend(name: str, client: Client, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> verify.Backend:
-    """A service as a backend of the cascade. ``keep`` must store its argument (checkpoint or table), so that nothing is asked twice."""
+def backend(name: str, client: Client, keep: Callable[[DataFrame], DataFrame] = lambda df: df, forms: Callable[[Column], Column] = lambda title: F.array(title), most: int = 1) -> verify.Backend:
+    """A service as a backend of the cascade. ``keep`` must store its argument (checkpoint or table), so that nothing is asked twice.
 
-    def ask(refs: DataFrame) -> DataFrame:
+    ``forms`` are up to ``most`` ways to put a title; the next one is asked only about citations that the one before found nothing for."""
+
+    def once(refs: DataFrame, form: Column) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = ((r, t, list(a) if a is not None else []) for b in batches for r, t, a in b.itertuples(index=False))
             out = [(ref, status, i, body) for ref, status, bodies in client.ask(rows) for i, body in enumerate(bodies or [None])]
             yield pd.DataFrame(out, columns=["ref_id", "status", "pos", "body"])
 
-        got = keep(refs.select("ref_id", "title", "authors").coalesce(1).mapInPandas(run, "ref_id string, status string, pos int, body string"))
+        got = keep(refs.select("ref_id", form.alias("title"), "authors").coalesce(1).mapInPandas(run, "ref_id string, status string, pos int, body string"))
         failed = got.where("status <> ''").select("ref_id", "status")
         return verify.table_backend(name, candidates(name, got.where("body is not null")), failed=failed).ask(refs)
 
+    def ask(refs: DataFrame) -> DataFrame:
+        out = None
+        pending = refs
+        for k in range(most):
+            form = F.get(forms(F.col("title")), F.lit(k))
+            got = keep(once(pending.where(form.isNotNull()) if k else pending, form))
+            if out is not None:
+                out = out.join(got.select("ref_id"), "ref_id", "left_anti").unionByName(got)
+            else:
+                out = got
+            if k + 1 < most:
+                pending = refs.join(got.where(F.col("status") == verify.NO_MATCH).select("ref_id"), "ref_id", "left_semi")
+        return out
+
     return verify.Backend(name, ask)
 
 
+# -- requests ----------------------------------------------------------------------------------
+
+#: Where the services are, and the list in each one's answer that holds the works.
+SEARCH = {"CrossRef": "https://api.crossref.org/works", "OpenAlex": "https://api.openalex.org/works", "Semantic Scholar": "https://api.semanticscholar.org/graph/v1/paper/search"}
+
+
+def crossref_url(title: str, authors: list[str], mailto: str = "") -> str:
+    asked = {"query.bibliographic": title, "rows": CROSSREF_ROWS}
+    if authors:
+        asked["query.author"] = " ".join(authors[:CROSSREF_AUTHORS])
+    return f"{SEARCH['CrossRef']}?{urllib.parse.urlencode(asked | ({'mailto': mailto} if mailto else {}))}"
+
+
+def openalex_url(title: str, api_key: str = "") -> str:
+    """The title travels in quotes, without the marks that would end it."""
+    plain = " ".join(title.translate({ord(c): " " for c in "\"'`´‘’‚‛“”„‟′″«»?,"}).split())
+    return f"{SEARCH['OpenAlex']}?{urllib.parse.urlencode({'filter': f'title.search:"{plain}"', 'per-page': CROSSREF_ROWS} | ({'api_key': api_key} if api_key else {}))}"
+
+
+def s2_url(title: str) -> str:
+    return f"{SEARCH['Semantic Scholar']}?{urllib.parse.urlencode({'query': title, 'limit': CROSSREF_ROWS, 'fields': 'title,authors,externalIds,url'})}"
+
+
+def works_in(name: str, answer: object) -> list[str] | None:
+    """The works in an answer as JSON texts; None where the list is missing, as that is no answer."""
+    holder = answer.get("message") if name == "CrossRef" and isinstance(answer, dict) else answer
+    works = holder.get({"CrossRef": "items", "OpenAlex": "results", "Semantic Scholar": "data"}[name]) if isinstance(holder, dict) else None
+    if works is None and name == "Semantic Scholar" and isinstance(holder, dict) and holder.get("total") == 0:
+        works = []
+    return [json.dumps(w) for w in works] if isinstance(works, list) else None
+
+
+def searching(name: str, ask: Callable[[str], tuple[str, object]], url: Callable[[str, list[str]], str]) -> Callable[[str, list[str]], list[str]]:
+    """``Client``'s ``fetch`` for a service that is searched over HTTP; ``ask`` is ``Http.json`` or what a test puts in its place."""
+
+    def fetch(title: str, authors: list[str]) -> list[str]:
+        outcome, answer = ask(url(title, authors))
+        if outcome == "rate_limited":
+            raise Refused
+        if outcome == "timeout":
+            raise TimeoutError
+        works = works_in(name, answer) if outcome == "ok" else None
+        if works is None:
+            raise ValueError(f"{name} gave no list of works")
+        return works
+
+    return fetch
+
+
+def online(mailto: str = "", s2_key: str = "", openalex_key: str = "", keep: Callable[[DataFrame], DataFrame] = lambda df: df, retries: int = 2) -> list[verify.Backend]:
+    """All services in the order of the cascade. Without a key the paced one is not asked at all."""
+    from . import identifiers
+    from .http import Http
+
+    agent = f"citeloom (mailto:{mailto})" if mailto else "citeloom"
+    crossref, openalex = Http(agent, retries=retries), Http(agent, retries=0)
+    out = [
+        backend("CrossRef", Client(searching("CrossRef", crossref.json, lambda t, a: crossref_url(t, a, mailto))), keep, N.query_forms, 2),
+        identifiers.doi_backend(Http(agent, timeout=60, retries=retries).get, keep),
+        identifiers.arxiv_backend(Http(agent, pace=3.0, retries=retries).get, keep),
+        backend("OpenAlex", Client(searching("OpenAlex", openalex.json, lambda t, _: openalex_url(t, openalex_key)), give_up=OPENALEX_REFUSALS, retries=0), keep, N.query_forms_with_head, 3),
+    ]
+    if s2_key:
+        keyed = Http(agent, retries=retries, pace=S2_PACE)
+        out.append(backend("Semantic Scholar", Client(searching("Semantic Scholar", keyed.json, lambda t, _: s2_url(t))), keep))
+    return out
+
+
 def lead_similarity(cited: Column, found: Column) -> Column:
     """How alike two titles are, by matching blocks; ranks leads for a human and confirms nothing."""
     return _ratio(N.plain_title(cited), N.plain_title(found))

@@ -1,8 +1,9 @@
-"""XML dumps of publications: named entities resolved first, then Spark's XML reader, one row tag a kind.
+"""XML dumps of publications: named entities and record tags resolved first, then one pass of Spark's XML reader.
 
 Spark's reader drops a whole record that holds a named entity it does not know, so the entities become numeric
-references before it sees them. That runs over lines in parallel, needs no state over chunks (an entity never
-spans lines) and writes through Spark, so any store will do.
+references before it sees them; and it reads one row tag, so every kind of publication becomes a ``record`` with its kind as an
+attribute. That runs over lines in parallel, needs no state over chunks (neither an entity nor a tag spans lines) and writes
+through Spark, so any store will do. A gzip dump can't be split: its resolution is one task, what follows is not.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ KINDS = ("article", "inproceedings", "proceedings", "book", "incollection", "phd
 VENUES = {"article": "journal", "inproceedings": "booktitle", "incollection": "booktitle", "proceedings": "booktitle", "book": "publisher", "phdthesis": "school", "mastersthesis": "school"}
 _ENTITY = re.compile(r"&([A-Za-z][A-Za-z0-9]*);")
 _BUILT_IN = {"amp", "lt", "gt", "quot", "apos"}
+_OPENS, _CLOSES = re.compile(rf"<({'|'.join(KINDS)})(?=[\s>])"), re.compile(rf"</(?:{'|'.join(KINDS)})>")
 _ONE, _MANY = T.StringType(), T.ArrayType(T.StringType())
 
 
@@ -29,36 +31,40 @@ def resolve(text: str) -> str:
     return _ENTITY.sub(lambda m: m[0] if m[1] in _BUILT_IN or m[1] not in name2codepoint else f"&#{name2codepoint[m[1]]};", text)
 
 
+def uniform(text: str) -> str:
+    """Publications of all kinds under one tag."""
+    return _CLOSES.sub("</record>", _OPENS.sub(r'<record kind="\1"', text))
+
+
 def resolved(spark: SparkSession, path: str, to: str, encoding: str = "ISO-8859-1") -> str:
-    """Write the dump at ``path`` (gzip or plain) to ``to`` with its entities resolved, in UTF-8."""
+    """Write the dump at ``path`` (gzip or plain) to ``to`` with its entities and tags resolved, in UTF-8."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"value": [re.sub(r"(?<=encoding=[\"'])[^\"']+", "UTF-8", resolve(x), count=1) if x.startswith("<?xml") else resolve(x) for x in b["value"]]})
+            plain = [uniform(resolve(x)) for x in b["value"]]
+            yield pd.DataFrame({"value": [re.sub(r"(?<=encoding=[\"'])[^\"']+", "UTF-8", x, count=1) if x.startswith("<?xml") else x for x in plain]})
 
     lines = spark.read.option("lineSep", "\n").option("encoding", encoding).text(path)
     lines.mapInPandas(run, "value string").write.mode("overwrite").text(to)
     return to
 
 
-def schema(kind: str) -> T.StructType:
-    fields = [("_key", _ONE), ("author", _MANY), ("editor", _MANY), ("title", _ONE), ("year", T.IntegerType()), (VENUES[kind], _ONE), ("volume", _ONE), ("number", _ONE), ("pages", _ONE), ("ee", _MANY)]
+def schema() -> T.StructType:
+    venues = dict.fromkeys(VENUES.values())
+    fields = [("_key", _ONE), ("_kind", _ONE), ("author", _MANY), ("editor", _MANY), ("title", _ONE), ("year", T.IntegerType()), *((v, _ONE) for v in venues), ("volume", _ONE), ("number", _ONE), ("pages", _ONE), ("ee", _MANY)]
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, key, title, authors, editors, year, venue, ee, kind, volume, number, pages) of all publications of a resolved
-    dump; home pages and other records are not read. ``ordinal`` follows the dump within a kind."""
-    out = None
-    for i, kind in enumerate(KINDS):
-        df = spark.read.format("xml").option("rowTag", kind).schema(schema(kind)).load(path)
-        some = df.where("_key is not null").select(
-            (F.lit(i).cast("long") * F.lit(1 << 60) + F.monotonically_increasing_id()).alias("ordinal"),
-            F.col("_key").alias("key"), "title", F.col("author").alias("authors"), F.col("editor").alias("editors"), "year", F.col(VENUES[kind]).alias("venue"),
-            F.get("ee", F.lit(0)).alias("ee"), F.lit(kind).alias("kind"), "volume", "number", "pages",
-        )
-        out = some if out is None else out.unionByName(some)
-    return out
+    dump; home pages and other records are not read. ``ordinal`` follows the dump."""
+    df = spark.read.format("xml").option("rowTag", "record").schema(schema()).load(path)
+    venue = F.coalesce(*(F.when(F.col("_kind") == k, F.col(v)) for k, v in VENUES.items()))
+    return df.where("_key is not null").select(
+        F.monotonically_increasing_id().alias("ordinal"),
+        F.col("_key").alias("key"), "title", F.col("author").alias("authors"), F.col("editor").alias("editors"), "year", venue.alias("venue"),
+        F.get("ee", F.lit(0)).alias("ee"), F.col("_kind").alias("kind"), "volume", "number", "pages",
+    )
 
 
 def newest_month(year: int, month: int, back: int = 6) -> list[tuple[int, int]]:

@@ -63,6 +63,21 @@ def references(papers: DataFrame) -> DataFrame:
     )
 
 
+def record_of(papers: DataFrame, refs: DataFrame) -> DataFrame:
+    """One record (``RECORD``) a paper from its extraction (with ``problems``) and its references."""
+    there = lambda c, kind: F.col(c) if c in refs.columns else F.lit(None).cast(kind)
+    result = "array<struct<db:string,status:string,found_authors:array<string>,paper_url:string>>"
+    results = F.transform("db_results", lambda r: F.struct(r["db"].alias("db"), r["status"].alias("status"), r["found_authors"].alias("found_authors"), r["paper_url"].alias("paper_url"))) if "db_results" in refs.columns else F.lit(None).cast(result)
+    found = there("found_authors", "array<string>")
+    verified = F.struct(there("status", "string").alias("status"), there("degraded", "boolean").alias("degraded"), there("source", "string").alias("source"), found.alias("found_authors"), there("paper_url", "string").alias("paper_url"), there("retracted", "boolean").alias("retracted"), there("failed_dbs", "array<string>").alias("failed_dbs"), results.alias("db_results"))
+    parsed = F.when(F.col("title").isNotNull(), F.struct("title", "authors", "doi", "arxiv_id"))
+    one = F.struct(F.col("number").alias("original_number"), F.col("raw").alias("raw_citation"), parsed.alias("parsed"), "label", "label_kind", F.when(there("status", "string").isNotNull(), verified).alias("db_verification"))
+    each = refs.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(F.col("number").alias("n"), one.alias("r")))).alias("x")).select("paper_id", F.transform("x", lambda x: x["r"]).alias("references"))
+    ext = F.struct("extraction.*", "problems")
+    whole = papers.join(each, "paper_id", "left")
+    return whole.select(F.lit(1).alias("schema_version"), "paper_id", F.lit(None).cast("string").alias("pdf_path"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("audited_at"), "num_references", ext.alias("extraction"), F.coalesce("references", F.array()).alias("references"))
+
+
 def write_records(papers: DataFrame, path: str) -> None:
     """One JSON document a paper, in a folder of its own; Spark's commit makes the write atomic."""
     papers.write.mode("overwrite").partitionBy("paper_id").json(path)
