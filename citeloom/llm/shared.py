@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a side that may be broadcast, as Spark holds it in memory; what is larger goes through a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -42,11 +43,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def _held(df: DataFrame) -> int:
-    """About the bytes of a stored table as rows in memory: 16 a field, and what its strings, binaries and arrays hold."""
-    width = 16 * (len(df.columns) + 1)
-    sizes = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: 16 * F.size(c)}
-    varying = [F.coalesce(sizes[f.dataType.typeName()](F.col(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in sizes]
-    per_row = sum(varying, F.lit(width))
+    """About the bytes of a stored table as rows in a hash table: 8 a field, 24 a row, and what its strings, binaries and arrays hold."""
+    per_row = F.lit(8 * len(df.columns) + 24)
+    for f in df.schema.fields:
+        c, kind = F.col(f.name), f.dataType
+        if kind.typeName() in ("string", "binary"):
+            per_row += F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(kind, T.ArrayType):
+            element = {"integer": 4, "long": 8, "double": 8}.get(kind.elementType.typeName(), 32)
+            per_row += F.coalesce(element * F.size(c) + 16, F.lit(0))
     return df.agg(F.coalesce(F.sum(per_row.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
