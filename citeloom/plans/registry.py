@@ -416,15 +416,17 @@ def segment_entries_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- roll-ups (G1-G14) -------------------------------------------------------------------------
 
 @query(
-    "WITH k AS (SELECT conv_id, turn, "
+    "WITH k AS (SELECT doc_id, "
     + _WORDS.format("lower(text)")
     + " AS t, "
-    + _WORDS.format("lower(role || ' ' || text)")
-    + " AS f FROM conversations), s AS (SELECT t, f, list_sort(list(conv_id * 1000 + turn)) AS ns FROM k WHERE length(t) >= 20 GROUP BY t, f) "
+    + _WORDS.format("lower(coalesce(source, '') || ' ' || text)")
+    + " AS f FROM documents WHERE text IS NOT NULL), s AS (SELECT t, f, list_sort(list(doc_id)) AS ns FROM k WHERE length(t) >= 20 GROUP BY t, f) "
     "SELECT 'duplicate' AS kind, array_to_string(ns, ',') AS numbers FROM s WHERE len(ns) > 1 UNION ALL SELECT 'conflict', array_to_string(list_sort(list(ns[1])), ',') FROM s GROUP BY t HAVING count(*) > 1"
 )
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = D.table(spark, sf_dir, "conversations").select(F.lit("all").alias("paper_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("number"), F.col("text").alias("title"), F.concat("role", F.lit(" "), "text").alias("raw"))
+    """Documents of one title, which is their text, as citations that agree in their source too, or don't."""
+    d = D.table(spark, sf_dir, "documents").where("text is not null")
+    c = d.select(F.lit("all").alias("paper_id"), F.col("doc_id").alias("number"), F.col("text").alias("title"), F.concat(F.coalesce("source", F.lit("")), F.lit(" "), "text").alias("raw"))
     return rollup.duplicate_groups(c).select("kind", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ",").alias("numbers"))
 
 
@@ -482,9 +484,9 @@ def section_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.section_starts(D.layout(D.publications(spark, sf_dir))).select("paper_id", "heading.page_no", "heading.line_no")
 
 
-@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, CAST(length(text) - length(ltrim(text)) AS INTEGER) AS indent, count(*) AS n FROM lines WHERE trim(text) <> '' GROUP BY ALL"))
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, indent, n, n >= greatest(3.0, 0.05 * sum(n) OVER (PARTITION BY paper)) AS common FROM (SELECT paper, CAST(length(text) - length(ltrim(text)) AS INTEGER) AS indent, count(*) AS n FROM lines WHERE trim(text) <> '' GROUP BY ALL)"))
 def indent_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.indent_histogram(D.layout(D.publications(spark, sf_dir))).select("paper_id", "indent", "n")
+    return segment.indent_histogram(D.layout(D.publications(spark, sf_dir))).select("paper_id", "indent", "n", "common")
 
 
 @query(
@@ -499,9 +501,9 @@ def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.page_furniture(D.layout(D.publications(spark, sf_dir)))
 
 
-@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, count(*) FILTER (regexp_matches(trim(text), '^\\[[0-9]{1,3}\\]')) AS labels, count(*) FILTER (regexp_matches(trim(text), '^[0-9]{1,3}\\.? +[^ ]')) AS numeric FROM lines WHERE trim(text) <> '' GROUP BY paper"))
+@query(_with(D.LAYOUT, "SELECT 'paper' || paper AS paper_id, count(*) FILTER (regexp_matches(trim(text), '^\\[[0-9]{1,3}\\]')) AS labels, count(*) FILTER (regexp_matches(trim(text), '^[0-9]{1,3}\\.? +[^ ]')) AS numeric, CAST(0 AS BIGINT) AS bracket, count(*) FILTER (regexp_matches(text, '^[A-Z].*, .* \\([0-9]{4}\\)$')) AS author_year FROM lines WHERE trim(text) <> '' GROUP BY paper"))
 def style_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.style_votes(D.layout(D.publications(spark, sf_dir))).select("paper_id", "labels", "numeric")
+    return segment.style_votes(D.layout(D.publications(spark, sf_dir))).select("paper_id", "labels", "numeric", "bracket", "author_year")
 
 
 @query("WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(line, '[0-9]+', '', 'g'), '\\s+', ' ', 'g')) AS norm FROM l WHERE trim(line) <> '') SELECT doc_id, norm, count(*) AS n FROM n WHERE norm <> '' GROUP BY ALL HAVING count(*) > 1")
@@ -600,10 +602,26 @@ def reference_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pub.select("id", triage.label(style, F.col("id"), raw, F.col("authors")).alias("l")).select("id", "l.*")
 
 
-@query(f"WITH {_T} SELECT paper_id, count(*) AS n_lines FROM (SELECT paper_id, unnest(range(CASE WHEN category IS NULL THEN 4 WHEN ref_hash = 'stale' THEN 4 ELSE 6 END)) FROM t WHERE status IS NOT NULL AND status <> 'verified') GROUP BY paper_id")
+_SEVERITY = "CASE category WHEN 'likely-hallucinated' THEN 'high' WHEN 'partial-match' THEN 'medium' WHEN 'real-published' THEN 'low' ELSE '-' END"
+
+
+@query(
+    f"WITH {_T}, l AS (SELECT paper_id, number, list_filter(['## #' || number || ': ' || coalesce(raw, ''), '- Status: ' || status, CASE WHEN category IS NULL THEN '- Not triaged yet' WHEN ref_hash = 'stale' THEN '- The verdict was recorded about another text; triage again' "
+    f"ELSE '- Verdict: ' || category || ' (severity ' || {_SEVERITY} || ')' END, CASE WHEN category IS NOT NULL AND ref_hash <> 'stale' THEN '- Signals: title=' || title_match || ' · authors=no · doi=404' END, "
+    "CASE WHEN category IS NOT NULL AND ref_hash <> 'stale' THEN '- Finding: seen' END, '- Raw: ' || raw], lambda x: x IS NOT NULL) AS ls FROM t WHERE status IS NOT NULL AND status <> 'verified'), "
+    "e AS (SELECT paper_id, number, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l) SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY number, pos) AS INTEGER) AS place, md5(line) AS line FROM e"
+)
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, v = _refs_verdicts(spark, sf_dir)
-    return triage.report_lines(refs.withColumn("title", F.lit(None).cast("string")), v).groupBy("paper_id").agg(F.count("*").alias("n_lines"))
+    return triage.report_lines(refs.withColumn("title", F.lit(None).cast("string")), v).select("paper_id", "place", F.md5(F.col("line").cast("binary")).alias("line"))
+
+
+@query(
+    f"WITH {_T}, n AS (SELECT paper_id, count(*) AS refs, count(*) FILTER (status <> 'verified') AS open, count(*) FILTER (category = 'likely-hallucinated' AND ref_hash <> 'stale') AS high, count(*) FILTER (category = 'partial-match' AND ref_hash <> 'stale') AS medium, count(*) FILTER (category = 'unclear' AND ref_hash <> 'stale') AS other FROM t GROUP BY paper_id) "
+    "SELECT '| ' || paper_id || ' | ' || refs || ' | ' || open || ' | ' || high || ' | ' || medium || ' | ' || other || ' |' AS line FROM n UNION ALL SELECT unnest(['# Papers', '', '| Paper | References | To triage | High | Medium | Other |', '|-|-|-|-|-|-|'])"
+)
+def rollup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.rollup_lines(*_refs_verdicts(spark, sf_dir)).select("line")
 
 
 @query("SELECT c_nationkey AS paper_id, CASE c_nationkey % 4 WHEN 0 THEN 'no References or Bibliography heading was recognized' WHEN 1 THEN 'a References heading was found, but no entries could be segmented under it (style: none)' WHEN 2 THEN 'the bibliography prints entry [3], [4], but no reference was extracted for it' ELSE 'the text contains citation-like numbers up to [12] beyond the extracted bibliography (first unmatched number [9])' END AS problem FROM (SELECT DISTINCT c_nationkey FROM customer)")
@@ -635,9 +653,18 @@ def author_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", F.col("e.matched").cast("long").alias("matched"), F.col("e.comparable").cast("long").alias("comparable"))
 
 
-@query(_with(D.PUB, "SELECT v AS variant, count(*) AS n FROM pub, (VALUES ('clean'), ('et_al'), ('first_only'), ('plus1'), ('plus2'), ('plus3'), ('swapped'), ('word_changed'), ('reversed'), ('invented_title'), ('respaced')) AS x(v) WHERE v <> 'word_changed' OR len(list_filter(str_split(title, ' '), lambda w: len(regexp_replace(lower(w), '[^a-z]', '', 'g')) >= 4)) > 0 GROUP BY v"))
+@query(
+    _with(
+        D.PUB,
+        "SELECT key, v AS variant, CAST(len(str_split(title, ' ')) AS INTEGER) AS n_words, CAST(CASE v WHEN 'et_al' THEN 2 WHEN 'first_only' THEN 1 WHEN 'plus1' THEN len(authors) + 1 WHEN 'plus2' THEN len(authors) + 2 WHEN 'plus3' THEN len(authors) + 3 ELSE len(authors) END AS INTEGER) AS n_authors, "
+        "CASE v WHEN 'word_changed' THEN false WHEN 'invented_title' THEN false WHEN 'reversed' THEN array_to_string(list_reverse(str_split(title, ' ')), ' ') = title WHEN 'respaced' THEN NOT regexp_matches(title, '[A-Za-z0-9_]{7,}') ELSE true END AS same_title "
+        "FROM pub, (VALUES ('clean'), ('et_al'), ('first_only'), ('plus1'), ('plus2'), ('plus3'), ('swapped'), ('word_changed'), ('reversed'), ('invented_title'), ('respaced')) AS x(v) WHERE v <> 'word_changed' OR len(list_filter(str_split(title, ' '), lambda w: len(regexp_replace(lower(w), '[^a-z]', '', 'g')) >= 4)) > 0",
+    )
+)
 def corruption_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every publication under every variant (no title here has a subtitle to drop): how long title and byline are, and whether the title is its own."""
     pub = D.publications(spark, sf_dir)
-    people = mirror.author_dim(pub)
-    made = measure.invented(pub.select(F.col("key").alias("seed")), people).withColumnRenamed("seed", "key")
-    return measure.corrupt(pub.join(made, "key")).where("variant <> 'subtitle_dropped'").groupBy("variant").agg(F.count("*").alias("n"))
+    made = measure.invented(pub.select(F.col("key").alias("seed")), mirror.author_dim(pub)).withColumnRenamed("seed", "key")
+    own = pub.select("key", F.col("title").alias("own"))
+    each = measure.corrupt(pub.join(made, "key")).join(own, "key")
+    return each.select("key", "variant", F.size(F.split("title", " ")).alias("n_words"), F.size("authors").alias("n_authors"), (F.col("title") == F.col("own")).alias("same_title"))
