@@ -43,7 +43,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token-ID output", _token_ids),
 ]
 
-#: No SQL says what a trained classifier rejects. The tests hold single operators against brute force; run() and STAGES have none yet.
+#: No SQL says what a trained classifier rejects; tests/llm/test_cases.py holds run() against a version in plain Python.
 ORACLE_SQL = None
 
 
