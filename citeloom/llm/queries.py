@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosenpath, decontam, langid, mixing, multiindex, substring, tokens, toxicity, urlfilter, warc
+from . import chosenpath, covertree, decontam, importance, langid, mixing, multiindex, spelling, substring, tokens, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,40 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_substring_dedup, op4_language_id, op5_jaccard_join, op6_embedding_dedup, op7_token_output, op8_warc, op9_url_filter, op10_decontamination)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE, "op9_url_filter": urlfilter.ORACLE}
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_mix_sources,
+    op2_toxicity,
+    op3_substring_dedup,
+    op4_language_id,
+    op5_jaccard_join,
+    op6_embedding_dedup,
+    op7_token_output,
+    op8_warc,
+    op9_url_filter,
+    op10_decontamination,
+    op11_spelling_variants,
+    op12_importance_resampling,
+    op13_exact_top_k,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op8_warc": warc.ORACLE,
+    "op9_url_filter": urlfilter.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
+    "op12_importance_resampling": importance.ORACLE,
+    "op13_exact_top_k": covertree.ORACLE,
+}
