@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textnorm as N
+from . import skew
 
 #: Fixed values.
 LEAST_TOKENS, LONG_WORD, MOST_GROUPS, SPLIT_WORD, MOST_GLUED, MOST_DROPPED = 3, 4, 10, 3, 8, 12
@@ -135,12 +136,13 @@ def title_keys(full: Column, head: Column) -> Column:
 def candidates(refs: DataFrame, pub: DataFrame, parity: bool = False) -> DataFrame:
     """Every pair (citation, record) whose titles match: ``refs`` (ref_id, title, raw, doi, ...) and ``pub`` with keys.
 
-    One equi-join on the letters: a whole title meets a whole title or a head, two heads don't meet. ``parity`` keeps only
-    what a text index would have retrieved, its fallback queries only where the primary ones gave nothing."""
+    One equi-join on the letters: a whole title meets a whole title or a head, two heads don't meet; titles that very many citations or records
+    bear are dealt to many tasks. ``parity`` keeps only what a text index would have retrieved, its fallback queries only where the primary
+    ones gave nothing."""
     asked = refs.where(queryable(F.col("title"))).withColumn("loc", N.locators(F.col("raw"), F.col("doi")))
-    cited = asked.withColumn("_k", F.explode(title_keys(N.letters(F.col("title")), N.subtitle_head(F.col("title")))))
-    held = pub.select(F.struct(*pub.columns).alias("rec"), F.explode(title_keys(F.col("title_full"), F.col("title_head"))).alias("_r"))
-    met = cited.join(held, (F.col("_k.key") == F.col("_r.key")) & ~(F.col("_k.is_head") & F.col("_r.is_head"))).drop("_k", "_r")
+    cited = asked.withColumn("_k", F.explode(title_keys(N.letters(F.col("title")), N.subtitle_head(F.col("title"))))).select(*asked.columns, F.col("_k.key").alias("_ck"), F.col("_k.is_head").alias("_ch"))
+    held = pub.select(F.struct(*pub.columns).alias("rec"), F.explode(title_keys(F.col("title_full"), F.col("title_head"))).alias("_r")).select("rec", F.col("_r.key").alias("_rk"), F.col("_r.is_head").alias("_rh"))
+    met = skew.join(cited, held, "_ck", "_rk", ~(F.col("_ch") & F.col("_rh"))).drop("_ck", "_ch", "_rk", "_rh")
     if not parity:
         return met
     tier = F.when(retrieved(F.col("rec.tokens"), F.col("title")), 0).when(retrieved_late(F.col("rec.tokens"), F.col("title")), 1)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, textnorm as N
-from . import titles
+from . import keyed, skew, titles
 
 #: Backends in the order in which they are asked, and what each may answer.
 BACKENDS = ("DBLP", "CrossRef", "DOI", "arXiv", "OpenAlex", "Semantic Scholar")
@@ -67,29 +67,30 @@ def _tier() -> Column:
     return F.struct(F.col("verdict") != MATCH, F.when(F.col("verdict") == MATCH, 0).otherwise(-F.col("matched")))
 
 
-def _byline_key(authors: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(authors, "\x1f").cast("binary")))
-
-
 def chosen_records(refs: DataFrame, pub: DataFrame, complete: Column) -> DataFrame:
-    """(ref_id, verdict, id): of the records with a citation's title the one that its verdict rests on.
+    """(ref_id, verdict, id, key, authors): of the records with a citation's title the one that its verdict rests on.
 
-    Copies of a work share title and byline, and so do citations of it. The kernel sees each pair of (title, byline) classes
-    once; a citation then meets only the records of the classes that its class can rest on, and of these nothing but what the
-    choice among them reads."""
+    ``pub`` is a mirror with keys, or one that is laid out by them (``keyed``), which is then not shuffled. Copies of a work share title key and
+    byline, and so do citations of it. The kernel sees each pair of (title, byline) classes once; a citation then meets only the records of
+    the classes that its class can rest on, and of these nothing but what the choice among them reads. Titles that very many records
+    bear are dealt to many tasks (``skew``)."""
     none = F.expr(NO_NAMES)
     asked = refs.where(titles.queryable(F.col("title"))).select("ref_id", N.letters(F.col("title")).alias("full"), N.subtitle_head(F.col("title")).alias("head"), F.coalesce(F.filter("authors", lambda a: a != ""), none).alias("cited"), N.locators(F.col("raw"), F.col("doi")).alias("loc"))
-    asked = asked.withColumn("c", F.struct("full", "head", _byline_key(F.col("cited")).alias("by")))
-    held = pub.select("id", "title_full", "title_head", F.coalesce("authors", none).alias("record"), "venue", "ee", "pages", "volume", "number", "year")
-    held = held.withColumn("r", F.struct("title_full", "title_head", _byline_key(F.col("record")).alias("by")))
-    works = asked.groupBy("c").agg(F.first("cited").alias("cited")).withColumn("k", F.explode(titles.title_keys(F.col("c.full"), F.col("c.head"))))
-    kinds = held.groupBy("r").agg(F.first("record").alias("record")).withColumn("l", F.explode(titles.title_keys(F.col("r.title_full"), F.col("r.title_head"))))
-    met = works.join(kinds, (F.col("k.key") == F.col("l.key")) & ~(F.col("k.is_head") & F.col("l.is_head")))
-    pairs = judged(met.select("c", "r", "cited", "record"), complete, "cited", "record").where(F.col("verdict").isin(MATCH, MISMATCH)).select("c", "r", "verdict", _tier().alias("tier"))
-    top = pairs.withColumn("least", F.min("tier").over(Window.partitionBy("c"))).where("tier = least").select("c", "r", "verdict")
+    asked = asked.withColumn("c", F.struct("full", "head", keyed.byline_key(F.col("cited")).alias("by")))
+    held = keyed.rows(pub)
+    n, hot = skew.heavy(held, "title_key")
+    cut = skew.parts({}, hot, max(skew.FEWEST, n // (2 * int(pub.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    works = asked.groupBy("c").agg(F.first("cited").alias("cited")).withColumn("k", F.explode(titles.title_keys(F.col("c.full"), F.col("c.head")))).select("c", "cited", F.col("k.key").alias("asked_key"), F.col("k.is_head").alias("asked_head"))
+    kinds = held.groupBy("title_key", "is_head", "by").agg(F.first("authors").alias("record"))
+    met = skew.join(works, kinds, "asked_key", "title_key", ~(F.col("asked_head") & F.col("is_head")), cut)
+    pairs = judged(met.select("c", "title_key", "is_head", "by", "cited", "record"), complete, "cited", "record").where(F.col("verdict").isin(MATCH, MISMATCH)).select("c", "title_key", "is_head", "by", "verdict", _tier().alias("tier"))
+    top = pairs.withColumn("least", F.min("tier").over(Window.partitionBy("c"))).where("tier = least").select("c", F.col("title_key").alias("top_key"), F.col("is_head").alias("top_head"), F.col("by").alias("top_by"), "verdict")
+    same = (F.col("top_head") == F.col("is_head")) & (F.col("top_by") == F.col("by"))
+    between = (F.col("top_head") <= F.col("is_head")) & (F.col("top_head") >= F.col("is_head")) & (F.col("top_by") <= F.col("by")) & (F.col("top_by") >= F.col("by"))
+    each = skew.join(asked.select("ref_id", "c", "loc").join(top, "c").drop("c"), held, "top_key", "title_key", same, cut, between)
     rec = F.struct("venue", "ee", "pages", "volume", "number", "year", "id").alias("rec")
-    each = asked.select("ref_id", "c", "loc").join(top, "c").select("ref_id", "loc", "r", "verdict").join(held.select("r", rec), "r")
-    return each.groupBy("ref_id").agg(F.min_by(F.struct("verdict", "rec.id"), F.struct(*titles.choice_order())).alias("x")).select("ref_id", "x.*")
+    each = each.select("ref_id", "loc", "verdict", rec, "key", "authors")
+    return each.groupBy("ref_id").agg(F.min_by(F.struct("verdict", "rec.id", "key", "authors"), F.struct(*titles.choice_order())).alias("x")).select("ref_id", "x.*")
 
 
 def answers(refs: DataFrame, chosen: DataFrame, db: str, asked: Column, url: Column, found: Column, retracted: Column | None = None) -> DataFrame:
@@ -100,16 +101,15 @@ def answers(refs: DataFrame, chosen: DataFrame, db: str, asked: Column, url: Col
     return joined.select("ref_id", F.lit(db).alias("db"), status.alias("status"), F.coalesce("found_authors", F.expr(NO_NAMES)).alias("found_authors"), "paper_url", F.coalesce("retracted", F.lit(False)).alias("retracted"))
 
 
-def mirror_backend(pub: DataFrame, complete: bool = True, parity: bool = False, base: str = "https://dblp.org/rec/") -> Backend:
-    """The local mirror as a backend; ``pub`` has its keys (``mirror.with_keys``)."""
+def mirror_backend(pub: DataFrame, complete: bool = True, parity: bool = False, base: str = "https://dblp.org/rec/", laid: DataFrame | None = None) -> Backend:
+    """The local mirror as a backend; ``pub`` has its keys (``mirror.with_keys``), and ``laid`` is the same mirror laid out by them, where there is one."""
 
     def ask(refs: DataFrame) -> DataFrame:
         if parity:
-            chosen = best(judged(titles.candidates(refs, pub, parity), F.lit(complete)), titles.choice_order())
+            chosen = best(judged(titles.candidates(refs, pub, parity), F.lit(complete)), titles.choice_order()).select("ref_id", "verdict", "rec.key", F.col("rec.authors").alias("authors"))
         else:
-            record = pub.select("id", F.struct("key", "authors").alias("rec"))
-            chosen = chosen_records(refs, pub, F.lit(complete)).join(record, "id")
-        return answers(refs, chosen, "DBLP", titles.queryable(F.col("title")), F.concat(F.lit(base), F.col("rec.key")), F.col("rec.authors"))
+            chosen = chosen_records(refs, pub if laid is None else laid, F.lit(complete))
+        return answers(refs, chosen, "DBLP", titles.queryable(F.col("title")), F.concat(F.lit(base), F.col("key")), F.col("authors"))
 
     return Backend("DBLP", ask)
 
