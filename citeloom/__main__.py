@@ -30,7 +30,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     i.add_argument("dump")
     i.add_argument("--out", required=True)
     i.add_argument("--least", type=int, default=1_000_000, help="refuse a load of fewer publications")
-    i.add_argument("--work", required=True, help="a folder for the dump with its entities resolved")
+    i.add_argument("--work", required=True, help="a folder in which the table is staged")
+    i.add_argument("--limit", type=int, help="only the first so many records, for a trial")
     for name in ("worklist", "status", "report"):
         t = sub.add_parser(name)
         t.add_argument("--out", default="out")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import time
 import uuid
 from collections.abc import Callable, Sequence
 from functools import partial
@@ -13,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
-from ..operators import mirror, rollup, segment, triage, verify
-from ..sources import backends, dump, papers
+from ..operators import keyed, mirror, rollup, segment, triage, verify
+from ..sources import backends, commits, dump, papers
 
-VERDICTS = f"paper_id string, number int, category string, finding string, signals {triage.SIGNAL_TYPE}, ref_hash string, seq long"
+VERDICTS = f"paper_id string, number int, category string, finding string, signals {triage.SIGNAL_TYPE}, ref_hash string"
+#: Where a mirror's folder holds the table laid out by title key, and records of a bucket of it; readers of the mirror pass it over.
+LAID, BUCKET_ROWS = "_by_key", 100_000
 MIRROR_COLUMNS = {"id", "key", "title", "authors", "year", "venue", "ee", "volume", "number", "pages", "title_full", "title_head", "tokens"}
 WHOLE_DUMP = 1_000_000
 
@@ -62,12 +63,15 @@ def _stored(spark: SparkSession, work: str, df: DataFrame) -> DataFrame:
 # -- commands ----------------------------------------------------------------------------------
 
 
-def ingest(spark: SparkSession, path: str, out: str, work: str, least: int = WHOLE_DUMP) -> int:
-    """Dump to publications table; a load that is too small or has lost its accents is refused and nothing is replaced."""
-    pub = mirror.ingest(dump.records(spark, dump.resolved(spark, path, f"{work}/resolved")))
+def ingest(spark: SparkSession, path: str, out: str, work: str, least: int = WHOLE_DUMP, limit: int | None = None) -> int:
+    """Dump to publications table, and beside it the same laid out by title key; a load that is too small or has lost its accents is
+    refused and nothing is replaced. ``limit``: the first so many records only, for a trial."""
+    pub = mirror.ingest(dump.records(spark, path, limit=limit))
     staged = f"{work}/staged"
     mirror.with_keys(pub).write.mode("overwrite").parquet(staged)
-    mirror.check_load(spark.read.parquet(staged), least)
+    written = spark.read.parquet(staged)
+    mirror.check_load(written, least)
+    keyed.write(written, f"{staged}/{LAID}", 1 + written.count() // BUCKET_ROWS)
     replace(spark, staged, out)
     return 0
 
@@ -75,13 +79,15 @@ def ingest(spark: SparkSession, path: str, out: str, work: str, least: int = WHO
 def mirror_at(spark: SparkSession, path: str, parity: bool = False) -> tuple[verify.Backend, DataFrame | None]:
     """The mirror as a backend, and its table; one that can't be read answers ``error`` for every citation."""
     try:
-        pub = spark.read.parquet(present(spark, path))
+        at = present(spark, path)
+        pub = spark.read.parquet(at)
         if not set(pub.columns) >= MIRROR_COLUMNS:
             return verify.unreadable_backend("DBLP"), None
         complete = mirror.facts(pub).first()["complete"]
+        laid = keyed.open_at(spark, f"{at}/{LAID}") if keyed.is_keyed(spark, f"{at}/{LAID}") else None
     except PySparkException:
         return verify.unreadable_backend("DBLP"), None
-    return verify.mirror_backend(pub, complete, parity), pub
+    return verify.mirror_backend(pub, complete, parity, laid=laid), pub
 
 
 def audit(lines: DataFrame, asked: Sequence[verify.Backend], pub: DataFrame | None, keep: Callable[[DataFrame], DataFrame], disabled: Sequence[str] = (), rounds: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -124,8 +130,27 @@ def _lines(spark: SparkSession, path: str, pdf: bool) -> DataFrame:
     return papers.pdf_lines(spark, path) if pdf else papers.text_lines(spark, path)
 
 
-def _verdicts(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(VERDICTS).parquet(f"{out}/verdicts") if _exists(spark, f"{out}/verdicts") else spark.createDataFrame([], VERDICTS)
+def table(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table of the last audit that was committed."""
+    at = commits.path_of(spark, out, name)
+    if at is None:
+        raise FileNotFoundError(f"no audit under {out}")
+    return spark.read.parquet(at)
+
+
+def verdicts(spark: SparkSession, out: str) -> DataFrame:
+    """All verdicts that were recorded, in the order of their commits (``seq``)."""
+    return commits.log(spark, f"{out}/verdicts", VERDICTS)
+
+
+def record(spark: SparkSession, out: str, new: DataFrame) -> list[str]:
+    """Record verdicts (paper_id, number, category, finding, signals) as one commit; if any breaks a rule none is recorded, and the reasons are
+    returned. Any number of writers may do so at once."""
+    log, rejected = triage.record(spark.createDataFrame([], VERDICTS), new, table(spark, out, "references"))
+    said = [r["reason"] for r in rejected.select("reason").limit(100).collect()]
+    if not said:
+        commits.append(log, f"{out}/verdicts")
+    return said
 
 
 def run_audit(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -143,46 +168,43 @@ def run_audit(spark: SparkSession, a: argparse.Namespace) -> int:
     if unknown:
         raise SystemExit(f"no such backend: {', '.join(sorted(unknown))}; there are {', '.join(verify.BACKENDS)}")
     found, refs = audit(_lines(spark, a.papers, a.pdf), asked, pub, keep, disabled, a.retry_degraded)
-    for name, table in (("papers", found), ("references", refs)):
-        table.write.mode("overwrite").parquet(f"{work}/{name}")
-        replace(spark, f"{work}/{name}", f"{a.out}/{name}")
-    refs = spark.read.parquet(f"{a.out}/references")
-    found = spark.read.parquet(f"{a.out}/papers")
+    run = f"{work}/{uuid.uuid4().hex}"
+    found.write.parquet(f"{run}/papers")
+    refs.write.parquet(f"{run}/references")
+    found, refs = spark.read.parquet(f"{run}/papers"), spark.read.parquet(f"{run}/references")
+    writers = {"papers": found.write.parquet, "references": refs.write.parquet, "records": partial(papers.write_records, papers.record_of(found, refs))}
     if asked:
-        papers.write_summary(rollup.status_rollup(refs), f"{a.out}/summary")
         ran = refs.select(F.explode("db_results.db").alias("db"))
-        rollup.drift(ran, [b.name for b in asked if b.name not in disabled], verify.LOCAL, a.offline).write.mode("overwrite").json(f"{a.out}/warnings")
-    papers.write_records(papers.record_of(found, refs), f"{a.out}/records")
+        drift = rollup.drift(ran, [b.name for b in asked if b.name not in disabled], verify.LOCAL, a.offline)
+        writers |= {"summary": partial(papers.write_summary, rollup.status_rollup(refs)), "warnings": drift.write.json}
+    commits.publish(spark, a.out, writers)
+    commits.clean(spark, a.out)
     at, fs = _files(spark, work)
     fs.delete(at, True)
-    return 4 if found.where("num_references = 0").limit(1).count() else 0
+    return 4 if table(spark, a.out, "papers").where("num_references = 0").limit(1).count() else 0
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "ingest":
-        return ingest(spark, a.dump, a.out, a.work, a.least)
+        return ingest(spark, a.dump, a.out, a.work, a.least, a.limit)
     if a.command == "audit":
         return run_audit(spark, a)
-    refs = spark.read.parquet(f"{a.out}/references")
+    refs = table(spark, a.out, "references")
     if getattr(a, "paper", None) and a.command != "record":
         refs = refs.where(F.col("paper_id") == a.paper)
-    now = triage.current(_verdicts(spark, a.out))
+    now = triage.current(verdicts(spark, a.out))
     suffix = f"-{a.paper}" if getattr(a, "paper", None) else ""
     if a.command == "worklist":
         triage.worklist(refs, now if a.pending else None).write.mode("overwrite").json(f"{a.out}/worklist{suffix}")
     elif a.command == "status":
         rollup.progress(refs, now).write.mode("overwrite").json(f"{a.out}/status{suffix}")
     elif a.command == "report":
-        for name, lines in (("reports", triage.report_lines(refs, now)), ("rollup", triage.rollup_lines(refs, now)), ("sheet", triage.sheet_lines(refs, now))):
-            by = ["paper_id"] if "paper_id" in lines.columns else []
-            ordered = lines.repartitionByRange(*by, "place").sortWithinPartitions(*by, "place").select(*by, "line")
-            ordered.write.mode("overwrite").partitionBy(*by).text(f"{a.out}/{name}{suffix}")
+        papers.write_reports(triage.report_lines(refs, now), f"{a.out}/reports{suffix}")
+        papers.write_reports(triage.sheet_lines(refs, now), f"{a.out}/sheet{suffix}")
+        triage.rollup_lines(refs, now).repartitionByRange("place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(f"{a.out}/rollup{suffix}")
     else:
-        row = [(a.paper, a.number, a.category, a.finding, a.signals, None, time.time_ns())]
-        new = spark.createDataFrame(row, VERDICTS).drop("ref_hash")
-        log, rejected = triage.record(spark.createDataFrame([], VERDICTS), new, refs)
-        said = rejected.select("reason").collect()
+        row = [(a.paper, a.number, a.category, a.finding, a.signals)]
+        said = record(spark, a.out, spark.createDataFrame(row, VERDICTS.removesuffix(", ref_hash string")))
         if said:
-            raise SystemExit(said[0]["reason"])
-        log.write.mode("append").parquet(f"{a.out}/verdicts")
+            raise SystemExit(said[0])
     return 0

@@ -16,6 +16,8 @@ RECORD = (
     "references array<struct<original_number:int,raw_citation:string,parsed:struct<title:string,authors:array<string>,doi:string,arxiv_id:string>,label:string,label_kind:string,"
     "db_verification:struct<status:string,degraded:boolean,source:string,found_authors:array<string>,paper_url:string,retracted:boolean,failed_dbs:array<string>,db_results:array<struct<db:string,status:string,found_authors:array<string>,paper_url:string>>>>>"
 )
+#: Papers in a file of records or reports.
+PAPERS_A_FILE = 10_000
 PAPER_ID = r"([^/]+?)\.[^./]*$"
 
 
@@ -45,10 +47,10 @@ def pdf_lines(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("paper_id", "page_no", F.posexplode(F.split("page", "\n")).alias("line_no", "text"))
 
 
-def records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def records(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(papers, rejects): the per-paper records under ``path`` by their content; files that are no such record are rejects with
-    their path."""
-    read = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(RECORD + ", _corrupt_record string").json(path).withColumn("file", F.col("_metadata.file_path")).cache()
+    their path. ``lines``: a record a line, as ``write_records`` has them, instead of one a file."""
+    read = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE").schema(RECORD + ", _corrupt_record string").json(path).withColumn("file", F.col("_metadata.file_path"))
     good = F.col("_corrupt_record").isNull() & F.col("paper_id").isNotNull() & F.col("references").isNotNull()
     return read.where(good).drop("_corrupt_record", "file"), read.where(~good).select("file", F.col("_corrupt_record").isNotNull().alias("unreadable"))
 
@@ -79,8 +81,19 @@ def record_of(papers: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def write_records(papers: DataFrame, path: str) -> None:
-    """One JSON document a paper, in a folder of its own; Spark's commit makes the write atomic."""
-    papers.write.mode("overwrite").partitionBy("paper_id").json(path)
+    """One JSON document a line and a paper, dealt by a hash of the paper to files of about ``PAPERS_A_FILE``."""
+    papers.repartition(_files_for(papers), "paper_id").write.mode("overwrite").json(path)
+
+
+def write_reports(lines: DataFrame, path: str) -> None:
+    """(paper_id, place, line) as one JSON document a paper: its id and its Markdown."""
+    each = lines.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("x"))
+    whole = each.select("paper_id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("markdown"))
+    whole.repartition(_files_for(whole), "paper_id").write.mode("overwrite").json(path)
+
+
+def _files_for(papers: DataFrame) -> int:
+    return 1 + papers.count() // PAPERS_A_FILE
 
 
 def write_summary(totals: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import mirror, verify
 from citeloom.plans import commands
-from citeloom.sources import backends, dump, http, identifiers, papers
+from citeloom.sources import backends, commits, dump, http, identifiers, papers
 from citeloom.streaming import incremental
 
 XML = """<?xml version="1.0" encoding="ISO-8859-1"?>
@@ -50,7 +50,7 @@ def test_audit_of_text_files(spark, tmp_path):
 
     run = lambda *a: commands.run(spark, arguments([*a, "--out", str(tmp_path / "out")]))
     assert run("audit", str(tmp_path / "in"), "--mirror", str(tmp_path / "pub"), "--offline", "--retry-degraded", "1") == 4
-    refs = {r["number"]: r for r in spark.read.parquet(str(tmp_path / "out/references")).collect()}
+    refs = {r["number"]: r for r in commands.table(spark, str(tmp_path / "out"), "references").collect()}
     assert [refs[i]["status"] for i in range(1, 6)] == ["verified", "mismatch", "not_found", "not_found", "not_found"] and refs[3]["label"] == "[3]"
     with pytest.raises(SystemExit):
         run("record", "p1", "2", "likely-hallucinated", "why")
@@ -62,15 +62,15 @@ def test_audit_of_text_files(spark, tmp_path):
     run("status")
     assert [json.loads(x["value"])["pending"] for x in spark.read.text(str(tmp_path / "out/status")).collect()] == [3]
     run("report")
-    lines = lambda name: [r["value"] for r in spark.read.text(str(tmp_path / f"out/{name}")).collect()]
+    lines = lambda name: [x for r in spark.read.json(str(tmp_path / f"out/{name}")).collect() for x in r["markdown"].split("\n")] if name != "rollup" else [r["value"] for r in spark.read.text(str(tmp_path / "out/rollup")).collect()]
     assert "| p1 | 5 | 4 | 1 | 0 | 0 |" in lines("rollup") and any("| #2 |" in x and "high" in x for x in lines("sheet"))
-    good, bad = papers.records(spark, str(tmp_path / "out/records"))
+    good, bad = papers.records(spark, commits.path_of(spark, str(tmp_path / "out"), "records"), lines=True)
     assert {(r["paper_id"], len(r["references"])) for r in good.collect()} == {("p1", 5), ("p2", 0)} and bad.count() == 0
     with pytest.raises(SystemExit):
         run("audit", str(tmp_path / "in"), "--offline", "--disable-dbs", "Nope")
     (tmp_path / "bad").mkdir()
     assert run("audit", str(tmp_path / "in"), "--mirror", str(tmp_path / "bad"), "--offline") == 4
-    assert {r["degraded"] for r in spark.read.parquet(str(tmp_path / "out/references")).collect()} == {True}
+    assert {r["degraded"] for r in commands.table(spark, str(tmp_path / "out"), "references").collect()} == {True}
     run("audit", str(tmp_path / "in"), "--mirror", str(tmp_path / "pub"), "--offline")
     run("report")
     assert any("likely-hallucinated (severity high)" in r["value"] for r in spark.read.text(str(tmp_path / "out/reports")).collect())
