@@ -114,7 +114,9 @@ def plan_mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _copies() -> Column:
-    return F.col("c.full") + (F.col("d.hash") <= F.col("c.cut")).cast("long")
+    """A source whose whole copies reach the target gives no further one, not even of documents without words."""
+    more = (F.col("d.hash") <= F.col("c.cut")) & (F.col("c.target") > F.col("c.full") * F.col("c.source_size"))
+    return F.col("c.full") + more.cast("long")
 
 
 def mix(docs: DataFrame) -> DataFrame:
