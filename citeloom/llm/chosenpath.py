@@ -2,7 +2,7 @@
 
 Every text is the set of hashes of its runs of five words. In each of ``runs`` independent runs a set chooses every
 token whose hash is below ``1 / (threshold * size)``, so that two sets at the threshold share one chosen token on
-average; sets that chose the same token meet in its bucket. A bucket of at most ``SMALL`` sets is compared by brute
+average (further down a path, ``1 / (threshold * size - tokens on it)``, as those can't be chosen again); sets that chose the same token meet in its bucket. A bucket of at most ``SMALL`` sets is compared by brute
 force. A larger one is split again: its sets choose further tokens, with hashes that depend on the path so
 far, down to ``DEPTH`` tokens; what is still large then is compared in blocks of ``BLOCK`` sets (or fewer, ``WEIGHT`` members), pair of
 blocks by pair of blocks. The number of runs is what brings a pair at the threshold to the target recall even at full depth.
@@ -54,21 +54,22 @@ def signature(members: np.ndarray) -> int:
 def paths(members: np.ndarray, threshold: float, runs: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The paths of one token; then for each further depth the pairs (path so far, path with one more token)."""
     n = len(members)
-    limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * n)))) if n else np.uint64(0)
     salts = textvec.mix(np.arange(1, runs + 1, dtype=np.uint64))
     step = max(1, 4_000_000 // max(n, 1))
     deeper = []
 
-    def choose(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def choose(keys: np.ndarray, used: int) -> tuple[np.ndarray, np.ndarray]:
+        common = threshold * n - used  # tokens that a pair at the threshold has in common and may still choose
+        limit = np.uint64(min(2**64 - 1, int(2**64 / max(common, 1)))) if n else np.uint64(0)
         found = [(a + (c := np.nonzero(members[None] * (keys[a : a + step, None] | np.uint64(1)) <= limit))[0], c[1]) for a in range(0, len(keys), step)]
         return np.concatenate([f[0] for f in found] or [np.empty(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.empty(0, np.int64)])
 
-    which, token = choose(salts)
+    which, token = choose(salts, 0)
     now = textvec.mix(salts[which] + members[token])
     used = token[:, None]
     first = now
-    for _ in range(DEPTH - 1):
-        which, token = choose(textvec.mix(now))
+    for depth in range(1, DEPTH):
+        which, token = choose(textvec.mix(now), depth)
         fresh = (used[which] != token[:, None]).all(axis=1)
         which, token = which[fresh], token[fresh]
         longer = textvec.mix(now[which] + members[token] * np.uint64(0x9E3779B97F4A7C15))
