@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,21 +188,28 @@ def _compare(t: pa.Table, kind: np.dtype, threshold: float, found: chosenpath._F
     if query.all() or not query.any():
         return
     sig, mult, cell = (t.column(i).to_numpy() for i in (4, 5, 7))
-    cells = [np.asarray(c) for c in t.column(8).to_numpy()]
+    lists = t.column(8).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, n_cells = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    first = np.cumsum(n_cells) - n_cells
     x = units(np.frombuffer(b"".join(t.column(6).to_pylist()), kind).reshape(len(sig), -1))
     member = np.flatnonzero(~query)
-    asked = np.flatnonzero(query)
-    by_cell: dict[int, list[int]] = {}
-    for q in asked.tolist():
-        for c in cells[q].tolist():
-            by_cell.setdefault(c, []).append(q)
+    owner = np.repeat(np.arange(len(sig)), n_cells)
+    visits = query[owner]  # cells that queries visit, by cell; and the members by their own cell
+    to, by = flat[visits], owner[visits]
+    order = np.argsort(to, kind="stable")
+    to, by = to[order], by[order]
+    member = member[np.argsort(cell[member], kind="stable")]
+    wide = 1 + max(int(cell.max()), int(flat.max(initial=0)))
     for c in np.unique(cell[member]).tolist():
-        if c not in by_cell:
+        qs = by[np.searchsorted(to, c, "left") : np.searchsorted(to, c, "right")]
+        if not len(qs):
             continue
-        m, qs = member[cell[member] == c], np.array(by_cell[c])
+        m = member[np.searchsorted(cell[member], c, "left") : np.searchsorted(cell[member], c, "right")]
         group = np.arange(len(m))
-        wide = int(cell.max()) + 1 + max(int(v.max()) for v in cells)
-        seen = np.sort(np.concatenate([np.int64(j) * wide + cells[i] for j, i in enumerate(m.tolist())]))
+        n = n_cells[m]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[m], n)
+        seen = np.sort(np.repeat(np.arange(len(m), dtype=np.int64), n) * wide + flat[place])
         for a in range(0, len(qs), 1024):
             q = qs[a : a + 1024]
             hit = (x[q] @ x[m].T >= threshold) & (sig[q][:, None] != sig[m][None])
