@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textvec
 from .shared import by_bytes
@@ -112,12 +113,14 @@ class Block:
     """Some benchmark items as word hashes, with their seeds sorted by hash; one table of seeds for each seed length."""
 
     ids: list
+    times: list[int]
     words: list[np.ndarray]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Block:
-        w, at = textvec.words([t for _, t in rows])
+        """From (id, text, how often)."""
+        w, at = textvec.words([t for _, t, _ in rows])
         items = [w[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         by: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, x in enumerate(items):
@@ -133,7 +136,7 @@ class Block:
             bits = np.zeros(1 << _FILTER_BITS, bool)
             bits[h >> np.uint64(64 - _FILTER_BITS)] = True
             seeds[n] = (h[order], item[order], place[order], bits)
-        return cls([i for i, _ in rows], items, seeds)
+        return cls([i for i, _, _ in rows], [n for _, _, n in rows], items, seeds)
 
     def matches(self, texts: list[str | None], coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, words covered, tiles, longest tile) of all pairs with enough coverage."""
@@ -172,8 +175,10 @@ class Block:
 
 def blocks(bench: DataFrame) -> Iterator[Block]:
     """The benchmark in blocks of about ``BLOCK_CHARS``: items are hashed to many more buckets than blocks, whose sizes are
-    known before any text is read, and neighbouring buckets are taken together up to that bound."""
-    sized = bench.select("item_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    known before any text is read, and neighbouring buckets are taken together up to that bound. Rows that repeat an item are one, with
+    their number; an item that is larger than a block is a block of its own."""
+    once = bench.groupBy("item_id", "text").agg(F.count("*").cast("long").alias("times"))
+    sized = once.select("item_id", "text", "times", (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long").alias("n"))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     many = BUCKETS * (1 + total // BLOCK_CHARS)
     hashed = sized.withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(many)))
@@ -185,12 +190,13 @@ def blocks(bench: DataFrame) -> Iterator[Block]:
             last, more = sizes.pop(0)
             n += more
         some = hashed.where(F.col("bucket").between(first, last)).collect()
-        yield Block.of(sorted(((r["item_id"], r["text"]) for r in some), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        yield Block.of(sorted(((r["item_id"], r["text"], r["times"]) for r in some), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
 
 
 def leaks(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_words, n_covered, n_tiles, longest, coverage) of each pair that leaks."""
     doc_type, item_type = docs.schema["doc_id"].dataType, bench.schema["item_id"].dataType
+    item_arrow = to_arrow_type(item_type)
     names = ("n_words", "n_covered", "n_tiles", "longest")
     schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("item_id", item_type), *(T.StructField(n, T.LongType()) for n in names), T.StructField("coverage", T.DoubleType())])
     out = None
@@ -200,12 +206,12 @@ def leaks(docs: DataFrame, bench: DataFrame, coverage: float = COVERAGE) -> Data
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in by_bytes(batches, 1):
                 x = held.value
-                rows = list(x.matches(b.column(1).to_pylist(), coverage))
+                rows = [r for r in x.matches(b.column(1).to_pylist(), coverage) for _ in range(x.times[r[1]])]
                 n = [len(x.words[k]) for _, k, *_ in rows]
                 numbers = [pa.array(c, pa.int64()) for c in ([*n], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows])]
                 share = pa.array([r[2] / m for r, m in zip(rows, n, strict=True)], pa.float64())
                 ids = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                items = pa.array([x.ids[r[1]] for r in rows], b.column(0).type if doc_type == item_type else None)
+                items = pa.array([x.ids[r[1]] for r in rows], item_arrow)
                 yield pa.RecordBatch.from_arrays([ids, items, *numbers, share], names=schema.names)
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
