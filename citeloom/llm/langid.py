@@ -146,9 +146,9 @@ def training_rows(docs: DataFrame) -> tuple[list[str], list[str]]:
     """The bounded sample of labelled texts, as many of each language at most, read in one scan.
 
     ``MAX_ROWS`` texts a language come first in the order of a hash; while they are found, each task keeps no more than that of
-    each. All of them together have ``MAX_CHARS`` characters at most: every language has an equal share and every one of its texts
-    an equal part of that, so that a language of nothing but long texts is learned too. A longer text gives a stretch out of its
-    middle."""
+    each. All of them together have ``MAX_CHARS`` characters at most, of which every language has an equal share, so that a language of nothing
+    but long texts is learned too. A text gives no more than four even parts of that share, out of its middle if it is longer; texts are
+    taken in the order of the hash until the share is used up, so where most are long the last ones of a language aren't read."""
     open_rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     keyed = open_rows.select("lang", F.struct(F.xxhash64("doc_id", "text", F.lit(SEED)).alias("key"), F.xxhash64("text").alias("h")).alias("x")).distinct()
     per_lang = keyed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("x"))).where(F.col("place") <= MAX_ROWS).select("lang", "x.*")
