@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,15 +21,27 @@ BROADCAST_BYTES = 32 << 20
 SLICE_BYTES = 2 << 20
 
 
+_MARKED: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share, under ``spark.checkpoint.dir``. Only where that is unset and all runs on this machine it is
+    a temporary one; on a cluster each executor would write to a disk of its own. The file system deletes it as the application ends."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
         named = sc.getCheckpointDir()
-    return f"{named.rstrip('/')}/{sc.applicationId}"
+    path = f"{named.rstrip('/')}/{sc.applicationId}"
+    if path not in _MARKED:
+        _MARKED.add(path)
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -82,10 +95,3 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not this C library
         pass
-
-
-def drop_shared(spark: SparkSession) -> None:
-    """Delete all tables that this application has stored; for after the results have been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
