@@ -22,6 +22,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     a.add_argument("--offline", action="store_true", help="ask the mirror only")
     a.add_argument("--disable-dbs", default="", help="backends not to ask, by comma")
     a.add_argument("--retry-degraded", type=int, default=0, metavar="ROUNDS", help="ask again about citations for which a backend failed")
+    a.add_argument("--retry-delay", type=float, default=0, metavar="SECONDS", help="how long to wait before each such round")
+    a.add_argument("--no-candidates", action="store_true", help="look for no works that resemble citations which aren't verified")
     a.add_argument("--rate-limit-retries", type=int, default=2)
     a.add_argument("--mailto", default="", help="an address for the services' logs")
     a.add_argument("--s2-api-key", default="")

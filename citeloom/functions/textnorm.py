@@ -196,8 +196,12 @@ def query_forms_with_head(title: Column) -> Column:
     return F.array_distinct(F.filter(some, lambda x: x.isNotNull()))
 
 
+#: Marks that would end a quoted title in a service's filter.
+FILTER_BREAKS = "\"'`´‘’‚‛“”„‟′″«»?"
+
+
 def without_filter_breaks(text: Column) -> Column:
-    return F.translate(text, "\"'`´‘’‚‛“”„‟′″«»?", " " * 17)
+    return F.translate(text, FILTER_BREAKS, " " * len(FILTER_BREAKS))
 
 
 def arxiv_key(value: Column) -> Column:

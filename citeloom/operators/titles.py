@@ -211,10 +211,3 @@ def nearest(refs: DataFrame, pub: DataFrame, most: int = NEAREST_CANDIDATES) ->
     scored = met.where(enough & close).withColumn("edits", word_edits(F.col("want"), F.col("words"))).where("edits >= 0")
     order = Window.partitionBy("ref_id").orderBy("edits", is_preprint(F.col("venue")), "pub_id")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("ref_id", "pub_id", "edits", "place")
-
-
-def leads(found: DataFrame, similarity: Column) -> DataFrame:
-    """Leads for a human: of each citation's (ref_id, pos, ...) the three most similar, then only those similar enough."""
-    scored = found.withColumn("title_similarity", F.round(similarity, 3))
-    top = Window.partitionBy("ref_id").orderBy(F.col("title_similarity").desc(), "pos")
-    return scored.withColumn("place", F.row_number().over(top)).where((F.col("place") <= LEADS) & (F.col("title_similarity") >= LEAD_SIMILARITY))

@@ -7,6 +7,7 @@ citations that no earlier one has matched.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -191,10 +192,11 @@ def keep_better(old: DataFrame, new: DataFrame, columns: Sequence[str] = ("statu
     return joined.withColumns({c: F.when(F.coalesce(better, F.lit(False)), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in columns}).drop("_new")
 
 
-def retry_degraded(first: DataFrame, refs: DataFrame, check: Callable[[DataFrame], DataFrame], rounds: int = 1, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Ask again about degraded citations, some rounds at most."""
+def retry_degraded(first: DataFrame, refs: DataFrame, check: Callable[[DataFrame], DataFrame], rounds: int = 1, keep: Callable[[DataFrame], DataFrame] = lambda df: df, delay: float = 0) -> DataFrame:
+    """Ask again about degraded citations, some rounds at most, each after ``delay`` seconds."""
     now = first
     for _ in range(rounds):
+        time.sleep(delay)
         pending = now.where("degraded").select("ref_id")
         now = keep(keep_better(now, check(refs.join(pending, "ref_id", "left_semi"))))
     return now

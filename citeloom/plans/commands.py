@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
-from ..operators import keyed, mirror, rollup, segment, triage, verify
+from ..operators import keyed, leads, mirror, rollup, segment, triage, verify
 from ..sources import backends, commits, dump, papers
 
 VERDICTS = f"paper_id string, number int, category string, finding string, signals {triage.SIGNAL_TYPE}, ref_hash string"
@@ -90,9 +90,9 @@ def mirror_at(spark: SparkSession, path: str, parity: bool = False) -> tuple[ver
     return verify.mirror_backend(pub, complete, parity, laid=laid), pub
 
 
-def audit(lines: DataFrame, asked: Sequence[verify.Backend], pub: DataFrame | None, keep: Callable[[DataFrame], DataFrame], disabled: Sequence[str] = (), rounds: int = 0) -> tuple[DataFrame, DataFrame]:
+def audit(lines: DataFrame, asked: Sequence[verify.Backend], pub: DataFrame | None, keep: Callable[[DataFrame], DataFrame], disabled: Sequence[str] = (), rounds: int = 0, delay: float = 0, search: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(papers, references): extraction facts with their problems, and every entry with its verification and label. Each paper is read
-    once; ``keep`` stores its argument."""
+    once; ``keep`` stores its argument. ``search`` finds works that resemble citations; what is not verified gets the likeliest as leads."""
     extracted = keep(segment.papers(lines))
     facts = extracted.drop("entries")
     found = facts.join(triage.problems(facts), "paper_id")
@@ -102,10 +102,12 @@ def audit(lines: DataFrame, asked: Sequence[verify.Backend], pub: DataFrame | No
         titled = refs.where("title is not null")
         done = keep(check(titled))
         if rounds:
-            done = verify.retry_degraded(done, titled, check, rounds, keep)
+            done = verify.retry_degraded(done, titled, check, rounds, keep, delay)
         done = keep(_dehyphenated(done, check))
         if pub is not None:
             done = done.join(verify.mirror_evidence(done, pub), "ref_id", "left")
+        if search is not None:
+            done = leads.attached(done, keep(search(done.where(triage.needs_triage(F.col("status"))).select("ref_id", "title", "authors"))))
         done = done.withColumn("identifiers", _identifiers(done)).withColumn("absent_authors", triage.authors_absent(F.col("status"), F.col("authors"), F.col("found_authors")))
         refs = done.unionByName(refs.where("title is null").withColumn("status", F.lit("unparsed")), allowMissingColumns=True)
     styles = facts.select("paper_id", F.col("extraction.style").alias("style"))
@@ -167,7 +169,8 @@ def run_audit(spark: SparkSession, a: argparse.Namespace) -> int:
     unknown = set(disabled) - set(verify.BACKENDS)
     if unknown:
         raise SystemExit(f"no such backend: {', '.join(sorted(unknown))}; there are {', '.join(verify.BACKENDS)}")
-    found, refs = audit(_lines(spark, a.papers, a.pdf), asked, pub, keep, disabled, a.retry_degraded)
+    search = None if a.offline or a.no_candidates else partial(backends.leads, mailto=a.mailto, keep=keep)
+    found, refs = audit(_lines(spark, a.papers, a.pdf), asked, pub, keep, disabled, a.retry_degraded, a.retry_delay, search)
     run = f"{work}/{uuid.uuid4().hex}"
     found.write.parquet(f"{run}/papers")
     refs.write.parquet(f"{run}/references")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import names, textnorm as N
 from ..functions.parse import parse_reference
 from ..functions.register import register
-from ..operators import measure, mirror, rollup, segment, titles, triage, verify
-from ..sources import identifiers
+from ..operators import keyed, leads, measure, mirror, mutants, rollup, segment, skew, titles, triage, verify
+from ..sources import commits, identifiers, scratch
+from ..streaming import incremental
 from . import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -668,3 +669,138 @@ def corruption_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = pub.select("key", F.col("title").alias("own"))
     each = measure.corrupt(pub.join(made, "key")).join(own, "key")
     return each.select("key", "variant", F.size(F.split("title", " ")).alias("n_words"), F.size("authors").alias("n_authors"), (F.col("title") == F.col("own")).alias("same_title"))
+
+
+# -- storage, skew, sampling, leads and mutants (K5, K11, J8, J17, M1, M6, N16) ------------------
+
+
+@query(_with(D.CITE, f"SELECT c.ref_id, p.id AS pub_id FROM cite c JOIN pub p ON {_SAME} WHERE c.variant <> 'word_changed'"))
+def bucketed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with each citation's title, from a mirror that is laid out by title key."""
+    pub = D.publications(spark, sf_dir)
+    laid = keyed.write(mirror.with_keys(pub), scratch.path(spark, "mirror"), 16)
+    refs = D.citations(pub).where(titles.queryable(F.col("title")))
+    asked = refs.select("ref_id", F.explode(titles.title_keys(N.letters(F.col("title")), N.subtitle_head(F.col("title")))).alias("k")).select("ref_id", F.col("k.key").alias("asked_key"), F.col("k.is_head").alias("asked_head"))
+    met = skew.join(asked, laid.select("title_key", "is_head", "id"), "asked_key", "title_key", ~(F.col("asked_head") & F.col("is_head")))
+    return met.select("ref_id", F.col("id").alias("pub_id"))
+
+
+_HOT = "CASE WHEN {0} % 3 = 0 THEN 'hot' ELSE 'k' || ({0} % 700) END"
+
+
+@query(f"SELECT a AS k, count(*) AS n, sum(l.o_orderkey % 1000 + r.c_custkey % 1000)::BIGINT AS checksum FROM (SELECT o_orderkey, {_HOT.format('o_orderkey')} AS a FROM orders) l JOIN (SELECT c_custkey, {_HOT.format('c_custkey')} AS b FROM customer) r ON a = b GROUP BY a")
+def heavy_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join of which one key holds a third of either side."""
+    named = lambda i: F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (i % 700).cast("string")))
+    left = D.table(spark, sf_dir, "orders").select("o_orderkey", named(F.col("o_orderkey")).alias("a"))
+    right = D.table(spark, sf_dir, "customer").select("c_custkey", named(F.col("c_custkey")).alias("b"))
+    return skew.join(left, right, "a", "b").groupBy(F.col("a").alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("o_orderkey") % 1000 + F.col("c_custkey") % 1000).alias("checksum"))
+
+
+@query("SELECT l_orderkey AS paper_id, l_partkey AS number, max(1 + l_linenumber % 4) AS seq FROM lineitem GROUP BY ALL")
+def committed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four writers add to one log; what is in force for each key comes from the last commit that has it."""
+    root = scratch.path(spark, "verdicts")
+    rows = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("number"), (F.col("l_linenumber") % 4).alias("writer"))
+    for k in range(4):
+        commits.append(rows.where(F.col("writer") == k).drop("writer"), root)
+    return triage.current(commits.log(spark, root, "paper_id long, number long")).select("paper_id", "number", "seq")
+
+
+_BATCHES = "b AS (SELECT l_orderkey % 400 AS p, l_linenumber AS number, l_partkey AS k, CASE WHEN l_orderkey % 400 < 100 THEN 2 WHEN l_orderkey % 400 < 300 THEN 1 ELSE 0 END AS last, l_orderkey % 3 AS batch FROM lineitem), now AS (SELECT * FROM b WHERE batch = last)"
+
+
+@query(
+    f"WITH {_BATCHES}, t AS (SELECT p, count(*) FILTER (k % 4 = 0) AS verified, count(*) FILTER (k % 4 = 1) AS mismatch, count(*) FILTER (k % 4 = 2) AS pending, count(*) FILTER (k % 4 IN (1, 3)) AS unverified, count(*) FILTER (k % 5 = 0) AS failed_crossref, count(*) AS n_references FROM now GROUP BY p) "
+    "SELECT 'paper' || p AS paper_id, verified, mismatch, pending, unverified, failed_crossref, n_references FROM t UNION ALL SELECT NULL, sum(verified)::BIGINT, sum(mismatch)::BIGINT, sum(pending)::BIGINT, sum(unverified)::BIGINT, sum(failed_crossref)::BIGINT, sum(n_references)::BIGINT FROM t"
+)
+def incremental_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of audits, of which later ones replace papers of earlier ones and one comes twice: a row a paper, and one for the
+    corpus out of the totals that the batches have carried on."""
+    p, k = F.col("l_orderkey") % 400, F.col("l_partkey")
+    status = F.when(k % 4 == 0, "verified").when(k % 4 == 1, "mismatch").when(k % 4 == 3, "not_found")
+    refs = D.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("paper"), p.cast("string")).alias("paper_id"), F.col("l_linenumber").alias("number"), status.alias("status"), F.when(k % 5 == 0, F.array(F.lit("CrossRef"))).otherwise(F.array().cast("array<string>")).alias("failed_dbs"), (F.col("l_orderkey") % 3).alias("batch"), p.alias("p"))
+    root = scratch.path(spark, "rollup")
+    for number, papers in ((0, F.lit(True)), (1, F.col("p") < 300), (1, F.col("p") < 300), (2, F.col("p") < 100)):
+        incremental.carry_on(refs.where((F.col("batch") == number) & papers).drop("batch", "p"), number, root)
+    columns = ["verified", "mismatch", "pending", "unverified", "failed_crossref", "n_references"]
+    totals = incremental.totals(spark, root)
+    whole = spark.createDataFrame([(None, *(totals[c] for c in columns))], "paper_id string, " + ", ".join(f"{c} long" for c in columns))
+    return incremental.status(spark, root).select("paper_id", *columns).unionByName(whole)
+
+
+@query(_with(D.PUB, "SELECT key, venue FROM pub QUALIFY row_number() OVER (PARTITION BY venue ORDER BY md5(key || ':7'), key) <= 25"))
+def sampled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty-five records of each venue by bottom-k."""
+    return measure.sample(D.publications(spark, sf_dir), 25, 7, ["venue"]).select("key", "venue")
+
+
+@query(
+    "WITH f AS (SELECT s_suppkey, pos, regexp_replace(lower(s_name || ' ' || (s_suppkey % 7)), '[^a-z0-9 ]', '', 'g') AS a, repeat('q', CAST(4 * pos AS INTEGER)) AS pad FROM supplier, (VALUES (0), (1), (2), (3), (9)) AS x(pos)), "
+    "s AS (SELECT s_suppkey, pos, round(2.0 * length(a) / (2 * length(a) + length(pad)), 3) AS title_similarity FROM f) "
+    "SELECT s_suppkey::VARCHAR AS ref_id, pos, title_similarity, row_number() OVER (PARTITION BY s_suppkey ORDER BY pos) AS place FROM s WHERE title_similarity >= 0.6 QUALIFY place <= 3"
+)
+def leads_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds for each supplier's name: the name with ever more letters that it does not have behind it."""
+    name = F.concat("s_name", F.lit(" "), (F.col("s_suppkey") % 7).cast("string"))
+    pos = F.explode(F.array(*map(F.lit, (0, 1, 2, 3, 9))))
+    found = D.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("ref_id"), name.alias("cited"), pos.alias("pos")).withColumn("title", F.concat("cited", F.repeat(F.lit("q"), 4 * F.col("pos"))))
+    return leads.ranked(found).select("ref_id", "pos", "title_similarity", F.col("place").cast("long").alias("place"))
+
+
+_E = "e AS (SELECT l_linenumber % 4 AS m, l_partkey % 4 AS c, l_suppkey % 2 AS s, l_orderkey % 3 = 0 AS x, l_partkey % 5 < 2 AS done, l_suppkey % 3 > 0 AS listed FROM lineitem)"
+
+
+def _agree(c: str = "c", s: str = "s", x: str = "x", done: str = "done", listed: str = "listed") -> str:
+    return f"CASE WHEN {c} = 0 THEN false WHEN m + {s} >= {c} THEN true WHEN {done} OR {x} THEN false ELSE m >= 1 OR NOT {listed} END"
+
+
+_AGREE = {
+    "nobody need be comparable": _agree(c="greatest(c, 1)"), "halves of a name count as strangers": _agree(s="0"), "one match is enough": _agree(c="least(c, 1)"), "no list is complete": _agree(done="false"),
+    "no contradiction": _agree(x="false"), "every record lists people": _agree(listed="true"), "a partial list needs no match": _agree(listed="false"),
+}
+
+
+@query(f"WITH {_E} " + " UNION ALL ".join(f"SELECT 'agree: {name}' AS mutant, count(*) FILTER ({sql} <> {_agree()}) AS n FROM e" for name, sql in _AGREE.items()))
+def agreement_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col
+    evidence = F.struct((p("l_linenumber") % 4).alias("matched"), (p("l_partkey") % 4).alias("comparable"), (p("l_suppkey") % 2).alias("split"), (p("l_orderkey") % 3 == 0).alias("contradicted"))
+    rows = D.table(spark, sf_dir, "lineitem").select(evidence.alias("e"), (p("l_partkey") % 5 < 2).alias("done"), (p("l_suppkey") % 3 > 0).alias("listed"))
+    return mutants.changed(rows, mutants.agreement(p("e"), p("done"), p("listed")))
+
+
+_CRITERIA = {"preprint": "p.venue = 'CoRR'", "pages": "p.pages <> c.pages", "volume": "p.volume <> c.volume", "year": "p.year <> c.year", "id": "p.id"}
+_ORDERS = {f"without {c}": [v for k, v in _CRITERIA.items() if k != c] for c in ("preprint", "doi", "pages", "volume", "year")} | {"locators first": [_CRITERIA[c] for c in ("pages", "volume", "year", "preprint", "id")], "last id first": [*list(_CRITERIA.values())[:-1], "-p.id"]}
+
+
+@query(
+    _with(
+        D.CITE
+        + ",\npicked AS (SELECT c.ref_id, "
+        + ", ".join(f"arg_min(p.id, row({', '.join(o)})) AS c{k}" for k, o in enumerate([list(_CRITERIA.values()), *_ORDERS.values()]))
+        + f" FROM cite c JOIN pub p ON {_SAME} WHERE c.variant = 'clean' GROUP BY c.ref_id)",
+        " UNION ALL ".join(f"SELECT 'choice: {name}' AS mutant, count(*) FILTER (c{k + 1} <> c0) AS n FROM picked" for k, name in enumerate(_ORDERS)),
+    )
+)
+def choice_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pub = D.publications(spark, sf_dir)
+    return mutants.choices(titles.candidates(D.citations(pub).where("variant = 'clean'"), mirror.with_keys(pub)))
+
+
+@query(
+    "WITH v AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'partial-match' WHEN 1 THEN 'likely-hallucinated' WHEN 2 THEN 'unclear' ELSE 'no category' END AS c, CASE o_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unsure' END AS t, o_orderkey % 5 = 0 AS blank FROM orders), "
+    "r AS (SELECT c <> 'no category' AND CASE c WHEN 'partial-match' THEN t = 'yes' AND NOT blank WHEN 'likely-hallucinated' THEN t = 'no' ELSE t <> 'no' END AS ok, c = 'unclear' AS untitled, c <> 'no category' AND CASE c WHEN 'partial-match' THEN false WHEN 'likely-hallucinated' THEN t = 'no' ELSE t <> 'no' END AS unmatched FROM v) "
+    "SELECT 'signals: title not looked at' AS mutant, count(*) FILTER (ok <> untitled) AS n FROM r UNION ALL SELECT 'signals: matched title not looked at', count(*) FILTER (ok <> unmatched) FROM r UNION ALL SELECT 'signals: every category is one', count(*) FILTER (NOT ok) FROM r"
+)
+def signal_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    category = F.when(k % 4 == 0, "partial-match").when(k % 4 == 1, "likely-hallucinated").when(k % 4 == 2, "unclear").otherwise("no category")
+    none = F.lit(None).cast("string")
+    signal = F.struct(F.when(c % 3 == 0, "yes").when(c % 3 == 1, "no").otherwise("unsure").alias("title_match"), none.alias("authors_match"), none.alias("venue_match"), none.alias("doi_status"), F.when(k % 5 == 0, " ").otherwise("A title").alias("matched_title"))
+    rows = D.table(spark, sf_dir, "orders").select(category.alias("category"), signal.alias("signal"))
+    return mutants.changed(rows, mutants.signals(F.col("category"), F.col("signal")))
+
+
+@query("SELECT page_id, translate(url || '?\"' || html, '\"''`´‘’‚‛“”„‟′″«»?', repeat(' ', 17)) AS plain FROM pages")
+def filter_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "pages").select("page_id", N.without_filter_breaks(F.concat("url", F.lit('?"'), "html")).alias("plain"))

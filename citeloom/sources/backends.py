@@ -12,6 +12,7 @@ import time
 import urllib.parse
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ CROSSREF = "struct<title:array<string>,subtitle:array<string>,author:array<struc
 CSL = "struct<title:string,author:array<struct<given:string,family:string,literal:string>>,DOI:string>"
 OPENALEX = "struct<title:string,display_name:string,authorships:array<struct<raw_author_name:string,author:struct<display_name:string>>>,is_authors_truncated:boolean,is_retracted:boolean,doi:string,id:string,type:string>"
 S2 = "struct<title:string,authors:array<struct<name:string>>,externalIds:struct<DOI:string>,url:string>"
+LEAD = "struct<title:array<string>,author:array<struct<given:string,family:string>>,`container-title`:array<string>,issued:struct<`date-parts`:array<array<int>>>,DOI:string>"
+LEAD_AUTHORS = 6
 RECORD = "struct<title:string,authors:array<string>,url:string,retracted:boolean>"
 
 
@@ -124,6 +127,12 @@ class Client:
             yield ref, status, bodies
 
 
+def frames(rows: Iterator[tuple], columns: str, most: int = 200) -> Iterator[pd.DataFrame]:
+    """Answers in small frames as they come, so that none waits for the last."""
+    while some := list(islice(rows, most)):
+        yield pd.DataFrame(some, columns=columns.split())
+
+
 def backend(name: str, client: Client, keep: Callable[[DataFrame], DataFrame] = lambda df: df, forms: Callable[[Column], Column] = lambda title: F.array(title), most: int = 1) -> verify.Backend:
     """A service as a backend of the cascade. ``keep`` must store its argument (checkpoint or table), so that nothing is asked twice.
 
@@ -132,8 +141,7 @@ def backend(name: str, client: Client, keep: Callable[[DataFrame], DataFrame] =
     def once(refs: DataFrame, form: Column) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = ((r, t, list(a) if a is not None else []) for b in batches for r, t, a in b.itertuples(index=False))
-            out = [(ref, status, i, body) for ref, status, bodies in client.ask(rows) for i, body in enumerate(bodies or [None])]
-            yield pd.DataFrame(out, columns=["ref_id", "status", "pos", "body"])
+            yield from frames(((ref, status, i, body) for ref, status, bodies in client.ask(rows) for i, body in enumerate(bodies or [None])), "ref_id status pos body")
 
         got = keep(refs.select("ref_id", form.alias("title"), "authors").coalesce(1).mapInPandas(run, "ref_id string, status string, pos int, body string"))
         failed = got.where("status <> ''").select("ref_id", "status")
@@ -169,9 +177,15 @@ def crossref_url(title: str, authors: list[str], mailto: str = "") -> str:
     return f"{SEARCH['CrossRef']}?{urllib.parse.urlencode(asked | ({'mailto': mailto} if mailto else {}))}"
 
 
+def leads_url(title: str, authors: list[str], mailto: str = "") -> str:
+    """A search for whatever resembles a citation, by its title and first authors together."""
+    asked = {"query.bibliographic": " ".join([title, *authors[:CROSSREF_AUTHORS]]), "rows": CROSSREF_ROWS, "select": "title,author,container-title,issued,DOI"}
+    return f"{SEARCH['CrossRef']}?{urllib.parse.urlencode(asked | ({'mailto': mailto} if mailto else {}))}"
+
+
 def openalex_url(title: str, api_key: str = "") -> str:
     """The title travels in quotes, without the marks that would end it."""
-    plain = " ".join(title.translate({ord(c): " " for c in "\"'`´‘’‚‛“”„‟′″«»?,"}).split())
+    plain = " ".join(title.translate({ord(c): " " for c in N.FILTER_BREAKS + ","}).split())
     return f"{SEARCH['OpenAlex']}?{urllib.parse.urlencode({'filter': f'title.search:"{plain}"', 'per-page': CROSSREF_ROWS} | ({'api_key': api_key} if api_key else {}))}"
 
 
@@ -224,17 +238,27 @@ def online(mailto: str = "", s2_key: str = "", openalex_key: str = "", keep: Cal
     return out
 
 
-def lead_similarity(cited: Column, found: Column) -> Column:
-    """How alike two titles are, by matching blocks; ranks leads for a human and confirms nothing."""
-    return _ratio(N.plain_title(cited), N.plain_title(found))
+def leads(refs: DataFrame, search: Callable[[str, list[str]], list[str]] | None = None, mailto: str = "", keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(ref_id, pos, title, authors, venue, year, doi): what a bibliographic search finds for citations (ref_id, title, authors). A hint
+    must never fail an audit, so a search that fails finds nothing. ``search`` gives the bodies of works; the service's own by default."""
+    if search is None:
+        from .http import Http
 
+        ask = Http(f"citeloom (mailto:{mailto})" if mailto else "citeloom", retries=0).json
 
-def _ratio(a: Column, b: Column) -> Column:
-    from pyspark.sql import types as T
+        def search(title: str, authors: list[str]) -> list[str]:
+            outcome, answer = ask(leads_url(title, authors, mailto))
+            return works_in("CrossRef", answer) or [] if outcome == "ok" else []
 
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
+    client = Client(search, retries=0)
 
-        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((r, t, list(a) if a is not None else []) for b in batches for r, t, a in b.itertuples(index=False))
+        yield from frames(((ref, pos, body) for ref, _, bodies in client.ask(rows) for pos, body in enumerate(bodies)), "ref_id pos body")
 
-    return F.pandas_udf(run, T.DoubleType())(a, b)
+    asked = refs.where(F.trim(F.coalesce("title", F.lit(""))) != "").select("ref_id", "title", "authors").coalesce(1)
+    j = F.from_json("body", LEAD)
+    got = keep(asked.mapInPandas(run, "ref_id string, pos int, body string")).select("ref_id", "pos", j.alias("j"))
+    who = F.slice(_people(F.transform("j.author", lambda a: _full(a["given"], a["family"], F.lit("")))), 1, LEAD_AUTHORS)
+    year = F.get(F.get(F.col("j.issued.date-parts"), F.lit(0)), F.lit(0))
+    return got.select("ref_id", "pos", F.coalesce(F.get("j.title", F.lit(0)), F.lit("")).alias("title"), who.alias("authors"), F.coalesce(F.get("j.container-title", F.lit(0)), F.lit("")).alias("venue"), year.alias("year"), F.col("j.DOI").alias("doi"))

@@ -166,8 +166,7 @@ def _backend(name: str, key: Column, identifier: str, info: str, ask_all: Callab
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys = (k for b in batches for k in b["key"])
-            rows = [(k, f.outcome, f.kind, f.body, f.sure) for k, f in ask_all(keys)]
-            yield pd.DataFrame(rows, columns=["key", "outcome", "kind", "body", "sure"])
+            yield from backends.frames(((k, f.outcome, f.kind, f.body, f.sure) for k, f in ask_all(keys)), "key outcome kind body sure")
 
         said = keep(keyed.where("key is not null").select("key").distinct().coalesce(1).mapInPandas(run, _ASKED))
         asked = keyed.select("ref_id", "key").where("key is not null").join(said, "key")

@@ -265,11 +265,11 @@ def test_character_references(spark):
 
 
 def test_leads_are_ranked_before_they_are_filtered(spark):
-    from citeloom.operators import titles
+    from citeloom.operators import leads
 
     rows = [("r", i, t) for i, t in enumerate(["Testing things", "Testing of things", "Zzz", "Testing the things"])]
     found = spark.createDataFrame(rows, "ref_id string, pos int, title string")
-    got = titles.leads(found, backends.lead_similarity(F.lit("Testing of things"), F.col("title"))).orderBy("place").collect()
+    got = leads.ranked(found.withColumn("cited", F.lit("Testing of things"))).orderBy("place").collect()
     assert [r["pos"] for r in got] == [1, 0, 3] or [r["pos"] for r in got] == [1, 3, 0]
 
 
