@@ -248,12 +248,16 @@ def pages_of(style, n=12, two_columns=False):
     return [["Intro text cites [1] and [40], a 95% CI: [3, 77]", "", "7 R EFERENCES", *entries, "Appendix", "[99] not an entry"]]
 
 
+def _as_lines(spark, pages):
+    return spark.createDataFrame([("p", i, j, t) for i, page in enumerate(pages) for j, t in enumerate(page)], "paper_id string, page_no int, line_no int, text string")
+
+
 @pytest.mark.parametrize("style", ["numeric", "bracket-numeric", "author-year"])
-def test_segmentation_of_each_style(style):
+def test_segmentation_of_each_style(spark, style):
     rows, facts = segment.extract(pages_of(style))
     assert facts["style"] == style and [r[0] for r in rows] == list(range(1, 13)) and facts["unparsed"] == 0
     assert rows[0][3].startswith("Study number ab of things") and len(rows[0][4]) == 2
-    assert facts["cited_beyond"] == ([] if style == "author-year" else [40])
+    assert segment.extraction(_as_lines(spark, pages_of(style))).first()["extraction"]["cited_beyond"] == ([] if style == "author-year" else [40])
     if style == "author-year":
         assert "experi-mental" in rows[0][1] and "experimental" in rows[0][2]
 
@@ -380,3 +384,21 @@ def test_every_paper_and_style_is_segmented(spark, monkeypatch):
     facts = {x["paper_id"]: tuple(x)[1:4] for x in registry.QUERIES["extraction_facts"](spark, "").collect()}
     styles = ("bracket-numeric", "numeric", "author-year")
     assert {f"paper{k}": (30, styles[k % 3], True) for k in range(6)}.items() <= facts.items() and len(facts) == 7
+
+
+def test_bounds_of_intervals_are_no_citations(spark):
+    cases = [
+        ("we cite [3] and [41, 42–43]; not x[44] nor a][45]", [41, 42, 43]),
+        ("a 95% CI: [50, 60], CrI [51, 61] and PI= [52, 62] but CIs [53, 63]", [53, 63]),
+        ("the confidence interval [50, 60]\nConfidence Intervals [70, 80]", [70, 80]),
+        ("55 [50, 60]", [50, 60]),
+        ("confidence intervals follow\n55 [50, 60] and 55.5% [50, 60], 70 [50, 60]", [50, 60]),
+        ("55 [51, 61] then credible intervals 55 [50, 60]", []),
+        ("credible intervals\n \n55 [50, 60]", [50, 60]),
+        ("CI [60, 50] and CI [50, 60, 70] and CI [50-60]", [50, 60, 70]),
+        ("", []),
+        (None, []),
+    ]
+    rows = spark.createDataFrame([(i, t, 40) for i, (t, _) in enumerate(cases)], "i int, t string, last int")
+    got = [r["n"] for r in rows.orderBy("i").select(segment.cited_beyond(F.col("t"), F.col("last")).alias("n")).collect()]
+    assert got == [n for _, n in cases]
