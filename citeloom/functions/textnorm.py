@@ -54,6 +54,10 @@ def _tables(strokes: bool) -> tuple[str, str, dict[str, str]]:
     return "".join(one) + "".join(gone), "".join(one.values()), many
 
 
+#: Letters of which none becomes several (but for those in ``STROKES``).
+_COMMON = r"[\u00C0-\u0131]"
+
+
 def _fold(text: Column, strokes: bool) -> Column:
     find, put, many = _tables(strokes)
     if strokes:  # the frequent ones; the rest of what becomes several letters is rare and looked up letter by letter
@@ -63,9 +67,10 @@ def _fold(text: Column, strokes: bool) -> Column:
     index = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # folds into one constant
 
     def folded(t: Column) -> Column:
-        some = F.length(F.translate(t, "".join(many), "")) != F.length(t)  # a class of so many letters is a slow pattern
-        spelled = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(index, c), c)), "")
-        return F.lower(F.translate(F.when(t.rlike("[^\\x00-\\x7F]") & some, spelled).otherwise(t), find, put))
+        odd = F.array_distinct(F.split(F.regexp_replace(t, "[\\x00-\\x7F]+", ""), ""))  # some dozen letters at most, whatever the text's length
+        single = lambda c: F.translate(c, find, put)
+        plain = lambda c: F.when(c.rlike(_COMMON), single(c)).otherwise(F.coalesce(F.try_element_at(index, c), single(c)))
+        return F.lower(F.when(t.rlike("[^\\x00-\\x7F]"), F.aggregate(odd, t, lambda text, c: F.replace(text, c, plain(c)))).otherwise(t))
 
     return let(text, folded)
 
@@ -117,16 +122,16 @@ def titles_match(cited: Column, record: Column) -> Column:
 
 
 def _words_only(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "[^a-z0-9 ]", ""), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9\s]+", ""), r"\s+", " "))
 
 
 def normalized_title(title: Column) -> Column:
-    return _words_only(F.regexp_replace(F.replace(fold(_text(title)), F.lit("-"), F.lit("")), r"\s", " "))
+    return _words_only(fold(_text(title)))
 
 
 def plain_title(title: Column) -> Column:
     """As ``normalized_title`` but with plain lower-casing, so accented letters are dropped."""
-    return _words_only(F.regexp_replace(F.replace(F.lower(_text(title)), F.lit("-"), F.lit("")), r"\s", " "))
+    return _words_only(F.lower(_text(title)))
 
 
 def title_words(title: Column) -> Column:
@@ -135,8 +140,7 @@ def title_words(title: Column) -> Column:
 
 def title_key(title: Column) -> Column:
     """The key on which duplicates are grouped; null for titles that are too short."""
-    key = plain_title(title)
-    return F.when(F.length(key) >= KEY_LENGTH, key)
+    return let(plain_title(title), lambda key: F.when(F.length(key) >= KEY_LENGTH, key))
 
 
 def full_key(raw: Column) -> Column:
