@@ -1,4 +1,4 @@
-"""Command line: ``python -m citeloom audit|worklist|status|report|record|ingest``."""
+"""Command line: ``python -m citeloom audit|compare|worklist|status|report|record|ingest``."""
 
 from __future__ import annotations
 
@@ -39,6 +39,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         t.add_argument("--out", default="out")
         t.add_argument("--paper")
         t.add_argument("--pending", action="store_true")
+    c = sub.add_parser("compare", help="compare an audit with an earlier one")
+    c.add_argument("base", help="the folder of the earlier audit")
+    c.add_argument("--out", default="out")
     r = sub.add_parser("record", help="add a verdict to the log")
     r.add_argument("paper")
     r.add_argument("number", type=int)

@@ -81,6 +81,9 @@ def reference_key(label_text: Column, number: Column) -> Column:
     return F.when(plain, label_text).otherwise(F.concat(label_text, F.lit(" [#"), n, F.lit("]")))
 
 
+LABEL_NOTE = "Labels like [3] are printed in the paper; author and year are how the text cites an entry; #3 is the entry's place among those that were extracted."
+
+
 def label_note(refs: DataFrame) -> DataFrame:
     """(paper_id, needs_note): whether a paper's handles must be explained, as not all of them are printed."""
     return refs.groupBy("paper_id").agg(F.max(F.col("label_kind") != "printed").alias("needs_note"))
@@ -158,18 +161,26 @@ def problems(papers: DataFrame) -> DataFrame:
 
 
 def report_lines(refs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(paper_id, place, line): the Markdown lines of each paper's report, in order; rendered on the executors."""
+    """(paper_id, place, line): the Markdown lines of each paper's report, in order; rendered on the executors. Where ``refs`` have labels, citations
+    go by them, a paper whose labels aren't all printed ones says so first, and a verdict that contradicts its signals is warned of."""
     joined = refs.join(verdicts.select("paper_id", "number", "category", "finding", "signals", "ref_hash"), ["paper_id", "number"], "left")
     live = joined.where(needs_triage(F.col("status"))).withColumn("_stale", is_stale(F.col("ref_hash"), F.col("raw")))
+    labelled = {"label", "label_kind"} <= set(refs.columns)
     lab = F.concat(F.lit("#"), F.col("number").cast("string"))
+    lab = F.coalesce(reference_key(F.col("label"), F.col("number")), lab) if labelled else lab
     head = F.concat(F.lit("## "), lab, F.lit(": "), F.coalesce("title", F.col("raw"), F.lit("")))
     state = F.when(F.col("category").isNull(), "- Not triaged yet").when(F.col("_stale"), "- The verdict was recorded about another text; triage again").otherwise(F.concat(F.lit("- Verdict: "), F.col("category"), F.lit(" (severity "), severity(F.col("category")), F.lit(")")))
     sig = F.when(~F.col("_stale"), F.concat(F.lit("- Signals: "), signals_line(F.col("signals"))))
     note = F.when(~F.col("_stale") & F.col("finding").isNotNull(), F.concat(F.lit("- Finding: "), F.col("finding")))
-    lines = F.array_compact(F.array(head, F.concat(F.lit("- Status: "), F.col("status")), state, sig, note, F.concat(F.lit("- Raw: "), F.col("raw"))))
+    warning = F.when(~F.col("_stale"), F.concat(F.lit("- Warning: "), signal_warning(F.col("category"), F.col("signals"))))
+    lines = F.array_compact(F.array(head, F.concat(F.lit("- Status: "), F.col("status")), state, sig, warning, note, F.concat(F.lit("- Raw: "), F.col("raw"))))
     each = live.select("paper_id", "number", F.posexplode(lines).alias("pos", "line"))
     place = F.row_number().over(Window.partitionBy("paper_id").orderBy("number", "pos"))
-    return each.select("paper_id", place.alias("place"), "line")
+    numbered = each.select("paper_id", place.alias("place"), "line")
+    if not labelled:
+        return numbered
+    noted = label_note(refs).where("needs_note").join(numbered.select("paper_id").distinct(), "paper_id", "left_semi")
+    return noted.select("paper_id", F.lit(0).alias("place"), F.lit(LABEL_NOTE).alias("line")).unionByName(numbered)
 
 
 def rollup_lines(refs: DataFrame, verdicts: DataFrame) -> DataFrame:

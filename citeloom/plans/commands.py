@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
-from ..operators import keyed, leads, mirror, rollup, segment, triage, verify
+from ..operators import keyed, leads, measure, mirror, rollup, segment, triage, verify
 from ..sources import backends, commits, dump, papers
 
 VERDICTS = f"paper_id string, number int, category string, finding string, signals {triage.SIGNAL_TYPE}, ref_hash string"
@@ -187,11 +187,25 @@ def run_audit(spark: SparkSession, a: argparse.Namespace) -> int:
     return 4 if table(spark, a.out, "papers").where("num_references = 0").limit(1).count() else 0
 
 
+def compare(spark: SparkSession, base: str, out: str) -> int:
+    """What an audit says otherwise than an earlier one: how often each status became which, whose verification moved, and every parsed field
+    that differs. 1 if anything moved."""
+    old, new = (measure.recording(table(spark, at, "references"), at) for at in (base, out))
+    flat = lambda r: r.select("ref_id", "parse.*", "check.status", "check.source")
+    old, new = flat(old), flat(new)
+    moved = rollup.moved(old, new)
+    for name, rows in (("transitions", rollup.transitions(old, new)), ("moved", moved), ("differences", rollup.field_diffs(old, new))):
+        rows.write.mode("overwrite").json(f"{out}/compared/{name}")
+    return 0 if moved.isEmpty() else 1
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "ingest":
         return ingest(spark, a.dump, a.out, a.work, a.least, a.limit)
     if a.command == "audit":
         return run_audit(spark, a)
+    if a.command == "compare":
+        return compare(spark, a.base, a.out)
     refs = table(spark, a.out, "references")
     if getattr(a, "paper", None) and a.command != "record":
         refs = refs.where(F.col("paper_id") == a.paper)
@@ -206,8 +220,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         papers.write_reports(triage.sheet_lines(refs, now), f"{a.out}/sheet{suffix}")
         triage.rollup_lines(refs, now).repartitionByRange("place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(f"{a.out}/rollup{suffix}")
     else:
-        row = [(a.paper, a.number, a.category, a.finding, a.signals)]
-        said = record(spark, a.out, spark.createDataFrame(row, VERDICTS.removesuffix(", ref_hash string")))
+        new = spark.createDataFrame([(a.paper, a.number, a.category, a.finding, a.signals)], VERDICTS.removesuffix(", ref_hash string"))
+        said = record(spark, a.out, new)
         if said:
             raise SystemExit(said[0])
+        warning = new.select(triage.signal_warning(F.col("category"), F.col("signals"))).first()[0]
+        if warning:
+            print(f"warning: {warning}")
     return 0

@@ -804,3 +804,24 @@ def signal_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, translate(url || '?\"' || html, '\"''`´‘’‚‛“”„‟′″«»?', repeat(' ', 17)) AS plain FROM pages")
 def filter_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", N.without_filter_breaks(F.concat("url", F.lit('?"'), "html")).alias("plain"))
+
+
+_MARGINS = D.LAYOUT + ", m AS (SELECT 'paper' || paper AS paper_id, CASE WHEN paper % 2 = 0 THEN lpad(CAST(line_no AS VARCHAR), 4, ' ') || '  ' || text ELSE text END AS text FROM lines), f AS (SELECT paper_id, text, regexp_matches(text, '^\\s*\\d{1,4}\\s*$') OR regexp_matches(text, '^\\s*\\d{1,4}\\s{2,}\\S') AS hit, CAST(length(text) - length(ltrim(text)) AS INTEGER) AS indent FROM m WHERE trim(text) <> '')"
+
+
+@query(_with(_MARGINS, "SELECT paper_id, avg(hit::INT) AS share, (SELECT i FROM (SELECT indent AS i, count(*) AS n FROM f g WHERE g.paper_id = f.paper_id AND g.hit GROUP BY indent) ORDER BY n DESC, i LIMIT 1) AS column, avg(hit::INT) > 0.5 AS numbered FROM f GROUP BY paper_id"))
+def margin_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second paper has its lines numbered in the margin."""
+    lines = D.layout(D.publications(spark, sf_dir))
+    even = F.regexp_extract("paper_id", r"\d+", 0).cast("int") % 2 == 0
+    numbered = F.when(even, F.concat(F.lpad(F.col("line_no").cast("string"), 4, " "), F.lit("  "), F.col("text"))).otherwise(F.col("text"))
+    return segment.margin_numbers(lines.withColumn("text", numbered))
+
+
+@query("WITH l AS (SELECT conv_id, trim(regexp_replace(regexp_replace(role || repeat(' ', 12) || 'turn ' || turn, '[0-9]+', '', 'g'), '\\s+', ' ', 'g')) AS norm FROM conversations WHERE turn % 2 = 0 AND role IS NOT NULL) SELECT conv_id AS paper_id, norm, count(*) AS n FROM l GROUP BY ALL HAVING count(*) > 1")
+def running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines: those with a wide gap recur but for their number, those without one are none, however often they come."""
+    wide = F.concat("role", F.lit(" " * 12 + "turn "), F.col("turn").cast("string"))
+    lines = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), F.when(F.col("turn") % 2 == 0, wide).otherwise(F.concat(F.lit("said "), "role")).alias("text"))
+    return segment.running_heads(lines)
+

@@ -96,3 +96,11 @@ def test_every_mutant_is_killed(spark):
     got = {r["mutant"]: r["n"] for r in mutants.choices(found.withColumn("loc", N.locators(F.col("raw"), F.col("doi")))).collect()}
     assert all(n > 0 for n in got.values()), got
     assert len(got) == len(titles.choice_order()) + 1
+
+
+def test_ciphered_text_keeps_its_shape(spark):
+    texts = ["[1] A. Berg and Bo Ek-Ström, \"Testing of Things,\" pp. 1-12, 2001.\n  Testing again", "", None, "ÄÖ x"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(measure.ciphered(F.col("t"))).collect()]
+    shape = lambda t: "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in t or "")
+    assert [shape(t) for t in got] == [shape(t) for t in texts] and got[1] == got[2] == ""
+    assert got[0].split("\"")[1].split()[0].lower() == got[0].split()[-2].lower() != "testing"

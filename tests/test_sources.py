@@ -72,7 +72,13 @@ def test_audit_of_text_files(spark, tmp_path):
     assert run("audit", str(tmp_path / "in"), "--mirror", str(tmp_path / "bad"), "--offline") == 4
     assert {r["degraded"] for r in commands.table(spark, str(tmp_path / "out"), "references").collect()} == {True}
     run("audit", str(tmp_path / "in"), "--mirror", str(tmp_path / "pub"), "--offline")
+    other = lambda *a: commands.run(spark, arguments([*a, "--out", str(tmp_path / "other")]))
+    assert other("audit", str(tmp_path / "in"), "--mirror", str(tmp_path / "bad"), "--offline") == 4 and other("compare", str(tmp_path / "out")) == 1
+    assert {(r["old_status"], r["new_status"]) for r in spark.read.json(str(tmp_path / "other/compared/moved")).collect()} == {("verified", "not_found")}
+    assert run("compare", str(tmp_path / "out")) == 0
+    run("record", "p1", "3", "real-published", "seen", "--signals", '{"title_match": "no"}')
     run("report")
+    assert any("- Warning: a real work" in x for x in lines("reports")) and any(x.startswith("## [3]: ") for x in lines("reports"))
     assert any("likely-hallucinated (severity high)" in r["value"] for r in spark.read.text(str(tmp_path / "out/reports")).collect())
 
 
