@@ -67,7 +67,8 @@ def _fold(text: Column, strokes: bool) -> Column:
     index = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # folds into one constant
 
     def folded(t: Column) -> Column:
-        odd = F.array_distinct(F.split(F.regexp_replace(t, "[\\x00-\\x7F]+", ""), ""))  # some dozen letters at most, whatever the text's length
+        # some dozen letters, whatever the text's length; in order, as what a letter becomes has a lower code and is not replaced again
+        odd = F.array_sort(F.array_distinct(F.split(F.regexp_replace(t, "[\\x00-\\x7F]+", ""), "")))
         single = lambda c: F.translate(c, find, put)
         plain = lambda c: F.when(c.rlike(_COMMON), single(c)).otherwise(F.coalesce(F.try_element_at(index, c), single(c)))
         return F.lower(F.when(t.rlike("[^\\x00-\\x7F]"), F.aggregate(odd, t, lambda text, c: F.replace(text, c, plain(c)))).otherwise(t))
