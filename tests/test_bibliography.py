@@ -282,6 +282,17 @@ def test_missing_numbers_and_no_section():
     assert rows == [] and facts["style"] == "none" and not facts["section_found"]
 
 
+def test_missing_numbers_as_a_plan(spark, monkeypatch):
+    """Gaps over several slices, repeats, nulls, numbers below one, a null paper, and no shuffle of what the gaps give."""
+    monkeypatch.setattr(segment, "GAP", 3)
+    rows = [("a", 2), ("a", 2), ("a", 13), ("a", None), ("b", 1), ("b", 2), ("c", 0), ("c", -4), (None, 3), (None, 1), ("d", 2**33 + 1), ("d", 2**33 - 1), *(("d", n) for n in range(1, 5))]
+    df = spark.createDataFrame(rows, "paper_id string, number long")
+    got = sorted(tuple(r) for r in segment.missing(df.where("paper_id is null or paper_id <> 'd'")).collect() if r[0]) + [tuple(r) for r in segment.missing(df.where("paper_id is null")).collect()]
+    assert got == [("a", n) for n in (1, *range(3, 13))] + [(None, 2)]
+    plan = segment.missing(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Window")
+
+
 def test_segmentation_as_a_plan(spark):
     lines = spark.createDataFrame([(p, n, i, x) for p, s in (("a", "numeric"), ("b", "author-year")) for n, page in enumerate(pages_of(s)) for i, x in enumerate(page)] + [("c", 0, 0, None)], "paper_id string, page_no int, line_no int, text string")
     assert {(r["paper_id"], r["n"]) for r in segment.segment(lines).groupBy("paper_id").agg(F.count("*").alias("n")).collect()} == {("a", 12), ("b", 12)}
