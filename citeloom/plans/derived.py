@@ -24,8 +24,8 @@ def _capital(w: Column) -> Column:
 
 
 def _spread(words: Column, k: Column) -> Column:
-    """The ``k``-th of eight words that lie evenly over a list."""
-    return F.element_at(words, (F.floor(k * F.size(words) / 8) + 1).cast("int"))
+    """The ``k``-th of eight words that lie evenly over a list; null of an empty one, as Spark may compute this before it filters those out."""
+    return F.get(words, F.floor(k * F.size(words) / 8).cast("int"))
 
 
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 50 + 1).cast("string").alias("volume"),
         (i % 12 + 1).cast("string").alias("number"),
         F.concat((i % 400 + 1).cast("string"), F.lit("-"), (i % 400 + 13).cast("string")).alias("pages"),
-        F.transform(F.sequence(F.lit(0), (1 + i % 3).cast("int")), pair).alias("authors"),
+        F.transform(F.slice(F.array(*map(F.lit, range(4))), 1, (2 + i % 3).cast("int")), pair).alias("authors"),
     )
 
 
