@@ -227,6 +227,32 @@ def test_parse_by_example(text, title, authors):
     assert e.title == title and (authors is None or e.authors == authors)
 
 
+@pytest.mark.parametrize(
+    ("byline", "title"),
+    [
+        ("Edition Bravo, Carol Journal", "alpha of things and more"),
+        ("Alpha Editors, Carol Proceedings, Dora Chapter", "alpha of things and more"),
+        ("Alpha Bravo, Carol Editors", "alpha of things and more"),
+        ("Alpha Bravo, Translators Translators", "alpha of things and more"),
+        ("Alpha Bravo, Carol Learn", "alpha of things and more"),
+        ("Alpha Bravo, Carol Delta", "Available memory of things"),
+        ("Journal Intell", "online games for volume editors"),
+    ],
+)
+def test_names_and_titles_of_words_that_mean_something_elsewhere(byline, title):
+    end = "in Proceedings of Things, 2001, pp. 1-9."
+    for raw in (f'{byline}, "{title}," {end}', f"{byline}. 1999. {title}. {end}", f"{byline}, et al. {title}. {end}", f"{byline} (1999). {title}. {end}"):
+        e = parse.parse(raw)
+        assert (e.authors, e.title) == (byline.split(", "), title), raw
+
+
+def test_roles_and_notes_stay_what_they_are():
+    for byline in ("Alpha Bravo, Carol Delta, Editors", "Alpha Bravo, Carol Delta, eds.", "Alpha Bravo, Carol Delta Editors"):
+        assert parse.parse(f"{byline} (1999). A title of things. Springer, 2001.").authors == ["Alpha Bravo", "Carol Delta"], byline
+    assert parse.parse("A. Bravo. 1999. A title of things. Available: http://host.org/x").title == "A title of things"
+    assert parse.parse("Alpha Bravo. 1999. Available at http://host.org/x") is None or parse.parse("Alpha Bravo. 1999. Available at http://host.org/x").title != "Available at"
+
+
 @pytest.mark.parametrize("text", ["", None, "[1-3]. pp. 45.", "12 34", "." * 40_000, "(" * 3000 + "?! " * 3000])
 def test_what_is_no_reference_gives_nothing_quickly(text):
     assert parse.parse(text) is None
