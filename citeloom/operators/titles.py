@@ -97,33 +97,57 @@ def retrieved_late(tokens: Column, title: Column) -> Column:
     return F.exists(glued(title), lambda t: F.forall(t, lambda w: F.array_contains(tokens, w))) | F.exists(dropped_pairs(title), lambda r: F.forall(r, lambda x: holds_group(tokens, x)))
 
 
+def _title_class(title: Column) -> Column:
+    """128 bits that stand for a title: what is found for it is found once, however many citations or records bear it."""
+    return F.unhex(F.md5(F.coalesce(title, F.lit("")).cast("binary")))
+
+
+def _held(pub: DataFrame) -> DataFrame:
+    """(held, title, tokens): each title of a mirror once."""
+    return pub.select(_title_class(F.col("title")).alias("held"), "title", "tokens").groupBy("held").agg(F.first("title").alias("title"), F.first("tokens").alias("tokens"))
+
+
+def _asked(items: DataFrame, title: str) -> DataFrame:
+    """(asked, title): each title that is asked about once."""
+    return items.select(_title_class(F.col(title)).alias("asked"), F.col(title).alias("title")).groupBy("asked").agg(F.first("title").alias("title"))
+
+
+def _every(pairs: DataFrame, items: DataFrame, pub: DataFrame, item: str, title: str, name: str) -> DataFrame:
+    """(``name``, pub_id): every citation and every record of pairs of titles (asked, held). What is shuffled are the pairs of titles, and each
+    citation once for each title that it meets; pairs of citations and records are only given out."""
+    who = items.select(F.col(item).alias(name), _title_class(F.col(title)).alias("asked"))
+    what = pub.select(F.col("id").alias("pub_id"), _title_class(F.col("title")).alias("held"))
+    return pairs.join(who, "asked").select(name, "held").join(what, "held").select(name, "pub_id")
+
+
 def and_retrieval(items: DataFrame, pub: DataFrame, item: str = "ref_id", title: str = "title") -> DataFrame:
     """(item, pub_id) where a record holds every one of the first ten groups of the item's title.
 
     Relational division: groups and titles meet on words, and a pair counts when all groups are met. A word that very many
-    titles hold would make the join large, so only the group that fewest titles meet is joined; the others are tested."""
-    word = pub.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    asked = items.select(F.col(item).alias("item"), F.slice(groups(F.col(title)), 1, MOST_GROUPS).alias("gs")).where(F.size("gs") >= LEAST_TOKENS)
-    each = asked.select("item", "gs", F.posexplode("gs").alias("g", "group"))
-    ways = each.select("item", "g", F.explode(F.array_distinct(F.array(F.col("group.joined"), F.element_at("group.parts", 1)))).alias("word"))
-    cost = ways.join(word, "word", "left").groupBy("item", "g").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"))
-    rarest = cost.groupBy("item").agg(F.min(F.struct("cost", "g")).alias("x")).select("item", F.col("x.g").alias("g"))
-    posted = pub.select(F.col("id").alias("pub_id"), F.explode(F.array_distinct("tokens")).alias("word"))
-    met = ways.join(rarest, ["item", "g"]).select("item", "word").join(posted, "word").select("item", "pub_id").distinct()
-    held = pub.select(F.col("id").alias("pub_id"), "tokens")
-    return met.join(held, "pub_id").join(asked, "item").where(F.forall("gs", lambda x: holds_group(F.col("tokens"), x))).select("item", "pub_id")
+    titles hold would make the join large, so only the group that fewest titles meet is joined; the others are tested where they meet, so that
+    no pair is shuffled that does not hold. Equal titles meet once."""
+    held = _held(pub)
+    posted = held.select("held", "tokens", F.explode(F.array_distinct("tokens")).alias("word"))
+    word = posted.groupBy("word").agg(F.count("*").alias("n"))
+    asked = _asked(items, title).select("asked", F.slice(groups(F.col("title")), 1, MOST_GROUPS).alias("gs")).where(F.size("gs") >= LEAST_TOKENS)
+    each = asked.select("asked", F.posexplode("gs").alias("g", "group"))
+    ways = each.select("asked", "g", F.explode(F.array_distinct(F.array(F.col("group.joined"), F.element_at("group.parts", 1)))).alias("word"))
+    cost = ways.join(word, "word", "left").groupBy("asked", "g").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"), F.collect_set("word").alias("words"))
+    rarest = cost.groupBy("asked").agg(F.min_by("words", F.struct("cost", "g")).alias("words"))
+    tried = rarest.join(asked, "asked").select("asked", "gs", F.explode("words").alias("word"))
+    met = tried.join(posted, "word").where(F.forall("gs", lambda x: holds_group(F.col("tokens"), x))).select("asked", "held").distinct()
+    return _every(met, items, pub, item, title, "item")
 
 
 def phrase_retrieval(items: DataFrame, pub: DataFrame, item: str = "ref_id", title: str = "title") -> DataFrame:
     """(item, pub_id) where a record's title holds one of the item's phrases. Phrases and titles meet on the word of the phrase that
-    fewest titles hold; then the whole phrase is tested."""
-    word = pub.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    asked = items.select(F.col(item).alias(item), F.explode(phrases(F.col(title))).alias("phrase"))
-    rarest = asked.select(item, "phrase", F.explode("phrase").alias("word")).join(word, "word", "left").groupBy(item, "phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x"))
-    posted = pub.select(F.col("id").alias("pub_id"), F.explode(F.array_distinct("tokens")).alias("word"))
-    met = rarest.select(item, "phrase", F.col("x.word").alias("word")).join(posted, "word").select(item, "phrase", "pub_id")
-    held = pub.select(F.col("id").alias("pub_id"), "tokens")
-    return met.join(held, "pub_id").where(holds_phrase(F.col("tokens"), F.col("phrase"))).select(item, "pub_id").distinct()
+    fewest titles hold; then the whole phrase is tested. Equal titles meet once."""
+    posted = _held(pub).select("held", "tokens", F.explode(F.array_distinct("tokens")).alias("word"))
+    word = posted.groupBy("word").agg(F.count("*").alias("n"))
+    asked = _asked(items, title).select("asked", F.explode(phrases(F.col("title"))).alias("phrase"))
+    rarest = asked.select("asked", "phrase", F.explode("phrase").alias("word")).join(word, "word", "left").groupBy("asked", "phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x"))
+    met = rarest.select("asked", "phrase", F.col("x.word").alias("word")).join(posted, "word").where(holds_phrase(F.col("tokens"), F.col("phrase"))).select("asked", "held").distinct()
+    return _every(met, items, pub, item, title, item)
 
 
 def title_keys(full: Column, head: Column) -> Column:
@@ -200,19 +224,22 @@ def nearest(refs: DataFrame, pub: DataFrame, most: int = NEAREST_CANDIDATES) ->
     """(ref_id, pub_id, edits, place): records within two word edits of a title that no record carries, nearest first.
 
     A set-overlap join with a prefix filter: a record that lacks at most two of the groups holds one of any three, so
-    citations and records meet on the words of the three rarest groups only, and the rest is verified."""
-    asked = refs.select("ref_id", "title", F.slice(groups(F.col("title")), 1, MOST_GROUPS).alias("gs"), N.title_words(F.col("title")).alias("want"))
+    citations and records meet on the words of the three rarest groups only, and the rest is verified where they meet. Equal titles
+    meet once and have the same places, and of the records of a title none but the first ``most`` can get one."""
+    asked = _asked(refs, "title").select("asked", F.slice(groups(F.col("title")), 1, MOST_GROUPS).alias("gs"), N.title_words(F.col("title")).alias("want"))
     asked = asked.withColumn("miss", F.when(F.size("gs") >= 5, 2).when(F.size("gs") == 4, 1)).where("miss is not null")
-    word = pub.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    ways = asked.select("ref_id", "miss", F.posexplode("gs").alias("g", "group")).select("ref_id", "miss", "g", F.explode(F.array_distinct(F.array(F.col("group.joined"), F.element_at("group.parts", 1)))).alias("word"))
-    cost = ways.join(word, "word", "left").groupBy("ref_id", "miss", "g").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"), F.collect_set("word").alias("words"))
-    place = F.row_number().over(Window.partitionBy("ref_id").orderBy("cost", "g"))
-    prefix = cost.withColumn("_p", place).where(F.col("_p") <= F.col("miss") + 1).select("ref_id", F.explode("words").alias("word")).distinct()
-    posted = pub.select(F.col("id").alias("pub_id"), F.explode(F.array_distinct("tokens")).alias("word"))
-    held = pub.select(F.col("id").alias("pub_id"), "tokens", N.title_words(F.col("title")).alias("words"), "venue")
-    met = prefix.join(posted, "word").select("ref_id", "pub_id").distinct().join(held, "pub_id").join(asked, "ref_id")
+    posted = _held(pub).select("held", "tokens", N.title_words(F.col("title")).alias("words"), F.explode(F.array_distinct("tokens")).alias("word"))
+    word = posted.groupBy("word").agg(F.count("*").alias("n"))
+    ways = asked.select("asked", "miss", F.posexplode("gs").alias("g", "group")).select("asked", "miss", "g", F.explode(F.array_distinct(F.array(F.col("group.joined"), F.element_at("group.parts", 1)))).alias("word"))
+    cost = ways.join(word, "word", "left").groupBy("asked", "miss", "g").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"), F.collect_set("word").alias("ws"))
+    place = F.row_number().over(Window.partitionBy("asked").orderBy("cost", "g"))
+    prefix = cost.withColumn("_p", place).where(F.col("_p") <= F.col("miss") + 1).groupBy("asked").agg(F.array_distinct(F.flatten(F.collect_list("ws"))).alias("ws"))
+    met = prefix.join(asked, "asked").withColumn("word", F.explode("ws")).drop("ws").join(posted, "word")
     enough = F.size(F.filter("gs", lambda x: holds_group(F.col("tokens"), x))) >= F.size("gs") - F.col("miss")
     close = (F.abs(F.size("words") - F.size("want")) <= NEAREST_EDITS) & (F.size(F.array_intersect("want", "words")) >= F.size(F.array_distinct("want")) - NEAREST_EDITS)
-    scored = met.where(enough & close).withColumn("edits", word_edits(F.col("want"), F.col("words"))).where("edits >= 0")
-    order = Window.partitionBy("ref_id").orderBy("edits", venue_place(F.col("venue")), "pub_id")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("ref_id", "pub_id", "edits", "place")
+    scored = met.where(enough & close).withColumn("edits", word_edits(F.col("want"), F.col("words"))).where("edits >= 0").groupBy("asked", "held").agg(F.first("edits").alias("edits"))
+    rows = pub.select(F.col("id").alias("pub_id"), venue_place(F.col("venue")).alias("venue"), _title_class(F.col("title")).alias("held"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("held").orderBy("venue", "pub_id"))).where(F.col("_n") <= most).drop("_n")
+    order = Window.partitionBy("asked").orderBy("edits", "venue", "pub_id")
+    placed = scored.join(first, "held").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("asked", "pub_id", "edits", "place")
+    return refs.select("ref_id", _title_class(F.col("title")).alias("asked")).join(placed, "asked").select("ref_id", "pub_id", "edits", "place")

@@ -171,6 +171,21 @@ def test_and_retrieval_equals_brute_force(spark, pub):
     assert got == want and ("1", 3) in got and ("2", 7) in got
 
 
+@pytest.mark.parametrize("of", [titles.and_retrieval, titles.phrase_retrieval, titles.nearest])
+def test_pairs_are_tested_where_words_meet_and_equal_titles_meet_once(spark, of):
+    """The join on words tests the whole title, so that no pair is shuffled that does not hold, and it is between distinct titles."""
+    some = ["alpha bravo charlie delta foxtrot", "alpha bravo charlie delta golf", "juliet kilos limas mikes oscar"]
+    rows = [(i, some[i % 3], "CoRR" if i % 2 else None, ["A B"]) for i in range(60)]
+    pub = mirror.with_keys(spark.createDataFrame(rows, "id long, title string, venue string, authors array<string>"))
+    refs = spark.createDataFrame([(str(i), some[i % 3], "", None) for i in range(9)], "ref_id string, title string, raw string, doi string")
+    found = of(refs, pub)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in x and "tokens#" in x and re.search(r"word#\d+ = word#\d+", x) for x in plan.splitlines())
+    pairs = [(r[0], r[1]) for r in found.collect()]
+    near = {0: (0, 1), 1: (0, 1), 2: (2,)} if of is titles.nearest else {k: (k,) for k in range(3)}
+    assert sorted(pairs) == sorted((str(i), j) for i in range(9) for j in range(60) if j % 3 in near[i % 3])
+
+
 def test_queryable_and_fallback_queries(spark):
     at = one(spark, a="of it", b="Distributed sy stems at work today", c="Non-uniform random vari- ate generation")
     assert at(titles.queryable(F.col("a")), titles.queryable(F.col("b"))) == (False, True)
