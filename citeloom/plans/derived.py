@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import textnorm as N
 from ..operators.measure import invented_name
 
 VARIANTS = ("clean", "et_al", "first_only", "plus1", "swapped", "word_changed", "respaced")
@@ -23,25 +24,23 @@ def _capital(w: Column) -> Column:
     return F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))
 
 
-def _spread(words: Column, k: Column) -> Column:
-    """The ``k``-th of eight words that lie evenly over a list; null of an empty one, as Spark may compute this before it filters those out."""
-    return F.get(words, F.floor(k * F.size(words) / 8).cast("int"))
+def _spread(words: Column) -> Column:
+    """Eight words that lie evenly over a list, which is computed once; all null of an empty one."""
+    return N.let(words, lambda w: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.get(w, F.floor(k * F.size(w) / 8).cast("int"))))
 
 
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long_words = F.regexp_extract_all("text", F.lit("[a-z]{5,}"), 0)
-    d = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        "source",
-        F.regexp_extract_all("text", F.lit(r"\p{L}{2,}"), 0).alias("toks"),
-        F.when(F.size(long_words) > 0, long_words).otherwise(F.array(F.lit("unnamed"), F.lit("author"))).alias("ws"),
-    )
+    """The words are taken out of the texts by a generator: what is asked of titles and names later is not pushed below it, where each use
+    would take the text apart again."""
+    toks = _spread(F.regexp_extract_all("text", F.lit(r"\p{L}{2,}"), 0))
+    long_words = N.let(_spread(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), 0)), lambda w: F.when(F.get(w, F.lit(0)).isNotNull(), w).otherwise(F.array(*[F.lit("unnamed")] * 4, *[F.lit("author")] * 4)))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.inline(F.array(F.struct(toks.alias("toks"), long_words.alias("ws")))))
     i = F.col("doc_id")
-    pair = lambda k: F.concat(_capital(_spread(F.col("ws"), 2 * k)), F.lit(" "), _capital(_spread(F.col("ws"), 2 * k + 1)))
-    return d.where(F.size("toks") > 0).select(
+    pair = lambda k: F.concat(_capital(F.get("ws", 2 * k)), F.lit(" "), _capital(F.get("ws", 2 * k + 1)))
+    return d.where(F.get("toks", F.lit(0)).isNotNull()).select(
         i.alias("id"),
         F.concat("source", F.lit("/"), i.cast("string")).alias("key"),
-        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: _spread(F.col("toks"), k)), " ").alias("title"),
+        F.array_join("toks", " ").alias("title"),
         (1990 + i % 35).cast("int").alias("year"),
         F.when(i % 7 == 0, "CoRR").otherwise(F.col("source")).alias("venue"),
         F.concat(F.lit("https://doi.org/10.1000/"), "source", F.lit("/"), i.cast("string")).alias("ee"),
