@@ -2,8 +2,8 @@
 
 Documents are dealt by ranges of their id (then of a hash of the text and of the row's place, which split rows that repeat an
 id) and sorted within each range, so that the segments of part after part hold all documents in ascending order. Each task
-writes segments of about ``SEGMENT`` ids, one row each, through Spark's own writer: any store that Spark
-writes can hold them, a lost task is simply run again, and a reader needs one segment in memory at a time. The place
+writes segments of up to ``SEGMENT`` ids (or of one document that has more), one row each, through Spark's own writer: any store that Spark
+writes can hold them, a lost task is simply run again, and a reader needs a few segments in memory at a time. The place
 of a row is stable where ``docs`` is a stored table; it only orders rows that are equal in id and text.
 
 The tokenizer's file is a parameter. Of one whose normalizer and word pattern are those of ``KNOWN_SPLIT``, texts are cut into
@@ -67,6 +67,15 @@ def _byte_letters() -> list[str]:
     return [chr(b) if p else chr(next(rest)) for b, p in enumerate(prints)]
 
 
+def _room(held: np.ndarray, needed: int) -> np.ndarray:
+    """``held``, or twice as large an array that begins with it, where it has no room for ``needed`` rows."""
+    if needed <= len(held):
+        return held
+    grown = np.zeros((2 * needed, *held.shape[1:]), held.dtype)
+    grown[: len(held)] = held
+    return grown
+
+
 class _Words:
     """The words known so far, by their bytes (up to 24 of them, in three integers), and the ids of each."""
 
@@ -79,10 +88,10 @@ class _Words:
         self.keys = np.empty((0, 3), np.uint64)
         self.others: dict[bytes, int] = {}
         self.at, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
-        self.held = 0
+        self.known = self.held = 0
 
     def __len__(self) -> int:
-        return len(self.at) - 1
+        return self.known
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -97,7 +106,8 @@ class _Words:
         while len(todo):
             got = self.slots[slot]
             there = np.flatnonzero(got >= 0)
-            same = (self.keys[got[there]] == keys[todo[there]]).all(axis=1)
+            a, b = self.keys[got[there]], keys[todo[there]]
+            same = (a[:, 0] == b[:, 0]) & (a[:, 1] == b[:, 1]) & (a[:, 2] == b[:, 2])
             out[todo[there[same]]] = got[there[same]]
             left = there[~same]
             todo, slot = todo[left], (slot[left] + 1) & (_SLOTS - 1)
@@ -106,10 +116,8 @@ class _Words:
     def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
         """New words with short bytes. They must be distinct, and not known."""
         first = self._extend(ids)
-        grown = np.zeros((first + len(keys), 3), np.uint64)
-        grown[: len(self.keys)] = self.keys
-        grown[first:] = keys
-        self.keys = grown
+        self.keys = _room(self.keys, len(self))
+        self.keys[first : len(self)] = keys
         todo, slot = np.arange(len(keys)), self._slot(keys)
         while len(todo):
             free = self.slots[slot] < 0
@@ -118,10 +126,14 @@ class _Words:
             todo, slot = todo[lost], (slot[lost] + 1) & (_SLOTS - 1)
 
     def _extend(self, ids: list[list[int]]) -> int:
-        first = len(self)
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
-        self.held = max(self.held, self.flat.nbytes)
+        first, a = len(self), int(self.at[len(self)])
+        self.known += len(ids)
+        self.at = _room(self.at, self.known + 1)
+        self.at[first + 1 : self.known + 1] = a + np.cumsum([len(x) for x in ids], dtype=np.int64)
+        b = int(self.at[self.known])
+        self.flat = _room(self.flat, b)
+        self.flat[a:b] = [i for x in ids for i in x]
+        self.held = max(self.held, b * self.flat.itemsize)
         return first
 
     def add_others(self, words: list[bytes], ids: list[list[int]]) -> None:
@@ -158,7 +170,7 @@ class Encoder:
         """The ids of words of nothing but letters that stay themselves when composed: only case and byte letters are to be mapped."""
         mapped = b" ".join(words).decode().lower().encode().decode("latin-1").translate({b: c for b, c in self.letters.items() if b != 32})
         tokenize = self.tokenizer.model.tokenize
-        return [[t.id for t in tokenize(w)] for w in mapped.split(" ")]
+        return words and [[t.id for t in tokenize(w)] for w in mapped.split(" ")]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, given in UTF-8."""
@@ -184,10 +196,10 @@ class Encoder:
 
     def _some(self, held: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
         raw = b"\n".join([t for _, t in held])
-        start, length, plain = _cut(raw)
+        start, length, plain, sure = _cut(raw)
         if len(self.words) > REMEMBERED or self.words.held > REMEMBERED_BYTES:
             self.words.clear()
-        number = self._numbers(raw, start, length, plain)
+        number = self._numbers(raw, start, length, plain, sure)
         size = self.words.at[number + 1] - self.words.at[number]
         end = np.cumsum(size)
         total = int(end[-1]) if len(end) else 0
@@ -197,10 +209,12 @@ class Encoder:
         for (i, _), a, b in zip(held, [0, *upto.tolist()], upto.tolist(), strict=False):
             out[i].append(ids[a:b])
 
-    def _numbers(self, raw: bytes, start: np.ndarray, length: np.ndarray, plain: np.ndarray) -> np.ndarray:
-        """The numbers of the words at ``start``; unknown ones are learned. ``plain``: those of letters that are cut off cleanly."""
+    def _numbers(self, raw: bytes, start: np.ndarray, length: np.ndarray, plain: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """The numbers of the words at ``start``; unknown ones are learned. ``sure``: those that are cut off cleanly, as letters (``plain``), digits
+        or marks of ASCII."""
         number = np.empty(len(start), np.int64)
-        short = np.flatnonzero(plain & (length <= _KEY))
+        kept = sure & (length <= _KEY)
+        short = np.flatnonzero(kept)
         keys = _keys(raw, start[short], length[short])
         number[short] = found = self.words.find(keys)
         new = np.flatnonzero(found < 0)
@@ -209,12 +223,13 @@ class Encoder:
             fresh = np.ones(len(order), bool)
             fresh[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
             first = order[fresh]
-            spans = zip(start[short[first]].tolist(), length[short[first]].tolist(), strict=True)
-            ids = self._model([raw[a : a + k] for a, k in spans])
+            spelled = [raw[a : a + k] for a, k in zip(start[short[first]].tolist(), length[short[first]].tolist(), strict=True)]
+            letters = plain[short[first]].tolist()
+            by_model, by_all = (iter(f([w for w, x in zip(spelled, letters, strict=True) if x == y])) for f, y in ((self._model, True), (self._whole, False)))
             base = len(self.words)
-            self.words.add(keys[first], ids)
+            self.words.add(keys[first], [next(by_model if x else by_all) for x in letters])
             number[short[order]] = base + np.cumsum(fresh) - 1
-        rest = np.flatnonzero(~plain | (length > _KEY))
+        rest = np.flatnonzero(~kept)
         if len(rest):
             spelled = [raw[a : a + k] for a, k in zip(start[rest].tolist(), length[rest].tolist(), strict=True)]
             unknown = list(set(spelled) - self.words.others.keys())
@@ -239,14 +254,15 @@ def _sections(text: bytes) -> Iterator[bytes]:
 _CLASS = _classes()
 
 
-def _cut(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, plain) of the words that the tokenizer's pattern finds, or of unions of some.
+def _cut(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, plain, sure) of the words that the tokenizer's pattern finds, or of unions of some: whether they are letters, and whether they are
+    letters, digits or marks and no more.
 
     A cut is made only where it is sure: between letters, a digit and the marks of ASCII. What lies between white space
     and holds anything else (other letters, combining or control characters) is one word."""
     b = np.frombuffer(raw, np.uint8)
     if not len(b):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
     kind = _CLASS[b]
     lead = np.flatnonzero((b >= 0xC3) & (kind == _LETTER))
     after = lead + 1  # there is one, as the text is UTF-8
@@ -266,7 +282,7 @@ def _cut(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = np.ones(len(start), bool)
     keep[lone + 1] = False
     start, sort = start[keep], sort[keep]
-    plain = sort == _LETTER
+    plain, sure = sort == _LETTER, np.ones(len(sort), bool)
     if (sort == _ODD).any():
         space = sort == _SPACE
         run = np.cumsum(np.diff(space, prepend=~space[0]) != 0)  # white space and what lies between, by turns
@@ -276,10 +292,10 @@ def _cut(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begins = np.diff(run, prepend=0) > 0
         keep = ~inside | begins
         plain &= ~inside
-        start, sort, plain = start[keep], sort[keep], plain[keep]
+        start, sort, plain, sure = start[keep], sort[keep], plain[keep], ~inside[keep]
     length = np.diff(start, append=len(b))
     word = sort != _SPACE
-    return start[word], length[word], plain[word]
+    return start[word], length[word], plain[word], sure[word]
 
 
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -307,28 +323,40 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
         held: list[np.ndarray] = []
         sizes: list[int] = []
         held_ids: list[pa.Array] = []
+        ready: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         n = seg = 0
 
-        def segment() -> pa.RecordBatch:
-            ids = np.concatenate(held)
-            data = tokencoder.encode_segment(ids, np.array(sizes, np.int64))
-            doc_ids = pa.concat_arrays(held_ids)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(ids)], pa.int64()), lists, pa.array([data], pa.binary())], names=names)
+        def close() -> None:
+            nonlocal held, held_ids, sizes, n
+            ready.append((np.concatenate(held), np.array(sizes, np.int64), pa.concat_arrays(held_ids)))
+            held, held_ids, sizes, n = [], [], [], 0
+
+        def segments() -> Iterator[pa.RecordBatch]:
+            nonlocal ready, seg
+            coded = tokencoder.encode_segments([(ids, k) for ids, k, _ in ready])
+            for (ids, _, doc_ids), data in zip(ready, coded, strict=True):
+                lists = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(ids)], pa.int64()), lists, pa.array([data], pa.binary())], names=names)
+                seg += 1
+            ready = []
 
         for b in batches:
             for a in range(0, b.num_rows, 64):
                 some = b.slice(a, 64)
                 for i, x in enumerate(encoder.encode([t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()])):
+                    if n and n + len(x) + 1 > SEGMENT:  # else a few ids would be a block of their own
+                        close()
                     held += [x, end]
                     sizes.append(len(x) + 1)
                     held_ids.append(some.column(0).slice(i, 1))
                     n += len(x) + 1
                     if n >= SEGMENT:
-                        yield segment()
-                        held, held_ids, sizes, n, seg = [], [], [], 0, seg + 1
+                        close()
+                    if len(ready) == tokencoder.TOGETHER:
+                        yield from segments()
         if held:
-            yield segment()
+            close()
+        yield from segments()
         give_back()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -350,14 +378,15 @@ def read(spark, path: str) -> DataFrame:  # noqa: ANN001
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                ids, n = tokencoder.decode_segment(b.column(2)[i].as_py())
-                n = n.astype(np.int64)
-                ends = np.cumsum(n)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                start = b.column(0)[i].as_py() + ends - n
-                yield pa.RecordBatch.from_arrays([b.column(1)[i].values, pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for a in range(0, b.num_rows, tokencoder.TOGETHER):
+                some = b.slice(a, tokencoder.TOGETHER)
+                for i, (ids, n) in enumerate(tokencoder.decode_segments(some.column(2).to_pylist())):
+                    n = n.astype(np.int64)
+                    ends = np.cumsum(n)
+                    raw = memoryview(ids.astype("<u4").tobytes())
+                    crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                    start = some.column(0)[i].as_py() + ends - n
+                    yield pa.RecordBatch.from_arrays([some.column(1)[i].values, pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     joined = segments.join(small(offsets), ["part", "seg"]).select("offset", "doc_ids", "data")
     return joined.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")

@@ -187,6 +187,30 @@ def test_blocks_decode_alone(monkeypatch):
             tokencoder.decode_block(bytes(broken))
 
 
+def test_blocks_coded_together_are_those_coded_alone():
+    r = np.random.default_rng(4)
+    ids = [r.zipf(1.3, n).clip(0, 30_000).astype(np.uint32) for n in (70_000, 200_000, 1, 63, 0, 5000)] + [r.integers(0, 2**32, 9000, dtype=np.uint32)]
+    data = tokencoder.encode_segments([(x, np.array([len(x)])) for x in ids])
+    assert data == [tokencoder.encode_segment(x, np.array([len(x)])) for x in ids]
+    assert all((back == x).all() and n.tolist() == [len(x)] for (back, n), x in zip(tokencoder.decode_segments(data), ids, strict=True))
+    broken = bytearray(data[1])
+    broken[-100] ^= 1
+    with pytest.raises(tokencoder.Corrupt):
+        tokencoder.decode_segments([data[0], bytes(broken), data[2]])
+
+
+def test_segments_have_no_small_second_block(spark, tmp_path, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(tokens, "SEGMENT", 500)
+    rows = [(i, "a word and some more " * (80 if i == 3 else 5 + i % 7)) for i in range(60)]
+    path = str(tmp_path / "segments")
+    tokens.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), public.path("word_bpe_49k.json"), path)
+    got = spark.read.parquet(path).collect()
+    assert all(r["n_ids"] <= 500 or len(r["doc_ids"]) == 1 for r in got)
+    assert {(r["part"], r["seg"]) for r in got} == {(p, k) for p in {r["part"] for r in got} for k in range(sum(r["part"] == p for r in got))}
+    assert [d for r in sorted(got, key=lambda r: (r["part"], r["seg"])) for d in r["doc_ids"]] == list(range(60))
+
+
 # -- bounds ------------------------------------------------------------------------------------
 
 
