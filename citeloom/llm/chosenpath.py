@@ -329,24 +329,25 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "sig").mapInArrow(run, "sig long, members binary").dropDuplicates(["sig"])
 
 
-def compare(found: DataFrame, known: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def compare(found: DataFrame, known: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float, folder: str | None = None) -> DataFrame:
     """(sig, links, other) of all pairs that share a bucket: sums of links where ``other`` is null, else edges.
 
     ``found``: (bucket, sig, blocks). ``known``: (sig, n, mult, lists), the sizes of the sets (or 1 where they are not
-    known yet), their weights and their buckets in order. ``fetch`` gives (sig, members) for a table of ``sig``."""
+    known yet), their weights and their buckets in order. ``fetch`` gives (sig, members) for a table of ``sig``. ``folder``: where tables
+    are stored."""
     parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
 
     known = known.select("sig", "n", "mult", "lists")
-    near = stored(_candidates(dealt(_in_blocks(found).join(known, "sig")), threshold), "candidates")
-    members = fetch(stored(near.select("sig").distinct(), "wanted"))
-    full = near.join(stored(members, "members"), "sig").join(known, "sig")
+    near = stored(_candidates(dealt(_in_blocks(found).join(known, "sig")), threshold), "candidates", folder)
+    members = fetch(stored(near.select("sig").distinct(), "wanted", folder))
+    full = near.join(stored(members, "members", folder), "sig").join(known, "sig")
     large = found.where("blocks > 1").select("bucket", "blocks").distinct()
     n = F.coalesce("blocks", F.lit(1))
-    full = full.join(small(stored(large, "large")), "bucket", "left").withColumn("blk", F.pmod(F.xxhash64("sig"), n).cast("int"))
-    return stored(_verified(dealt(full), threshold), "verified")
+    full = full.join(small(stored(large, "large", folder)), "bucket", "left").withColumn("blk", F.pmod(F.xxhash64("sig"), n).cast("int"))
+    return stored(_verified(dealt(full), threshold), "verified", folder)
 
 
 def rooted(out: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text that a kernel works on at a time.
 SLICE_BYTES = 2 << 20
+#: Spark's setting for shuffle files to go as the query ends that wrote them; else they stay until the driver happens to collect its garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _MARKED: set[str] = set()
@@ -48,13 +51,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and readable after executors are lost."""
-    path = new_path(df.sparkSession, name)
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder (or one of ``passing``): computed once, and readable after executors are lost."""
+    path = f"{folder or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[str]:
+    """A folder for ``stored`` tables that nothing reads after the block, which deletes them."""
+    path = new_path(spark, "passing")
+    try:
+        yield path
+    finally:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """In the block, a query's shuffle files are deleted as it ends. What it returns must be ``stored``, as the files are gone."""
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+
+
 def _held(df: DataFrame) -> int:
     """About the bytes of a stored table as rows in a hash table: 8 a field, 24 a row, and what its strings, binaries and arrays hold."""
     per_row = F.lit(8 * len(df.columns) + 24)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chosenpath, textvec
-from .shared import by_bytes, small, stored
+from .shared import by_bytes, clean_shuffles, passing, small, stored
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99, 2
 LEAST_WORDS, RADIUS, LEAST_PIECE, SPAN, LONG_SPAN = SHINGLE, 5, 3, 18, 40
@@ -249,21 +249,22 @@ def _passages(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "anchors", "gone").mapInArrow(run, schema)
 
 
-def _clusters(docs: DataFrame, every: DataFrame) -> DataFrame:
-    """(sig, keeper) of the paragraphs whose cluster is in several documents."""
+def _clusters(docs: DataFrame, every: DataFrame, folder: str | None = None) -> DataFrame:
+    """(sig, keeper) of the paragraphs whose cluster is in several documents, from tables stored in ``folder``."""
     lines = every.where("bands is not null")
-    classes = stored(lines.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "paragraphs")
-    banded = stored(lines.select(F.explode("bands").alias("bucket"), "sig", "words").distinct(), "bands")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size"), chosenpath.blocks_for(F.count("*"), F.sum("words")).alias("blocks")).where("size > 1")
-    found = stored(banded.join(small(stored(sizes.select("bucket", "blocks"), "band-sizes")), "bucket").select("bucket", "sig", "blocks"), "band-members")
+    classes = stored(lines.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "paragraphs", folder)
+    with passing(docs.sparkSession) as brief:
+        banded = stored(lines.select(F.explode("bands").alias("bucket"), "sig", "words").distinct(), "bands", brief)
+        sizes = banded.groupBy("bucket").agg(F.count("*").alias("size"), chosenpath.blocks_for(F.count("*"), F.sum("words")).alias("blocks")).where("size > 1")
+        found = stored(banded.join(small(stored(sizes.select("bucket", "blocks"), "band-sizes", brief)), "bucket").select("bucket", "sig", "blocks"), "band-members", folder)
     known = chosenpath.listed(found).select("sig", F.lit(1).alias("n"), F.lit(1).alias("mult"), "lists")
 
     def fetch(wanted: DataFrame) -> DataFrame:
         where = wanted.join(classes, "sig").groupBy("doc_id").agg(F.collect_set("sig").alias("sigs"))
-        return _line_sets(docs, small(stored(where, "sources")))
+        return _line_sets(docs, small(stored(where, "sources", folder)))
 
-    roots = chosenpath.rooted(chosenpath.compare(found, stored(known, "band-lists"), fetch, THRESHOLD))
-    joined = stored(classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "rooted")
+    roots = chosenpath.rooted(chosenpath.compare(found, stored(known, "band-lists", folder), fetch, THRESHOLD, folder))
+    joined = stored(classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "rooted", folder)
     heads = joined.groupBy("root").agg(F.min("doc_id").alias("keeper"), F.max("last").alias("last")).where("keeper < last")
     return joined.join(heads.select("root", "keeper"), "root").select("sig", "keeper")
 
@@ -366,21 +367,25 @@ def spans(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     if not isinstance(kind, T.IntegralType):
         raise TypeError(f"doc_id must be an integer, not {kind.simpleString()}")
-    every = stored(_units(docs), "units")
-    repeated = every.where("bands is null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sig")
-    repeated = stored(repeated, "repeated")  # grows with the input, so it is never broadcast
-    clusters = small(stored(_clusters(docs, every), "clusters"))
-    lines = stored(every.where("bands is not null").join(clusters, "sig").select("doc_id", "line", "start", "words", "keeper"), "lines")
+    spark = docs.sparkSession
+    with clean_shuffles(spark), passing(spark) as units_at:
+        every = stored(_units(docs), "units", units_at)
+        with passing(spark) as brief:
+            clusters = small(stored(_clusters(docs, every, brief), "clusters", units_at))
+        lines = stored(every.where("bands is not null").join(clusters, "sig").select("doc_id", "line", "start", "words", "keeper"), "lines")
+        repeated = every.where("bands is null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sig")
+        repeated = stored(repeated, "repeated", units_at)  # grows with the input, so it is never broadcast
+        found = stored(every.where("bands is null").join(repeated, "sig").select("doc_id", "line", "start", "words", "sig"), "found")
     # a paragraph that goes takes its pieces along, so none of them can be the one that is kept
-    gone = small(stored(lines.where("keeper <> doc_id").select("doc_id", "line").distinct(), "gone"))
-    found = stored(every.where("bands is null").join(repeated, "sig").select("doc_id", "line", "start", "words", "sig"), "found")
-    pieces = found.where("line >= 0").join(gone, ["doc_id", "line"], "left_anti")
-    wanted = found.where("line < 0").groupBy("doc_id").agg(F.collect_set("start").alias("anchors"))
-    wanted = wanted.join(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "doc_id", "left")
-    passages = stored(_passages(docs, small(stored(wanted, "wanted"))), "passages")
-    runs = passages.where("sig is not null")
-    known = pieces.groupBy("sig").agg(F.min("doc_id").alias("keeper")).unionAll(runs.groupBy("sig").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("sig", "keeper"))
-    keepers = stored(known, "keepers")
+    with clean_shuffles(spark), passing(spark) as brief:
+        gone = small(stored(lines.where("keeper <> doc_id").select("doc_id", "line").distinct(), "gone"))
+        pieces = found.where("line >= 0").join(gone, ["doc_id", "line"], "left_anti")
+        wanted = found.where("line < 0").groupBy("doc_id").agg(F.collect_set("start").alias("anchors"))
+        wanted = wanted.join(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "doc_id", "left")
+        passages = stored(_passages(docs, small(stored(wanted, "wanted", brief))), "passages")
+        runs = passages.where("sig is not null")
+        known = pieces.groupBy("sig").agg(F.min("doc_id").alias("keeper")).unionAll(runs.groupBy("sig").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("sig", "keeper"))
+        keepers = stored(known, "keepers")
     columns = ("doc_id", "line", "start", "words", "keeper", "kind")
     runs = runs.select("doc_id", "start", "sig").join(keepers, "sig").select("*", F.lit(-1).alias("line"), F.lit(GRAM).alias("words"))
     kinds = ((pieces.join(keepers, "sig"), PIECE), (runs, RUN), (lines, PARAGRAPH), (passages.where("sig is null").withColumn("keeper", F.col("doc_id")), LINE))
