@@ -334,6 +334,18 @@ def test_missing_numbers_as_a_plan(spark, monkeypatch):
     assert "Join" not in plan and plan.index("Generate") < plan.index("Window")
 
 
+def test_missing_numbers_take_little_space(spark, tmp_path, monkeypatch):
+    """Stored, they take a small part of a byte each, whatever their number; papers of many parts, groups and blocks of cells."""
+    monkeypatch.setattr(segment, "GAP", 5_000)
+    rows = [(p, n) for p in range(300) for n in (1 + p % 7, 2_000 + 3 * p, 2_001 + 3 * p, 9_000 + 13 * p)]
+    segment.missing(spark.createDataFrame(rows, "paper_id long, number long")).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = {p: sorted(set(range(1, 9_000 + 13 * p)) - {n for q, n in rows if q == p}) for p in (0, 7, 150, 299)}
+    assert got.count() == sum(9_000 + 13 * p - 4 for p in range(300)) == got.distinct().count()
+    assert all(sorted(r[0] for r in got.where(F.col("paper_id") == p).select("number").collect()) == w for p, w in want.items())
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < got.count() / 4
+
+
 def test_segmentation_as_a_plan(spark):
     lines = spark.createDataFrame([(p, n, i, x) for p, s in (("a", "numeric"), ("b", "author-year")) for n, page in enumerate(pages_of(s)) for i, x in enumerate(page)] + [("c", 0, 0, None)], "paper_id string, page_no int, line_no int, text string")
     assert {(r["paper_id"], r["n"]) for r in segment.segment(lines).groupBy("paper_id").agg(F.count("*").alias("n")).collect()} == {("a", 12), ("b", 12)}
