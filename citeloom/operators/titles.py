@@ -233,7 +233,8 @@ def nearest(refs: DataFrame, pub: DataFrame, most: int = NEAREST_CANDIDATES) ->
     A set-overlap join with a prefix filter: a record that lacks at most two of the groups holds one of any three, so
     citations and records meet on the words of the three rarest groups only, and the rest is verified where they meet. Equal titles
     meet once and have the same places, and of the records of a title none but the first ``most`` can get one."""
-    asked = _asked(refs, "title").select("asked", F.slice(groups(F.col("title")), 1, MOST_GROUPS).alias("gs"), N.title_words(F.col("title")).alias("want"))
+    read = F.struct(F.slice(groups(F.col("title")), 1, MOST_GROUPS).alias("gs"), N.title_words(F.col("title")).alias("want"))
+    asked = _asked(refs, "title").select("asked", F.inline(F.array(read)))  # a generator, so that no filter takes a title apart again
     asked = asked.withColumn("miss", F.when(F.size("gs") >= 5, 2).when(F.size("gs") == 4, 1)).where("miss is not null")
     posted = _held(pub).select("held", "tokens", N.title_words(F.col("title")).alias("words"), F.explode(F.array_distinct("tokens")).alias("word"))
     word = posted.groupBy("word").agg(F.count("*").alias("n"))
