@@ -399,6 +399,18 @@ def test_what_a_citation_prints_is_read_only_for_a_choice(spark, monkeypatch):
     assert chosen([(3, "Words of one title"), (6, "Other words of a title")]) == [("a", "match", 3)]
 
 
+def test_nearest_titles_are_compared_where_words_are_alike(spark, monkeypatch):
+    """Titles with one common word are told apart by bits; ones of very many words, of words that stand several times and of hyphens are found."""
+    many = " ".join(f"word{chr(97 + i)}" for i in range(26))
+    near = [("alpha bravo charlie delta echo foxtrot", "alpha bravo quebec delta echo foxtrot"), ("golf golf hotel hotel", "golf golf hotel romeo"), (f"{many} wordtwo wordten", f"{many} wordtwo wordsix"), ("india-juliet kilo lima mike", "indiajuliet kilo lima papa")]
+    held = [*(b for _, b in near), "alpha poison tango uniform victor whiskey"]
+    pub = mirror.with_keys(spark.createDataFrame([(i, f"k{i}", t, []) for i, t in enumerate(held)], "id long, key string, title string, authors array<string>"))
+    refs = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(near)], "ref_id int, title string")
+    whole = titles.holds_group
+    monkeypatch.setattr(titles, "holds_group", lambda tokens, g: F.when(F.array_contains(tokens, "poison"), _never(F.array_join(tokens, " "), "boolean")).otherwise(whole(tokens, g)))
+    assert sorted(tuple(r) for r in titles.nearest(refs, pub).collect()) == [(i, i, 1, 1) for i in range(4)]
+
+
 # -- roll-ups, triage, measurement -------------------------------------------------------------
 
 
